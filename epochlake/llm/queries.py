@@ -22,6 +22,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=("doc_id",))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import dictionaries, identify, sample
+
+    docs = table(spark, sf_dir, "documents")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 4
+    learned = dictionaries(sample(docs, rest != 2))
+    out = identify(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), learned, keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def fetch_times(pages: DataFrame) -> DataFrame:
     """Pages carry no time of their own: each is taken as fetched at a minute of 2024 that follows from its page_id."""
     minute = F.pmod(F.col("page_id") * 7919, F.lit(366 * 1440)).cast("int")
@@ -89,7 +105,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import Scratch
 
     mixed = mix(table(spark, sf_dir, "documents"), keep=("doc_id",))
-    return Scratch(spark, "op7").keep(mixed, "mixed").sort("position")
+    return Scratch(spark, "op7").keep(mixed, "mixed").sort("position", "doc_id")
 
 
 OP7_SQL = r"""
@@ -130,7 +146,9 @@ FROM x
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op5_language": op5_language,
     "op7_source_mix": op7_source_mix,
+    "op9_packed_tokens": op9_packed_tokens,
 }
 
 ORACLE_SQL = {
