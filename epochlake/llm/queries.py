@@ -22,6 +22,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), keep=("doc_id",))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import Scratch
+    from .warc import captures, read_records, write_warc
+
+    path = Scratch(spark, "op3").path("archives")
+    write_warc(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    return captures(read_records(spark, path)).withColumnRenamed("key", "page_id")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import dictionaries, identify, sample
 
@@ -145,6 +164,7 @@ FROM x
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
     "op5_language": op5_language,
     "op7_source_mix": op7_source_mix,
@@ -152,6 +172,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": OP3_SQL,
     "op4_url_filters": OP4_SQL,
     "op7_source_mix": OP7_SQL,
 }
