@@ -51,6 +51,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import Model, learned, score
+
+    docs = table(spark, sf_dir, "documents")
+    known = learned(F.col("doc_id"))
+    return score(docs.withColumn("held_out", ~known), Model(docs.where(known)), keep=("doc_id", "held_out"))
+
+
 def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -167,6 +175,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
     "op5_language": op5_language,
+    "op6_lm_scores": op6_lm_scores,
     "op7_source_mix": op7_source_mix,
     "op9_packed_tokens": op9_packed_tokens,
 }
