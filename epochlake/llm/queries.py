@@ -65,6 +65,12 @@ def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weighted_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def fetch_times(pages: DataFrame) -> DataFrame:
     """Pages carry no time of their own: each is taken as fetched at a minute of 2024 that follows from its page_id."""
     minute = F.pmod(F.col("page_id") * 7919, F.lit(366 * 1440)).cast("int")
@@ -178,6 +184,7 @@ QUERIES = {
     "op6_lm_scores": op6_lm_scores,
     "op7_source_mix": op7_source_mix,
     "op9_packed_tokens": op9_packed_tokens,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL = {
