@@ -59,6 +59,12 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.withColumn("held_out", ~known), Model(docs.where(known)), keep=("doc_id", "held_out"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cross_polytope import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -183,6 +189,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_lm_scores": op6_lm_scores,
     "op7_source_mix": op7_source_mix,
+    "op8_near_vectors": op8_near_vectors,
     "op9_packed_tokens": op9_packed_tokens,
     "op10_near_duplicates": op10_near_duplicates,
 }
