@@ -26,11 +26,13 @@ BANDS, ROWS = 16, 4
 #: Counters of documents by shingle: a fixed table of 4 MB; shingles that share one count together.
 COUNTERS = 1 << 20
 #: Shingles in at most this share of documents have full weight; beyond it weight falls with the logarithm of rarity.
-COMMON = 0.01
+COMMON = 0.05
 #: Draws that shingles share by 16 bits of their hash; equal draws are told apart by the shingle itself.
 DRAWS = 1 << 16
 #: Equal bytes of 64 in two texts' digests of samples below which a pair isn't verified: at similarity 0.8, 1 in 10^6 has fewer.
 ALIKE = 35
+#: Texts of a bucket up to which its pairs are made one by one; texts of a block in larger ones.
+FEW, BLOCK = 24, 256
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,14 +199,13 @@ def promising(pairs: DataFrame, digests: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: str, text: str, key: str) -> DataFrame:
-    """(a, b) of those ``pairs`` whose similarity is SIMILARITY or more.
+def sets_of(ids: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: str, text: str, key: str) -> DataFrame:
+    """(id, k, w): shingles and weights of the documents whose key is among the distinct ``ids``.
 
-    Only texts that stand in a pair are shingled again and moved. Which do is told by a filter of fixed size, 8 MB, that
-    may let some others through; the joins with the pairs are exact.
+    Only those texts are shingled again and moved. Which they are is told by a filter of fixed size, 8 MB, that may let
+    some others through; the join with the ids is exact.
     """
     spark, bits = docs.sparkSession, 1 << 26
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(38) for batch in batches]
@@ -240,7 +241,13 @@ def verified(pairs: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([keys[8 * a : 8 * b] for a, b in cut], pa.binary()), pa.array([ws[4 * a : 4 * b] for a, b in cut], pa.binary())], names=["id", "k", "w"])
 
     sets = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id bigint, k binary, w binary")
-    sets = scratch.keep(sets.join(scratch.keep(ids.distinct(), f"{name}-ids"), "id", "left_semi"), f"{name}-sets")
+    return scratch.keep(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: str, text: str, key: str) -> DataFrame:
+    """(a, b) of those ``pairs`` whose similarity is SIMILARITY or more."""
+    ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+    sets = sets_of(ids, docs, rare, scratch, name, text, key)
     side = lambda c: sets.select(F.col("id").alias(c), F.col("k").alias(f"k{c}"), F.col("w").alias(f"w{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +266,79 @@ def verified(pairs: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: st
     return scratch.keep(joined.select("a", "b", "ka", "kb", "wa", "wb").mapInArrow(compare, "a bigint, b bigint"), f"{name}-links")
 
 
+def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between texts that share a bucket of ``large`` (band, id, c, m) and have different components c.
+
+    A bucket of m texts is compared in blocks of BLOCK, each pair of blocks in a group of its own, which gives no more than
+    a link for each two components that it joins. A pair is left to the first bucket that it shares; of the others those
+    with too few equal bytes of digest are passed over, and the rest verified, the most alike first.
+    """
+    cuts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    rows = large.withColumn("own", F.pmod(F.xxhash64("id", "band"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    group = ["band", "lo", "hi"]
+    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c")
+    rows = rows.join(texts.select("id", "digest", F.col("bands")), "id").join(sets, "id").select(*group, "own", "id", "c", "digest", "bands", "k", "w")
+    dealt = rows.repartition(*group).sortWithinPartitions(*group)
+
+    def links(part: pa.RecordBatch) -> tuple[list[int], list[int]]:
+        band, lo, hi = (part.column(i)[0].as_py() for i in range(3))
+        own, ids, c = (part.column(i).to_numpy() for i in (3, 4, 5))
+        digests = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = part.column(7).flatten().to_numpy().reshape(len(ids), -1)
+        at = int(np.flatnonzero(bands[0] == band)[0])
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        root = {x: x for x in set(c.tolist())}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = np.frombuffer(part.column(8)[i].as_py(), np.uint64), np.frombuffer(part.column(9)[i].as_py(), np.float32).astype(np.float64)
+            return sets[i]
+
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in range(len(ids)):
+            j = np.arange(i + 1, len(ids)) if lo == hi else np.flatnonzero(own != lo) if own[i] == lo else np.zeros(0, np.int64)
+            j = j[c[j] != c[i]]
+            alike = (digests[j] == digests[i]).sum(1)
+            j, alike = j[alike >= ALIKE], alike[alike >= ALIKE]
+            first = ~(bands[j, :at] == bands[i, :at]).any(1)
+            found.append((np.full(int(first.sum()), i), j[first], alike[first]))
+        i, j, alike = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = [], []
+        for n in np.argsort(-alike, kind="stable"):
+            x, y = int(i[n]), int(j[n])
+            p, q = find(int(c[x])), find(int(c[y]))
+            if p != q and similarity(*of(x), *of(y)) >= SIMILARITY - 1e-9:
+                root[p] = q
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in [*batches, None]:
+            now = held if batch is None else pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if now is None or not now.num_rows:
+                continue
+            keys = np.stack([now.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            ends = [*cuts, now.num_rows] if batch is None else cuts
+            begin = 0
+            for end in ends:
+                made = links(now.slice(begin, end - begin).combine_chunks().to_batches()[0])
+                if made[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["a", "b"])
+                begin = end
+            held = now.slice(begin)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, kept) of each document: class_id is the least key of those that links reach, kept the document with it.
 
@@ -269,7 +349,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     In each bucket every text is first held against one other, which bucket and band choose by hash, so that a group of
     any size takes as many pairs as it has texts. What these links leave unconnected within a bucket is then held against
-    every other component there: no pair that shares a bucket is left out but those already connected.
+    every other component there: as pairs in buckets of FEW texts or fewer, so that a text has no more than that, and in
+    blocks that give only links in larger ones. No pair that shares a bucket is left out but those already connected.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -295,12 +376,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     first = components(links, "near-first")
     placed = inside.select("band", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     placed = scratch.keep(placed, "placed")
-    mixed = scratch.keep(placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"), "mixed")
-    left = scratch.keep(placed.join(mixed, "band"), "left")
-    other = left.select("band", F.col("id").alias("id2"), F.col("c").alias("c2"))
-    rest = left.join(other, "band").where("c < c2").select(*pair(F.col("id"), F.col("id2"))).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    mixed = scratch.keep(mixed.select("band", "m"), "mixed")
+    left = scratch.keep(placed.join(mixed, "band").select("band", "id", "c", "m"), "left")
+    few = left.where(F.col("m") <= FEW)
+    other = few.select("band", F.col("id").alias("id2"), F.col("c").alias("c2"))
+    rest = few.join(other, "band").where("c < c2").select(*pair(F.col("id"), F.col("id2"))).distinct().join(stars, ["a", "b"], "left_anti")
     rest = scratch.keep(promising(scratch.keep(rest, "rest"), texts), "rest-pairs")
     more = verified(rest, docs, rare, scratch, "rest", text, key)
+    large = scratch.keep(left.where(F.col("m") > FEW), "large")
+    ids = scratch.keep(large.select("id").distinct(), "large-ids")
+    more = more.union(scratch.keep(across(large, texts, sets_of(ids, docs, rare, scratch, "large", text, key)), "large-links"))
     classes = components(links.union(more).union(same), "near")
     ids = docs.select(docs[key].cast("long").alias("doc_id"))
     joined = ids.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
