@@ -94,20 +94,21 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     goals = scratch.keep(targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, budget, most), "goals")
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = parts.withColumn("part_begin", F.coalesce(F.sum("part_size").over(upto), F.lit(0))).select("source", "part", "part_begin")
-    begins = scratch.keep(begins.join(goals, begins["source"].eqNullSafe(goals["source"])).drop(goals["source"]), "begins")
+    begins = begins.join(goals, begins["source"].eqNullSafe(goals["source"])).select(begins["source"], "part", "part_begin", "source_size", "target", "rank", "goal")
+    begins = scratch.keep(begins.toDF(*[f"__b_{c}" for c in begins.columns]), "begins")
     inside = Window.partitionBy("__source", "__part").orderBy("__hash", "__size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__part", part).withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    placed = placed.join(begins, placed["__source"].eqNullSafe(begins["source"]) & (placed["__part"] == begins["part"]), "left")
-    begin = F.col("part_begin") + F.col("__before")
-    rounds = [F.greatest(F.lit(0), F.least(begins["goal"] - k * begins["source_size"] - begin, F.col("__size"))) for k in range(most)]
+    placed = placed.join(begins, placed["__source"].eqNullSafe(begins["__b_source"]) & (placed["__part"] == begins["__b_part"]), "left")
+    begin, size, goal = F.col("__b_part_begin") + F.col("__before"), F.col("__size"), F.col("__b_goal")
+    rounds = [F.greatest(F.lit(0), F.least(goal - k * F.col("__b_source_size") - begin, size)) for k in range(most)]
     taken = sum(rounds[1:], rounds[0])
     out = placed.select(
         *[placed[f"`{c}`"] for c in names],
-        F.col("__size").alias("size"),
-        begins["source_size"],
-        begins["target"],
+        size.alias("size"),
+        F.col("__b_source_size").alias("source_size"),
+        F.col("__b_target").alias("target"),
         taken.cast("long").alias("taken"),
-        F.when(taken > 0, due_time(begin / begins["goal"], begins["rank"], schedules)).alias("position"),
+        F.when(taken > 0, due_time(begin / goal, F.col("__b_rank"), schedules)).alias("position"),
     )
     return out
 
