@@ -1 +1,5 @@
+"""Queries that apply the operators, and their SQL."""
 
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
