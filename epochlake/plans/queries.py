@@ -587,3 +587,421 @@ def _(spark, d):
 def _(spark, d):
     hbo, hbr, hbt = fn.beer_lambert([F.col("l_tax"), F.col("l_discount")], [760, 850], F.lit(3.0))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hbo.alias("hbo"), hbr.alias("hbr"), hbt.alias("hbt"))
+
+
+# --- signals
+
+
+def _one(sg_name: str, kernel) -> None:
+    @query(sg_name)
+    def _(spark, d):
+        return sg.per_channel(epochs(spark, d), ["trial"], "idx", "value", kernel)
+
+
+_one("sg2_highpass", lambda x: sg.filtfilt(sg.butter(2, 50.0, lo=1.0), x))
+_one("sg2_lowpass", lambda x: sg.filtfilt(sg.butter(8, 50.0, hi=20.0), x))
+_one("sg2_bandpass", lambda x: sg.filtfilt(sg.butter(3, 50.0, 0.5, 2.5), x))
+_one("sg5_tddr", lambda x: sg.tddr(x, 50.0))
+_one("sg6_wavelet_repair", lambda x: sg.wavelet_repair(x))
+_one("sg8_hilbert_power", lambda x: sg.hilbert_power(x))
+_one("sg16_binarise", lambda x: sg.binarise(x).astype(float))
+
+
+@query("sg1_resample")
+def _(spark, d):
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = sg.resample(pdf.sort_values("idx")["value"].to_numpy(float), 32, 125)
+        return pd.DataFrame({"trial": pdf["trial"].iloc[0], "idx": range(len(y)), "value": y})
+
+    return epochs(spark, d).select("trial", "idx", "value").groupBy("trial").applyInPandas(run, "trial bigint, idx int, value double")
+
+
+@query("sg3_fir", f"WITH {S} SELECT trial, idx, sum(value * w) AS convolved FROM (SELECT s.trial, s.idx, p.value, CASE s.idx - p.idx WHEN 0 THEN 0.25::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS w FROM s JOIN s p ON p.trial = s.trial AND s.idx - p.idx BETWEEN 0 AND 2) GROUP BY trial, idx")
+def _(spark, d):
+    return sg.convolve(epochs(spark, d), ["trial"], "idx", "value", [0.25, 0.5, 0.25]).select("trial", "idx", "convolved")
+
+
+@query("sg4_causal_convolution", f"WITH {S}, {_HRF} SELECT s.trial, s.idx, sum(p.value * k.g) AS convolved FROM s JOIN s p ON p.trial = s.trial AND p.idx <= s.idx JOIN k ON k.i = s.idx - p.idx GROUP BY s.trial, s.idx")
+def _(spark, d):
+    import numpy as np
+
+    t = np.arange(40) * 0.5
+    h = t**5 * np.exp(-t) / 120
+    return sg.convolve(epochs(spark, d), ["trial"], "idx", "value", (h / h.max()).tolist()).select("trial", "idx", "convolved")
+
+
+@query("sg7_motion_mask", f"""WITH {S}, a AS (SELECT trial, idx, value, value - lag(value) OVER w AS dd, greatest(max(value) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) - value, value - min(value) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS j FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)),
+b AS (SELECT *, CAST(j > 0.4 OR j > 3 * (stddev_samp(dd) OVER (PARTITION BY trial)) AS INTEGER) AS bad FROM a) SELECT trial, idx, (max(bad) OVER (PARTITION BY trial ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) = 0 AS keep FROM b""")
+def _(spark, d):
+    return sg.motion_mask(epochs(spark, d), ["trial"], "idx", "value", 2, 3, 3.0, 0.4).select("trial", "idx", "keep")
+
+
+@query("sg9_window_power", f"WITH {S} SELECT trial, 10.0::DOUBLE * log10(avg(value * value) FILTER (rel_t BETWEEN 0.195 AND 0.505) / avg(value * value) FILTER (rel_t < -0.005)) AS db FROM s GROUP BY trial")
+def _(spark, d):
+    p = F.col("value") * F.col("value")
+    task, base = F.avg(F.when(F.col("rel_t").between(0.195, 0.505), p)), F.avg(F.when(F.col("rel_t") < -0.005, p))
+    return epochs(spark, d).groupBy("trial").agg((F.lit(10.0) * F.log10(F.try_divide(task, base))).alias("db"))
+
+
+_FT = "c AS (SELECT trial, idx, value - avg(value) OVER (PARTITION BY trial) AS v FROM s), f AS (SELECT trial, k, sum(v * cos(2 * pi() / 64 * k * idx)) AS re, sum(v * sin(2 * pi() / 64 * k * idx)) AS im FROM c, (SELECT unnest(range(0, 33)) AS k) GROUP BY trial, k)"
+_PSD = "p AS (SELECT trial, k * (50.0::DOUBLE / 64) AS freq, CASE WHEN k IN (0, 32) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END * (re * re + im * im) / (50.0::DOUBLE * 64) AS power FROM f)"
+
+
+@query("sg10_periodogram", f"WITH {S}, {_FT}, {_PSD} SELECT trial, round(freq, 6) AS freq, round(power, 9) AS power FROM p")
+def _(spark, d):
+    return sg.periodogram(epochs(spark, d), ["trial"], "idx", "value", 50.0, 64).select("trial", F.round("freq", 6).alias("freq"), F.round("power", 9).alias("power"))
+
+
+@query("sg11_welch", f"""WITH {S}, g AS (SELECT trial, seg, idx - seg * 16 AS pos, value * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 31 * (idx - seg * 16))) AS v FROM s, (SELECT unnest(range(0, 3)) AS seg) WHERE idx BETWEEN seg * 16 AND seg * 16 + 31),
+h AS (SELECT sum(pow(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 31 * i), 2)) AS u FROM range(32) t(i)),
+f AS (SELECT trial, seg, k, sum(v * cos(2 * pi() / 32 * k * pos)) AS re, sum(v * sin(2 * pi() / 32 * k * pos)) AS im FROM g, (SELECT unnest(range(0, 17)) AS k) GROUP BY trial, seg, k)
+SELECT trial, k * 50.0::DOUBLE / 32 AS freq, avg(CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * (re * re + im * im) / (50.0::DOUBLE * (SELECT u FROM h))) AS power FROM f GROUP BY trial, k""")
+def _(spark, d):
+    return sg.welch(epochs(spark, d), ["trial"], "idx", "value", 50.0, 64, 32, 32)
+
+
+@query("sg12_ersp")
+def _(spark, d):
+    import numpy as np
+    import pandas as pd
+
+    freqs = [4.0, 8.0, 12.0, 16.0, 20.0]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        p = sg.morlet_power(pdf["value"].to_numpy(float), 50.0, freqs)
+        base = p[:, pdf["rel_t"].to_numpy() < 0].mean(1, keepdims=True)
+        db = 10 * np.log10((p + 1e-300) / (base + 1e-300))
+        return pd.DataFrame({"trial": pdf["trial"].iloc[0], "freq": np.repeat(freqs, p.shape[1]), "idx": np.tile(pdf["idx"].to_numpy(), len(freqs)), "db": db.ravel()})
+
+    return epochs(spark, d).select("trial", "idx", "rel_t", "value").groupBy("trial").applyInPandas(run, "trial bigint, freq double, idx int, db double")
+
+
+_XY = "xy AS (SELECT trial, idx, value AS x, value * rel_t AS y FROM s)"
+
+
+def _xy(spark, d):
+    return epochs(spark, d).select("trial", "idx", F.col("value").alias("x"), (F.col("value") * F.col("rel_t")).alias("y"))
+
+
+@query("sg13_xcorr", f"WITH {S}, {_XY}, n AS (SELECT trial, sqrt(sum(x * x) * sum(y * y)) AS n FROM xy GROUP BY trial) SELECT a.trial, a.idx - b.idx AS lag, sum(a.x * b.y) / any_value(n) AS r FROM xy a JOIN xy b ON a.trial = b.trial AND abs(a.idx - b.idx) <= 10 JOIN n ON n.trial = a.trial GROUP BY 1, 2")
+def _(spark, d):
+    return sg.xcorr(_xy(spark, d), ["trial"], "idx", "x", "y", 10)
+
+
+@query("sg13_xcorr_peak", f"WITH {S}, {_XY}, n AS (SELECT trial, sqrt(sum(x * x) * sum(y * y)) AS n FROM xy GROUP BY trial), r AS (SELECT a.trial, a.idx - b.idx AS lag, sum(a.x * b.y) / any_value(n) AS r FROM xy a JOIN xy b ON a.trial = b.trial AND abs(a.idx - b.idx) <= 10 JOIN n ON n.trial = a.trial GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY abs(r) DESC, lag) AS i FROM r) SELECT trial, r AS amplitude, lag AS latency FROM k WHERE i = 1")
+def _(spark, d):
+    return tb.peak(sg.xcorr(_xy(spark, d), ["trial"], "idx", "x", "y", 10), ["trial"], "lag", "r", "absolute")
+
+
+@query("sg14_coherence", f"""WITH {S}, {_XY}, g AS (SELECT trial, seg, idx - seg * 16 AS pos, x * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 31 * (idx - seg * 16))) AS x, y * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 31 * (idx - seg * 16))) AS y FROM xy, (SELECT unnest(range(0, 3)) AS seg) WHERE idx BETWEEN seg * 16 AND seg * 16 + 31),
+f AS (SELECT trial, seg, k, sum(x * cos(2 * pi() / 32 * k * pos)) AS xr, sum(x * sin(2 * pi() / 32 * k * pos)) AS xi, sum(y * cos(2 * pi() / 32 * k * pos)) AS yr, sum(y * sin(2 * pi() / 32 * k * pos)) AS yi FROM g, (SELECT unnest(range(0, 17)) AS k) GROUP BY trial, seg, k),
+c AS (SELECT trial, k, sum(xr * yr + xi * yi) AS cr, sum(xi * yr - xr * yi) AS ci, sum(xr * xr + xi * xi) AS pxx, sum(yr * yr + yi * yi) AS pyy FROM f GROUP BY trial, k)
+SELECT trial, k * 50.0::DOUBLE / 32 AS freq, (cr * cr + ci * ci) / nullif(pxx * pyy, 0) AS coherence FROM c""")
+def _(spark, d):
+    return sg.coherence(_xy(spark, d), ["trial"], "idx", "x", "y", 50.0, 64, 32, 32)
+
+
+@query("sg15_condition_difference", f"WITH {S}, c AS (SELECT bin, idx, avg(value) AS v FROM s WHERE bin IN (1, 2) GROUP BY bin, idx) SELECT a.idx, a.v - b.v AS diff FROM c a JOIN c b ON a.idx = b.idx AND a.bin = 2 AND b.bin = 1")
+def _(spark, d):
+    erp = epochs(spark, d).groupBy("idx", "bin").agg(F.avg("value").alias("value"))
+    return tb.combine_bins(erp, {"diff": {2: 1.0, 1: -1.0}}, ["idx"]).select("idx", F.col("value").alias("diff"))
+
+
+@query("sg17_ica")
+def _(spark, d):
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="bin", columns="idx", values="value")
+        clean = sg.drop_components(wide.to_numpy(), sg.infomax(wide.to_numpy()), [0])
+        out = pd.DataFrame(clean, index=wide.index, columns=wide.columns).stack().rename("value").reset_index()
+        out["subj"] = pdf["subj"].iloc[0]
+        return out[["subj", "bin", "idx", "value"]]
+
+    means = epochs(spark, d).groupBy((F.col("subj") % 4).alias("subj"), "bin", "idx").agg(F.avg("value").alias("value"))
+    return means.groupBy("subj").applyInPandas(run, "subj bigint, bin int, idx int, value double")
+
+
+@query("sg18_interpolate_channels", f"WITH {S}, m AS (SELECT * FROM (VALUES (0, 9, 0.25::DOUBLE), (1, 9, 0.75::DOUBLE)) t(bin, target, w)), v AS (SELECT subj, bin, idx, avg(value) AS value FROM s GROUP BY ALL) SELECT v.subj, v.idx, target AS bin, sum(value * w) AS value FROM v JOIN m ON m.bin = v.bin GROUP BY v.subj, v.idx, target")
+def _(spark, d):
+    means = epochs(spark, d).groupBy("subj", "bin", "idx").agg(F.avg("value").alias("value"))
+    weights = spark.createDataFrame([(0, 9, 0.25), (1, 9, 0.75)], "bin int, target int, weight double")
+    return sg.mix_channels(means, weights, ["subj", "idx"], "bin")
+
+
+@query("sg19_regrid", f"WITH {S} SELECT trial, CAST(g AS DOUBLE) / 32 AS t, a.value + (CAST(g AS DOUBLE) / 32 - a.t) * (b.value - a.value) / (b.t - a.t) AS value FROM (SELECT trial, unnest(range(1, 63, 2)) AS g FROM s WHERE idx = 0) q JOIN (SELECT trial, CAST(idx AS DOUBLE) / 32 * 1.5 AS t, idx, value FROM s) a USING (trial) JOIN (SELECT trial, CAST(idx AS DOUBLE) / 32 * 1.5 AS t, idx, value FROM s) b USING (trial) WHERE b.idx = a.idx + 1 AND a.t <= CAST(g AS DOUBLE) / 32 AND b.t > CAST(g AS DOUBLE) / 32")
+def _(spark, d):
+    x = epochs(spark, d).select("trial", (F.col("idx") / F.lit(32.0) * F.lit(1.5)).alias("t"), "value")
+    q = epochs(spark, d).where("idx % 2 = 1 and idx < 63").select("trial", (F.col("idx") / F.lit(32.0)).alias("t"))
+    return al.interpolate(x, q, ["trial"])
+
+
+# --- epochs
+
+
+@query("ep2_epochs", f"""WITH {E}, t AS (SELECT subj, event_id AS trial, onset_s FROM e WHERE condition = 'purchase'), x AS (SELECT t.trial, e.event_id, e.onset_s - t.onset_s AS rel_t, amp AS value FROM e JOIN t ON e.subj = t.subj AND e.onset_s >= t.onset_s - 36000.0 AND e.onset_s <= t.onset_s + 36000.0)
+SELECT trial, event_id, rel_t, value - avg(value) FILTER (rel_t BETWEEN -36000 AND 0) OVER (PARTITION BY trial) AS value FROM x""")
+def _(spark, d):
+    e = events(spark, d)
+    t = e.where("condition = 'purchase'").select("subj", F.col("event_id").alias("trial"), "onset_s")
+    x = e.select("subj", "event_id", F.col("onset_s").alias("t"), F.col("amp").alias("value"))
+    return ep.epoch(x, t, ["subj"], "trial", -36000.0, 36000.0, (-36000.0, 0.0)).select("trial", "event_id", "rel_t", "value")
+
+
+@query("ep3_block_epochs")
+def _(spark, d):
+    e = events(spark, d)
+    x = e.select("subj", F.col("onset_s").alias("t"), F.col("amp").alias("value"))
+    t = e.where("condition = 'purchase'").select("subj", F.col("event_id").alias("trial"), "onset_s")
+    made = ep.grid_epochs(x, t, ["subj"], "trial", -7200.0, 28800.0, 3600.0, (-7200.0, 0.0))
+    return ep.block_means(made, ["subj", "trial"], 28800.0)
+
+
+_BASE = "bl AS (SELECT trial, bin, idx, rel_t, value - avg(value) FILTER (rel_t < -0.005) OVER (PARTITION BY trial) AS value FROM s)"
+
+
+def _based(spark, d):
+    return ep.baseline(epochs(spark, d), ["trial"], (-0.2, -0.005))
+
+
+@query("ep5_single_trial", f"WITH {S} SELECT trial, max(value) FILTER (rel_t BETWEEN 0.295 AND 0.505) - avg(value) FILTER (rel_t < -0.005) AS p300 FROM s GROUP BY trial")
+def _(spark, d):
+    top = F.max(F.when(F.col("rel_t").between(0.295, 0.505), F.col("value")))
+    return epochs(spark, d).groupBy("trial").agg((top - F.avg(F.when(F.col("rel_t") < -0.005, F.col("value")))).alias("p300"))
+
+
+@query("ep6_mean_amplitude", f"WITH {S} SELECT trial, avg(value) FILTER (rel_t BETWEEN 0.295 AND 0.505) - avg(value) FILTER (rel_t BETWEEN -0.205 AND -0.005) AS amplitude FROM s GROUP BY trial")
+def _(spark, d):
+    return ep.mean_amplitude(epochs(spark, d), ["trial"], (0.295, 0.505), (-0.205, -0.005))
+
+
+@query("ep7_local_peak", f"""WITH {S}, m AS (SELECT trial, rel_t, value, coalesce(value > lag(value) OVER w AND value > lead(value) OVER w AND value > avg(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND value > avg(value) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), FALSE) AS top FROM s WINDOW w AS (PARTITION BY trial ORDER BY rel_t)),
+i AS (SELECT *, bool_or(top) OVER (PARTITION BY trial) AS local FROM m WHERE rel_t BETWEEN 0.195 AND 0.505), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY value DESC, rel_t) AS k FROM i WHERE top OR NOT local) SELECT trial, local, value AS amplitude, rel_t AS latency FROM r WHERE k = 1""")
+def _(spark, d):
+    return ep.local_peak(epochs(spark, d), ["trial"], (0.195, 0.505))
+
+
+@query("ep8_area_latency", f"""WITH {S}, a AS (SELECT trial, rel_t, coalesce((rel_t - lag(rel_t) OVER w) * (greatest(value, 0) + lag(greatest(value, 0)) OVER w) / 2, 0) AS a FROM s WHERE rel_t BETWEEN 0.195 AND 0.505 WINDOW w AS (PARTITION BY trial ORDER BY rel_t)),
+c AS (SELECT *, sum(a) OVER (PARTITION BY trial ORDER BY rel_t ROWS UNBOUNDED PRECEDING) AS s, sum(a) OVER (PARTITION BY trial) AS whole FROM a) SELECT trial, min(rel_t) FILTER (whole > 0 AND s >= whole * 0.5) AS latency FROM c GROUP BY trial""")
+def _(spark, d):
+    return ep.fractional_area_latency(epochs(spark, d), ["trial"], (0.195, 0.505))
+
+
+@query("ep9_onset_latency", f"""WITH {S}, i AS (SELECT * FROM s WHERE rel_t BETWEEN 0.195 AND 0.505), p AS (SELECT trial, max(value) AS p FROM i GROUP BY trial), a AS (SELECT i.trial, min(rel_t) AS top FROM i JOIN p USING (trial) WHERE value = p GROUP BY i.trial),
+u AS (SELECT i.trial, max(rel_t) FILTER (value < p * 0.5) AS u FROM i JOIN p USING (trial) JOIN a USING (trial) WHERE rel_t <= top GROUP BY i.trial) SELECT i.trial, min(rel_t) AS latency FROM i JOIN u USING (trial) WHERE u IS NULL OR rel_t > u GROUP BY i.trial""")
+def _(spark, d):
+    return ep.onset_latency(epochs(spark, d), ["trial"], (0.195, 0.505))
+
+
+@query("ep10_virtual_channel", f"WITH {S}, v AS (SELECT subj, idx, bin, avg(value) AS value FROM s GROUP BY ALL) SELECT subj, idx, CAST(bin AS VARCHAR) AS bin, value FROM v UNION ALL SELECT subj, idx, 'roi', avg(value) FROM v WHERE bin IN (3, 4) GROUP BY subj, idx")
+def _(spark, d):
+    v = epochs(spark, d).groupBy("subj", "idx", F.col("bin").cast("string").alias("bin")).agg(F.avg("value").alias("value"))
+    return ep.virtual_channel(v, ["3", "4"], "roi", ["subj", "idx"], "bin").select("subj", "idx", "bin", "value")
+
+
+@query("ep11_window_mean", f"WITH {S} SELECT bin, avg(value) AS mean, count(*) AS n_channels FROM s WHERE rel_t BETWEEN 0.295 AND 0.505 GROUP BY bin")
+def _(spark, d):
+    return tb.roi_mean(epochs(spark, d).where(F.col("rel_t").between(0.295, 0.505)), ["bin"])
+
+
+@query("ep12_condition", f"WITH {E}, x AS (SELECT subj, onset_s - 1000000.0::DOUBLE AS latency, CASE WHEN marker = 1 THEN 7 END AS bin, marker FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY subj ORDER BY abs(latency), latency) AS k FROM x) SELECT subj, CAST(coalesce(bin, marker) AS INTEGER) AS condition FROM r WHERE k = 1")
+def _(spark, d):
+    x = events(spark, d).select("subj", (F.col("onset_s") - 1000000.0).alias("latency"), F.when(F.col("marker") == 1, 7).alias("bin"), F.col("marker").cast("string").alias("type"))
+    return ep.resolve_condition(x, ["subj"])
+
+
+@query("ep14_band_power", f"WITH {S}, {_FT}, {_PSD}, b AS (SELECT * FROM (VALUES ('theta', 4, 8), ('alpha', 8, 13), ('beta', 13, 25)) t(band, lo, hi)), a AS (SELECT trial, band, (freq - lag(freq) OVER w) * (power + lag(power) OVER w) / 2 AS a FROM p JOIN b ON freq >= lo AND freq < hi WINDOW w AS (PARTITION BY trial, band ORDER BY freq)) SELECT trial, band, sum(a) AS area FROM a GROUP BY trial, band")
+def _(spark, d):
+    p = sg.periodogram(epochs(spark, d), ["trial"], "idx", "value", 50.0, 64)
+    return ep.band_power(p, ["trial"], {"theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 25.0)}, "left")
+
+
+# --- quality
+
+
+@query("qc1_snr", f"WITH {E} SELECT subj, condition, avg(amp) AS mean, stddev_samp(amp) AS sd, avg(amp) / (stddev_samp(amp) + 2.220446049250313e-16::DOUBLE) AS snr, avg(amp) / (stddev_samp(amp) + 2.220446049250313e-16::DOUBLE) >= 2.0 AS ok FROM e GROUP BY subj, condition")
+def _(spark, d):
+    return ep.channel_snr(events(spark, d), ["subj", "condition"], "amp")
+
+
+@query("qc2_auto_range", f"WITH {E}, m AS (SELECT condition, subj, avg(amp) AS mean FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY mean) AS i, count(*) OVER (PARTITION BY condition) AS n FROM m) SELECT condition, max(mean) FILTER (i = greatest(1, round(n * 0.01::DOUBLE))) * 0.1::DOUBLE AS lo, max(mean) FILTER (i = greatest(1, round(n * 0.99::DOUBLE))) * 10 AS hi FROM r GROUP BY condition")
+def _(spark, d):
+    return ep.auto_range(events(spark, d).groupBy("condition", "subj").agg(F.avg("amp").alias("mean")), ["condition"])
+
+
+@query("qc3_qc5_prune", "SELECT l_orderkey AS pair, count(DISTINCT l_linenumber) AS n, bool_and(l_quantity > 3 AND l_tax < 0.08) AS all_ok, count(*) FILTER (NOT (l_quantity > 3 AND l_tax < 0.08)) AS failed, bool_and(l_quantity > 3 AND l_tax < 0.08) AND count(DISTINCT l_linenumber) = 3 AS active FROM lineitem GROUP BY 1")
+def _(spark, d):
+    x = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "pair")
+    return ep.prune(x, ["pair"], "l_linenumber", [F.col("l_quantity") > 3, F.col("l_tax") < 0.08], 3)
+
+
+@query("qc4_scalp_coupling", f"WITH {S}, p AS (SELECT trial, CAST(floor(idx / 16.0::DOUBLE) AS BIGINT) AS win, greatest(0.0::DOUBLE, corr(value, rel_t)) AS r FROM s GROUP BY ALL) SELECT trial, median(r) AS sci, avg(CAST(r >= 0.6 AS DOUBLE)) AS share FROM p GROUP BY trial")
+def _(spark, d):
+    r = tb.windowed_corr(epochs(spark, d), ["trial"], "idx", "value", "rel_t", 16.0)
+    return r.groupBy("trial").agg(F.median("r").alias("sci"), F.avg((F.col("r") >= 0.6).cast("double")).alias("share"))
+
+
+@query("qc6_counters", "SELECT o_custkey % 50 AS run, count(*) FILTER (o_totalprice < 50000) AS low, count(*) FILTER (o_totalprice > 400000) AS high FROM orders GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "orders").groupBy((F.col("o_custkey") % 50).alias("run")).agg(F.count_if(F.col("o_totalprice") < 50000).alias("low"), F.count_if(F.col("o_totalprice") > 400000).alias("high"))
+
+
+_RUNS = "r AS (SELECT subj, avg(CAST(amp > 5 AS DOUBLE)) AS active_share, avg(CAST(amp > 60 AS DOUBLE)) AS motion_share, avg(CAST(amp < 1 AS DOUBLE)) AS nonpositive_share FROM e GROUP BY subj)"
+
+
+@query("qc7_qc9_run_flags", f"WITH {E}, {_RUNS} SELECT *, active_share < 0.6 AS low_active, motion_share > 0.2 AS high_motion, nonpositive_share > 0.05 AS non_positive FROM r")
+def _(spark, d):
+    share = lambda c: F.avg(c.cast("double"))
+    a = F.col("amp")
+    return ep.run_flags(events(spark, d).groupBy("subj").agg(share(a > 5).alias("active_share"), share(a > 60).alias("motion_share"), share(a < 1).alias("nonpositive_share")))
+
+
+@query("qc8_motion_fraction", f"WITH {S} SELECT trial, 1 - avg(CAST(abs(value) < 0.2 AS DOUBLE)) AS motion FROM s GROUP BY trial")
+def _(spark, d):
+    return ep.motion_fraction(epochs(spark, d).withColumn("keep", F.abs("value") < 0.2), ["trial"])
+
+
+@query("qc10_overview", f"WITH {S} SELECT idx, avg(value) AS mean, count(*) AS n_channels FROM s GROUP BY idx")
+def _(spark, d):
+    return tb.roi_mean(epochs(spark, d), ["idx"])
+
+
+@query("qc11_trial_valid", f"WITH {E}, {_WIN}, k AS (SELECT w.subj, w.win, avg(CAST(e.amp < 60 AS DOUBLE)) AS kept FROM w LEFT JOIN e ON e.subj = w.subj AND e.onset_s >= w.lo AND e.onset_s <= w.hi GROUP BY ALL) SELECT subj, win, kept, coalesce(kept >= 0.8, FALSE) AS valid FROM k")
+def _(spark, d):
+    e, w = _windows(spark, d)
+    return ep.trial_valid(e.select("subj", F.col("onset_s").alias("t"), (F.col("amp") < 60).alias("keep")), w, ["subj"], "win")
+
+
+@query("qc12_both_valid", "SELECT a.o_orderkey AS k, a.o_totalprice > 100000 AND l.q > 20 AS valid FROM orders a JOIN (SELECT l_orderkey, avg(l_quantity) AS q FROM lineitem GROUP BY 1) l ON l.l_orderkey = a.o_orderkey")
+def _(spark, d):
+    q = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("q"))
+    o = table(spark, d, "orders")
+    return o.join(q, o["o_orderkey"] == q["l_orderkey"]).select(F.col("o_orderkey").alias("k"), ((F.col("o_totalprice") > 100000) & (F.col("q") > 20)).alias("valid"))
+
+
+# --- statistics
+
+
+@query("ml1_regressor", f"WITH {S}, {_HRF}, u AS (SELECT trial, idx, CAST(value > 0.1 AS DOUBLE) AS u FROM s) SELECT a.trial, a.idx, sum(p.u * k.g) AS convolved FROM u a JOIN u p ON p.trial = a.trial AND p.idx <= a.idx JOIN k ON k.i = a.idx - p.idx GROUP BY a.trial, a.idx")
+def _(spark, d):
+    import numpy as np
+
+    t = np.arange(40) * 0.5
+    h = t**5 * np.exp(-t) / 120
+    u = epochs(spark, d).withColumn("u", (F.col("value") > 0.1).cast("double"))
+    return sg.convolve(u, ["trial"], "idx", "u", (h / h.max()).tolist()).select("trial", "idx", "convolved")
+
+
+def _design(spark, d):
+    return epochs(spark, d).select("bin", "value", F.lit(1.0).alias("one"), F.col("rel_t").alias("x"))
+
+
+@query("ml3_ols", f"""WITH {S}, m AS (SELECT bin, count(*) AS n, regr_slope(value, rel_t) AS b, regr_intercept(value, rel_t) AS a, regr_sxx(value, rel_t) AS sxx, avg(rel_t) AS mx, regr_syy(value, rel_t) - regr_slope(value, rel_t) * regr_sxy(value, rel_t) AS rss FROM s GROUP BY bin),
+t AS (SELECT bin, 'x' AS term, b AS beta, sqrt(rss / (n - 2) / sxx) AS se, n - 2 AS dof FROM m UNION ALL SELECT bin, 'one', a, sqrt(rss / (n - 2) * (1.0::DOUBLE / n + mx * mx / sxx)), n - 2 FROM m)
+SELECT bin, term, round(beta, 8) AS beta, round(se, 8) AS se, round(beta / se, 6) AS t, dof FROM t""")
+def _(spark, d):
+    out = st.ols(_design(spark, d), ["bin"], "value", ["one", "x"])
+    return out.select("bin", "term", F.round("beta", 8).alias("beta"), F.round("se", 8).alias("se"), F.round("t", 6).alias("t"), "dof")
+
+
+@query("ml2_ml4_contrast")
+def _(spark, d):
+    x = epochs(spark, d).select("subj", "value", F.lit(1.0).alias("one"), (F.col("bin") == 1).cast("double").alias("common"), (F.col("bin") == 2).cast("double").alias("oddball"))
+    return st.ols(x, ["subj"], "value", ["one", "common", "oddball"], {"oddball-common": [0.0, -1.0, 1.0]})
+
+
+@query("ml5_ar_irls")
+def _(spark, d):
+    return st.ar_irls_glm(epochs(spark, d).select("trial", "idx", "value", F.lit(1.0).alias("one"), F.col("rel_t").alias("x")), ["trial"], "idx", "value", ["one", "x"], 4)
+
+
+@query("ml6_ml7_informed_glm")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("trial")
+    x = epochs(spark, d).withColumn("base", F.cos(F.col("rel_t") * 5.0)).withColumn("w", F.abs("value"))
+    z = (F.col("w") - F.avg("w").over(w)) / F.stddev_samp("w").over(w)
+    x = x.withColumn("informed", F.col("base") * z).withColumn("one", F.lit(1.0))
+    return st.ols(x, ["subj"], "value", ["one", "base", "informed"])
+
+
+@query("ml8_pearson", f"WITH {B}, w AS (SELECT subj, roi, avg(beta) FILTER (chrom = 'F') AS x, avg(beta) FILTER (chrom = 'O') AS y FROM b GROUP BY subj, roi), v AS (SELECT * FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT roi, count(*) AS n, round(corr(x, y), 9) AS r, string_agg(CAST(subj AS VARCHAR), ',' ORDER BY CAST(subj AS VARCHAR)) AS subjects, count(*) - 2 AS dof FROM v GROUP BY roi")
+def _(spark, d):
+    of = lambda c: F.avg(F.when(F.col("chrom") == c, F.col("beta")))
+    w = estimates(spark, d).groupBy("subj", "roi").agg(of("F").alias("x"), of("O").alias("y"))
+    out = st.pearson(w, ["roi"], "x", "y", "subj")
+    return out.select("roi", "n", F.round("r", 9).alias("r"), "subjects", "dof")
+
+
+@query("ml8_pearson_p")
+def _(spark, d):
+    of = lambda c: F.avg(F.when(F.col("chrom") == c, F.col("beta")))
+    w = estimates(spark, d).groupBy("subj", "roi").agg(of("F").alias("x"), of("O").alias("y"))
+    return st.pearson(w, ["roi"], "x", "y", "subj").withColumn("p", st.p_value(F.col("t"), F.col("dof")))
+
+
+@query("ml9_one_sample_t", f"WITH {B}, m AS (SELECT roi, chrom, count(beta) AS n, avg(beta) AS mean, stddev_samp(beta) AS sd FROM b GROUP BY roi, chrom) SELECT roi, chrom, n, mean, sd, sd / sqrt(n) AS se, mean / nullif(sd / sqrt(n), 0) AS t, CASE WHEN n >= 2 THEN n - 1 END AS dof, mean / nullif(sd, 0) AS cohen_d FROM m")
+def _(spark, d):
+    return st.one_sample_t(estimates(spark, d), ["roi", "chrom"], "beta")
+
+
+@query("ml9_welch_t", f"WITH {B}, m AS (SELECT roi, count(beta) FILTER (chrom = 'F') AS na, count(beta) FILTER (chrom = 'O') AS nb, avg(beta) FILTER (chrom = 'F') AS ma, avg(beta) FILTER (chrom = 'O') AS mb, var_samp(beta) FILTER (chrom = 'F') AS va, var_samp(beta) FILTER (chrom = 'O') AS vb FROM b GROUP BY roi) SELECT *, (ma - mb) / sqrt(va / na + vb / nb) AS t, (va / na + vb / nb) * (va / na + vb / nb) / ((va / na) * (va / na) / (na - 1) + (vb / nb) * (vb / nb) / (nb - 1)) AS dof FROM m")
+def _(spark, d):
+    return st.welch_t(estimates(spark, d), ["roi"], "chrom", "F", "O", "beta")
+
+
+@query("ml10_benjamini_hochberg", """WITH p AS (SELECT l_returnflag AS fam, l_suppkey AS k, avg(l_discount) * avg(l_tax) * 100 AS p FROM lineitem GROUP BY ALL),
+r AS (SELECT *, count(*) OVER (PARTITION BY fam) AS m, count(*) OVER (PARTITION BY fam ORDER BY p RANGE UNBOUNDED PRECEDING) AS i FROM p),
+q AS (SELECT fam, k, p, least(1.0::DOUBLE, min(p * m / i) OVER (PARTITION BY fam ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM r) SELECT *, q <= 0.05 AS significant FROM q""")
+def _(spark, d):
+    p = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("fam"), F.col("l_suppkey").alias("k")).agg((F.avg("l_discount") * F.avg("l_tax") * 100).alias("p"))
+    return st.benjamini_hochberg(p, "p", ["fam"])
+
+
+@query("ml11_arx")
+def _(spark, d):
+    x = epochs(spark, d).select("subj", "trial", "idx", F.col("value").alias("y"), (F.col("value") * F.col("rel_t")).alias("u"))
+    return st.arx(x, ["subj"], "trial", "idx", "y", "u")
+
+
+@query("ml11_lagged", f"WITH {S} SELECT trial, idx, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(rel_t, 1) OVER w AS u0, lag(rel_t, 2) OVER w AS u1 FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)")
+def _(spark, d):
+    rows, names = st.lagged(epochs(spark, d), ["trial"], "idx", "value", "rel_t", 2, 2, 1)
+    return rows.select("trial", "idx", *names)
+
+
+@query("ml12_ml13_ml14_responses")
+def _(spark, d):
+    import numpy as np
+    import pandas as pd
+
+    fits = QUERIES["ml11_arx"](spark, d).select("subj", "term", "beta")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = dict(zip(pdf["term"], pdf["beta"], strict=True))
+        r = st.impulse_response(np.array([b["y1"], b["y2"]]), np.array([b["u0"], b["u1"]]), 1, 60, 0.02)
+        return pd.DataFrame([[pdf["subj"].iloc[0], r["peak"], r["lag"], r["gain"], r["tau"], r["irf"].tolist()]], columns=["subj", "peak", "lag", "gain", "tau", "irf"])
+
+    return fits.groupBy("subj").applyInPandas(run, "subj bigint, peak double, lag double, gain double, tau double, irf array<double>")
+
+
+@query("ml15_kalman")
+def _(spark, d):
+    x = epochs(spark, d).select("trial", "idx", "value", F.lit(1.0).alias("one"), F.col("rel_t").alias("x"))
+    return st.kalman_arx(x, ["trial"], "idx", "value", ["one", "x"], 10)
+
+
+@query("ml16_difference_segments", f"WITH {S}, c AS (SELECT idx, avg(value) AS m FROM s WHERE bin = 1 GROUP BY idx) SELECT trial, s.idx, value - m AS value FROM s JOIN c ON c.idx = s.idx WHERE bin = 2")
+def _(spark, d):
+    x = epochs(spark, d)
+    common = x.where("bin = 1").groupBy("idx").agg(F.avg("value").alias("m"))
+    return x.where("bin = 2").join(common, "idx").select("trial", "idx", (F.col("value") - F.col("m")).alias("value"))
+
+
+@query("ml17_linear_fit", f"WITH {S} SELECT bin, regr_slope(value, rel_t) AS slope, regr_intercept(value, rel_t) AS intercept, regr_count(value, rel_t) AS n FROM s GROUP BY bin")
+def _(spark, d):
+    return st.linear_fit(epochs(spark, d), ["bin"], "rel_t", "value")
