@@ -143,10 +143,11 @@ def align_events(a: DataFrame, b: DataFrame, key: str, tol_s: float = 0.3, n_fir
     """
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({key: [], "i": [], "j": [], "offset": [], "how": []})
         x, y = (d.sort_values("onset_s", kind="stable") for d in (x, y))
         found, off, how = align_pair(*(v for d in (x, y) for v in (d["onset_s"].to_numpy(float), d["condition"].to_numpy())), tol_s, n_first, least)
-        k = (x if len(x) else y)[key].iloc[0]
-        return pd.DataFrame({key: [k] * len(found), "i": [p[0] for p in found], "j": [p[1] for p in found], "offset": [off] * len(found), "how": [how] * len(found)})
+        return pd.DataFrame({key: [x[key].iloc[0]] * len(found), "i": [p[0] for p in found], "j": [p[1] for p in found], "offset": [off] * len(found), "how": [how] * len(found)})
 
     cols = [key, "onset_s", "condition"]
     schema = f"{key} {a.schema[key].dataType.simpleString()}, i int, j int, offset double, how string"

@@ -21,7 +21,7 @@ def assign_bins(events: DataFrame, bins: DataFrame, code: str = "marker", bounda
 def epoch(samples: DataFrame, events: DataFrame, keys: Keys, trial: str, lo: float, hi: float, base: tuple[float, float] | None = None, t: str = "t", value: str = "value", onset: str = "onset_s") -> DataFrame:
     """Samples around each event with time from it (rel_t), less the trial's mean in ``base``."""
     windows = events.select(*keys, trial, F.col(onset).alias("__on"), (F.col(onset) + lo).alias("lo"), (F.col(onset) + hi).alias("hi"), *[c for c in ("bin", "condition") if c in events.columns])
-    out = range_join(samples, windows, keys, t=t).withColumn("rel_t", F.col(t) - F.col("__on")).drop("lo", "hi", "__on")
+    out = range_join(samples, windows, keys, t=t, bucket_s=max(hi - lo, 1e-6)).withColumn("rel_t", F.col(t) - F.col("__on")).drop("lo", "hi", "__on")
     return baseline(out, [*keys, trial], base, value) if base else out
 
 

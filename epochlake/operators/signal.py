@@ -67,16 +67,32 @@ def butter(order: int, rate: float, lo: float | None = None, hi: float | None =
     return out
 
 
-def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
-    """Causal filter of at most second order, direct form II transposed."""
+def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: tuple[float, float] | None = None, block: int = 256) -> np.ndarray:
+    """Causal filter of at most second order from the state ``z``.
+
+    In blocks: within all of them at once by one matrix product with the impulse response, and from block to block by the
+    state alone, so the loop is as many steps as there are blocks.
+    """
     b, a = np.r_[b, np.zeros(3 - len(b))], np.r_[a, np.zeros(3 - len(a))]
-    z1, z2 = z if z is not None else (0.0, 0.0)
-    y = np.empty_like(x)
-    for i, v in enumerate(x):
-        y[i] = o = b[0] * v + z1
-        z1 = b[1] * v - a[1] * o + z2
-        z2 = b[2] * v - a[2] * o
-    return y
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    enter = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    see = np.array([p[0] for p in powers[:block]])
+    h = np.r_[b[0], see[: block - 1] @ enter]
+    k = np.arange(block)
+    inside = np.where(k[:, None] >= k, h[np.abs(k[:, None] - k)], 0.0)
+    keep = np.array([p @ enter for p in powers[:block]])[::-1].T
+    n = -(-len(x) // block)
+    u = np.pad(np.asarray(x, float), (0, n * block - len(x))).reshape(n, block).T
+    y, gained = inside @ u, keep @ u
+    state = np.zeros(2) if z is None else np.array(z, float)
+    states = np.empty((2, n))
+    for i in range(n):
+        states[:, i] = state
+        state = powers[block] @ state + gained[:, i]
+    return (y + see @ states).T.ravel()[: len(x)]
 
 
 def filtfilt(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
