@@ -145,13 +145,15 @@ def align_events(a: DataFrame, b: DataFrame, key: str, tol_s: float = 0.3, n_fir
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({key: [], "i": [], "j": [], "offset": [], "how": []})
-        x, y = (d.sort_values("onset_s", kind="stable") for d in (x, y))
+        x, y = (d.set_axis(cols, axis=1).sort_values("onset_s", kind="stable") for d in (x, y))
         found, off, how = align_pair(*(v for d in (x, y) for v in (d["onset_s"].to_numpy(float), d["condition"].to_numpy())), tol_s, n_first, least)
         return pd.DataFrame({key: [x[key].iloc[0]] * len(found), "i": [p[0] for p in found], "j": [p[1] for p in found], "offset": [off] * len(found), "how": [how] * len(found)})
 
     cols = [key, "onset_s", "condition"]
     schema = f"{key} {a.schema[key].dataType.simpleString()}, i int, j int, offset double, how string"
-    return a.select(*cols).groupBy(key).cogroup(b.select(*cols).groupBy(key)).applyInPandas(run, schema)
+    # names of their own: both sides may come from one table
+    left, right = (d.select(*cols).toDF(*[f"{side}_{c}" for c in cols]) for d, side in ((a, "a"), (b, "b")))
+    return left.groupBy(f"a_{key}").cogroup(right.groupBy(f"b_{key}")).applyInPandas(run, schema)
 
 
 def event_times(epochs: DataFrame, originals: DataFrame, events: DataFrame, keys: Keys, rate: float) -> DataFrame:
