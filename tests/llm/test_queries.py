@@ -1,0 +1,34 @@
+import pytest
+from oracle import SF, compare
+
+from epochlake.llm.queries import ORACLE_SQL, QUERIES
+
+NAMES = {f"op{n}_" for n in range(1, 11)}
+
+
+def test_each_operator_has_a_query():
+    assert {q[: q.index("_") + 1] for q in QUERIES} == NAMES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    compare(spark, QUERIES[name], ORACLE_SQL[name])
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    from epochlake.llm.shared import Scratch
+
+    scratch = Scratch(spark, "stages")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = scratch.keep(stage(spark, docs, SF), name)
+        if name == "pack_tokens":
+            break
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        if name != "mix_sources":
+            assert 0.6 * before < docs.count() <= before
+            assert all(seen[r.doc_id] == r.text for r in docs.collect())
+    assert docs.where("n_tokens > 2048").count() == 0
