@@ -33,6 +33,14 @@ def outside_windows(samples: DataFrame, windows: DataFrame, keys: Keys, row: Key
     return samples.join(inside, list(row), "left_anti")
 
 
+def _neighbours(both: DataFrame, keys: Keys) -> DataFrame:
+    """The last sample up to each row (a) and the first after it (b). Both are running values, one way and the other: a frame
+    that ends with the partition would be worked out anew for each row."""
+    up = Window.partitionBy(*keys).orderBy("__t", "__q").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__q")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("a", F.last("__p", True).over(up)).withColumn("b", F.last("__p", True).over(down))
+
+
 def interpolate(samples: DataFrame, queries: DataFrame, keys: Keys, t: str = "t", value: str = "value", extrapolate: bool = False) -> DataFrame:
     """``queries`` with the linearly interpolated ``value``: null beyond the samples, or continued along the edge's slope.
 
@@ -40,9 +48,7 @@ def interpolate(samples: DataFrame, queries: DataFrame, keys: Keys, t: str = "t"
     """
     both = samples.select(*keys, F.col(t).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__q")).unionByName(queries.select(*keys, F.col(t).alias("__t"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__q")))
     point = F.when(F.col("__q") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
-    order = Window.partitionBy(*keys).orderBy("__t", "__q")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("__p", point).withColumn("a", F.last("__p", True).over(back)).withColumn("b", F.first("__p", True).over(ahead))
+    out = _neighbours(both.withColumn("__p", point), keys)
     if extrapolate:  # the edge segments' other ends
         whole = Window.partitionBy(*keys)
         ends = F.sort_array(F.collect_list("p2"))
@@ -62,9 +68,7 @@ def nearest(samples: DataFrame, queries: DataFrame, keys: Keys, t: str = "t", va
     """``queries`` with the value of the sample nearest in time; of two as near the earlier one."""
     both = samples.select(*keys, F.col(t).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__q")).unionByName(queries.select(*keys, F.col(t).alias("__t"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__q")))
     point = F.when(F.col("__q") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
-    order = Window.partitionBy(*keys).orderBy("__t", "__q")
-    out = both.withColumn("__p", point)
-    out = out.withColumn("a", F.last("__p", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("__p", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    out = _neighbours(both.withColumn("__p", point), keys)
     x = F.col("__t")
     closer = F.col("a").isNull() | (F.col("b.t") - x < x - F.col("a.t"))
     return out.where("__q = 1").select(*keys, x.alias(t), F.when(closer, F.col("b.v")).otherwise(F.col("a.v")).alias(value))

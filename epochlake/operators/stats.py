@@ -43,10 +43,10 @@ def two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
         x = v / (v + t * t)
         a, b = v / 2, 0.5
         gamma = np.vectorize(math.lgamma)
-        front = np.exp(gamma(a + b) - gamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-np.minimum(x, 1 - 1e-300)))
+        front = np.exp(gamma(a + b) - gamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-np.minimum(x, 1 - 1e-16)))
         direct = x < (a + 1) / (a + b + 2)
         lower = front * _fraction(a, b, x) / a
-        upper = 1 - np.exp(gamma(a + b) - gamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-np.minimum(x, 1 - 1e-300))) * _fraction_swapped(a, b, x) / b
+        upper = 1 - np.exp(gamma(a + b) - gamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-np.minimum(x, 1 - 1e-16))) * _fraction_swapped(a, b, x) / b
         out[ok] = np.where(t == 0, 1.0, np.where(direct, lower, upper))
     return out
 
