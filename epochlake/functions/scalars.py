@@ -68,6 +68,11 @@ def dct_drift(i: Column, n: int, k: int) -> Column:
     return F.cos(F.lit(math.pi / n) * (i + F.lit(0.5)) * F.lit(k))
 
 
+def poly_drift(t: Column, mean: Column, furthest: Column, k: int) -> Column:
+    """Regressor k of a polynomial drift: time from its mean, by its largest distance, to the k-th power."""
+    return F.pow(F.try_divide(t - mean, furthest), F.lit(float(k)))
+
+
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 

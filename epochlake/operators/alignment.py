@@ -64,6 +64,13 @@ def interpolate(samples: DataFrame, queries: DataFrame, keys: Keys, t: str = "t"
     return out.where("__q = 1").select(*keys, x.alias(t), F.when(F.col("a.t") == x, F.col("a.v")).otherwise(line).alias(value))
 
 
+def regrid_2d(surface: DataFrame, grid: DataFrame, keys: Keys, x: str, y: str, value: str = "value") -> DataFrame:
+    """A surface on (x, y) at the points of another grid: linear along one axis, then along the other; null outside."""
+    asked = surface.select(*keys, x).distinct().join(grid.select(*keys, y).distinct(), list(keys))
+    rows = interpolate(surface, asked, [*keys, x], y, value)
+    return interpolate(rows.where(F.col(value).isNotNull()), grid.select(*keys, x, y).distinct(), [*keys, y], x, value)
+
+
 def nearest(samples: DataFrame, queries: DataFrame, keys: Keys, t: str = "t", value: str = "value") -> DataFrame:
     """``queries`` with the value of the sample nearest in time; of two as near the earlier one."""
     both = samples.select(*keys, F.col(t).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__q")).unionByName(queries.select(*keys, F.col(t).alias("__t"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__q")))

@@ -974,7 +974,7 @@ def _(spark, d):
     return rows.select("trial", "idx", *names)
 
 
-@query("ml12_ml13_ml14_responses")
+@query("ml12_ml13_responses")
 def _(spark, d):
     import numpy as np
     import pandas as pd
@@ -1005,3 +1005,55 @@ def _(spark, d):
 @query("ml17_linear_fit", f"WITH {S} SELECT bin, regr_slope(value, rel_t) AS slope, regr_intercept(value, rel_t) AS intercept, regr_count(value, rel_t) AS n FROM s GROUP BY bin")
 def _(spark, d):
     return st.linear_fit(epochs(spark, d), ["bin"], "rel_t", "value")
+
+
+# --- compositions
+
+
+@query("jn12_regrid_2d", f"""WITH {S}, v AS (SELECT bin, idx, trial % 4 AS f, avg(value) AS value FROM s GROUP BY ALL), g AS (SELECT a.bin, a.idx + 0.5::DOUBLE AS x, a.f + 0.5::DOUBLE AS y, a.value AS v00, b.value AS v10, c.value AS v01, d.value AS v11
+FROM v a JOIN v b ON b.bin = a.bin AND b.f = a.f AND b.idx = a.idx + 1 JOIN v c ON c.bin = a.bin AND c.f = a.f + 1 AND c.idx = a.idx JOIN v d ON d.bin = a.bin AND d.f = a.f + 1 AND d.idx = a.idx + 1) SELECT bin, x, y, ((v00 + v01) / 2 + (v10 + v11) / 2) / 2 AS value FROM g""")
+def _(spark, d):
+    v = epochs(spark, d).groupBy("bin", F.col("idx").cast("double").alias("x"), (F.col("trial") % 4).cast("double").alias("y")).agg(F.avg("value").alias("value"))
+    grid = v.select("bin", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
+    return al.regrid_2d(v, grid, ["bin"], "x", "y").where("value is not null").select("bin", "x", "y", "value")
+
+
+@query("wn6_trial_rank", f"WITH {E} SELECT event_id, CAST(row_number() OVER (PARTITION BY subj, condition ORDER BY CASE WHEN event_id % 9 <> 0 THEN onset_s END NULLS LAST, event_id) AS INTEGER) AS trial FROM e")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    e = events(spark, d).withColumn("latency", F.when(F.col("event_id") % 9 != 0, F.col("onset_s")))
+    return e.select("event_id", F.row_number().over(Window.partitionBy("subj", "condition").orderBy(F.asc_nulls_last("latency"), "event_id")).alias("trial"))
+
+
+@query("ag10_group_time_course", f"WITH {S}, o AS (SELECT subj, idx, avg(value) AS value FROM s GROUP BY ALL), m AS (SELECT a.subj, (a.idx + 0.5::DOUBLE) * 0.02::DOUBLE AS t, (a.value + b.value) / 2 AS value FROM o a JOIN o b ON b.subj = a.subj AND b.idx = a.idx + 1) SELECT round(t, 6) AS t, avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n, stddev_samp(value) / sqrt(count(value)) AS sem, stddev_samp(value) / sqrt(count(value)) * 1.96::DOUBLE AS ci95 FROM m GROUP BY round(t, 6)")
+def _(spark, d):
+    own = epochs(spark, d).groupBy("subj", "idx").agg(F.avg("value").alias("value"))
+    own = own.select("subj", (F.col("idx") * F.lit(0.02)).alias("t"), "value")
+    asked = own.select("subj", (F.col("t") + F.lit(0.01)).alias("t")).where("t < 1.265")
+    return tb.time_course(al.interpolate(own, asked, ["subj"]).withColumn("t", F.round("t", 6)), ["t"])
+
+
+@query("sf12_poly_drift", f"WITH {S} SELECT trial, idx, pow((rel_t - avg(rel_t) OVER w) / max(abs(rel_t - 0.43::DOUBLE)) OVER w, 2.0::DOUBLE) AS p2 FROM s WINDOW w AS (PARTITION BY trial)")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("trial")
+    t = F.col("rel_t")
+    return epochs(spark, d).select("trial", "idx", fn.poly_drift(t, F.avg(t).over(w), F.max(F.abs(t - F.lit(0.43))).over(w), 2).alias("p2"))
+
+
+@query("ep13_erd_table")
+def _(spark, d):
+    db = QUERIES["sg12_ersp"](spark, d).where("freq >= 8 and freq <= 12 and idx >= 10").withColumn("pct", fn.db_to_percent(F.col("db")))
+    roi = db.join(epochs(spark, d).select("trial", "subj", "bin").distinct(), "trial").where("bin in (1, 2)")
+    side = lambda b: F.avg(F.when(F.col("bin") == b, F.col("pct")))
+    out = roi.groupBy("subj").agg(side(1).alias("contra"), side(2).alias("ipsi"))
+    return out.withColumn("difference", F.col("contra") - F.col("ipsi")).withColumn("li", fn.lateralisation(F.col("contra"), F.col("ipsi")))
+
+
+@query("ml14_state_space")
+def _(spark, d):
+    x = epochs(spark, d).select("trial", "idx", F.col("value").alias("u"), F.col("value").alias("y"))
+    y = sg.convolve(x, ["trial"], "idx", "u", [0.0, 1.0, 0.9, 0.5, 0.2])
+    return st.state_space(y, ["trial"], "idx", "convolved", "u", 2, 0.02)

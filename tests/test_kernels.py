@@ -137,6 +137,17 @@ def test_impulse_response_and_kalman():
     assert np.allclose(b[0][-1], st.kalman(x @ [1.0, -2.0], x)[0][-1])
 
 
+def test_subspace_finds_the_system():
+    rng = np.random.default_rng(6)
+    u = rng.normal(size=600)
+    y = st.simulate(np.array([1.2, -0.5]), np.array([0.7, 0.2]), 1, u)
+    a, b, c, d = st.subspace(y, u)
+    assert sorted(np.abs(np.linalg.eigvals(a))) == pytest.approx([math.sqrt(0.5)] * 2, rel=1e-6)
+    assert c @ np.linalg.solve(np.eye(2) - a, b) + d == pytest.approx(0.9 / 0.3, rel=1e-6)
+    with pytest.raises(ValueError):
+        st.subspace(y[:20], u[:20])
+
+
 def test_align_pair():
     rng = np.random.default_rng(4)
     t = np.cumsum(rng.uniform(1, 3, 40))
@@ -172,6 +183,13 @@ def test_parsers():
     assert rd.parse_equations("nch1 = ch1 - ( (ch70 + ch71)/2 ) Label X")["nch1"] == {"ch1": 1.0, "ch70": -0.5, "ch71": -0.5}
 
 
+def test_write_table(spark, tmp_path):
+    df = spark.createDataFrame([("sub-1", 1.0), ("sub-2", 2.0)], "subject string, value double")
+    for fmt in ("parquet", "csv"):
+        rd.write_table(df, str(tmp_path / fmt), ["subject"], fmt)
+        assert spark.read.format(fmt).option("header", True).load(str(tmp_path / fmt)).where("subject = 'sub-2'").count() == 1
+
+
 def test_read_table(spark, tmp_path):
     from pyspark.sql import types as T
 
