@@ -30,9 +30,9 @@ OTHER = re.compile(r"[\W\d_]+")
 def sample(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """(lang, text) of at most ``per_language`` labelled documents of each language: in each of so many parts by hash, one
     with the smallest hash. The first pass reads no text and gathers a number for each language and part; the second
-    brings those rows only, so the driver gets no more than ``per_language`` texts of a language whatever the input."""
+    brings those rows only, and of a text no more than a whole dictionary holds, so what the driver gets is bounded."""
     h = F.xxhash64(df[key])
-    rows = df.where(learn & df[lang].isNotNull()).select(df[lang].alias("lang"), h.alias("h"), F.pmod(h, F.lit(per_language)).alias("part"), df[text].alias("text"))
+    rows = df.where(learn & df[lang].isNotNull()).select(df[lang].alias("lang"), h.alias("h"), F.pmod(h, F.lit(per_language)).alias("part"), F.substring(df[text], 1, DICTIONARY).alias("text"))
     least = rows.groupBy("lang", "part").agg(F.min("h").alias("h")).collect()
     if not least:
         return []

@@ -41,14 +41,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=(3, 2), most=2) -> DataFra
     ranked = sizes.withColumn("rank", F.row_number().over(by_source) - 1)
     ranked = ranked.withColumn("w", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
     fill = Window.orderBy(F.col("source_size") / F.col("w"), "rank")
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
+    before = fill.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     cap = F.lit(most * den) * F.col("source_size")
     filled = (
         ranked.withColumn("cap", cap)
         .withColumn("total", F.lit(num) * F.sum("source_size").over(whole))
         .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("w_left", F.sum("w").over(after))
+        .withColumn("w_left", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0)))
         .withColumn("stopped", F.col("cap") * F.col("w_left") <= F.col("w") * F.col("left"))
         .withColumn("free", F.sum(F.when(F.col("stopped"), 0).otherwise(F.col("w"))).over(whole))
         .withColumn("rest", F.col("total") - F.sum(F.when(F.col("stopped"), F.col("cap")).otherwise(0)).over(whole))
