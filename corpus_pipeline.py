@@ -43,7 +43,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of training, as often as their source's target takes them."""
-    return sequence(mix(docs)).select(*COLUMNS[:4], F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    mixed = Scratch(spark, "mixed").keep(mix(docs).where("taken > 0"), "docs")  # the files of its shuffle go before the next
+    return sequence(mixed).select(*COLUMNS[:4], F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

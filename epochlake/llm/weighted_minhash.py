@@ -387,6 +387,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     large = scratch.keep(left.where(F.col("m") > FEW), "large")
     ids = scratch.keep(large.select("id").distinct(), "large-ids")
     more = more.union(scratch.keep(across(large, texts, sets_of(ids, docs, rare, scratch, "large", text, key)), "large-links"))
+    scratch.drop("stars-sets", "rest-sets", "large-sets", "sketches", "texts", "inside", "placed", "left", "large")
     classes = components(links.union(more).union(same), "near")
     ids = docs.select(docs[key].cast("long").alias("doc_id"))
     joined = ids.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
