@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, shrink
+from .components import components
 from .shared import Scratch
 from .words import LOOSE, blocks, fold, hashes, mix, raw, runs, words
 

@@ -17,7 +17,7 @@ BLOCK = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.zeros(256, bool)
     space[[32, *range(9, 14)]] = True
     loose = space.copy()  # all ASCII that is neither letter nor digit
@@ -26,10 +26,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             loose[b] = True
     lower = np.arange(256, dtype=np.uint64)
     lower[65:91] += 32
-    return space, loose, lower + 1, lower
+    return space, loose, lower + np.uint64(1)
 
 
-SPACE, LOOSE, LOWER, _ = _tables()
+SPACE, LOOSE, LOWER = _tables()
 
 
 @functools.lru_cache(maxsize=2)

@@ -114,7 +114,7 @@ def test_broken_segments_are_told(spark):
     def rows(key, keep, total):
         return [("response" if i == 0 else "continuation", key, None, None if i == 0 else key, i + 1, total if i == n - 1 else None, None, None, None, bytearray(parts[i])) for i in keep]
 
-    found = spark.createDataFrame(rows("ok", [*range(n), 2], len(block)) + rows("gap", [i for i in range(n) if i != 2], len(block)) + rows("cut", range(n - 1), None) + rows("long", range(n), len(block) + 1), warc.RECORD.replace("key bigint, ", "key bigint, ").replace("id string, key bigint, origin", "id string, key bigint, origin"))
+    found = spark.createDataFrame(rows("ok", [*range(n), 2], len(block)) + rows("gap", [i for i in range(n) if i != 2], len(block)) + rows("cut", range(n - 1), None) + rows("long", range(n), len(block) + 1), warc.RECORD)
     assert {r.id: r.status for r in warc.reassemble(found).collect()} == {"ok": "whole", "gap": "missing", "cut": "missing", "long": "length"}
     whole = warc.payloads(warc.reassemble(found)).collect()
     assert len(whole) == 1 and bytes(whole[0].payload) == b"x" * 5000
