@@ -7,6 +7,7 @@ of built-in aggregates instead.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
 
@@ -67,13 +68,10 @@ def butter(order: int, rate: float, lo: float | None = None, hi: float | None =
     return out
 
 
-def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: tuple[float, float] | None = None, block: int = 256) -> np.ndarray:
-    """Causal filter of at most second order from the state ``z``.
-
-    In blocks: within all of them at once by one matrix product with the impulse response, and from block to block by the
-    state alone, so the loop is as many steps as there are blocks.
-    """
-    b, a = np.r_[b, np.zeros(3 - len(b))], np.r_[a, np.zeros(3 - len(a))]
+@functools.lru_cache(maxsize=64)
+def _blocks(b: tuple[float, ...], a: tuple[float, ...], block: int) -> tuple[np.ndarray, ...]:
+    """Matrices that take a block's input to its output, its first state to its output, its input to its last state, and its
+    first state to its last."""
     step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
     enter = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
@@ -83,7 +81,18 @@ def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: tuple[float, float] | No
     h = np.r_[b[0], see[: block - 1] @ enter]
     k = np.arange(block)
     inside = np.where(k[:, None] >= k, h[np.abs(k[:, None] - k)], 0.0)
-    keep = np.array([p @ enter for p in powers[:block]])[::-1].T
+    return inside, see, np.array([p @ enter for p in powers[:block]])[::-1].T, powers[block]
+
+
+def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: tuple[float, float] | None = None) -> np.ndarray:
+    """Causal filter of at most second order from the state ``z``.
+
+    In blocks: within all of them at once by one matrix product with the impulse response, and from block to block by the
+    state alone, so the loop is as many steps as there are blocks.
+    """
+    b, a = (tuple(np.r_[v, np.zeros(3 - len(v))].tolist()) for v in (b, a))
+    block = 32 if len(x) < 2048 else 256
+    inside, see, keep, last = _blocks(b, a, block)
     n = -(-len(x) // block)
     u = np.pad(np.asarray(x, float), (0, n * block - len(x))).reshape(n, block).T
     y, gained = inside @ u, keep @ u
@@ -91,7 +100,7 @@ def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: tuple[float, float] | No
     states = np.empty((2, n))
     for i in range(n):
         states[:, i] = state
-        state = powers[block] @ state + gained[:, i]
+        state = last @ state + gained[:, i]
     return (y + see @ states).T.ravel()[: len(x)]
 
 
