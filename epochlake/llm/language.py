@@ -45,36 +45,60 @@ def letters(text: str) -> bytes:
 
 
 def dictionaries(sampled: list[tuple[str, str]], size: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw content of each language, of one length for all that have enough, so that none gains by a longer one."""
+    """Raw content of each language: all that it has up to ``size`` bytes, however little others have. What a longer one
+    gains by its length is taken off where texts are classified."""
     texts: dict[str, list[bytes]] = {}
     for lang, text in sampled:
         texts.setdefault(lang, []).append(letters(text))
     joined = {lang: b" ".join(t) for lang, t in texts.items() if any(t)}
-    even = min([size, *map(len, joined.values())], default=0)
-    return {lang: content[: max(8, even)] for lang, content in sorted(joined.items())}
+    return {lang: content[:size] for lang, content in sorted(joined.items())}
 
 
-@functools.lru_cache(maxsize=2)
-def compressors(contents: tuple[tuple[str, bytes], ...]):
+def compressor(content: bytes):
     import zstandard as z
 
     how = z.ZstdCompressionParameters(
         strategy=z.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=17, chain_log=17, search_log=5, write_content_size=0, write_checksum=0, write_dict_id=0
     )
-    return [(lang, z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how)) for lang, content in contents]
+    return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how)
+
+
+#: Of dictionaries cut to the length of another one; few are in use at a time.
+cut_compressor = functools.lru_cache(maxsize=64)(compressor)
+
+
+@functools.lru_cache(maxsize=2)
+def compressors(contents: tuple[tuple[str, bytes], ...]):
+    return [(lang, compressor(content), content) for lang, content in contents]
 
 
 def classify(text: str | None, tools) -> tuple[str, float, bool]:
-    """(language, score, rejected) of a whole text; ``und``, 0 and rejected where it has no letter or nothing was learned."""
+    """(language, score, rejected) of a whole text; ``und``, 0 and rejected where it has no letter or nothing was learned.
+
+    A dictionary shorter than that of the language which makes the text smallest is given what length alone gains: what the
+    next best of the other languages gains on this text from the shorter length to the longer. A language with hardly any
+    text thus stands about where a wrong one does, and takes no text from the others.
+    """
     if not text or not tools or not LETTER.search(text):
         return "und", 0.0, True
     whole = letters(text)
     pieces = [whole[i : i + PIECE] for i in range(0, len(whole), PIECE)]
-    sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in tools)
+    encoded = lambda c: sum(len(c.compress(p)) for p in pieces)
+    sizes = sorted((encoded(c), lang, content) for lang, c, content in tools)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
-    margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-    return sizes[0][1], 1 / (1 + math.exp(-STEEPNESS * margin)), margin < MARGIN
+    most = len(sizes[0][2])
+    even = [sizes[0][:2]]
+    for size, lang, content in sizes[1:]:
+        short = len(content)
+        other = next((x for x in sizes[1:] if x[1] != lang and len(x[2]) > short), None) if short < most else None
+        if other:
+            longer = other[0] if len(other[2]) <= most else encoded(cut_compressor(other[2][:most]))
+            size -= max(0, encoded(cut_compressor(other[2][:short])) - longer)
+        even.append((size, lang))
+    even.sort()
+    margin = (even[1][0] - even[0][0]) / even[1][0]
+    return even[0][1], 1 / (1 + math.exp(-STEEPNESS * margin)), margin < MARGIN
 
 
 def identify(df: DataFrame, contents: dict[str, bytes], text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:

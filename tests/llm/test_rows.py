@@ -83,6 +83,25 @@ def test_languages_held_out(spark):
     assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
 
 
+def test_a_label_with_one_short_document_takes_nothing_from_others():
+    random.seed(6)
+    make = lambda: "".join(random.choices("abcdefghijklmnop", k=random.randint(3, 8)))
+    shared = [make() for _ in range(100)]
+    words = {lang: shared + [make() for _ in range(300)] for lang in ("aa", "bb", "cc")}
+    text = lambda lang, n: " ".join(random.choices(words[lang], k=n))
+    sampled = [(lang, text(lang, 400)) for lang in words for _ in range(10)]
+    asked = [(lang, text(lang, 80)) for lang in words for _ in range(30)]
+    for rare in ("zz zz zz zzz", "ok"):
+        learned = language.dictionaries([*sampled, ("rare", rare)])
+        assert learned["rare"] == rare.encode() and all(len(learned[lang]) > 15_000 for lang in words)
+        found = [language.classify(t, language.compressors(tuple(learned.items()))) for _, t in asked]
+        assert [(x[0], x[2]) for x in found] == [(lang, False) for lang, _ in asked]
+    # a label with a tenth of the others' text is still told
+    learned = language.dictionaries([x for x in sampled if x[0] != "cc"] + [x for x in sampled if x[0] == "cc"][:1])
+    found = [language.classify(t, language.compressors(tuple(learned.items()))) for _, t in asked]
+    assert [(x[0], x[2]) for x in found] == [(lang, False) for lang, _ in asked]
+
+
 def test_sample_is_bounded_and_skips_what_is_not_learned(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "concat('t', id) as text", "if(id % 3 = 0, null, 'aa') as lang")
     got = language.sample(df, F.col("doc_id") % 2 == 0, per_language=16)
