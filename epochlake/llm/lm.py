@@ -2,8 +2,9 @@
 
 Counts of words and of pairs of neighbours are quantised by their logarithm. A key whose count has level q is put into a
 Bloom filter q times, as (key, 1) .. (key, q), and probing (key, 1), (key, 2), .. until one is missing gives the level
-back. The filter is made in parts by leading bits of the key, each in one task, and broadcast. Exact counts of words,
-which the base score takes, are broadcast while they are below a bound and joined beyond it.
+back. The filter is made in parts by leading bits of the key, each in one task. It is broadcast while it is below a bound;
+beyond it the keys that texts ask for go to the parts, and levels come back. So do exact counts of words, which the base
+score takes: broadcast below a bound and joined beyond it. Neither bound changes a score.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from .words import blocks, mix, words
 END = np.uint64(0x5851F42D4C957F2D)
 #: Base of the quantised logarithm; bits of the filter for each (key, level); probes of each.
 BASE, BITS, PROBES = 1.5, 8, 4
-#: Bytes that the broadcast filter may take: pairs below the least count with which it does are left to the words' counts
-#: (1, that is none, up to some hundred million pairs). Bytes of exact counts that are broadcast and not joined.
+#: Bytes of the filter, and of exact counts, that are broadcast and not joined.
 FILTER_BYTES, COUNTS_BYTES = 256 << 20, 192 << 20
+#: Bytes of texts, or one text, that ask a joined filter together.
+CHUNK = 4 << 20
 #: Words whose weight the words' own probabilities have against counts of pairs.
 PRIOR = 500.0
 #: Tokens that a task gathers before it counts them.
@@ -123,7 +125,7 @@ class LogFilter:
 
 def count(df: DataFrame, text: str, lead: int) -> DataFrame:
     """A row for each part: words and their counts, pairs and their levels, as bytes of arrays in ascending order of keys;
-    and for each power of 2 below 2^16 how many (pair, level) have at least that count."""
+    and how many (key, level) these are."""
     rows = df.select(df[text].alias("text"))
     arrow = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("once", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -169,28 +171,25 @@ def count(df: DataFrame, text: str, lead: int) -> DataFrame:
             both.append(tally(np.concatenate([np.zeros(0, np.uint64), *once, *more]), np.concatenate(counts)))
         (words_, times), (pairs_, often) = both
         q = levels(often).astype(np.uint8) if len(often) else np.zeros(0, np.uint8)
-        need = [int(q[often >= 1 << k].sum()) for k in range(16)]
-        own = int(levels(times).sum()) if len(times) else 0
-        out = {"part": group["part"][0].as_py(), "n": int(times.sum()), "v": len(times), "need": [own + x for x in need], "words": words_.tobytes(), "times": times.tobytes(), "pairs": pairs_.tobytes(), "levels": q.tobytes()}
-        made = pa.table({k: [v] for k, v in out.items()}, pa.schema([("part", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("need", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("words", "times", "pairs", "levels"))]))
+        need = int(q.sum()) + (int(levels(times).sum()) if len(times) else 0)
+        out = {"part": group["part"][0].as_py(), "n": int(times.sum()), "v": len(times), "need": need, "words": words_.tobytes(), "times": times.tobytes(), "pairs": pairs_.tobytes(), "levels": q.tobytes()}
+        made = pa.table({k: [v] for k, v in out.items()}, pa.schema([("part", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("need", pa.int64()), *((k, pa.binary()) for k in ("words", "times", "pairs", "levels"))]))
         release()
         return made
 
     parts = rows.mapInArrow(gather, "part int, kind int, once binary, keys binary, counts binary")
-    return parts.groupBy("part").applyInArrow(merge, "part int, n bigint, v bigint, need array<bigint>, words binary, times binary, pairs binary, levels binary")
+    return parts.groupBy("part").applyInArrow(merge, "part int, n bigint, v bigint, need bigint, words binary, times binary, pairs binary, levels binary")
 
 
-def build_filter(counted: DataFrame, least: int = 1) -> DataFrame:
-    """(part, bits, data): a filter segment of each part with its words and its pairs counted ``least`` times or more."""
-    low = int(levels(np.array([least]))[0])
+def build_filter(counted: DataFrame) -> DataFrame:
+    """(part, bits, data): a filter segment of each part with all its words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 part, *data = (batch.column(k)[i].as_py() for k in range(5))
                 own, times, two, q = (np.frombuffer(x, kind) for x, kind in zip(data, (np.uint64, np.int64, np.uint64, np.uint8), strict=True))
-                keep = q >= low
-                bits, on = segment(np.concatenate([own, two[keep]]), np.concatenate([levels(times) if len(times) else times, q[keep].astype(np.int64)]))
+                bits, on = segment(np.concatenate([own, two]), np.concatenate([levels(times) if len(times) else times, q.astype(np.int64)]))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.int64()), pa.array([on], pa.binary())], names=["part", "bits", "data"])
         release()
 
@@ -198,7 +197,7 @@ def build_filter(counted: DataFrame, least: int = 1) -> DataFrame:
 
 
 class Model:
-    """What scoring needs: the broadcast filter, totals, and exact counts of words as a broadcast or a table."""
+    """What scoring needs: totals, and the filter and exact counts of words, each as a broadcast or a table."""
 
     def __init__(self, train: DataFrame, text: str = "text"):
         spark = train.sparkSession
@@ -208,18 +207,18 @@ class Model:
         self.counted = scratch.keep(count(train, text, self.lead), "counted")
         parts = self.counted.select("part", "n", "v", "need").collect()
         self.n, self.v = sum(r["n"] for r in parts), sum(r["v"] for r in parts)
-        fits = [k for k in range(16) if sum(r["need"][k] for r in parts) * BITS <= 8 * FILTER_BYTES]
-        self.least = 1 << (fits[0] if fits else 15)
-        made = scratch.keep(build_filter(self.counted, self.least), "filter")
-        sizes = {r["part"]: r["bits"] for r in made.select("part", "bits").collect()}
-        none, bare = segment(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        bits = [sizes.get(p, none) for p in range(1 << self.lead)]
-        ends = np.cumsum(bits) // 8
-        data = np.zeros(int(ends[-1]), np.uint8)
-        for r in made.select("part", "data").toLocalIterator():
-            data[ends[r["part"]] - len(r["data"]) : ends[r["part"]]] = np.frombuffer(r["data"], np.uint8)
-        self.filter = spark.sparkContext.broadcast((self.lead, bits, data))
-        del data
+        self.segments = scratch.keep(build_filter(self.counted), "filter")
+        self.filter = None
+        if sum(r["need"] for r in parts) * BITS <= 8 * FILTER_BYTES:
+            sizes = {r["part"]: r["bits"] for r in self.segments.select("part", "bits").collect()}
+            none, _ = segment(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            bits = [sizes.get(p, none) for p in range(1 << self.lead)]
+            ends = np.cumsum(bits) // 8
+            data = np.zeros(int(ends[-1]), np.uint8)
+            for r in self.segments.select("part", "data").toLocalIterator():
+                data[ends[r["part"]] - len(r["data"]) : ends[r["part"]]] = np.frombuffer(r["data"], np.uint8)
+            self.filter = spark.sparkContext.broadcast((self.lead, bits, data))
+            del data
         self.exact = None
         if self.v * 16 <= COUNTS_BYTES:
             keys, times = np.zeros(self.v, np.uint64), np.zeros(self.v, np.int64)
@@ -231,56 +230,134 @@ class Model:
             self.exact = spark.sparkContext.broadcast((keys, times.astype(np.uint32) if small else times))
 
 
+def chunked(rows: DataFrame) -> DataFrame:
+    """``rows`` (.., __row, __text) with __chunk, the row number of the first text that asks together with this one."""
+    schema = rows.withColumn("__chunk", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size = None, 0
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            own = []
+            for row, n in zip(batch.column(batch.num_columns - 2).to_pylist(), pa.compute.binary_length(text).fill_null(0).to_pylist(), strict=True):
+                if now is None or size + n > CHUNK:
+                    now, size = row, 0
+                size += n
+                own.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
+
+
+def asked(texts: pa.Array) -> np.ndarray:
+    """Distinct words and pairs of the texts, with the end, ascending, and so by parts."""
+    found = [np.array([END])]
+    for _, some in blocks(texts):
+        h, first = tokens(some)
+        found += [np.unique(h), np.unique(pairs(h, first)[0])]
+    return np.unique(np.concatenate(found))
+
+
+def found_levels(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """(chunk, part, levels): for each chunk of texts, the levels of what it asks for, a byte each, in parts by leading
+    bits of the key. A part's segment is read where its askers meet; nothing is broadcast and no key is left out."""
+    lead = model.lead
+    arrow = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("keys", pa.binary())])
+
+    def ask(group: pa.Table) -> pa.Table:
+        keys = asked(group["__text"].combine_chunks())
+        part = (keys >> np.uint64(64 - lead)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cuts[1:], len(keys))
+        chunk = group["__chunk"][0].as_py()
+        made = pa.table([pa.array([chunk] * len(cuts), pa.int64()), pa.array(part[cuts], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], schema=arrow)
+        release()
+        return made
+
+    def probe(some: pa.Table, segments: pa.Table) -> pa.Table:
+        sizes = [len(k.as_py()) // 8 for k in some["keys"]]
+        if not sizes:
+            q = np.zeros(0, np.uint8)
+        else:
+            keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in some["keys"]])
+            q = np.zeros(len(keys), np.uint8)
+            if segments.num_rows:
+                one = LogFilter(0, [segments["bits"][0].as_py()], np.frombuffer(segments["data"][0].as_py(), np.uint8))
+                q = one.level(keys).astype(np.uint8)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        made = pa.table([some["chunk"], some["part"], pa.array([q[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)], pa.binary())], names=["chunk", "part", "levels"])
+        release()
+        return made
+
+    asks = rows.select("__chunk", "__text").groupBy("__chunk").applyInArrow(ask, "chunk bigint, part int, keys binary")
+    met = asks.groupBy("part").cogroup(model.segments.groupBy("part")).applyInArrow(probe, "chunk bigint, part int, levels binary")
+    return scratch.keep(met, "levels")
+
+
 def score(df: DataFrame, model: Model, text: str = "text", prior: float = PRIOR, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``df`` with n_tokens, n_known, train_tokens, base_score and score.
 
     A null text counts as empty: one token, the end. base_score: the sum of log10 of (c + 0.1) / (N + 0.1 (V + 1)) with
     exact counts. score: log10 of the text's probability, each token given the one before: (pair + prior p) / (word before
     + prior), p as above, all with counts from the filter. Rows by themselves, but where exact counts are too large to
-    broadcast: then tokens, summed up by text, are joined with the table of counts.
+    broadcast: then tokens, summed up by text, are joined with the table of counts; and but where the filter is: then
+    texts by chunks meet the levels of their keys.
     """
     names = [c for c in keep if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
     n, v, spread, exact = model.n, model.v, model.filter, model.exact
-    scratch = None if exact is not None else Scratch(df.sparkSession, "score")
+    scratch = None if exact is not None and spread is not None else Scratch(df.sparkSession, "score")
     rows = df.select(*[df[f"`{c}`"] for c in names], F.monotonically_increasing_id().alias("__row"), df[text].alias("__text"))
-    if scratch:  # the row's number must be the same in both uses
-        rows = scratch.keep(rows, "rows")
+    if scratch:  # the row's number must be the same in all uses
+        rows = scratch.keep(chunked(rows) if spread is None else rows, "rows")
     added = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-    schema = rows.drop("__text").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    schema = rows.drop("__text", "__chunk").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     under = n + ADD * (v + 1)
 
+    def figures(column: pa.Array, level) -> list[pa.Array]:
+        known = exact and exact.value
+        out: dict[str, list[np.ndarray]] = {k: [] for k, _ in added}
+        for _, texts in blocks(column):
+            h, first = tokens(texts)
+            pair, before = pairs(h, first)
+            own, where = np.unique(h, return_inverse=True)
+            c = np.zeros(len(own), np.int64)
+            if known and len(known[0]):
+                at = np.minimum(np.searchsorted(known[0], own), len(known[0]) - 1)
+                c = np.where(known[0][at] == own, known[1][at], 0).astype(np.int64)
+            base = np.log10((c + ADD) / under)[where]
+            guess = level_count(level(own))
+            p = ((guess + ADD) / under)[where]
+            place = np.empty(len(h), np.int64)
+            place[1:] = where[:-1]
+            place[first[:-1]] = np.searchsorted(own, END)
+            together = np.minimum(level_count(level(pair)), guess[place])
+            logs = np.log10((together + prior * p) / (guess[place] + prior))
+            sizes = np.diff(first)
+            out["n_tokens"].append(sizes)
+            out["n_known"].append(np.add.reduceat((c > 0)[where].astype(np.int64), first[:-1]))
+            out["train_tokens"].append(np.full(len(sizes), n))
+            out["base_score"].append(np.add.reduceat(base, first[:-1]))
+            out["score"].append(np.add.reduceat(logs, first[:-1]))
+        return [pa.array(np.concatenate(out[k]) if out[k] else [], kind) for k, kind in added]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = LogFilter(*spread.value)
-        known = exact and exact.value
         for batch in batches:
-            out: dict[str, list[np.ndarray]] = {k: [] for k, _ in added}
-            for _, texts in blocks(batch.column(batch.num_columns - 1)):
-                h, first = tokens(texts)
-                pair, before = pairs(h, first)
-                own, where = np.unique(h, return_inverse=True)
-                c = np.zeros(len(own), np.int64)
-                if known and len(known[0]):
-                    at = np.minimum(np.searchsorted(known[0], own), len(known[0]) - 1)
-                    c = np.where(known[0][at] == own, known[1][at], 0).astype(np.int64)
-                base = np.log10((c + ADD) / under)[where]
-                guess = level_count(filt.level(own))
-                p = ((guess + ADD) / under)[where]
-                place = np.empty(len(h), np.int64)
-                place[1:] = where[:-1]
-                place[first[:-1]] = np.searchsorted(own, END)
-                together = np.minimum(level_count(filt.level(pair)), guess[place])
-                logs = np.log10((together + prior * p) / (guess[place] + prior))
-                sizes = np.diff(first)
-                out["n_tokens"].append(sizes)
-                out["n_known"].append(np.add.reduceat((c > 0)[where].astype(np.int64), first[:-1]))
-                out["train_tokens"].append(np.full(len(sizes), n))
-                out["base_score"].append(np.add.reduceat(base, first[:-1]))
-                out["score"].append(np.add.reduceat(logs, first[:-1]))
-            arrays = [pa.array(np.concatenate(out[k]) if out[k] else [], kind) for k, kind in added]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *figures(batch.column(batch.num_columns - 1), filt.level)], names=[f.name for f in schema])
             release()
 
-    scored = rows.mapInArrow(run, schema)
+    def meet(group: pa.Table, levels_: pa.Table) -> pa.Table:
+        texts = group["__text"].combine_chunks()
+        keys = asked(texts)
+        q = np.frombuffer(b"".join(levels_.sort_by("part")["levels"].to_pylist()), np.uint8).astype(np.int64)
+        made = pa.table([*[group[c] for c in group.column_names if c not in ("__text", "__chunk")], *figures(texts, lambda k: q[np.searchsorted(keys, k)])], names=[f.name for f in schema])
+        release()
+        return made
+
+    if spread is not None:
+        scored = rows.mapInArrow(run, schema)
+    else:
+        scored = rows.groupBy("__chunk").cogroup(found_levels(rows, model, scratch).groupBy("chunk")).applyInArrow(meet, schema)
     if exact is not None:
         return scored.drop("__row")
 

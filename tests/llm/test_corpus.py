@@ -228,6 +228,24 @@ def test_base_scores(spark, monkeypatch, joined):
         assert got[i].base_score == pytest.approx(base) and got[i].score < 0
 
 
+@pytest.mark.parametrize("counts", [lm.COUNTS_BYTES, 0])
+def test_filter_beyond_the_broadcast_bound_keeps_every_pair(spark, monkeypatch, counts):
+    random.seed(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(random.choices(vocabulary, k=random.randint(0, 60))) for _ in range(150)] + [None, "", "unseen words", "w1 w2 " * 500]
+    df = frame(spark, texts)
+    scores = lambda: {r.doc_id: r for r in lm.score(df, lm.Model(df.where("doc_id % 10 != 0"))).collect()}
+    want = scores()
+    monkeypatch.setattr(lm, "FILTER_BYTES", 0)
+    monkeypatch.setattr(lm, "COUNTS_BYTES", counts)
+    monkeypatch.setattr(lm, "CHUNK", 1500)
+    got = scores()
+    assert got.keys() == want.keys() and len(got) == len(texts)
+    for i, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (want[i].n_tokens, want[i].n_known, want[i].train_tokens, want[i].score)
+        assert r.base_score == pytest.approx(want[i].base_score)
+
+
 def test_no_training_text(spark):
     df = frame(spark, ["a b", None])
     got = lm.score(df, lm.Model(df.limit(0))).collect()
