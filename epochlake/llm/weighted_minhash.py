@@ -2,7 +2,8 @@
 
 A text is the set of its runs of five words, weighted by frequency in the text and rarity in the corpus. Consistent
 weighted samples of two texts are equal with a chance of their weighted Jaccard similarity; bands of samples name
-buckets, and pairs from buckets are verified by that similarity itself.
+buckets, and pairs from buckets are verified by that similarity itself. As rarity would take from a large group of near
+copies the shingles that make them alike, texts are weighted by frequency alone as well, and either similarity links.
 """
 
 from __future__ import annotations
@@ -104,9 +105,10 @@ def rarity(n: int, table: np.ndarray) -> np.ndarray:
 
 
 def weights(found: np.ndarray, times: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """TF-IDF: one more than the logarithm of the frequency, times rarity."""
+    """(shingles, 2) numbers: TF-IDF, which is one more than the logarithm of the frequency, times rarity; and without rarity."""
     w = rare[(found % np.uint64(len(rare))).astype(np.int64)].astype(np.float64)
-    return np.where(times > 1, w * (1 + np.log(times)), w)
+    often = 1 + np.log(times)
+    return np.stack([w * often, often], 1)
 
 
 @functools.lru_cache(maxsize=1)
@@ -143,17 +145,38 @@ def samples(found: np.ndarray, w: np.ndarray, first: np.ndarray, n: int = BANDS
     return mix(out & np.uint64(0xFFFFFFFF))
 
 
+def both_samples(found: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, 2, n) samples by each of the two weights; only texts for which rarity counts are sampled twice."""
+    one = samples(found, w[:, 0], first)
+    out = np.stack([one, one], 1)
+    sizes = np.diff(first)
+    own = np.flatnonzero(sizes)
+    differs = np.add.reduceat((w[:, 0] != w[:, 1]).astype(np.int64), first[own]) > 0
+    if differs.any():
+        chosen = np.zeros(len(sizes), bool)
+        chosen[own[differs]] = True
+        take = np.repeat(chosen, sizes)
+        out[differs, 1] = samples(found[take], w[take, 1], np.concatenate([[0], np.cumsum(sizes[chosen])]))
+    return out
+
+
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two weighted sets of ascending numbers: the least weights over the greatest."""
+    """Weighted Jaccard similarity of two weighted sets of ascending numbers: the least weights over the greatest; by
+    columns of weights, the highest."""
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     same = a[at] == b
-    least = np.minimum(wa[at[same]], wb[same]).sum()
-    return float(least / (wa.sum() + wb.sum() - least))
+    least = np.minimum(wa[at[same]], wb[same]).sum(0)
+    return float(np.max(least / (wa.sum(0) + wb.sum(0) - least)))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal bytes of digests, by the weights with which there are more."""
+    return (x == y).reshape(len(x), 2, x.shape[1] // 2).sum(2).max(1)
 
 
 def sketch(docs: DataFrame, rare, text: str, key: str) -> DataFrame:
     """(id, print, digest, bands) of each document: a 128-bit fingerprint of its weighted set, a byte of each sample, and a
-    number for each band; all null where a text has no shingle."""
+    number for each band, by the one weights and then by the others; all null where a text has no shingle."""
     arrow = [("fa", pa.int64()), ("fb", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +187,12 @@ def sketch(docs: DataFrame, rare, text: str, key: str) -> DataFrame:
                 has = sizes > 0
                 n = int(has.sum())
                 if n:
-                    own = samples(found, weights(found, times, rare.value), first)
+                    own = both_samples(found, weights(found, times, rare.value), first)
                     start = first[:-1][has]
                     whole = [np.add.reduceat(mix(found * np.uint64(m) + times.astype(np.uint64)), start).view(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                    digest = (own >> np.uint64(56)).astype(np.uint8)
+                    digest = (own >> np.uint64(56)).astype(np.uint8).reshape(n, -1)
                     step = np.array([pow(0x9FB21C651E98DF25, k + 1, 1 << 64) for k in range(ROWS)], np.uint64)
-                    bands = mix((own.reshape(n, BANDS, ROWS) * step).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+                    bands = mix((own.reshape(n, 2, BANDS, ROWS) * step).sum(3, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).reshape(n, -1)
                 where = np.full(len(sizes), -1)
                 where[has] = np.arange(n)
                 rows = [None if i < 0 else i for i in where]
@@ -185,7 +208,7 @@ def sketch(docs: DataFrame, rare, text: str, key: str) -> DataFrame:
 
 
 def promising(pairs: DataFrame, digests: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose digests agree in ALIKE bytes or more."""
+    """Those of ``pairs`` (a, b) whose digests by either weights agree in ALIKE bytes or more."""
     left = digests.select(F.col("id").alias("a"), F.col("digest").alias("da"))
     right = digests.select(F.col("id").alias("b"), F.col("digest").alias("db"))
 
@@ -193,7 +216,7 @@ def promising(pairs: DataFrame, digests: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                good = np.flatnonzero((x == y).sum(1) >= ALIKE)
+                good = np.flatnonzero(alike(x, y) >= ALIKE)
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good)) for i in (0, 1)], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(run, "a bigint, b bigint")
@@ -238,7 +261,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: str,
                 w = weights(found, times, rare.value)
                 keys, ws = found.tobytes(), w.astype(np.float32).tobytes()
                 cut = [(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([keys[8 * a : 8 * b] for a, b in cut], pa.binary()), pa.array([ws[4 * a : 4 * b] for a, b in cut], pa.binary())], names=["id", "k", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([keys[8 * a : 8 * b] for a, b in cut], pa.binary()), pa.array([ws[8 * a : 8 * b] for a, b in cut], pa.binary())], names=["id", "k", "w"])
 
     sets = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id bigint, k binary, w binary")
     return scratch.keep(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
@@ -256,7 +279,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: st
             for at in range(0, batch.num_rows, 128):
                 for i, x in enumerate(zip(*[c.to_pylist() for c in batch.slice(at, 128).columns[2:]], strict=True)):
                     ka, kb = (np.frombuffer(y, np.uint64) for y in x[:2])
-                    wa, wb = (np.frombuffer(y, np.float32).astype(np.float64) for y in x[2:])
+                    wa, wb = (np.frombuffer(y, np.float32).astype(np.float64).reshape(-1, 2) for y in x[2:])
                     if similarity(ka, wa, kb, wb) >= SIMILARITY - 1e-9:
                         good.append(at + i)
             take = pa.array(good, pa.int64())
@@ -284,8 +307,8 @@ def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
         band, lo, hi = (part.column(i)[0].as_py() for i in range(3))
         own, ids, c = (part.column(i).to_numpy() for i in (3, 4, 5))
         digests = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(len(ids), -1)
-        bands = part.column(7).flatten().to_numpy().reshape(len(ids), -1)
-        at = int(np.flatnonzero(bands[0] == band)[0])
+        bands = part.column(7).flatten().to_numpy().reshape(len(ids), 2, BANDS)
+        at = int(np.flatnonzero((bands[0] == band).any(0))[0])
         sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         root = {x: x for x in set(c.tolist())}
 
@@ -297,20 +320,23 @@ def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
 
         def of(i: int) -> tuple[np.ndarray, np.ndarray]:
             if i not in sets:
-                sets[i] = np.frombuffer(part.column(8)[i].as_py(), np.uint64), np.frombuffer(part.column(9)[i].as_py(), np.float32).astype(np.float64)
+                sets[i] = np.frombuffer(part.column(8)[i].as_py(), np.uint64), np.frombuffer(part.column(9)[i].as_py(), np.float32).astype(np.float64).reshape(-1, 2)
             return sets[i]
 
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(len(ids)):
             j = np.arange(i + 1, len(ids)) if lo == hi else np.flatnonzero(own != lo) if own[i] == lo else np.zeros(0, np.int64)
             j = j[c[j] != c[i]]
-            alike = (digests[j] == digests[i]).sum(1)
-            j, alike = j[alike >= ALIKE], alike[alike >= ALIKE]
-            first = ~(bands[j, :at] == bands[i, :at]).any(1)
-            found.append((np.full(int(first.sum()), i), j[first], alike[first]))
-        i, j, alike = (np.concatenate(x) for x in zip(*found, strict=True))
+            equal = alike(digests[j], digests[i])
+            j, equal = j[equal >= ALIKE], equal[equal >= ALIKE]
+            shared = (bands[j][:, :, None] == bands[i]).any((1, 2))
+            # two buckets of this band, one by each weights, may hold the pair: then that of the lesser number
+            lesser = (bands[j, :, at][:, :, None] == bands[i, :, at]) & (bands[i, :, at] < band)
+            first = ~(shared[:, :at].any(1) | lesser.any((1, 2)))
+            found.append((np.full(int(first.sum()), i), j[first], equal[first]))
+        i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
         a, b = [], []
-        for n in np.argsort(-alike, kind="stable"):
+        for n in np.argsort(-equal, kind="stable"):
             x, y = int(i[n]), int(j[n])
             p, q = find(int(c[x])), find(int(c[y]))
             if p != q and similarity(*of(x), *of(y)) >= SIMILARITY - 1e-9:
@@ -342,8 +368,8 @@ def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, kept) of each document: class_id is the least key of those that links reach, kept the document with it.
 
-    Two documents are linked if their weighted Jaccard similarity is 0.8 or more, as found by bands (which miss a pair at
-    exactly 0.8 once in some thousand times, and less above). Documents with equal weighted sets are one text from the
+    Two documents are linked if their weighted Jaccard similarity is 0.8 or more, with rarity in the weights or without, as
+    found by bands (which miss a pair at exactly 0.8 once in some thousand times, and less above). Documents with equal weighted sets are one text from the
     start, and never paired. A null key is a class of its own, as is a document with no shingle (null or blank text); rows
     that repeat a key have one text, and that with the least fingerprint counts.
 
@@ -363,7 +389,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     same = scratch.keep(named.select("id", "fa", "fb").join(several, ["fa", "fb"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "same")
     # one row for each text: that of its representative
     texts = scratch.keep(named.join(equal.select("fa", "fb", F.col("rep").alias("id")), ["fa", "fb", "id"]).dropDuplicates(["id"]).select("id", "digest", "bands"), "texts")
-    banded = texts.select("id", F.explode("bands").alias("band"))
+    banded = texts.select("id", F.explode(F.array_distinct("bands")).alias("band"))
     order = F.xxhash64("id", "band")
     lead = banded.groupBy("band").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
     lead = scratch.keep(lead.select("band", "o"), "lead")

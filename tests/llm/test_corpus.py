@@ -112,6 +112,18 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert got == brute_classes(spark, texts)
 
 
+def test_a_group_of_a_third_of_all_rows_keeps_its_links(spark):
+    random.seed(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = random.sample(vocabulary, 100)
+    far = [" ".join(w if i not in cut else f"x{n}y{i}" for i, w in enumerate(base)) for n, cut in enumerate([(k, k + 40) for k in range(10, 50)])]
+    texts = [" ".join(base)] + far + [" ".join(random.choices(vocabulary, k=100)) for _ in range(80)]
+    got = [r.class_id for r in weighted_minhash.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0] * 41 + list(range(41, 121))
+    two = [" ".join(base), " ".join([*base[:50], "x", *base[51:]])]
+    assert [r.class_id for r in weighted_minhash.near_duplicates(frame(spark, two)).collect()] == [0, 0]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert weighted_minhash.near_duplicates(frame(spark, ["a"]).limit(0)).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string").withColumn("class_id", F.lit("clash"))
