@@ -77,7 +77,7 @@ def classify(text: str | None, tools) -> tuple[str, float, bool]:
 
     A dictionary shorter than that of the language which makes the text smallest is given what length alone gains: what the
     next best of the other languages gains on this text from the shorter length to the longer. A language with hardly any
-    text thus stands about where a wrong one does, and takes no text from the others.
+    text thus stands about where a wrong one does, and takes hardly any text from the others.
     """
     if not text or not tools or not LETTER.search(text):
         return "und", 0.0, True
