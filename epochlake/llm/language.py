@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 COLUMNS = ("lang_pred", "score", "rejected")
 #: Sampled documents of a language at most, and bytes of a dictionary: whole texts by ascending hash until it is full.
 SAMPLE, DICTIONARY = 64, 96_000
+#: Languages that are learned at most: the most frequent labels, of equal ones the first by name.
+LANGUAGES = 256
 #: A text is encoded in pieces of so many bytes, lest its own start replace the dictionary as what is referred to.
 PIECE = 4_096
 #: Bytes that the best language saves, as a share of the next best's: below MARGIN a prediction is rejected. Slope of the score.
@@ -27,17 +29,32 @@ LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 
 
-def sample(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """(lang, text) of at most ``per_language`` labelled documents of each language: in each of so many parts by hash, one
-    with the smallest hash. The first pass reads no text and gathers a number for each language and part; the second
-    brings those rows only, and of a text no more than a whole dictionary holds, so what the driver gets is bounded."""
+def sample(df: DataFrame, learn: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE) -> DataFrame:
+    """(lang, h, text) of at most ``per_language`` labelled documents of each of at most LANGUAGES languages: in each of so many
+    parts by hash, one with the smallest hash; of rows with equal hashes, that with the least text. The first passes read no
+    text and gather a number for each language and part; the last brings those rows only, and of a text no more than a whole
+    dictionary holds."""
     h = F.xxhash64(df[key])
-    rows = df.where(learn & df[lang].isNotNull()).select(df[lang].alias("lang"), h.alias("h"), F.pmod(h, F.lit(per_language)).alias("part"), F.substring(df[text], 1, DICTIONARY).alias("text"))
-    least = rows.groupBy("lang", "part").agg(F.min("h").alias("h")).collect()
-    if not least:
-        return []
-    found = rows.where(F.col("h").isin([r["h"] for r in least]) & F.col("text").isNotNull()).select("lang", "h", "text")
-    return [(r["lang"], r["text"]) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["text"]))]
+    labelled = df[lang].isNotNull() if learn is None else learn & df[lang].isNotNull()
+    rows = df.where(labelled).select(df[lang].alias("lang"), h.alias("h"), F.pmod(h, F.lit(per_language)).alias("part"), F.substring(df[text], 1, DICTIONARY).alias("text"))
+    names = [r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    known = rows.where(F.col("lang").isin(names)) if names else rows.limit(0)
+    least = [r["h"] for r in known.groupBy("lang", "part").agg(F.min("h").alias("h")).collect()]
+    found = known.where(F.col("h").isin(least) & F.col("text").isNotNull()) if least else known
+    return found.groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+
+def learn(df: DataFrame, learn: Column | None = None, size: int = DICTIONARY, **names) -> dict[str, bytes]:
+    """Raw content of each language, from :func:`sample`. Texts of a language are joined by a task; what the driver gets is at
+    most LANGUAGES times ``size`` bytes."""
+
+    def join(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["h"].to_pylist(), group["text"].to_pylist(), strict=True))
+        made = dictionaries([(group["lang"][0].as_py(), t) for _, t in rows], size)
+        return pa.table({"lang": pa.array(list(made), pa.string()), "content": pa.array(list(made.values()), pa.binary())})
+
+    found = sample(df, learn, **names).groupBy("lang").applyInArrow(join, "lang string, content binary").collect()
+    return {r["lang"]: bytes(r["content"]) for r in sorted(found)}
 
 
 def letters(text: str) -> bytes:

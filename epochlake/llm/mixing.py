@@ -1,9 +1,10 @@
 """Mixing sources to target weights along a time-varying curriculum. DataFrame functions only.
 
-Each source has a token budget. Its documents stand in the order of a hash, and the mix takes the first
-``budget`` words of that stream, which is read again from the start when it is used up. A source's weight
-schedule over training time, integrated, says how much of its budget is due by any time; inverting that at the
-word where a document begins gives the document's training position.
+Each source has a token budget. Its documents stand in the order of a hash, and the mix takes whole documents of the first
+``budget`` words of that stream, which is read again from the start when it is used up. A source's weight schedule over
+training time, integrated, says how much of its budget is due by any time; inverting that at the word where a copy of a
+document begins gives the time at which it is due. The schedules of all sources together, integrated to that time, say how
+many tokens training has then had: that share is the copy's training position.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 #: Relative weight at the start and at the end of training, by rank of the source, repeating; linear between.
 SCHEDULES = ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5))
 #: Added columns.
-COLUMNS = ("size", "source_size", "target", "taken", "position")
+COLUMNS = ("size", "source_size", "target", "taken", "position", "positions")
 #: Leading hex digits of the hash that deal a source's documents out: prefix sums are made in 4,096 parts a source.
 DIGITS = 3
 
@@ -63,67 +64,76 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=(3, 2), most=2) -> DataFra
     )
 
 
+def coefficients(schedules=SCHEDULES) -> list[tuple[float, float]]:
+    """(a, b) of each schedule: its integral up to x, as a share of the whole, is a x^2 + b x."""
+    return [((last - first) / (first + last), 2 * first / (first + last)) for first, last in schedules]
+
+
 def due_time(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     """The training time in 0..1 by which ``share`` of a source's budget is due: the inverse of its integrated schedule."""
     out = F.lit(None).cast("double")
-    for k, (first, last) in enumerate(schedules):
-        mean = (first + last) / 2
-        a, b = (last - first) / 2 / mean, first / mean  # the integral is a x^2 + b x, 1 at 1
+    for k, (a, b) in enumerate(coefficients(schedules)):
         x = share if a == 0 else (F.sqrt(F.lit(b * b) + F.lit(4 * a) * share) - F.lit(b)) / F.lit(2 * a)
         out = F.when(rank % len(schedules) == k, x).otherwise(out)
     return out
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, schedules=SCHEDULES, budget=(3, 2), most=2, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``df`` (only its columns ``keep``, if given) with size, source_size, target, taken and position.
+def demand(goals: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """``goals`` (rank, goal, ..) with a, b and total: by time x, all sources together are due a x^2 + b x of total words."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(float(c[i])) for c in coefficients(schedules)]), (F.col("rank") % len(schedules) + 1).cast("int"))
+    whole = Window.partitionBy()
+    return goals.withColumns({"a": F.sum(F.col("goal") * pick(0)).over(whole), "b": F.sum(F.col("goal") * pick(1)).over(whole), "total_goal": F.sum("goal").over(whole)})
 
-    size: words of the text (null: 0). taken: words that the mix takes, from 0 to ``most`` times size; by source
-    they add up to the whole part of its target. position: training time of the document's first word, null where
-    nothing is taken. Null sources are one source, ranked last. Rows that repeat a key are documents of their own;
-    equal ones are interchangeable. Columns of ``df`` with names of added ones are replaced. Two shuffles of what is
-    kept: none by source, so that a source with a third of all rows is spread over 4,096 parts.
+
+def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, schedules=SCHEDULES, budget=(3, 2), most=2, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``df`` (only its columns ``keep``, if given) with size, source_size, target, taken, position and positions.
+
+    size: words of the text (null: 0). taken: words that the mix takes, a whole number of copies, up to ``most``. The copy
+    in which a source's budget ends is taken if half of it or more lies before the end, so a source's words differ from its
+    target by half a document at most. positions: of each copy, the share of all training tokens before it, by cumulative
+    demand; position: of the first, null where nothing is taken. Null sources are one source, ranked last. Rows that
+    repeat a key are documents of their own, spread by their texts; equal ones are interchangeable. A document without
+    words is never taken. Columns of ``df`` with names of added ones are replaced. Two shuffles of what is kept: none by
+    source, so that a source with a third of all rows is spread over 4,096 parts.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
-    hashed = F.md5(F.coalesce(df[key].cast("string"), F.lit("")))
+    hashed = F.md5(F.concat(F.coalesce(df[key].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(df[text], F.lit("")))))
     base = without(df, *COLUMNS) if keep is None else without(df.select(*keep), *COLUMNS)
     names = base.columns
     rows = df.select(*[df[f"`{c}`"] for c in names], df[source].alias("__source"), hashed.alias("__hash"), word_count(df[text]).alias("__size"))
     part = F.substring("__hash", 1, DIGITS)
     parts = scratch.keep(rows.groupBy(F.col("__source").alias("source"), part.alias("part")).agg(F.sum("__size").alias("part_size")), "parts")
-    goals = scratch.keep(targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, budget, most), "goals")
+    goals = demand(targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, budget, most), schedules)
+    goals = scratch.keep(goals, "goals")
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = parts.withColumn("part_begin", F.coalesce(F.sum("part_size").over(upto), F.lit(0))).select("source", "part", "part_begin")
-    begins = begins.join(goals, begins["source"].eqNullSafe(goals["source"])).select(begins["source"], "part", "part_begin", "source_size", "target", "rank", "goal")
+    begins = begins.join(goals, begins["source"].eqNullSafe(goals["source"])).select(begins["source"], "part", "part_begin", "source_size", "target", "rank", "goal", "a", "b", "total_goal")
     begins = scratch.keep(begins.toDF(*[f"__b_{c}" for c in begins.columns]), "begins")
     inside = Window.partitionBy("__source", "__part").orderBy("__hash", "__size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__part", part).withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     placed = placed.join(begins, placed["__source"].eqNullSafe(begins["__b_source"]) & (placed["__part"] == begins["__b_part"]), "left")
     begin, size, goal = F.col("__b_part_begin") + F.col("__before"), F.col("__size"), F.col("__b_goal")
-    rounds = [F.greatest(F.lit(0), F.least(goal - k * F.col("__b_source_size") - begin, size)) for k in range(most)]
-    taken = sum(rounds[1:], rounds[0])
+    whole, positions = [], []
+    for k in range(most):
+        start = begin + k * F.col("__b_source_size")
+        taken = (size > 0) & (goal > start) & (2 * (goal - start) >= size)
+        x = due_time(F.when(taken, start.cast("double") / goal), F.col("__b_rank"), schedules)
+        whole.append(taken.cast("long"))
+        positions.append((F.col("__b_a") * x * x + F.col("__b_b") * x) / F.col("__b_total_goal"))
     out = placed.select(
         *[placed[f"`{c}`"] for c in names],
         size.alias("size"),
         F.col("__b_source_size").alias("source_size"),
         F.col("__b_target").alias("target"),
-        taken.cast("long").alias("taken"),
-        F.when(taken > 0, due_time(begin / goal, F.col("__b_rank"), schedules)).alias("position"),
+        (size * sum(whole[1:], whole[0])).cast("long").alias("taken"),
+        positions[0].alias("position"),
+        F.array_compact(F.array(*positions)).alias("positions"),
     )
     return out
 
 
-def sequence(mixed: DataFrame, text: str = "text", most: int = 2) -> DataFrame:
-    """The rows of :func:`mix` as the stream that training reads: a row per copy, range-sorted by position.
-
-    A document that is taken in full stands once for each time; a remainder stands as the text's leading words, which
-    happens to at most one document of a source. Later copies follow their budget's second round half-way to the end.
-    """
-    whole, rest = F.expr("taken div size"), F.col("taken") % F.col("size")
-    n = whole + F.when(rest > 0, 1).otherwise(0)
-    copies = mixed.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
-    lead = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("__cut").cast("int")), "")
-    cut = copies.withColumn("__cut", F.when(F.col("__copy") > F.expr("taken div size"), F.col("taken") % F.col("size")))
-    cut = cut.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(lead))
-    at = F.col("position") + (F.col("__copy") - 1) * (1 - F.col("position")) / most
-    return cut.withColumn("position", at).drop("__copy", "__cut").sort("position")
+def sequence(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of :func:`mix` as the stream that training reads: a row per copy, whole, range-sorted by its position."""
+    copies = mixed.withColumn("position", F.explode("positions")).drop("positions")
+    return copies.sort("position", key)

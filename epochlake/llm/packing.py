@@ -17,6 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
+from .words import blocks
+
 #: Tokens of a row, and tokens of a window after which it is packed.
 LENGTH, WINDOW = 2048, 2_000_000
 PAD = 0
@@ -73,7 +76,7 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return rows
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoding(path: str):
     import tiktoken
 
@@ -100,17 +103,21 @@ def pack_window(docs: list[tuple[int | None, np.ndarray]], length: int, dtype) -
         yield {"n_tokens": used, "doc_ids": [p[0] for p in own], "pieces": [p[1] for p in own], "cu_seqlens": [0, *ends.tolist()], "ids": ids.tobytes(), "position_ids": at.tobytes()}
 
 
-def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, window: int = WINDOW, order: tuple[str, ...] | None = None) -> DataFrame:
     """Packed rows of all documents of ``df``, by the byte-level vocabulary of ranks at ``path``.
 
-    shard, win, row: the task, its window and the row in it. n_tokens: of the row; the rest is padding (0).
-    doc_ids, pieces: of each segment, its document and which piece of it this is, from 0. cu_seqlens: 0 and the end of
-    each segment. ids, position_ids: ``length`` little-endian unsigned numbers of 2 bytes (4 if the vocabulary or
-    ``length`` is larger), positions beginning at 0 with each segment. A document without tokens (null or empty text) is
-    a segment of length 0. Rows that repeat a key are documents of their own. Special strings are ordinary text.
-    No shuffle: documents are packed with neighbours, so an order of training survives, and memory holds one window.
+    Documents are range-sorted by ``order`` (the key, if not given; ties as they are stored), so windows hold neighbours of
+    that order however the input's files are split. shard: the range's place in the order; win: the window's place in the
+    shard; row: the row's in the window. n_tokens: of the row; the rest is padding (0). doc_ids, pieces: of each segment, its
+    document and which piece of it this is, from 0. cu_seqlens: 0 and the end of each segment. ids, position_ids:
+    ``length`` little-endian unsigned numbers of 2 bytes (4 if the vocabulary or ``length`` is larger), positions beginning
+    at 0 with each segment. A document without tokens (null or empty text) is a segment of length 0. Rows that repeat a key
+    are documents of their own, and so are rows with a null key. Special strings are ordinary text. Memory holds one window
+    of token ids.
     """
-    rows = df.select(df[key].cast("long").alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
+    own = df.select(df[key].cast("long").alias("key"), F.coalesce(df[text], F.lit("")).alias("text"), *[df[f"`{c}`"].alias(f"o{i}") for i, c in enumerate(order or (key,))], F.monotonically_increasing_id().alias("n"))
+    by = [*[f"o{i}" for i in range(len(order or (key,)))], "n"]
+    rows = own.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "text")
     arrow = pa.schema(
         [("shard", pa.int32()), ("win", pa.int32()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("position_ids", pa.binary())]
     )
@@ -133,8 +140,8 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", leng
                 yield pa.RecordBatch.from_pylist(made, arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, texts in blocks(batch.column(1)):
+                part = batch.slice(at, len(texts))
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = encode(t, enc).astype(dtype) if t else np.zeros(0, dtype)
                     held.append((k, ids))
@@ -142,8 +149,10 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", leng
                     if tokens >= window:
                         yield from flush()
                         held, tokens, win = [], 0, win + 1
+                        release()
         if held:
             yield from flush()
+        release()
 
     return rows.mapInArrow(run, SCHEMA)
 

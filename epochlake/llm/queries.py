@@ -48,11 +48,11 @@ FROM f
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language import dictionaries, identify, sample
+    from .language import identify, learn
 
     docs = table(spark, sf_dir, "documents")
     rest = F.crc32(F.col("doc_id").cast("string")) % 4
-    learned = dictionaries(sample(docs, rest != 2))
+    learned = learn(docs, rest != 2)
     out = identify(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), learned, keep=("doc_id", "held_out"))
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
@@ -150,12 +150,20 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import Scratch
 
     mixed = mix(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    mixed = mixed.withColumn("last_position", F.array_max("positions")).drop("positions")
     return Scratch(spark, "op7").keep(mixed, "mixed").sort("position", "doc_id")
 
 
-OP7_SQL = r"""
+def _position(share: str) -> str:
+    """SQL of the training position at which ``share`` of a source's budget is due."""
+    x = f"""CASE rank % 3 WHEN 0 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * {share}) - 0.5::DOUBLE) / 1.0::DOUBLE WHEN 1 THEN {share}
+         ELSE (sqrt(2.25::DOUBLE + -2.0::DOUBLE * {share}) - 1.5::DOUBLE) / -1.0::DOUBLE END"""
+    return f"(a * ({x}) * ({x}) + b * ({x})) / total_goal"
+
+
+OP7_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -172,20 +180,21 @@ k AS (
   SELECT source, source_size, rank,
          CASE WHEN stopped THEN CAST(cap AS DOUBLE) / 2.0 ELSE CAST(w * rest AS DOUBLE) / (2.0::DOUBLE * free) END AS target,
          CAST(CASE WHEN stopped THEN cap // 2 ELSE (w * rest) // (2 * free) END AS BIGINT) AS goal FROM k
-), b AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.goal, t.rank,
+), y AS (
+  SELECT *, sum(goal) OVER () AS total_goal, sum(goal * CASE rank % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END) OVER () AS a,
+         sum(goal * CASE rank % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END) OVER () AS b FROM t
+), p AS (
+  SELECT d.doc_id, d.size, y.*,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source
 ), x AS (
-  SELECT *, CAST(greatest(0, least(goal - begin, size)) + greatest(0, least(goal - source_size - begin, size)) AS BIGINT) AS taken,
-         CAST(begin AS DOUBLE) / goal AS share FROM b
+  SELECT *, size > 0 AND goal > begin AND 2 * (goal - begin) >= size AS first, size > 0 AND goal > begin + source_size AND 2 * (goal - begin - source_size) >= size AS second,
+         CASE WHEN goal > begin THEN CAST(begin AS DOUBLE) / goal END AS s1, CASE WHEN goal > begin + source_size THEN CAST(begin + source_size AS DOUBLE) / goal END AS s2 FROM p
+), z AS (
+  SELECT *, CASE WHEN first THEN {_position("s1")} END AS position, CASE WHEN second THEN {_position("s2")} END AS again FROM x
 )
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, taken,
-       CASE WHEN taken > 0 THEN CASE rank % 3
-         WHEN 0 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * share) - 0.5::DOUBLE) / 1.0::DOUBLE
-         WHEN 1 THEN share
-         ELSE (sqrt(2.25::DOUBLE + -2.0::DOUBLE * share) - 1.5::DOUBLE) / -1.0::DOUBLE END END AS position
-FROM x
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, size * (CAST(first AS BIGINT) + CAST(second AS BIGINT)) AS taken, position, coalesce(again, position) AS last_position
+FROM z
 """
 
 QUERIES = {

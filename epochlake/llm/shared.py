@@ -69,3 +69,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that clash with what an operator adds, in any letter case."""
     clash = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in clash])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,15 +1,15 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is the set of its runs of five words, weighted by frequency in the text and rarity in the corpus. Consistent
+A text is the set of its runs of five words, weighted by TF-IDF: frequency in the text and rarity in the corpus. Consistent
 weighted samples of two texts are equal with a chance of their weighted Jaccard similarity; bands of samples name
 buckets, and pairs from buckets are verified by that similarity itself. As rarity would take from a large group of near
 copies the shingles that make them alike, texts are weighted by frequency alone as well, and either similarity links.
+Rows are told apart by a number of their own, never by their key.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, fresh
 from .words import LOOSE, blocks, fold, hashes, mix, raw, runs, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Counters of documents by shingle: a fixed table of 4 MB; shingles that share one count together.
 COUNTERS = 1 << 20
-#: Shingles in at most this share of documents have full weight; beyond it weight falls with the logarithm of rarity.
-COMMON = 0.05
+#: Logarithms of weights are rounded to whole parts of 1 / STEP, from LOW on: samples of all weights then come from a table.
+STEP, LOW, LEVELS = 8, -4, 56
 #: Draws that shingles share by 16 bits of their hash; equal draws are told apart by the shingle itself.
 DRAWS = 1 << 16
 #: Equal bytes of 64 in two texts' digests of samples below which a pair isn't verified: at similarity 0.8, 1 in 10^6 has fewer.
@@ -64,11 +64,11 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[new], times, np.searchsorted(text[new], np.arange(len(offs)))
 
 
-def counters(docs: DataFrame, text: str = "text", name: str = "counters") -> tuple[int, np.ndarray]:
+def counters(rows: DataFrame) -> tuple[int, np.ndarray]:
     """(number of documents, counters): in how many documents the shingles of each counter stand, over all documents.
 
-    A task adds up its own table and passes it on in 64 parts; parts are added in two steps, so none gathers more than
-    the square root of all tasks' tables. What comes to the driver is one table, whatever the input.
+    A task adds up its own table and passes it on in 64 parts, each first added up over 64 neighbouring tasks and then over
+    all: a group gathers 64 parts of 128 kB, and at last one for each 64 tasks. What comes to the driver is one table.
     """
     parts, size = 64, COUNTERS // 64
 
@@ -79,90 +79,83 @@ def counters(docs: DataFrame, text: str = "text", name: str = "counters") -> tup
             for _, texts in blocks(batch.column(0)):
                 table += np.bincount((shingles(texts)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         if n:
-            data = [zlib.compress(table[p * size : (p + 1) * size].astype(np.uint32).tobytes(), 1) for p in range(parts)]
+            data = [zlib.compress(table[p * size : (p + 1) * size].tobytes(), 1) for p in range(parts)]
             yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([n] * parts, pa.int64()), pa.array(data, pa.binary())], names=["part", "n", "data"])
 
     def total(group: pa.Table) -> pa.Table:
         table = np.zeros(size, np.int64)
         for data in group["data"]:
-            table += np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
+            table += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
         n = sum(group["n"].to_pylist())
-        return pa.table({"part": [group["part"][0].as_py()], "n": [n], "data": [zlib.compress(table.astype(np.uint32).tobytes(), 1)]}, pa.schema([("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())]))
+        return pa.table({"part": [group["part"][0].as_py()], "n": [n], "data": [zlib.compress(table.tobytes(), 1)]}, pa.schema([("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())]))
 
     kind = "part int, n bigint, data binary"
-    made = docs.select(docs[text].alias("text")).mapInArrow(add, kind)
-    half = made.groupBy("part", (F.spark_partition_id() % 16).alias("s")).applyInArrow(total, kind)
-    rows = half.groupBy("part").applyInArrow(total, kind).collect()
+    made = rows.select("text").mapInArrow(add, kind)
+    half = made.groupBy("part", F.expr("spark_partition_id() div 64").alias("s")).applyInArrow(total, kind)
+    sums = half.groupBy("part").applyInArrow(total, kind).collect()
     table = np.zeros(COUNTERS, np.int64)
-    for r in rows:
-        table[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint32)
-    return (rows[0]["n"] if rows else 0), table
+    for r in sums:
+        table[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.int64)
+    return (sums[0]["n"] if sums else 0), table
 
 
 def rarity(n: int, table: np.ndarray) -> np.ndarray:
-    """Weight of the shingles of each counter, above 0 and at most 1: log(1 + n / count) by that of the common share."""
-    return np.minimum(1.0, np.log1p(n / np.maximum(1, table)) / math.log1p(1 / COMMON)).astype(np.float32)
+    """STEP times the logarithm of the rarity of each counter's shingles, which is log(1 + documents / documents with them)."""
+    return (STEP * np.log(np.log1p(n / np.minimum(n, np.maximum(1, table))))).astype(np.float32)
 
 
 def weights(found: np.ndarray, times: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """(shingles, 2) numbers: TF-IDF, which is one more than the logarithm of the frequency, times rarity; and without rarity."""
-    w = rare[(found % np.uint64(len(rare))).astype(np.int64)].astype(np.float64)
-    often = 1 + np.log(times)
-    return np.stack([w * often, often], 1)
+    """(shingles, 2) levels, STEP times logarithms of weights: TF-IDF, which is one more than the logarithm of the frequency,
+    times rarity; and the same without rarity."""
+    often = STEP * np.log(1 + np.log(times))
+    both = np.stack([often + rare[(found % np.uint64(len(rare))).astype(np.int64)], often], 1)
+    return np.clip(np.rint(both), LOW, LOW + LEVELS - 1).astype(np.int8)
+
+
+def weight(level: np.ndarray) -> np.ndarray:
+    return np.exp(level / STEP)
 
 
 @functools.lru_cache(maxsize=1)
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, log c and beta of DRAWS draws, as the method has them (Gamma(2, 1), its logarithm, uniform), and for weight 1 the
-    bits of a, in the upper half of a number. Fixed seed: every worker has the same."""
+def draws() -> np.ndarray:
+    """For each level and draw the bits of a, in the upper half of a number, and a number of t in the lower: of r, log c and
+    beta as the method has them (Gamma(2, 1), the logarithm of Gamma(2, 1), uniform). Fixed seed: every worker has the same."""
     rng = np.random.Generator(np.random.PCG64(20240607))
     r, log_c, beta = rng.gamma(2.0, 1.0, DRAWS), np.log(rng.gamma(2.0, 1.0, DRAWS)), rng.random(DRAWS)
-    ones = np.exp(log_c - r * (0 - beta) - r).astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
-    return r, log_c, beta, ones
+    out = np.empty((LEVELS, DRAWS), np.uint64)
+    for i in range(LEVELS):
+        t = np.floor((LOW + i) / STEP / r + beta)
+        a = np.exp(log_c - r * (t - beta) - r).astype(np.float32).view(np.uint32).astype(np.uint64)
+        out[i] = (a << np.uint64(32)) | (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF))
+    return out.ravel()
 
 
-def samples(found: np.ndarray, w: np.ndarray, first: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+def samples(found: np.ndarray, level: np.ndarray, first: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """(texts, n) numbers: for each text that has shingles, n consistent weighted samples.
 
     For a shingle of weight w, t = floor(log w / r + beta) and log a = log c - r (t - beta) - r; the sample is the shingle
-    with the least a, with its t. Weight 1, which most have, gives t = 0 and an a that follows from the draw alone.
+    with the least a, with its t.
     """
-    r, log_c, beta, ones = draws()
+    table = draws()
     starts = first[:-1][np.diff(first) > 0]
     low = found & np.uint64(0xFFFFFFFF)
-    odd = np.flatnonzero(w != 1)
-    logs = np.log(w[odd])
+    begin = (level.astype(np.int64) - LOW) * DRAWS
     out = np.empty((len(starts), n), np.uint64)
     for j in range(n):
         at = ((found * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) + (j << 1)) % (1 << 64) | 1)) >> np.uint64(28)) & np.uint64(DRAWS - 1)
-        key = ones[at] | low
-        if len(odd):
-            d = at[odd]
-            t = np.floor(logs / r[d] + beta[d])
-            a = np.exp(log_c[d] - r[d] * (t - beta[d]) - r[d]).astype(np.float32).view(np.uint32).astype(np.uint64)
-            key[odd] = (a << np.uint64(32)) | ((low[odd] + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF))
-        out[:, j] = np.minimum.reduceat(key, starts)
+        out[:, j] = np.minimum.reduceat(table[at.view(np.int64) + begin] ^ low, starts)
     return mix(out & np.uint64(0xFFFFFFFF))
 
 
 def both_samples(found: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, 2, n) samples by each of the two weights; only texts for which rarity counts are sampled twice."""
-    one = samples(found, w[:, 0], first)
-    out = np.stack([one, one], 1)
-    sizes = np.diff(first)
-    own = np.flatnonzero(sizes)
-    differs = np.add.reduceat((w[:, 0] != w[:, 1]).astype(np.int64), first[own]) > 0
-    if differs.any():
-        chosen = np.zeros(len(sizes), bool)
-        chosen[own[differs]] = True
-        take = np.repeat(chosen, sizes)
-        out[differs, 1] = samples(found[take], w[take, 1], np.concatenate([[0], np.cumsum(sizes[chosen])]))
-    return out
+    """(texts, 2, n) samples by each of the two weights."""
+    return np.stack([samples(found, w[:, k], first) for k in (0, 1)], 1)
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two weighted sets of ascending numbers: the least weights over the greatest; by
-    columns of weights, the highest."""
+    """Weighted Jaccard similarity of two sets of ascending numbers with levels of weights: the least weights over the
+    greatest; of the two weightings, the higher."""
+    wa, wb = weight(wa), weight(wb)
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     same = a[at] == b
     least = np.minimum(wa[at[same]], wb[same]).sum(0)
@@ -174,8 +167,8 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x == y).reshape(len(x), 2, x.shape[1] // 2).sum(2).max(1)
 
 
-def sketch(docs: DataFrame, rare, text: str, key: str) -> DataFrame:
-    """(id, print, digest, bands) of each document: a 128-bit fingerprint of its weighted set, a byte of each sample, and a
+def sketch(rows: DataFrame, rare) -> DataFrame:
+    """(id, fa, fb, digest, bands) of each row (id, text): a 128-bit fingerprint of its weighted set, a byte of each sample, and a
     number for each band, by the one weights and then by the others; all null where a text has no shingle."""
     arrow = [("fa", pa.int64()), ("fb", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))]
 
@@ -204,7 +197,7 @@ def sketch(docs: DataFrame, rare, text: str, key: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", *[k for k, _ in arrow]])
 
-    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id bigint, fa bigint, fb bigint, digest binary, bands array<bigint>")
+    return rows.select("id", "text").mapInArrow(run, "id bigint, fa bigint, fb bigint, digest binary, bands array<bigint>")
 
 
 def promising(pairs: DataFrame, digests: DataFrame) -> DataFrame:
@@ -222,13 +215,13 @@ def promising(pairs: DataFrame, digests: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(run, "a bigint, b bigint")
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: str, text: str, key: str) -> DataFrame:
-    """(id, k, w): shingles and weights of the documents whose key is among the distinct ``ids``.
+def sets_of(ids: DataFrame, rows: DataFrame, rare, scratch: Scratch, name: str) -> DataFrame:
+    """(id, k, w): shingles and levels of weights of the rows whose number is among the distinct ``ids``.
 
     Only those texts are shingled again and moved. Which they are is told by a filter of fixed size, 8 MB, that may let
     some others through; the join with the ids is exact.
     """
-    spark, bits = docs.sparkSession, 1 << 26
+    spark, bits = rows.sparkSession, 1 << 26
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(38) for batch in batches]
@@ -252,25 +245,23 @@ def sets_of(ids: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.column(0).null_count:
-                batch = batch.filter(batch.column(0).is_valid())
             at = (mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(38)).astype(np.int64)
             batch = batch.filter(pa.array((wanted.value[at >> 3] << (at & 7) & 128) > 0))
             for i, texts in blocks(batch.column(1)):
                 found, times, first = shingles(texts)
                 w = weights(found, times, rare.value)
-                keys, ws = found.tobytes(), w.astype(np.float32).tobytes()
+                keys, ws = found.tobytes(), w.tobytes()
                 cut = [(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([keys[8 * a : 8 * b] for a, b in cut], pa.binary()), pa.array([ws[8 * a : 8 * b] for a, b in cut], pa.binary())], names=["id", "k", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array([keys[8 * a : 8 * b] for a, b in cut], pa.binary()), pa.array([ws[2 * a : 2 * b] for a, b in cut], pa.binary())], names=["id", "k", "w"])
 
-    sets = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).mapInArrow(run, "id bigint, k binary, w binary")
-    return scratch.keep(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
+    sets = rows.select("id", "text").mapInArrow(run, "id bigint, k binary, w binary")
+    return scratch.keep(sets.join(ids, "id", "left_semi"), f"{name}-sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: str, text: str, key: str) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, rare, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) of those ``pairs`` whose similarity is SIMILARITY or more."""
     ids = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    sets = sets_of(ids, docs, rare, scratch, name, text, key)
+    sets = sets_of(ids, rows, rare, scratch, name)
     side = lambda c: sets.select(F.col("id").alias(c), F.col("k").alias(f"k{c}"), F.col("w").alias(f"w{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +270,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rare, scratch: Scratch, name: st
             for at in range(0, batch.num_rows, 128):
                 for i, x in enumerate(zip(*[c.to_pylist() for c in batch.slice(at, 128).columns[2:]], strict=True)):
                     ka, kb = (np.frombuffer(y, np.uint64) for y in x[:2])
-                    wa, wb = (np.frombuffer(y, np.float32).astype(np.float64).reshape(-1, 2) for y in x[2:])
+                    wa, wb = (np.frombuffer(y, np.int8).reshape(-1, 2) for y in x[2:])
                     if similarity(ka, wa, kb, wb) >= SIMILARITY - 1e-9:
                         good.append(at + i)
             take = pa.array(good, pa.int64())
@@ -320,7 +311,7 @@ def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
 
         def of(i: int) -> tuple[np.ndarray, np.ndarray]:
             if i not in sets:
-                sets[i] = np.frombuffer(part.column(8)[i].as_py(), np.uint64), np.frombuffer(part.column(9)[i].as_py(), np.float32).astype(np.float64).reshape(-1, 2)
+                sets[i] = np.frombuffer(part.column(8)[i].as_py(), np.uint64), np.frombuffer(part.column(9)[i].as_py(), np.int8).reshape(-1, 2)
             return sets[i]
 
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -365,30 +356,23 @@ def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, kept) of each document: class_id is the least key of those that links reach, kept the document with it.
-
-    Two documents are linked if their weighted Jaccard similarity is 0.8 or more, with rarity in the weights or without, as
-    found by bands (which miss a pair at exactly 0.8 once in some thousand times, and less above). Documents with equal weighted sets are one text from the
-    start, and never paired. A null key is a class of its own, as is a document with no shingle (null or blank text); rows
-    that repeat a key have one text, and that with the least fingerprint counts.
+def linked(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the numbers of the stored ``rows`` (id, text) that links reach; component is the least of them.
 
     In each bucket every text is first held against one other, which bucket and band choose by hash, so that a group of
     any size takes as many pairs as it has texts. What these links leave unconnected within a bucket is then held against
     every other component there: as pairs in buckets of FEW texts or fewer, so that a text has no more than that, and in
     blocks that give only links in larger ones. No pair that shares a bucket is left out but those already connected.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    n, table = counters(docs, text)
-    rare = spark.sparkContext.broadcast(rarity(max(1, n), table))
-    sketched = scratch.keep(sketch(docs, rare, text, key), "sketches")
-    named = sketched.where("id is not null and fa is not null")
+    n, table = counters(rows)
+    rare = rows.sparkSession.sparkContext.broadcast(rarity(max(1, n), table))
+    named = scratch.keep(sketch(rows, rare), "sketches").where("fa is not null")
     equal = scratch.keep(named.groupBy("fa", "fb").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "equal")
     several = equal.where("n > 1")
     same = scratch.keep(named.select("id", "fa", "fb").join(several, ["fa", "fb"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "same")
     # one row for each text: that of its representative
-    texts = scratch.keep(named.join(equal.select("fa", "fb", F.col("rep").alias("id")), ["fa", "fb", "id"]).dropDuplicates(["id"]).select("id", "digest", "bands"), "texts")
+    texts = scratch.keep(named.join(equal.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "digest", "bands"), "texts")
+    scratch.drop("sketches")
     banded = texts.select("id", F.explode(F.array_distinct("bands")).alias("band"))
     order = F.xxhash64("id", "band")
     lead = banded.groupBy("band").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -398,7 +382,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = inside.join(leaders, "band").where("id != b").select(*pair(F.col("id"), F.col("b"))).distinct()
     stars = scratch.keep(promising(scratch.keep(stars, "stars"), texts), "star-pairs")
-    links = verified(stars, docs, rare, scratch, "stars", text, key)
+    links = verified(stars, rows, rare, scratch, "stars")
     first = components(links, "near-first")
     placed = inside.select("band", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     placed = scratch.keep(placed, "placed")
@@ -409,13 +393,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     other = few.select("band", F.col("id").alias("id2"), F.col("c").alias("c2"))
     rest = few.join(other, "band").where("c < c2").select(*pair(F.col("id"), F.col("id2"))).distinct().join(stars, ["a", "b"], "left_anti")
     rest = scratch.keep(promising(scratch.keep(rest, "rest"), texts), "rest-pairs")
-    more = verified(rest, docs, rare, scratch, "rest", text, key)
+    more = verified(rest, rows, rare, scratch, "rest")
     large = scratch.keep(left.where(F.col("m") > FEW), "large")
     ids = scratch.keep(large.select("id").distinct(), "large-ids")
-    more = more.union(scratch.keep(across(large, texts, sets_of(ids, docs, rare, scratch, "large", text, key)), "large-links"))
-    scratch.drop("stars-sets", "rest-sets", "large-sets", "sketches", "texts", "inside", "placed", "left", "large")
-    classes = components(links.union(more).union(same), "near")
-    ids = docs.select(docs[key].cast("long").alias("doc_id"))
-    joined = ids.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    class_id = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    more = more.union(scratch.keep(across(large, texts, sets_of(ids, rows, rare, scratch, "large")), "large-links"))
+    scratch.drop("stars-sets", "rest-sets", "large-sets", "texts", "inside", "placed", "left", "large")
+    return components(links.union(more).union(same), "near")
+
+
+def classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, key, class_id, kept) of the stored ``rows`` (id, key, text): the key of the class's first row, by key (nulls last)
+    and number, and whether this is that row."""
+    found = scratch.keep(linked(rows, scratch).join(rows.select(F.col("id").alias("node"), "key"), "node"), "members")
+    best = F.min_by(F.struct("node", "key"), F.struct(F.col("key").isNull(), "key", "node"))
+    heads = scratch.keep(found.groupBy("component").agg(best.alias("head")), "heads")
+    named = found.join(heads, "component").select(F.col("node").alias("id"), "key", F.col("head.key").alias("class_id"), (F.col("head.node") == F.col("node")).alias("kept"))
+    alone = rows.select("id", "key").join(found.select(F.col("node").alias("id")), "id", "left_anti")
+    return named.unionByName(alone.select("id", "key", F.col("key").alias("class_id"), F.lit(True).alias("kept")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, class_id, kept) of each row: class_id is the least key of those that links reach, kept the first row with it.
+
+    Two rows are linked if their texts' weighted Jaccard similarity is 0.8 or more, with rarity in the weights or without, as
+    found by bands (which miss a pair at exactly 0.8 once in some thousand times, and less above). Texts with equal weighted
+    sets are one text from the start, and never paired. A row without a shingle (null or blank text) is a class of its own.
+    Rows that repeat a key are rows of their own: each is in the class of its own text, and of rows with the least key of a
+    class one is kept. A null key comes after all others: class_id is null only where every key of the class is.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    own = docs.select(F.monotonically_increasing_id().alias("id"), docs[key].cast("long").alias("key"), docs[text].alias("text"))
+    return classes(scratch.keep(own, "rows"), scratch).select(F.col("key").alias("doc_id"), "class_id", "kept")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of :func:`near_duplicates`, as it is, and all its columns."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    number = fresh(docs, "id")
+    stored = scratch.keep(docs.withColumn(number, F.monotonically_increasing_id()), "docs")
+    rows = stored.select(F.col(number).alias("id"), stored[key].cast("long").alias("key"), stored[text].alias("text"))
+    gone = scratch.keep(classes(rows, scratch).where("not kept").select(F.col("id").alias(number)), "gone")
+    return stored.join(gone, number, "left_anti").select(*[stored[f"`{c}`"] for c in docs.columns])
