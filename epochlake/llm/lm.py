@@ -1,16 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and of pairs of neighbours are quantised by their logarithm. A key whose count has level q is put into a
-Bloom filter q times, as (key, 1) .. (key, q), and probing (key, 1), (key, 2), .. until one is missing gives the level
-back. The filter is made in parts by leading bits of the key, each in one task. It is broadcast while it is below a bound;
-beyond it the keys that texts ask for go to the parts, and levels come back. So do exact counts of words, which the base
-score takes: broadcast below a bound and joined beyond it. Neither bound changes a score.
+Counts of pairs of neighbours are quantised by their logarithm. A pair whose count has level q is put into a Bloom filter q
+times, as (pair, 1) .. (pair, q), and probing (pair, 1), (pair, 2), .. until one is missing gives the level back. The first
+level has as many probes as the vocabulary asks for, so that what unseen pairs get by error stays within ERROR of what every
+word has together. Words have exact counts, and each word the sum of the quantised counts of the pairs that it begins, read
+back through the filter: by that sum pair probabilities are normalised, smoothed by the word's own (Dirichlet).
+
+The filter is made in parts by leading bits of the key, each in one task. Filter, counts and sums are broadcast while they
+are below a bound; beyond it the keys that texts ask for go to the parts, and answers come back. Scores are the same.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +22,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, release
-from .words import blocks, mix, words
+from .words import blocks, mix, unmix, words
 
 #: The number of the token that ends each text, and stands before its first.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Base of the quantised logarithm; bits of the filter for each (key, level); probes of each.
+#: Base of the quantised logarithm; bits of the filter for each (pair, level) above the first; probes of each.
 BASE, BITS, PROBES = 1.5, 8, 4
-#: Bytes of the filter, and of exact counts, that are broadcast and not joined.
-FILTER_BYTES, COUNTS_BYTES = 256 << 20, 192 << 20
-#: Bytes of texts, or one text, that ask a joined filter together.
+#: What unseen pairs get by error after any word, as a share of LEAST words, which is the least prior.
+ERROR, LEAST = 0.01, 10.0
+#: Bytes of filter, counts and sums that are broadcast.
+BROADCAST_BYTES = 256 << 20
+#: Bytes of text for each part of the filter, or fewer.
+PART = 32 << 20
+#: Bytes of texts, or one text, that ask a filter together that isn't broadcast.
 CHUNK = 4 << 20
-#: Words whose weight the words' own probabilities have against counts of pairs.
-PRIOR = 500.0
+#: Training documents, by hash, that the prior is fitted on at most; priors that are tried, in words.
+FIT, PRIORS = 4_000, tuple(LEAST * 2**k for k in range(13))
 #: Tokens that a task gathers before it counts them.
 GATHER = 1_500_000
 ADD = 0.1
-_PAIR = np.uint64(0x9FB21C651E98DF25)
+_HIGH, _HALF = np.uint64(0xFFFFFFFF00000000), np.uint64(32)
 WORDS, PAIRS = 0, 1
+SUMS, FILTER = 1, 2
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +57,17 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends + 1]).astype(np.int64)
 
 
-def pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each token with the one before it, and that one's own."""
+def pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A number for two words: half of each one's, scrambled. The first half can be had back."""
+    return mix((before & _HIGH) | (after >> _HALF))
+
+
+def pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number for each token with the one before it."""
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[first[:-1]] = END
-    return mix(before * _PAIR + h), before
+    return pair(before, h)
 
 
 def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,65 +93,78 @@ def level_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * high), 0.0)
 
 
-def _slots(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
+def _slots(keys: np.ndarray, level: int, bits: np.ndarray, probes: int) -> Iterator[np.ndarray]:
     h = mix(keys + np.uint64(level * 0xA0761D6478BD642F % (1 << 64)))
     a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-    for i in range(PROBES):
+    for i in range(probes):
         yield (((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)
 
 
-def segment(keys: np.ndarray, q: np.ndarray) -> tuple[int, bytes]:
-    """(bits, filter) of one part's keys and their levels: as many bits as its (key, level) need, below 2^32."""
-    bits = min(max(64, int(q.sum()) * BITS), (1 << 32) - 8) + 7 & ~7
-    on = np.zeros(bits, bool)
+def sure_probes(vocabulary: int) -> int:
+    """Probes of the first level, by which one pair in 2^probes is taken for seen: few enough over a whole vocabulary."""
+    return max(PROBES, math.ceil(math.log2(max(1, vocabulary) / (ERROR * LEAST))))
+
+
+def segment(keys: np.ndarray, q: np.ndarray, sure: int) -> tuple[int, int, bytes]:
+    """(bits of the first level, bits of the others, filter) of one part's pairs and their levels."""
+    sizes = [max(64, math.ceil(n)) + 7 & ~7 for n in (len(keys) * sure * 1.4427, int((q - 1).sum()) * BITS)]
+    if max(sizes) >= 1 << 32:
+        raise ValueError("a part of the filter is too large: more parts are needed")
+    on = [np.zeros(n, bool) for n in sizes]
     for level in range(1, int(q.max(initial=0)) + 1):
-        for slot in _slots(keys[q >= level], level, np.uint64(bits)):
-            on[slot] = True
-    return bits, np.packbits(on, bitorder="little").tobytes()
+        for slot in _slots(keys[q >= level], level, np.uint64(sizes[level > 1]), sure if level == 1 else PROBES):
+            on[level > 1][slot] = True
+    return *sizes, b"".join(np.packbits(x, bitorder="little").tobytes() for x in on)
 
 
 class LogFilter:
     """Segments in the order of their parts; a part has the keys with the same leading ``lead`` bits."""
 
-    def __init__(self, lead: int, bits: list[int], data: np.ndarray):
-        self.lead, self.data = lead, data
-        self.bits = np.array(bits, np.uint64)
-        self.begin = np.concatenate([[0], np.cumsum(self.bits)[:-1]]).astype(np.uint64)
+    def __init__(self, lead: int, sizes: np.ndarray, data: np.ndarray, sure: int):
+        self.lead, self.data, self.sure = lead, data, sure
+        self.bits = np.asarray(sizes, np.uint64).reshape(-1, 2)
+        self.begin = (np.cumsum(self.bits.ravel()) - self.bits.ravel()).reshape(-1, 2).astype(np.uint64)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, 0 for none, by probes until one fails; too high with a chance of a few percent."""
+        """The level of each key, 0 for none, by probes until one fails."""
         part = (keys >> np.uint64(64 - self.lead)).astype(np.int64) if self.lead else np.zeros(len(keys), np.int64)
         out = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
-        n = 0
+        left, n = np.arange(len(keys)), 0
         while len(left):
             n += 1
-            alive = np.ones(len(left), bool)
-            bits, begin = self.bits[part[left]], self.begin[part[left]]
-            for slot in _slots(keys[left], n, bits):
-                at = begin + slot
-                alive &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+            kind = int(n > 1)
+            bits, begin = self.bits[part[left], kind], self.begin[part[left], kind]
+            alive = np.arange(len(left))
+            for slot in _slots(keys[left], n, bits, PROBES if kind else self.sure):
+                at = begin[alive] + slot[alive]
+                alive = alive[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0]
+                if not len(alive):
+                    break
             left = left[alive]
             out[left] = n
         return out
 
 
+def cut(keys: np.ndarray, lead: int, width: int = 64) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) of the parts that ascending ``keys`` have."""
+    part = (keys >> np.array(width - lead, keys.dtype)).astype(np.int64) if lead else np.zeros(len(keys), np.int64)
+    begin = np.flatnonzero(np.diff(part, prepend=-1))
+    yield from zip(part[begin].tolist(), begin.tolist(), np.append(begin[1:], len(keys)).tolist(), strict=True)
+
+
 def count(df: DataFrame, text: str, lead: int) -> DataFrame:
-    """A row for each part: words and their counts, pairs and their levels, as bytes of arrays in ascending order of keys;
-    and how many (key, level) these are."""
+    """A row for each part: words and their counts, pairs and their levels, as bytes of arrays in ascending order of keys."""
     rows = df.select(df[text].alias("text"))
     arrow = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("once", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def cut(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bounds = np.searchsorted(keys, np.arange(1 << lead, dtype=np.uint64) << np.uint64(64 - lead)) if lead else np.zeros(1, np.int64)
+    def deal(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         made: list[dict] = []
         size = 0
-        for part, (a, b) in enumerate(zip(bounds, np.append(bounds[1:], len(keys)), strict=True)):
-            if a < b:
-                one = counts[a:b] == 1
-                made.append({"part": part, "kind": kind, "once": keys[a:b][one].tobytes(), "keys": keys[a:b][~one].tobytes(), "counts": counts[a:b][~one].astype(np.uint32).tobytes()})
-                size += b - a
-            if made and (size > 250_000 or part == (1 << lead) - 1):
+        for part, a, b in cut(keys, lead):
+            one = counts[a:b] == 1
+            made.append({"part": part, "kind": kind, "once": keys[a:b][one].tobytes(), "keys": keys[a:b][~one].tobytes(), "counts": counts[a:b][~one].astype(np.uint32).tobytes()})
+            size += b - a
+            if size > 250_000:
                 yield pa.RecordBatch.from_pylist(made, arrow)
                 made, size = [], 0
         if made:
@@ -150,15 +176,15 @@ def count(df: DataFrame, text: str, lead: int) -> DataFrame:
         for batch in batches:
             for _, texts in blocks(batch.column(0)):
                 h, first = tokens(texts)
-                held.append((h, pairs(h, first)[0]))
+                held.append((h, pairs(h, first)))
                 n += len(h)
                 if n >= GATHER:
                     for kind in (WORDS, PAIRS):
-                        yield from cut(kind, *tally(np.concatenate([x[kind] for x in held])))
+                        yield from deal(kind, *tally(np.concatenate([x[kind] for x in held])))
                     held, n = [], 0
                     release()
         for kind in (WORDS, PAIRS) if held else ():
-            yield from cut(kind, *tally(np.concatenate([x[kind] for x in held])))
+            yield from deal(kind, *tally(np.concatenate([x[kind] for x in held])))
         release()
 
     def merge(group: pa.Table) -> pa.Table:
@@ -171,68 +197,168 @@ def count(df: DataFrame, text: str, lead: int) -> DataFrame:
             both.append(tally(np.concatenate([np.zeros(0, np.uint64), *once, *more]), np.concatenate(counts)))
         (words_, times), (pairs_, often) = both
         q = levels(often).astype(np.uint8) if len(often) else np.zeros(0, np.uint8)
-        need = int(q.sum()) + (int(levels(times).sum()) if len(times) else 0)
-        out = {"part": group["part"][0].as_py(), "n": int(times.sum()), "v": len(times), "need": need, "words": words_.tobytes(), "times": times.tobytes(), "pairs": pairs_.tobytes(), "levels": q.tobytes()}
-        made = pa.table({k: [v] for k, v in out.items()}, pa.schema([("part", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("need", pa.int64()), *((k, pa.binary()) for k in ("words", "times", "pairs", "levels"))]))
+        end = np.flatnonzero(words_ == END)
+        out = {"part": group["part"][0].as_py(), "n": int(times.sum()), "v": len(times), "texts": int(times[end].sum()), "words": words_.tobytes(), "times": times.tobytes(), "pairs": pairs_.tobytes(), "levels": q.tobytes()}
+        made = pa.table({k: [v] for k, v in out.items()}, pa.schema([("part", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("texts", pa.int64()), *((k, pa.binary()) for k in ("words", "times", "pairs", "levels"))]))
         release()
         return made
 
     parts = rows.mapInArrow(gather, "part int, kind int, once binary, keys binary, counts binary")
-    return parts.groupBy("part").applyInArrow(merge, "part int, n bigint, v bigint, need bigint, words binary, times binary, pairs binary, levels binary")
+    return parts.groupBy("part").applyInArrow(merge, "part int, n bigint, v bigint, texts bigint, words binary, times binary, pairs binary, levels binary")
 
 
-def build_filter(counted: DataFrame) -> DataFrame:
-    """(part, bits, data): a filter segment of each part with all its words and pairs."""
+def build_filter(counted: DataFrame, sure: int) -> DataFrame:
+    """(part, first, others, data, heads, sums): a filter segment of each part with all its pairs; and for the first words of
+    these pairs, as half numbers, the sum of their counts as the segment gives them back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, *data = (batch.column(k)[i].as_py() for k in range(5))
-                own, times, two, q = (np.frombuffer(x, kind) for x, kind in zip(data, (np.uint64, np.int64, np.uint64, np.uint8), strict=True))
-                bits, on = segment(np.concatenate([own, two]), np.concatenate([levels(times) if len(times) else times, q.astype(np.int64)]))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits], pa.int64()), pa.array([on], pa.binary())], names=["part", "bits", "data"])
+                two, q = np.frombuffer(batch.column(1)[i].as_py(), np.uint64), np.frombuffer(batch.column(2)[i].as_py(), np.uint8).astype(np.int64)
+                first, others, data = segment(two, q, sure)
+                back = level_count(LogFilter(0, np.array([first, others]), np.frombuffer(data, np.uint8), sure).level(two))
+                heads = (unmix(two) >> _HALF).astype(np.uint32)
+                order = np.argsort(heads, kind="stable")
+                at = np.flatnonzero(np.diff(heads[order].astype(np.int64), prepend=-1))
+                sums = np.add.reduceat(back[order], at) if len(at) else back
+                row = [[batch.column(0)[i].as_py()], [first], [others], [data], [heads[order][at].tobytes()], [sums.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "first", "others", "data", "heads", "sums"])
         release()
 
-    return counted.select("part", "words", "times", "pairs", "levels").mapInArrow(run, "part int, bits bigint, data binary")
+    return counted.select("part", "pairs", "levels").mapInArrow(run, "part int, first bigint, others bigint, data binary, heads binary, sums binary")
+
+
+def totals(segments: DataFrame, lead: int) -> DataFrame:
+    """(part, heads, sums): the sums of :func:`build_filter` over all parts, in parts by leading bits of the first word."""
+    arrow = pa.schema([("part", pa.int32()), ("heads", pa.binary()), ("sums", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                heads, sums = np.frombuffer(batch.column(0)[i].as_py(), np.uint32), np.frombuffer(batch.column(1)[i].as_py(), np.float64)
+                made = [{"part": part, "heads": heads[a:b].tobytes(), "sums": sums[a:b].tobytes()} for part, a, b in cut(heads, lead, 32)]
+                if made:
+                    yield pa.RecordBatch.from_pylist(made, arrow)
+
+    def add(group: pa.Table) -> pa.Table:
+        heads = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group["heads"]])
+        sums = np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in group["sums"]])
+        order = np.lexsort((sums, heads))  # one order of adding, whatever the order of arrival
+        at = np.flatnonzero(np.diff(heads[order].astype(np.int64), prepend=-1))
+        return pa.table({"part": [group["part"][0].as_py()], "heads": [heads[order][at].tobytes()], "sums": [np.add.reduceat(sums[order], at).tobytes()]}, arrow)
+
+    return segments.select("heads", "sums").mapInArrow(deal, "part int, heads binary, sums binary").groupBy("part").applyInArrow(add, "part int, heads binary, sums binary")
+
+
+class Look:
+    """Counts of words, sums of what follows them, and levels of pairs."""
+
+    def __init__(self, keys: np.ndarray, times: np.ndarray, heads: np.ndarray, sums: np.ndarray, level: Callable[[np.ndarray], np.ndarray]):
+        self.keys, self.times, self.heads, self.sums, self.level = keys, times, heads, sums, level
+
+    def counts(self, own: np.ndarray) -> np.ndarray:
+        return find(self.keys, self.times, own).astype(np.int64)
+
+    def following(self, own: np.ndarray) -> np.ndarray:
+        return find(self.heads, self.sums, (own >> _HALF).astype(np.uint32))
+
+
+def find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each asked key, 0 where it isn't among the ascending ``keys``."""
+    if not len(keys):
+        return np.zeros(len(asked), values.dtype)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0)
+
+
+def looked_up(look: Look, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(first, count, seen, sum) by token, and where each text begins: the token's count, how often the pair with the one
+    before was seen, by the filter, and what the one before is followed by in all."""
+    h, first = tokens(texts)
+    own, where = np.unique(h, return_inverse=True)
+    c = look.counts(own)
+    place = np.empty(len(h), np.int64)
+    place[1:] = where[:-1]
+    place[first[:-1]] = np.searchsorted(own, END)
+    known = np.flatnonzero((c[where] > 0) & (c[place] > 0))
+    keys, back = np.unique(pair(own[place[known]], h[known]), return_inverse=True)
+    seen = np.zeros(len(h))
+    seen[known] = level_count(look.level(keys))[back]
+    return first, c[where], seen, look.following(own)[place]
 
 
 class Model:
-    """What scoring needs: totals, and the filter and exact counts of words, each as a broadcast or a table."""
+    """What scoring needs: totals, tables in parts, the prior; and all in one broadcast where that is small enough."""
 
     def __init__(self, train: DataFrame, text: str = "text"):
-        spark = train.sparkSession
+        spark = self.spark = train.sparkSession
         scratch = Scratch(spark, "lm")
-        # four parts for each that a shuffle has: a part's arrays are then a few MB
-        self.lead = 2 + max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+        size = train.agg(F.coalesce(F.sum(F.octet_length(train[text])), F.lit(0)).alias("n")).first()["n"]
+        # parts of a few MB of text where there is little, so that all cores have some; else by size
+        self.lead = max(2 + (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (size // PART).bit_length())
         self.counted = scratch.keep(count(train, text, self.lead), "counted")
-        parts = self.counted.select("part", "n", "v", "need").collect()
-        self.n, self.v = sum(r["n"] for r in parts), sum(r["v"] for r in parts)
-        self.segments = scratch.keep(build_filter(self.counted), "filter")
-        self.filter = None
-        if sum(r["need"] for r in parts) * BITS <= 8 * FILTER_BYTES:
-            sizes = {r["part"]: r["bits"] for r in self.segments.select("part", "bits").collect()}
-            none, _ = segment(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            bits = [sizes.get(p, none) for p in range(1 << self.lead)]
-            ends = np.cumsum(bits) // 8
-            data = np.zeros(int(ends[-1]), np.uint8)
-            for r in self.segments.select("part", "data").toLocalIterator():
-                data[ends[r["part"]] - len(r["data"]) : ends[r["part"]]] = np.frombuffer(r["data"], np.uint8)
-            self.filter = spark.sparkContext.broadcast((self.lead, bits, data))
-            del data
-        self.exact = None
-        if self.v * 16 <= COUNTS_BYTES:
-            keys, times = np.zeros(self.v, np.uint64), np.zeros(self.v, np.int64)
-            begin = dict(zip((p for p, _ in sorted((r["part"], r["v"]) for r in parts)), np.cumsum([0, *(v for _, v in sorted((r["part"], r["v"]) for r in parts))]), strict=False))
-            for r in self.counted.select("part", "v", "words", "times").toLocalIterator():
-                at = slice(begin[r["part"]], begin[r["part"]] + r["v"])
-                keys[at], times[at] = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["times"], np.int64)
-            small = times.max(initial=0) < 1 << 32
-            self.exact = spark.sparkContext.broadcast((keys, times.astype(np.uint32) if small else times))
+        about = self.counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "texts")]).first()
+        self.n, self.v = about["n"], about["v"]
+        self.under = self.n + ADD * (self.v + 1)
+        self.sure = sure_probes(self.v)
+        self.segments = scratch.keep(build_filter(self.counted, self.sure), "filter")
+        self.totals = scratch.keep(totals(self.segments, self.lead), "totals")
+        bytes_ = self.segments.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"] + 28 * self.v
+        self.sent = spark.sparkContext.broadcast(self.gathered()) if bytes_ <= BROADCAST_BYTES else None
+        self.prior = LEAST
+        if about["texts"]:
+            share = int((1 << 30) * min(1.0, FIT / about["texts"])) + 1
+            some = train.select(train[text].alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share)
+            likely = evaluate(some, self, trials(self.under), [f"p{i}" for i in range(len(PRIORS))]).agg(*[F.sum(f"p{i}") for i in range(len(PRIORS))]).first()
+            self.prior = PRIORS[int(np.argmax([x if x is not None else -math.inf for x in likely]))]
+
+    def gathered(self) -> tuple:
+        """Everything as arrays in the order of keys."""
+        rows = sorted((r["part"], r["first"], r["others"]) for r in self.segments.select("part", "first", "others").collect())
+        none = segment(np.zeros(0, np.uint64), np.zeros(0, np.int64), self.sure)[:2]
+        have = {p: (a, b) for p, a, b in rows}
+        sizes = np.array([have.get(p, none) for p in range(1 << self.lead)], np.int64)
+        ends = np.cumsum(sizes.sum(1)) // 8
+        data = np.zeros(int(ends[-1]), np.uint8)
+        for r in self.segments.select("part", "data").toLocalIterator():
+            data[ends[r["part"]] - len(r["data"]) : ends[r["part"]]] = np.frombuffer(r["data"], np.uint8)
+
+        def table(df: DataFrame, a: str, b: str, kinds: tuple) -> tuple[np.ndarray, np.ndarray]:
+            rows = sorted(((r["part"], np.frombuffer(r[a], kinds[0]), np.frombuffer(r[b], kinds[1])) for r in df.select("part", a, b).toLocalIterator()), key=lambda r: r[0])
+            return tuple(np.concatenate([np.zeros(0, kinds[i]), *(r[1 + i] for r in rows)]) for i in (0, 1))
+
+        return self.lead, sizes, data, self.sure, *table(self.counted, "words", "times", (np.uint64, np.int64)), *table(self.totals, "heads", "sums", (np.uint32, np.float64))
+
+
+def look_of(sent: tuple) -> Look:
+    lead, sizes, data, sure, *tables = sent
+    return Look(*tables, LogFilter(lead, sizes, data, sure).level)
+
+
+def trials(under: float) -> Callable[[Look, pa.Array], list[np.ndarray]]:
+    """For each of PRIORS, the log10 probability of each text, every token left out of all counts when it is its turn."""
+
+    def run(look: Look, texts: pa.Array) -> list[np.ndarray]:
+        first, c, seen, sums = looked_up(look, texts)
+        p, rest, all_ = (np.maximum(c - 1, 0) + ADD) / under, np.maximum(seen - 1, 0), np.maximum(sums - 1, 0)
+        return [np.add.reduceat(np.log10((rest + prior * p) / (all_ + prior)), first[:-1]) for prior in PRIORS]
+
+    return run
+
+
+def scores(n: int, under: float, prior: float) -> Callable[[Look, pa.Array], list[np.ndarray]]:
+    def run(look: Look, texts: pa.Array) -> list[np.ndarray]:
+        first, c, seen, sums = looked_up(look, texts)
+        p, sizes = (c + ADD) / under, np.diff(first)
+        by_text = lambda x: np.add.reduceat(x, first[:-1])
+        return [sizes, by_text((c > 0).astype(np.int64)), np.full(len(sizes), n), by_text(np.log10(p)), by_text(np.log10((seen + prior * p) / (sums + prior)))]
+
+    return run
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """``rows`` (.., __row, __text) with __chunk, the row number of the first text that asks together with this one."""
-    schema = rows.withColumn("__chunk", F.lit(0).cast("long")).schema
+    """``rows`` (.., r, t) with c, the row number of the first text that asks together with this one."""
+    schema = rows.withColumn("c", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, size = None, 0
@@ -249,140 +375,105 @@ def chunked(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def asked(texts: pa.Array) -> np.ndarray:
-    """Distinct words and pairs of the texts, with the end, ascending, and so by parts."""
-    found = [np.array([END])]
+def asked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, with the end, and distinct pairs of the texts, ascending, and so by parts."""
+    own, two = [np.array([END])], [np.zeros(0, np.uint64)]
     for _, some in blocks(texts):
         h, first = tokens(some)
-        found += [np.unique(h), np.unique(pairs(h, first)[0])]
-    return np.unique(np.concatenate(found))
+        own.append(np.unique(h))
+        two.append(np.unique(pairs(h, first)))
+    return np.unique(np.concatenate(own)), np.unique(np.concatenate(two))
 
 
-def found_levels(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """(chunk, part, levels): for each chunk of texts, the levels of what it asks for, a byte each, in parts by leading
-    bits of the key. A part's segment is read where its askers meet; nothing is broadcast and no key is left out."""
-    lead = model.lead
-    arrow = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("keys", pa.binary())])
+def answers(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """(c, part, kind, a, b): for each chunk of texts, counts (a) and sums (b) of the words that it asks for, and levels (a) of
+    its pairs, in parts by leading bits of the key. A part's tables are read where its askers meet; nothing is broadcast
+    and no key is left out."""
+    lead, sure = model.lead, model.sure
+    arrow = pa.schema([("c", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary())])
+    given = pa.schema([("c", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
     def ask(group: pa.Table) -> pa.Table:
-        keys = asked(group["__text"].combine_chunks())
-        part = (keys >> np.uint64(64 - lead)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        ends = np.append(cuts[1:], len(keys))
-        chunk = group["__chunk"][0].as_py()
-        made = pa.table([pa.array([chunk] * len(cuts), pa.int64()), pa.array(part[cuts], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], schema=arrow)
+        chunk = group["c"][0].as_py()
+        made = [{"c": chunk, "part": part, "kind": kind, "keys": keys[a:b].tobytes()} for kind, keys in zip((WORDS, FILTER), asked(group["t"].combine_chunks()), strict=True) for part, a, b in cut(keys, lead)]
         release()
-        return made
-
-    def probe(some: pa.Table, segments: pa.Table) -> pa.Table:
-        sizes = [len(k.as_py()) // 8 for k in some["keys"]]
-        if not sizes:
-            q = np.zeros(0, np.uint8)
-        else:
-            keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in some["keys"]])
-            q = np.zeros(len(keys), np.uint8)
-            if segments.num_rows:
-                one = LogFilter(0, [segments["bits"][0].as_py()], np.frombuffer(segments["data"][0].as_py(), np.uint8))
-                q = one.level(keys).astype(np.uint8)
-        ends = np.cumsum(sizes, dtype=np.int64)
-        made = pa.table([some["chunk"], some["part"], pa.array([q[b - n : b].tobytes() for b, n in zip(ends, sizes, strict=True)], pa.binary())], names=["chunk", "part", "levels"])
+        return pa.Table.from_pylist(made, arrow)
+
+    def reply(some: pa.Table, tables: pa.Table) -> pa.Table:
+        have = {r["kind"]: r for r in tables.to_pylist()}
+        of = lambda kind, c, as_: np.frombuffer(have[kind][c], as_) if kind in have else np.zeros(0, as_)
+        level = LogFilter(0, np.array([have[FILTER]["first"], have[FILTER]["others"]]), of(FILTER, "x", np.uint8), sure).level if FILTER in have else lambda k: np.zeros(len(k), np.int64)
+        look = Look(of(WORDS, "x", np.uint64), of(WORDS, "y", np.int64), of(SUMS, "x", np.uint32), of(SUMS, "y", np.float64), level)
+        made = []
+        for i in range(some.num_rows):
+            kind, keys = some["kind"][i].as_py(), np.frombuffer(some["keys"][i].as_py(), np.uint64)
+            a, b = (look.counts(keys).tobytes(), look.following(keys).tobytes()) if kind == WORDS else (look.level(keys).astype(np.uint8).tobytes(), b"")
+            made.append({"c": some["c"][i].as_py(), "part": some["part"][i].as_py(), "kind": kind, "a": a, "b": b})
         release()
-        return made
+        return pa.Table.from_pylist(made, given)
 
-    asks = rows.select("__chunk", "__text").groupBy("__chunk").applyInArrow(ask, "chunk bigint, part int, keys binary")
-    met = asks.groupBy("part").cogroup(model.segments.groupBy("part")).applyInArrow(probe, "chunk bigint, part int, levels binary")
-    return scratch.keep(met, "levels")
+    none = F.lit(0).cast("long")
+    tables = model.counted.select("part", F.lit(WORDS).alias("kind"), F.col("words").alias("x"), F.col("times").alias("y"), none.alias("first"), none.alias("others"))
+    tables = tables.unionByName(model.totals.select("part", F.lit(SUMS).alias("kind"), F.col("heads").alias("x"), F.col("sums").alias("y"), none.alias("first"), none.alias("others")))
+    tables = tables.unionByName(model.segments.select("part", F.lit(FILTER).alias("kind"), F.col("data").alias("x"), F.lit(b"").alias("y"), "first", "others"))
+    asks = rows.select("c", "t").groupBy("c").applyInArrow(ask, "c bigint, part int, kind int, keys binary")
+    met = asks.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(reply, "c bigint, part int, kind int, a binary, b binary")
+    return scratch.keep(met, "answers")
 
 
-def score(df: DataFrame, model: Model, text: str = "text", prior: float = PRIOR, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of ``df`` with n_tokens, n_known, train_tokens, base_score and score.
+def evaluate(rows: DataFrame, model: Model, figures: Callable[[Look, pa.Array], list[np.ndarray]], names: list[str], whole: int = 0) -> DataFrame:
+    """``rows`` (.., t) with what ``figures`` says of each text t, as columns ``names``, the first ``whole`` of them integers."""
+    kept, sent = [c for c in rows.columns if c != "t"], model.sent
+    kinds = [pa.int64() if i < whole else pa.float64() for i in range(len(names))]
+    schema = rows.drop("t").schema
+    for i, c in enumerate(names):
+        schema = schema.add(c, "long" if i < whole else "double")
 
-    A null text counts as empty: one token, the end. base_score: the sum of log10 of (c + 0.1) / (N + 0.1 (V + 1)) with
-    exact counts. score: log10 of the text's probability, each token given the one before: (pair + prior p) / (word before
-    + prior), p as above, all with counts from the filter. Rows by themselves, but where exact counts are too large to
-    broadcast: then tokens, summed up by text, are joined with the table of counts; and but where the filter is: then
-    texts by chunks meet the levels of their keys.
-    """
-    names = [c for c in keep if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    n, v, spread, exact = model.n, model.v, model.filter, model.exact
-    scratch = None if exact is not None and spread is not None else Scratch(df.sparkSession, "score")
-    rows = df.select(*[df[f"`{c}`"] for c in names], F.monotonically_increasing_id().alias("__row"), df[text].alias("__text"))
-    if scratch:  # the row's number must be the same in all uses
-        rows = scratch.keep(chunked(rows) if spread is None else rows, "rows")
-    added = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
-    schema = rows.drop("__text", "__chunk").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    under = n + ADD * (v + 1)
-
-    def figures(column: pa.Array, level) -> list[pa.Array]:
-        known = exact and exact.value
-        out: dict[str, list[np.ndarray]] = {k: [] for k, _ in added}
-        for _, texts in blocks(column):
-            h, first = tokens(texts)
-            pair, before = pairs(h, first)
-            own, where = np.unique(h, return_inverse=True)
-            c = np.zeros(len(own), np.int64)
-            if known and len(known[0]):
-                at = np.minimum(np.searchsorted(known[0], own), len(known[0]) - 1)
-                c = np.where(known[0][at] == own, known[1][at], 0).astype(np.int64)
-            base = np.log10((c + ADD) / under)[where]
-            guess = level_count(level(own))
-            p = ((guess + ADD) / under)[where]
-            place = np.empty(len(h), np.int64)
-            place[1:] = where[:-1]
-            place[first[:-1]] = np.searchsorted(own, END)
-            together = np.minimum(level_count(level(pair)), guess[place])
-            logs = np.log10((together + prior * p) / (guess[place] + prior))
-            sizes = np.diff(first)
-            out["n_tokens"].append(sizes)
-            out["n_known"].append(np.add.reduceat((c > 0)[where].astype(np.int64), first[:-1]))
-            out["train_tokens"].append(np.full(len(sizes), n))
-            out["base_score"].append(np.add.reduceat(base, first[:-1]))
-            out["score"].append(np.add.reduceat(logs, first[:-1]))
-        return [pa.array(np.concatenate(out[k]) if out[k] else [], kind) for k, kind in added]
+    def columns(look: Look, column: pa.Array) -> list[pa.Array]:
+        found = [figures(look, texts) for _, texts in blocks(column)]
+        return [pa.array(np.concatenate([f[i] for f in found]) if found else [], kind) for i, kind in enumerate(kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = LogFilter(*spread.value)
+        look = look_of(sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *figures(batch.column(batch.num_columns - 1), filt.level)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns(look, batch.column(batch.num_columns - 1))], names=[f.name for f in schema])
             release()
 
-    def meet(group: pa.Table, levels_: pa.Table) -> pa.Table:
-        texts = group["__text"].combine_chunks()
-        keys = asked(texts)
-        q = np.frombuffer(b"".join(levels_.sort_by("part")["levels"].to_pylist()), np.uint8).astype(np.int64)
-        made = pa.table([*[group[c] for c in group.column_names if c not in ("__text", "__chunk")], *figures(texts, lambda k: q[np.searchsorted(keys, k)])], names=[f.name for f in schema])
+    def meet(group: pa.Table, given: pa.Table) -> pa.Table:
+        texts = group["t"].combine_chunks()
+        own, two = asked(texts)
+        given = given.sort_by("part")
+        got = lambda kind, c, as_: np.frombuffer(b"".join(x for x, k in zip(given[c].to_pylist(), given["kind"].to_pylist(), strict=True) if k == kind), as_)
+        q, heads = got(FILTER, "a", np.uint8), own >> _HALF
+        once = np.flatnonzero(np.diff(heads.astype(np.int64), prepend=-1))
+        look = Look(own, got(WORDS, "a", np.int64), heads[once].astype(np.uint32), got(WORDS, "b", np.float64)[once], lambda keys: q[np.searchsorted(two, keys)].astype(np.int64))
+        made = pa.table([*[group[c] for c in kept], *columns(look, texts)], names=[f.name for f in schema])
         release()
         return made
 
-    if spread is not None:
-        scored = rows.mapInArrow(run, schema)
-    else:
-        scored = rows.groupBy("__chunk").cogroup(found_levels(rows, model, scratch).groupBy("chunk")).applyInArrow(meet, schema)
-    if exact is not None:
-        return scored.drop("__row")
+    if sent is not None:
+        return rows.select(*kept, "t").mapInArrow(run, schema)
+    scratch = Scratch(rows.sparkSession, "score")
+    # the row's number must be the same in all uses
+    stored = scratch.keep(chunked(rows.select(*kept, F.monotonically_increasing_id().alias("r"), "t")), "rows")
+    return stored.groupBy("c").cogroup(answers(stored, model, scratch).groupBy("c")).applyInArrow(meet, schema)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at, texts in blocks(batch.column(1)):
-                h, first = tokens(texts)
-                whose = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                order = np.lexsort((h, whose))
-                h, whose = h[order], whose[order]
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (whose[1:] != whose[:-1])]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + whose[new]]), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(new, len(h))))], names=["row", "key", "times"])
 
-    def list_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["key", "c"])
-
-    used = rows.select("__row", "__text").mapInArrow(spell, "row bigint, key bigint, times bigint")
-    counts = scratch.keep(model.counted.select("words", "times").mapInArrow(list_out, "key bigint, c bigint"), "counts")
-    used = scratch.keep(used, "used")
-    c = F.coalesce("c", F.lit(0))
-    sums = used.join(counts, "key", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((c + ADD) / under)).alias("b"))
-    return scored.join(sums, scored["__row"] == sums["row"]).select(*names, "n_tokens", F.col("k").alias("n_known"), "train_tokens", F.col("b").alias("base_score"), "score")
+def score(df: DataFrame, model: Model, text: str = "text", prior: float | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of ``df`` with n_tokens, n_known, train_tokens, base_score and score.
+
+    A null text counts as empty: one token, the end. base_score: the sum of log10 of p = (c + 0.1) / (N + 0.1 (V + 1)), with
+    exact counts. score: log10 of the text's probability, each token given the one before: (seen + prior p) / (sum of seen
+    after the word before + prior), seen by the filter, for words that were learned. After any word these add up to 1 over
+    the vocabulary and one unknown word, and to 1 + ERROR at most with the filter's errors. The prior, if not given, is that
+    under which a sample of the training texts is likeliest, each token left out of the counts. Rows by themselves where
+    the model is broadcast; else texts by chunks meet the answers to their keys. Columns of ``keep`` with names of added
+    ones are left out; rows that repeat a key are texts of their own.
+    """
+    names = [c for c in keep if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    rows = df.select(*[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(names)], df[text].alias("t"))
+    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return evaluate(rows, model, scores(model.n, model.under, model.prior if prior is None else prior), added, 3).toDF(*names, *added)
 
 
 def learned(key: Column) -> Column:

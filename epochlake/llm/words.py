@@ -55,6 +55,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of :func:`mix`."""
+    h = (h ^ (h >> np.uint64(32))) * _BACK
+    h = (h ^ (h >> np.uint64(32))) * _BACK
+    return h ^ (h >> np.uint64(32))
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null is empty."""
     if texts.null_count:
