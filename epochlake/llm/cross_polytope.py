@@ -136,8 +136,9 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "data"])
 
     rows = df.select(df[key].cast("long").alias("id"), df[vector].alias("v")).mapInArrow(pack, "id bigint, data binary")
-    rows = scratch.keep(rows.withColumn("node", F.when(F.col("data").isNotNull(), F.xxhash64("data", F.length("data")))), "rows")
-    nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("data").alias("data")), "nodes")
+    rows = scratch.keep(rows.select("id", "data", F.when(F.col("data").isNotNull(), F.unhex(F.md5("data"))).alias("print"), F.monotonically_increasing_id().alias("row")), "rows")
+    # equal vectors by 128 bits; a node's number is that of its first row
+    nodes = scratch.keep(rows.where("print is not null").groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min("row").alias("node"), F.first("data").alias("data")), "nodes")
     about = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("data")).alias("size")).first()
     hashes, tables, probes = plan(about["n"], (about["size"] or 8) // int(kind[2]))
 
@@ -218,10 +219,10 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     links = scratch.keep(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")), "links")
     counts = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(links, "vector-parts")
-    joined = nodes.select("node", "n", "least").join(counts, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    joined = scratch.keep(joined.select("node", "n", "least", "part", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "joined")
+    joined = nodes.select("node", "print", "n", "least").join(counts, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    joined = scratch.keep(joined.select("node", "print", "n", "least", "part", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "joined")
     heads = scratch.keep(joined.groupBy("part").agg(F.min("least").alias("component_id")), "heads")
-    named = scratch.keep(joined.join(heads, "part").select("node", "n_links", "component_id"), "named")
-    out = rows.select("id", "node").join(named, "node", "left")
-    component_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = scratch.keep(joined.join(heads, "part").select("print", "n_links", "component_id"), "named")
+    out = rows.select("id", "print").join(named, "print", "left")
+    component_id = F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component_id.alias("component_id"), F.coalesce(component_id == F.col("id"), F.lit(True)).alias("kept"))

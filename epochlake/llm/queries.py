@@ -34,7 +34,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = Scratch(spark, "op3").path("archives")
     write_warc(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
-    return captures(read_records(spark, path)).withColumnRenamed("key", "page_id")
+    return captures(read_records(spark, path)).withColumnRenamed("key", "page_id").drop("status")
 
 
 OP3_SQL = """
@@ -80,7 +80,7 @@ def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weighted_minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("class_no")
 
 
 def fetch_times(pages: DataFrame) -> DataFrame:

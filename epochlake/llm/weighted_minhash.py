@@ -402,18 +402,19 @@ def linked(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, key, class_id, kept) of the stored ``rows`` (id, key, text): the key of the class's first row, by key (nulls last)
-    and number, and whether this is that row."""
+    """(id, key, class_no, class_id, kept) of the stored ``rows`` (id, key, text): the number and key of the class's first row,
+    by key (nulls last) and number, and whether this is that row."""
     found = scratch.keep(linked(rows, scratch).join(rows.select(F.col("id").alias("node"), "key"), "node"), "members")
     best = F.min_by(F.struct("node", "key"), F.struct(F.col("key").isNull(), "key", "node"))
     heads = scratch.keep(found.groupBy("component").agg(best.alias("head")), "heads")
-    named = found.join(heads, "component").select(F.col("node").alias("id"), "key", F.col("head.key").alias("class_id"), (F.col("head.node") == F.col("node")).alias("kept"))
+    named = found.join(heads, "component").select(F.col("node").alias("id"), "key", F.col("head.node").alias("class_no"), F.col("head.key").alias("class_id"), (F.col("head.node") == F.col("node")).alias("kept"))
     alone = rows.select("id", "key").join(found.select(F.col("node").alias("id")), "id", "left_anti")
-    return named.unionByName(alone.select("id", "key", F.col("key").alias("class_id"), F.lit(True).alias("kept")))
+    return named.unionByName(alone.select("id", "key", F.col("id").alias("class_no"), F.col("key").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, kept) of each row: class_id is the least key of those that links reach, kept the first row with it.
+    """(doc_id, class_id, kept, class_no) of each row: class_id is the least key of those that links reach, kept the first row
+    with it, class_no a number that tells classes with equal least keys apart.
 
     Two rows are linked if their texts' weighted Jaccard similarity is 0.8 or more, with rarity in the weights or without, as
     found by bands (which miss a pair at exactly 0.8 once in some thousand times, and less above). Texts with equal weighted
@@ -423,7 +424,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     scratch = Scratch(docs.sparkSession, "near")
     own = docs.select(F.monotonically_increasing_id().alias("id"), docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    return classes(scratch.keep(own, "rows"), scratch).select(F.col("key").alias("doc_id"), "class_id", "kept")
+    return classes(scratch.keep(own, "rows"), scratch).select(F.col("key").alias("doc_id"), "class_id", "kept", "class_no")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
