@@ -27,7 +27,7 @@ from .words import blocks, mix, unmix, words
 #: The number of the token that ends each text, and stands before its first.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Base of the quantised logarithm; bits of the filter for each (pair, level) above the first; probes of each.
-BASE, BITS, PROBES = 1.5, 8, 4
+BASE, BITS, PROBES = 1.5, 12, 8
 #: What unseen pairs get by error after any word, as a share of LEAST words, which is the least prior.
 ERROR, LEAST = 0.01, 10.0
 #: Bytes of filter, counts and sums that are broadcast.
@@ -147,6 +147,8 @@ class LogFilter:
 
 def cut(keys: np.ndarray, lead: int, width: int = 64) -> Iterator[tuple[int, int, int]]:
     """(part, begin, end) of the parts that ascending ``keys`` have."""
+    if not len(keys):
+        return
     part = (keys >> np.array(width - lead, keys.dtype)).astype(np.int64) if lead else np.zeros(len(keys), np.int64)
     begin = np.flatnonzero(np.diff(part, prepend=-1))
     yield from zip(part[begin].tolist(), begin.tolist(), np.append(begin[1:], len(keys)).tolist(), strict=True)
