@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 COLUMNS = ("lang_pred", "score", "rejected")
 #: Sampled documents of a language at most, and bytes of a dictionary: whole texts by ascending hash until it is full.
 SAMPLE, DICTIONARY = 64, 96_000
@@ -124,6 +126,7 @@ def identify(df: DataFrame, contents: dict[str, bytes], text: str = "text", keep
     A null text, one without a letter, or nothing learned: lang_pred ``und``, score 0, rejected. Of languages with equal
     sizes the first by name is predicted, and rejected. Columns of ``df`` with names of added ones are replaced.
     """
+    lean(df.sparkSession)
     names = [c for c in (keep or df.columns) if c.lower() not in COLUMNS]
     rows = df.select(*[df[f"`{c}`"] for c in names], df[text].alias("__text"))
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")

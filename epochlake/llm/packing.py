@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release
+from .shared import lean, release
 from .words import blocks
 
 #: Tokens of a row, and tokens of a window after which it is packed.
@@ -115,6 +115,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", leng
     are documents of their own, and so are rows with a null key. Special strings are ordinary text. Memory holds one window
     of token ids.
     """
+    lean(df.sparkSession)
     own = df.select(df[key].cast("long").alias("key"), F.coalesce(df[text], F.lit("")).alias("text"), *[df[f"`{c}`"].alias(f"o{i}") for i, c in enumerate(order or (key,))], F.monotonically_increasing_id().alias("n"))
     by = [*[f"o{i}" for i in range(len(order or (key,)))], "n"]
     rows = own.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "text")

@@ -11,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that are read, and sent to a Python worker, at once, in place of Spark's own numbers: whole texts may be long, and a
+#: batch lies in an executor's memory several times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
+#: Bytes of a stored table's row group, which its writer holds.
+ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def lean(spark: SparkSession) -> None:
+    """Small batches for this session, where the user has set none."""
+    for name, (own, few) in BATCHES.items():
+        if spark.conf.get(name, own) == own:
+            spark.conf.set(name, few)
+
+
 class Scratch:
     """Named tables of one operator call, written once and reread: a lost executor costs no recomputation of what came before."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        lean(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -41,7 +54,7 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
             if before is None:
                 self.spark.conf.unset(CLEANUP)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 COLUMNS = ("n_bytes", "n_tokens", "over_limit")
 #: Characters of a chunk and of the overlap of two; texts up to one chunk are encoded at once.
 CHUNK, OVERLAP = 32_768, 256
@@ -109,6 +111,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 1024
     A null text counts as empty. Tokens are those of the library for the file at ``path``, without added special tokens.
     Columns of ``df`` with names of added ones are replaced. No shuffle; each row by itself.
     """
+    lean(df.sparkSession)
     names = [c for c in (keep or df.columns) if c.lower() not in COLUMNS]
     rows = df.select(*[df[f"`{c}`"] for c in names], F.coalesce(F.octet_length(df[text]), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(df[text], F.lit("")).alias("__text"))
     schema = rows.drop("__text").schema.add("n_tokens", "long").add("over_limit", "boolean")
