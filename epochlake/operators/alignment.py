@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 Keys = Sequence[str]
 
 
-def range_join(samples: DataFrame, windows: DataFrame, keys: Keys, lo: str = "lo", hi: str = "hi", t: str = "t", closed: str = "both", bucket_s: float = 10.0) -> DataFrame:
+def range_join(samples: DataFrame, windows: DataFrame, keys: Keys, lo: str = "lo", hi: str = "hi", t: str = "t", closed: str = "both", bucket_s: float | None = None) -> DataFrame:
     """Samples with each window of the same keys that they lie in. ``closed``: "both", or "left" for lo <= t < hi.
 
-    A window is dealt to the buckets that it covers, a sample to its own; take ``bucket_s`` near a window's length.
+    A window is dealt to the buckets that it covers, a sample to its own. ``bucket_s``, if not given, is the windows' mean
+    length, which one aggregate of ``windows`` finds, so a window covers some two buckets.
     """
+    if bucket_s is None:
+        found = windows.where(F.col(lo) <= F.col(hi)).agg(F.avg(F.col(hi) - F.col(lo)).alias("s")).first()["s"]
+        bucket_s = found if found else 1.0
     of = lambda c: F.floor(F.col(c) / F.lit(bucket_s)).cast("long")
     dealt = windows.where(F.col(lo) <= F.col(hi)).withColumn("__bucket", F.explode(F.sequence(of(lo), of(hi))))
     upper = F.col(t) <= F.col(hi) if closed == "both" else F.col(t) < F.col(hi)
@@ -113,37 +117,37 @@ def strip_practice(events: DataFrame, keys: Keys, order: str, marker: str, prefi
 def align_pair(te: np.ndarray, ce: np.ndarray, tf: np.ndarray, cf: np.ndarray, tol: float, n_first: int, least: int) -> tuple[list[tuple[int, int]], float, str]:
     """Matches of two sequences of timed events, the offset between their clocks, and how it was found.
 
-    Equal sequences of kinds match by place. Otherwise each pair of the first events of a kind offers an offset, and that
-    under which a walk through both finds most matches within the tolerance wins, the first of equals. Sequences with fewer
-    than ``least`` times match by place as far as both go.
+    Equal sequences of kinds match by place. Otherwise each pair of a kind among the first events offers an offset; where
+    there is none, the first event of the second offers one with each of the first ones. That under which a walk through
+    both finds most matches within the tolerance wins, the first of equals. A first sequence with fewer than ``least`` times
+    matches by place as far as both go.
     """
     fe, ff = np.isfinite(te), np.isfinite(tf)
     n = min(len(te), len(tf))
     if len(te) == len(tf) and (ce == cf).all() and n:
         d = (te - tf)[fe & ff]
         return [(i, i) for i in range(n)], float(np.median(d)) if len(d) else float("nan"), "place"
-    if fe.sum() < least or ff.sum() < least:
+    if fe.sum() < least or not ff.any():
         return [(i, i) for i in range(n)], float("nan"), "short"
+    early, late = np.flatnonzero(fe[:n_first]), np.flatnonzero(ff[:n_first])
+    offsets = [te[i] - tf[j] for i in early for j in late if ce[i] == cf[j]] or [te[i] - tf[np.argmax(ff)] for i in early]
     best: list[tuple[int, int]] = []
-    shift = float("nan")
-    for i in np.flatnonzero(fe)[:n_first]:
-        for j in np.flatnonzero(ff)[:n_first]:
-            if ce[i] != cf[j]:
-                continue
-            off, a, b, found = te[i] - tf[j], 0, 0, []
-            while a < len(te) and b < len(tf):
-                gap = te[a] - (tf[b] + off)
-                if not np.isfinite(gap):
-                    a, b = a + (not np.isfinite(te[a])), b + (not np.isfinite(tf[b]))
-                elif abs(gap) <= tol and ce[a] == cf[b]:
-                    found.append((a, b))
-                    a, b = a + 1, b + 1
-                elif gap < 0:
-                    a += 1
-                else:
-                    b += 1
-            if len(found) > len(best):
-                best, shift = found, off
+    shift = offsets[0] if offsets else float("nan")
+    for off in offsets:
+        a, b, found = 0, 0, []
+        while a < len(te) and b < len(tf):
+            gap = te[a] - (tf[b] + off)
+            if not np.isfinite(gap):
+                a, b = a + (not np.isfinite(te[a])), b + (not np.isfinite(tf[b]))
+            elif abs(gap) <= tol and ce[a] == cf[b]:
+                found.append((a, b))
+                a, b = a + 1, b + 1
+            elif gap < 0:
+                a += 1
+            else:
+                b += 1
+        if len(found) > len(best):
+            best, shift = found, off
     return best, shift, "offset"
 
 

@@ -1,37 +1,82 @@
 """Kernels over one channel's samples, and their application to tables.
 
-A kernel takes and returns NumPy arrays. ``per_channel`` applies one to each recording's channel, which is one task's
-group of bounded length: channels are what is spread. Spectra and correlations over lags that sums can express are made
-of built-in aggregates instead.
+A kernel takes and returns NumPy arrays. ``per_channel`` applies one to each recording's channel, packed into an array by one
+aggregation: channels are what is spread. Spectra are Fourier transforms of packed channels or segments; what sums over lags
+can express is made of built-in aggregates instead.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .robust import robust_mean
+
 Keys = Sequence[str]
 
 
-def per_channel(df: DataFrame, keys: Keys, order: str, value: str, kernel: Callable[[np.ndarray], np.ndarray], out: str | None = None) -> DataFrame:
-    """``df`` with ``kernel`` applied to ``value`` in ``order``; channels with a missing value stay as they are."""
-    name = out or value
+def packed(df: DataFrame, keys: Keys, order: str, cols: Keys) -> DataFrame:
+    """A row for each channel: ``keys``, and arrays of ``order`` and ``cols`` in that order. Missing values keep their places."""
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("__s"))
+    return rows.select(*keys, *[F.col(f"__s.{c}").alias(c) for c in (order, *cols)])
+
+
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of arrays as doubles, NaN where a value is missing."""
+    offs, flat = np.asarray(column.offsets), column.values.cast(pa.float64())
+    values = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+
+
+def lists(rows: Sequence[np.ndarray]) -> pa.Array:
+    """Arrays of doubles as a column; NaN becomes null."""
+    flat = np.concatenate([np.zeros(0), *rows])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat, pa.float64(), mask=np.isnan(flat)))
+
+
+def filled(x: np.ndarray) -> np.ndarray:
+    """Missing samples by linear interpolation, beyond the first and last by these."""
+    have = np.flatnonzero(np.isfinite(x))
+    return np.interp(np.arange(len(x)), have, x[have])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        x = pdf[value].to_numpy(float)
-        pdf[name] = kernel(x) if len(x) and np.isfinite(x).all() else x
-        return pdf
 
-    kept = df.select(*keys, order, value)
-    schema = kept.schema if name == value else kept.withColumn(name, F.col(value)).schema
-    return kept.groupBy(*keys).applyInPandas(run, schema)
+def per_channel(df: DataFrame, keys: Keys, order: str, value: str, kernel: Callable[[np.ndarray], np.ndarray], out: str | None = None, gaps: str = "null", status: str | None = None) -> DataFrame:
+    """(keys, order, value, out) with ``kernel`` applied to ``value`` in ``order``; ``out``, if not given, replaces ``value``.
+
+    A channel with a missing sample isn't filtered, and never passed off as if it were: with gaps="null" all its results are
+    null; with gaps="fill" missing samples are interpolated for the kernel and null in the result. A channel without any
+    value has nulls. ``status`` names a column, if wanted, that says which: ok, filled, gap or empty.
+    """
+    name = out or value
+    kept = packed(df, keys, order, [value])
+    schema = kept.withColumns({"__out": F.col(value).cast("array<double>"), "__status": F.lit("")}).schema
+
+    def one(x: np.ndarray) -> tuple[np.ndarray, str]:
+        bad = ~np.isfinite(x)
+        if bad.all():
+            return np.full(len(x), np.nan), "empty"
+        if not bad.any():
+            return np.asarray(kernel(x), float), "ok"
+        if gaps != "fill":
+            return np.full(len(x), np.nan), "gap"
+        return np.where(bad, np.nan, kernel(filled(x))), "filled"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [one(x) for x in arrays(part.column(part.num_columns - 1))]
+                yield pa.RecordBatch.from_arrays([*part.columns, lists([m[0] for m in made]), pa.array([m[1] for m in made], pa.string())], names=[f.name for f in schema])
+
+    long = kept.mapInArrow(run, schema).select(*keys, "__status", F.explode(F.arrays_zip(F.col(order), F.col(value), F.col("__out"))).alias("__r"))
+    own = [F.col(f"__r.{order}").alias(order), *([F.col(f"__r.{value}").alias(value)] if name != value else []), F.col("__r.__out").alias(name)]
+    return long.select(*keys, *own, *([F.col("__status").alias(status)] if status else []))
 
 
 # --- filters
@@ -149,22 +194,14 @@ def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
 
 
 def tddr(x: np.ndarray, rate: float) -> np.ndarray:
-    """Motion repair: derivatives of the slow part are weighted down robustly where they are outliers, and summed again."""
-    mean = x.mean()
-    slow = filtfilt(butter(3, rate, hi=0.5), x - mean) if rate > 1.0 else x - mean
-    fast = x - mean - slow
-    d = np.diff(slow)
-    w, mu = np.ones_like(d), np.inf
-    for _ in range(50):
-        old, mu = mu, float((w * d).sum() / w.sum()) if w.sum() else 0.0
-        dev = np.abs(d - mu)
-        sigma = 1.4826 * np.median(dev)
-        r = dev / (sigma * 4.685) if sigma > 0 else np.zeros_like(dev)
-        w = np.where(r < 1, (1 - r**2) ** 2, 0.0)
-        if abs(mu - old) < math.sqrt(np.finfo(float).eps) * max(abs(mu), abs(old)):
-            break
-    fixed = np.cumsum(np.r_[0.0, w * (d - mu)])
-    return fixed - fixed.mean() + fast + mean
+    """Motion repair by the distribution of temporal derivatives: steps of the slow part are weighted by how far they lie from
+    their robust mean, so that those of movements vanish, and summed up again to a signal of the same mean."""
+    level = x.mean()
+    slow = x - level if rate <= 1.0 else filtfilt(butter(3, rate, hi=0.5), x - level)
+    steps = np.diff(slow)
+    usual, trust = robust_mean(steps)
+    path = np.append(0.0, np.cumsum(trust * (steps - usual)))
+    return x - slow + path - path.mean()
 
 
 def wavelet_repair(x: np.ndarray, iqr: float = 1.5, levels: int | None = None) -> np.ndarray:
@@ -211,22 +248,32 @@ def morlet_power(x: np.ndarray, rate: float, freqs: Sequence[float], cycles: tup
     return out
 
 
-def binarise(x: np.ndarray) -> np.ndarray:
-    """Trigger line to 0 and 1: 2-means of what isn't 0; where the means are no further apart than noise, the middle of the range."""
-    on = x != 0
-    if not on.any() or (x == x[0]).all():
-        return on.astype(int) if not (x == x[0]).all() else np.zeros(len(x), int)
+def binarise(x: np.ndarray, zero: float = 1e-6, apart: float = 5.0) -> np.ndarray:
+    """Trigger line to 0 and 1. Samples within ``zero`` of 0, and missing ones, are 0.
+
+    A single other level is high if there are zeros beside it, and no trigger if there are none. Of several, 2-means tell
+    low from high; where these lie no further apart than ``apart`` median absolute deviations, there is no high level.
+    """
+    x = np.nan_to_num(np.asarray(x, float))
+    on = np.abs(x) > zero
+    out = np.zeros(len(x), int)
     v = x[on]
+    if not len(v):
+        return out
+    if np.ptp(v) <= zero:
+        out[on] = int(not on.all())
+        return out
     lo, hi = v.min(), v.max()
-    for _ in range(50):
+    while True:
         high = v > (lo + hi) / 2
-        a, b = (v[~high].mean() if (~high).any() else lo), (v[high].mean() if high.any() else hi)
+        a, b = v[~high].mean(), v[high].mean()
         if (a, b) == (lo, hi):
             break
         lo, hi = a, b
-    mad = np.median(np.abs(v - np.median(v)))
-    cut = (lo + hi) / 2 if hi - lo >= max(5 * mad, 1e-6) else (x.min() + x.max()) / 2
-    return (x > cut).astype(int)
+    noise = np.median(np.abs(v - np.median(v)))
+    if hi - lo >= max(apart * noise, zero):
+        out[on] = high
+    return out
 
 
 def infomax(x: np.ndarray, rounds: int = 200, seed: int = 0) -> np.ndarray:
@@ -275,66 +322,117 @@ def mix_channels(samples: DataFrame, weights: DataFrame, at: Keys, channel: str
     return joined.groupBy(*at, F.col("target").alias(channel)).agg(F.sum(F.col(value) * F.col("weight")).alias(value))
 
 
+def interpolate_channels(samples: DataFrame, sites: DataFrame, bad: Sequence[object], at: Keys, channel: str = "channel", value: str = "value") -> DataFrame:
+    """(at, channel, value) of the channels ``bad``, by spherical splines from the others of ``sites`` (channel, x, y, z). Sites are
+    a montage, some hundred rows; where a channel lacks a sample, its part is left out."""
+    rows = sites.select(channel, "x", "y", "z").collect()
+    place = {r[0]: np.array(r[1:]) / np.linalg.norm(r[1:]) for r in rows}
+    good = [c for c in place if c not in set(bad)]
+    w = spline_weights(np.array([place[c] for c in good]), np.array([place[c] for c in bad]))
+    kind = samples.schema[channel].dataType.simpleString()
+    weights = samples.sparkSession.createDataFrame([(c, t, float(w[i, j])) for i, t in enumerate(bad) for j, c in enumerate(good)], f"{channel} {kind}, target {kind}, weight double")
+    return mix_channels(samples, weights, at, channel, value)
+
+
 # --- sums instead of kernels
 
 
 def convolve(df: DataFrame, keys: Keys, order: str, value: str, kernel: Sequence[float], out: str = "convolved") -> DataFrame:
-    """Causal convolution, as long as the input; samples before the first are 0. A window of as many rows as the kernel has."""
+    """Causal convolution, as long as the input; samples before the first, and missing ones, are 0. A window of as many rows
+    as the kernel has; a missing sample keeps its place in it."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(len(kernel) - 1), 0)
-    back = F.reverse(F.collect_list(F.col(value)).over(w))
+    back = F.reverse(F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w))
     h = F.array(*[F.lit(float(x)) for x in kernel])
     total = F.aggregate(F.zip_with(back, F.slice(h, F.lit(1), F.size(back)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return df.withColumn(out, total)
 
 
-def demeaned(df: DataFrame, keys: Keys, value: str) -> DataFrame:
-    return df.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
+def fir_filter(df: DataFrame, keys: Keys, order: str, value: str, kernel: Sequence[float], **how) -> DataFrame:
+    """Zero-phase filter by a symmetric kernel of odd length, such as :func:`fir` makes; ends are continued by their value."""
+    h = np.asarray(kernel, float)
+    return per_channel(df, keys, order, value, lambda x: same(x, h), **how)
+
+
+def spectra(rows: DataFrame, keys: Keys, cols: Keys, kernel: Callable[..., list[np.ndarray]], names: Keys) -> DataFrame:
+    """(keys, k, names): for each row of packed arrays ``cols``, what ``kernel`` gives at each frequency k. Rows of equal length
+    are transformed together."""
+    schema = rows.select(*keys, *[F.array(F.lit(0.0)).alias(n) for n in names]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                data = [arrays(part.column(len(keys) + i)) for i in range(len(cols))]
+                sizes = np.array([len(x) for x in data[0]])
+                out: list[list] = [[None] * len(sizes) for _ in names]
+                for size in np.unique(sizes):
+                    own = np.flatnonzero(sizes == size)
+                    for i, made in enumerate(kernel(*[np.stack([x[j] for j in own]) for x in data])):
+                        for j, v in zip(own, made, strict=True):
+                            out[i][j] = v
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *map(lists, out)], names=[f.name for f in schema])
 
+    found = rows.select(*keys, *cols).mapInArrow(run, schema)
+    return found.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("k", "__r")).select(*keys, "k", *[F.col(f"__r.{n}").alias(n) for n in names])
 
-def periodogram(df: DataFrame, keys: Keys, index: str, value: str, rate: float, n: int) -> DataFrame:
-    """One-sided power (keys, freq, power) of demeaned samples 0..n-1, padded to a power of two: sums of cosines and sines."""
-    nfft = 1 << max(0, n - 1).bit_length()
-    wide = demeaned(df, keys, value).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(nfft // 2))))
-    angle = F.lit(2 * math.pi / nfft) * F.col("k") * F.col(index)
-    sums = wide.groupBy(*keys, "k").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(F.col(value) * F.sin(angle)).alias("im"))
-    twice = F.when((F.col("k") == 0) | (F.col("k") == nfft // 2), F.lit(1.0)).otherwise(F.lit(2.0))
-    return sums.select(*keys, (F.col("k") * F.lit(rate / nfft)).alias("freq"), (twice * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.lit(rate * n)).alias("power"))
 
+def periodogram(df: DataFrame, keys: Keys, index: str, value: str, rate: float) -> DataFrame:
+    """One-sided power (keys, freq, power) of each channel's demeaned samples, as many as it has, padded to a power of two. A
+    missing sample counts as the mean."""
 
-def segments(df: DataFrame, index: str, width: int, step: int, n: int) -> DataFrame:
-    """Rows dealt to each full, overlapping segment (seg) that they stand in, with their place in it (pos)."""
-    count = (n - width) // step + 1
+    def kernel(x: np.ndarray) -> list[np.ndarray]:
+        n = x.shape[1]
+        nfft = 1 << max(0, n - 1).bit_length()
+        gone = np.isnan(x)
+        mean = np.where(gone, 0, x).sum(1, keepdims=True) / np.maximum(1, (~gone).sum(1, keepdims=True))
+        power = np.abs(np.fft.rfft(np.where(gone, 0, x - mean), nfft)) ** 2 / (rate * n)
+        power[:, 1 : (nfft + 1) // 2] *= 2
+        return [power, np.broadcast_to(np.arange(power.shape[1]) * (rate / nfft), power.shape)]
+
+    return spectra(packed(df, keys, index, [value]), keys, [value], kernel, ["power", "freq"]).select(*keys, "freq", "power")
+
+
+def segments(df: DataFrame, keys: Keys, index: str, cols: Keys, width: int, step: int) -> DataFrame:
+    """(keys, seg, cols): packed samples of each overlapping segment of ``width`` that a channel has in full, without gaps. A
+    sample is dealt to the segments that it stands in, so a long recording is spread over its segments."""
     first = F.greatest(F.lit(0), F.ceil((F.col(index) - (width - 1)) / F.lit(float(step))).cast("int"))
-    last = F.least(F.lit(count - 1), F.floor(F.col(index) / F.lit(float(step))).cast("int"))
-    return df.where(first <= last).withColumn("seg", F.explode(F.sequence(first, last))).withColumn("pos", F.col(index) - F.col("seg") * step)
+    last = F.floor(F.col(index) / F.lit(float(step))).cast("int")
+    here = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    dealt = df.where(here & (first <= last)).select(*keys, index, *cols, F.explode(F.sequence(first, last)).alias("seg"))
+    return packed(dealt, [*keys, "seg"], index, cols).where(F.size(cols[0]) == width)
+
 
+def hamming(width: int) -> np.ndarray:
+    return 0.54 - 0.46 * np.cos(2 * math.pi * np.arange(width) / (width - 1))
 
-def welch(df: DataFrame, keys: Keys, index: str, value: str, rate: float, n: int, width: int, nfft: int | None = None) -> DataFrame:
-    """Welch's power density (keys, freq, power): Hamming window, half overlap."""
+
+def welch(df: DataFrame, keys: Keys, index: str, value: str, rate: float, width: int, nfft: int | None = None) -> DataFrame:
+    """Welch's power density (keys, freq, power): Hamming window, half overlap, over each channel's own full segments."""
     nfft = nfft or max(256, 1 << (width - 1).bit_length())
-    window = 0.54 - 0.46 * np.cos(2 * math.pi * np.arange(width) / (width - 1))
-    seg = segments(df, index, width, width // 2, n)
-    taper = F.lit(0.54) - F.lit(0.46) * F.cos(F.lit(2 * math.pi / (width - 1)) * F.col("pos"))
-    wide = seg.withColumn("__v", F.col(value) * taper).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(nfft // 2))))
-    angle = F.lit(2 * math.pi / nfft) * F.col("k") * F.col("pos")
-    sums = wide.groupBy(*keys, "seg", "k").agg(F.sum(F.col("__v") * F.cos(angle)).alias("re"), F.sum(F.col("__v") * F.sin(angle)).alias("im"))
-    twice = F.when((F.col("k") == 0) | (F.col("k") == nfft // 2), F.lit(1.0)).otherwise(F.lit(2.0))
-    power = twice * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.lit(rate * float((window**2).sum()))
-    return sums.withColumn("p", power).groupBy(*keys, (F.col("k") * F.lit(rate / nfft)).alias("freq")).agg(F.avg("p").alias("power"))
-
-
-def coherence(df: DataFrame, keys: Keys, index: str, x: str, y: str, rate: float, n: int, width: int, nfft: int | None = None) -> DataFrame:
+    taper = hamming(width)
+
+    def kernel(x: np.ndarray) -> list[np.ndarray]:
+        power = np.abs(np.fft.rfft(x * taper, nfft)) ** 2 / (rate * float((taper**2).sum()))
+        power[:, 1 : (nfft + 1) // 2] *= 2
+        return [power]
+
+    found = spectra(segments(df, keys, index, [value], width, width // 2), [*keys, "seg"], [value], kernel, ["p"])
+    return found.groupBy(*keys, (F.col("k") * F.lit(rate / nfft)).alias("freq")).agg(F.avg("p").alias("power"))
+
+
+def coherence(df: DataFrame, keys: Keys, index: str, x: str, y: str, rate: float, width: int, nfft: int | None = None) -> DataFrame:
     """Magnitude-squared coherence (keys, freq, coherence): sums over half-overlapping Hamming segments."""
     nfft = nfft or max(256, 1 << (width - 1).bit_length())
-    seg = segments(df, index, width, width // 2, n)
-    taper = F.lit(0.54) - F.lit(0.46) * F.cos(F.lit(2 * math.pi / (width - 1)) * F.col("pos"))
-    wide = seg.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(nfft // 2))))
-    angle = F.lit(2 * math.pi / nfft) * F.col("k") * F.col("pos")
-    part = lambda c, f, name: F.sum(F.col(c) * taper * f(angle)).alias(name)
-    s = wide.groupBy(*keys, "seg", "k").agg(part(x, F.cos, "xr"), part(x, F.sin, "xi"), part(y, F.cos, "yr"), part(y, F.sin, "yi"))
-    s = s.groupBy(*keys, "k").agg(
-        F.sum(F.expr("xr*yr + xi*yi")).alias("cr"), F.sum(F.expr("xi*yr - xr*yi")).alias("ci"), F.sum(F.expr("xr*xr + xi*xi")).alias("pxx"), F.sum(F.expr("yr*yr + yi*yi")).alias("pyy")
-    )
+    taper = hamming(width)
+
+    def kernel(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        u, v = np.fft.rfft(a * taper, nfft), np.fft.rfft(b * taper, nfft)
+        both = u * v.conj()
+        return [both.real, both.imag, np.abs(u) ** 2, np.abs(v) ** 2]
+
+    names = ["cr", "ci", "pxx", "pyy"]
+    found = spectra(segments(df, keys, index, [x, y], width, width // 2), [*keys, "seg"], [x, y], kernel, names)
+    s = found.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in names])
     return s.select(*keys, (F.col("k") * F.lit(rate / nfft)).alias("freq"), F.try_divide(F.expr("cr*cr + ci*ci"), F.expr("pxx*pyy")).alias("coherence"))
 
 

@@ -10,9 +10,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from .robust import biweight
+from .signal import arrays, packed
 from .tables import safe_corr
 
 Keys = Sequence[str]
@@ -94,11 +99,12 @@ def benjamini_hochberg(df: DataFrame, p: str, family: Keys = (), alpha: float =
     return out.withColumn("q", q).withColumn("significant", F.col("q") <= alpha).drop("__s")
 
 
-def pearson(df: DataFrame, keys: Keys, x: str, y: str, ids: str, least: int = 3) -> DataFrame:
-    """n, r, t, dof and the subjects of each cell; r null where n < ``least`` or a variance is 0. Cells are kept anyhow."""
+def pearson(df: DataFrame, keys: Keys, x: str, y: str, ids: str | None = None, least: int = 3) -> DataFrame:
+    """n, r, t, dof of each cell; r null where n < ``least`` or a variance is 0. Cells are kept anyhow. With ``ids`` the subjects
+    of a cell too, as one string: for studies whose subjects can be listed."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     n = F.count_if(both)
-    out = df.groupBy(*keys).agg(n.alias("n"), F.when(n >= least, safe_corr(x, y)).alias("r"), F.array_join(F.array_sort(F.collect_list(F.when(both, F.col(ids).cast("string")))), ",").alias("subjects"))
+    out = df.groupBy(*keys).agg(n.alias("n"), F.when(n >= least, safe_corr(x, y)).alias("r"), *([F.array_join(F.array_sort(F.collect_list(F.when(both, F.col(ids).cast("string")))), ",").alias("subjects")] if ids else []))
     return out.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0)).cast("double")), F.sqrt(1 - F.col("r") * F.col("r")))).withColumn("dof", F.col("n") - 2)
 
 
@@ -189,6 +195,47 @@ def simulate(a: np.ndarray, b: np.ndarray, delay: int, u: np.ndarray) -> np.ndar
     return y
 
 
+def polynomials(fits: DataFrame, subject: Keys, na: int, nb: int) -> DataFrame:
+    """(subject, a, b): the estimates of :func:`arx` as arrays, of past outputs and of inputs."""
+    of = lambda n: F.max(F.when(F.col("term") == n, F.col("beta")))
+    return fits.groupBy(*subject).agg(F.array(*[of(f"y{k}") for k in range(1, na + 1)]).alias("a"), F.array(*[of(f"u{k}") for k in range(nb)]).alias("b"))
+
+
+def responses(fits: DataFrame, subject: Keys, na: int, nb: int, delay: int, n: int, dt: float) -> DataFrame:
+    """(subject, peak, lag, gain, tau, irf) of each subject's ARX model, by :func:`impulse_response`; null where there is none."""
+    rows = polynomials(fits, subject, na, nb)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in subject)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [impulse_response(np.asarray(a, float), np.asarray(b, float), delay, n, dt) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
+            out = pdf[list(subject)].assign(**{c: [m[c] for m in made] for c in ("peak", "lag", "gain", "tau")}, irf=[m["irf"].tolist() for m in made])
+            yield out.astype({c: object for c in ("gain", "tau")}).where(out.notna(), None)
+
+    return rows.mapInPandas(run, f"{kinds}, peak double, lag double, gain double, tau double, irf array<double>")
+
+
+def simulation_scores(df: DataFrame, fits: DataFrame, subject: Keys, segment: str, order: str, y: str, u: str, na: int, nb: int, delay: int) -> DataFrame:
+    """(subject, segment, n, rmse, r): how well each subject's ARX model, run freely from rest on a segment's input, gives its
+    output, after the first samples that the model looks back on. r is null where one of both doesn't vary."""
+    keys, skip = [*subject, segment], max(na, delay + nb - 1)
+    rows = packed(df, keys, order, [y, u]).join(polynomials(fits, subject, na, nb), list(subject))
+    rows = rows.select(*keys, y, u, "a", "b")
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for v, x, a, b in zip(pdf[y], pdf[u], pdf["a"], pdf["b"], strict=True):
+                free = simulate(np.asarray(a, float), np.asarray(b, float), delay, np.asarray(x, float))[skip:]
+                v = np.asarray(v, float)[skip:]
+                vary = len(v) > 1 and v.std() > 0 and free.std() > 0
+                out.append((len(v), float(np.sqrt(np.mean((v - free) ** 2))) if len(v) else None, float(np.corrcoef(v, free)[0, 1]) if vary else None))
+            yield pdf[keys].assign(n=[o[0] for o in out], rmse=[o[1] for o in out], r=[o[2] for o in out])
+
+    return rows.mapInPandas(run, f"{kinds}, n int, rmse double, r double")
+
+
 def subspace(y: np.ndarray, u: np.ndarray, order: int = 2, rows: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(A, B, C, D) of a state-space model of one input and one output, from the row space that future outputs share once
     the input's is projected out; B, D and the first state by least squares."""
@@ -228,99 +275,157 @@ def state_space(df: DataFrame, keys: Keys, order: str, y: str, u: str, states: i
 
 
 def kalman(y: np.ndarray, x: np.ndarray, lam: float = 0.98, q: float = 1e-4, r: float = 1.0, p0: float = 1e3, state=None) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(parameters after each sample, predictions before it, state): recursive least squares with forgetting."""
-    m = x.shape[1]
-    theta, p = state if state is not None else (np.zeros(m), np.eye(m) * p0)
-    path, ahead = np.zeros((len(y), m)), np.zeros(len(y))
-    for t in range(len(y)):
+    """(parameters after each sample, predictions before it, state): recursive least squares with forgetting, of one series or,
+    with a leading axis, of many of equal length together."""
+    if y.ndim == 1:
+        before = None if state is None else tuple(v[None] for v in state)
+        path, ahead, after = kalman(y[None], x[None], lam, q, r, p0, before)
+        return path[0], ahead[0], tuple(v[0] for v in after)
+    n, m = x.shape[0], x.shape[2]
+    theta, p = state if state is not None else (np.zeros((n, m)), np.tile(np.eye(m) * p0, (n, 1, 1)))
+    path, ahead = np.zeros((*y.shape, m)), np.zeros(y.shape)
+    for t in range(y.shape[1]):
+        row = x[:, t]
         p = p / lam + q * np.eye(m)
-        ahead[t] = x[t] @ theta
-        gain = p @ x[t] / (x[t] @ p @ x[t] + r)
-        theta = theta + gain * (y[t] - ahead[t])
-        p = p - np.outer(gain, x[t]) @ p
-        path[t] = theta
+        ahead[:, t] = np.einsum("ni,ni->n", row, theta)
+        side = np.einsum("nij,nj->ni", p, row)
+        gain = side / (np.einsum("ni,ni->n", row, side) + r)[:, None]
+        theta = theta + gain * (y[:, t] - ahead[:, t])[:, None]
+        p = p - gain[:, :, None] * np.einsum("ni,nij->nj", row, p)[:, None, :]
+        path[:, t] = theta
     return path, ahead, (theta, p)
 
 
-def kalman_arx(df: DataFrame, keys: Keys, order: str, y: str, x: Keys, burn_in: int = 0, **how) -> DataFrame:
-    """(keys, mean and sd of each parameter after ``burn_in`` samples, rmse of predictions): a segment in a task."""
+def together(df: DataFrame, keys: Keys, order: str, y: str, x: Keys, schema: str, kernel) -> DataFrame:
+    """Rows that ``kernel`` (y, x, and where each channel stands) makes of channels, those of equal length together, after rows
+    with a missing value are left out. It yields (channel, values after the keys)."""
+    rows = packed(df, keys, order, [y, *x])
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, *[c.strip().split(" ")[0] for c in schema.split(",")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                data = [arrays(part.column(len(keys) + 1 + i)) for i in range(1 + len(x))]
+                whole = [np.isfinite(np.stack(v)).all(0) if len(v[0]) else np.zeros(0, bool) for v in zip(*data, strict=True)]
+                sizes = np.array([int(w.sum()) for w in whole])
+                head = part.select(list(keys)).to_pylist()
+                out = []
+                for size in np.unique(sizes):
+                    own = np.flatnonzero(sizes == size)
+                    ys = np.stack([data[0][i][whole[i]] for i in own])
+                    xs = np.stack([np.stack([d[i][whole[i]] for d in data[1:]], 1) for i in own])
+                    out += [(int(own[i]), *row) for i, *row in kernel(ys, xs)]
+                out.sort(key=lambda r: r[0])
+                made = [head[i] | dict(zip(names[len(keys) :], row, strict=True)) for i, *row in out]
+                if made:
+                    yield pa.RecordBatch.from_pylist(made, made_schema)
+
+    made_schema = to_arrow_schema(T.StructType.fromDDL(f"{kinds}, {schema}"))
+    return rows.mapInArrow(run, f"{kinds}, {schema}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[y, *x]).sort_values(order)
-        path, ahead, _ = kalman(pdf[y].to_numpy(float), pdf[list(x)].to_numpy(float), **how)
-        kept = path[burn_in:]
-        if not len(kept):
-            return pd.DataFrame(columns=[*keys, "theta", "theta_sd", "rmse"])
-        err = pdf[y].to_numpy(float)[burn_in:] - ahead[burn_in:]
-        return pd.DataFrame([[*pdf[list(keys)].iloc[0], kept.mean(0).tolist(), kept.std(0).tolist(), float(np.sqrt((err**2).mean()))]], columns=[*keys, "theta", "theta_sd", "rmse"])
 
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, y, *x).groupBy(*keys).applyInPandas(run, f"{kinds}, theta array<double>, theta_sd array<double>, rmse double")
+def kalman_arx(df: DataFrame, keys: Keys, order: str, y: str, x: Keys, burn_in: int = 0, **how) -> DataFrame:
+    """(keys, mean and sd of each parameter after ``burn_in`` samples, rmse of predictions). Segments no longer than that have
+    no row."""
+
+    def kernel(ys: np.ndarray, xs: np.ndarray) -> Iterator[tuple]:
+        if ys.shape[1] > burn_in:
+            path, ahead, _ = kalman(ys, xs, **how)
+            kept, err = path[:, burn_in:], (ys - ahead)[:, burn_in:]
+            yield from zip(range(len(ys)), kept.mean(1).tolist(), kept.std(1).tolist(), np.sqrt((err**2).mean(1)).tolist(), strict=True)
+
+    return together(df, keys, order, y, x, "theta array<double>, theta_sd array<double>, rmse double", kernel)
+
+
+def ar_fit(res: np.ndarray, order: int) -> np.ndarray:
+    """(series, order) AR coefficients of each series, of the order that BIC chooses, 0 beyond it: one Levinson recursion
+    gives all orders' fits from the autocovariances."""
+    m, n = res.shape
+    r = np.stack([(res[:, k:] * res[:, : n - k]).sum(1) / n for k in range(order + 1)], 1)
+    a, err = np.zeros((m, order)), np.maximum(r[:, 0], 1e-300)
+    best, least = a.copy(), n * np.log(err) + math.log(n)
+    for k in range(1, order + 1):
+        turn = (r[:, k] - np.einsum("mj,mj->m", a[:, : k - 1], r[:, k - 1 : 0 : -1])) / err
+        a[:, : k - 1], a[:, k - 1] = a[:, : k - 1] - turn[:, None] * a[:, : k - 1][:, ::-1], turn
+        err = np.maximum(err * (1 - turn * turn), 1e-300)
+        bic = n * np.log(err) + (k + 1) * math.log(n)
+        better = bic < least
+        best[better], least = a[better], np.minimum(bic, least)
+    return best
+
+
+def whiten(v: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Each series less what its AR model says of it; samples before the first are 0."""
+    out = v.copy()
+    for k in range(1, a.shape[1] + 1):
+        out[:, k:] -= a[:, k - 1].reshape(-1, *[1] * (v.ndim - 1)) * v[:, :-k]
+    return out
 
 
-def tukey_weights(r: np.ndarray, c: float = 4.685) -> np.ndarray:
-    s = 1.4826 * np.median(np.abs(r - np.median(r)))
-    u = r / (c * s) if s > 0 else np.zeros_like(r)
-    return np.where(np.abs(u) < 1, (1 - u**2) ** 2, 0.0)
+def weighted_fit(y: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(beta, inverse of the weighted products) of each series."""
+    inverse = np.linalg.pinv(np.einsum("mnp,mn,mnq->mpq", x, w, x), hermitian=True)
+    return np.einsum("mpq,mq->mp", inverse, np.einsum("mnp,mn->mp", x, w * y)), inverse
 
 
-def ar_irls(y: np.ndarray, x: np.ndarray, order: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(beta, covariance, degrees of freedom, AR order): regression whose errors are autoregressive and have outliers.
+def ar_irls(y: np.ndarray, x: np.ndarray, order: int, rounds: int = 30) -> tuple[np.ndarray, ...]:
+    """(beta, covariance, degrees of freedom, AR order): regression whose errors are autoregressive and have outliers; of one
+    channel or, with a leading axis, of many of equal length together.
 
     Residuals' AR filter, its order up to ``order`` chosen by BIC, whitens both sides; a robust fit follows, until the
     estimates settle.
     """
-    beta = np.linalg.pinv(x) @ y
-    p_used, w, xw, yw = 0, np.ones(len(y)), x, y
+    if y.ndim == 1:
+        return tuple(v[0] for v in ar_irls(y[None], x[None], order, rounds))
+    m, n, p = x.shape
+    most = min(order, n // 4)
+    beta, _ = weighted_fit(y, x, np.ones_like(y))
+    w, yw, xw, a = np.ones_like(y), y.copy(), x.copy(), np.zeros((m, most))
+    left = np.arange(m)
     for _ in range(rounds):
-        res = y - x @ beta
-        best = (np.inf, np.zeros(0))
-        for p in range(0, min(order, len(y) // 4) + 1):
-            lagm = np.column_stack([np.r_[np.zeros(k), res[:-k]] for k in range(1, p + 1)]) if p else np.zeros((len(y), 0))
-            a = np.linalg.lstsq(lagm, res, rcond=None)[0] if p else np.zeros(0)
-            e = res - lagm @ a
-            bic = len(y) * math.log(max(e @ e / len(y), 1e-300)) + (p + 1) * math.log(len(y))
-            if bic < best[0]:
-                best = (bic, a)
-        a, p_used = best[1], len(best[1])
-        f = lambda v, a=a: v - sum((a[k - 1] * np.r_[np.zeros(k), v[:-k]] for k in range(1, len(a) + 1)), np.zeros_like(v))
-        yw, xw = f(y), np.column_stack([f(x[:, j]) for j in range(x.shape[1])])
-        b = beta
+        a[left] = ar_fit(y[left] - np.einsum("mnp,mp->mn", x[left], beta[left]), most)
+        yl, xl, b = whiten(y[left], a[left]), whiten(x[left], a[left]), beta[left]
         for _ in range(20):
-            w = tukey_weights(yw - xw @ b)
-            sw = np.sqrt(w)[:, None]
-            nb = np.linalg.lstsq(xw * sw, yw * sw[:, 0], rcond=None)[0]
-            if np.allclose(nb, b, rtol=1e-8, atol=1e-12):
-                b = nb
+            r = yl - np.einsum("mnp,mp->mn", xl, b)
+            wl = biweight(r, np.median(r, axis=1, keepdims=True))
+            last, (b, _) = b, weighted_fit(yl, xl, wl)
+            if np.allclose(b, last, rtol=1e-8, atol=1e-12):
                 break
-            b = nb
-        if np.linalg.norm(b - beta) <= 1e-6 * max(np.linalg.norm(beta), 1e-12):
-            beta = b
+        yw[left], xw[left], w[left] = yl, xl, wl
+        moved = np.linalg.norm(b - beta[left], axis=1) > 1e-6 * np.maximum(np.linalg.norm(beta[left], axis=1), 1e-12)
+        beta[left] = b
+        left = left[moved]
+        if not len(left):
             break
-        beta = b
-    dof = max(1, int(round(w.sum())) - x.shape[1])
-    sw = np.sqrt(w)[:, None]
-    e = (yw - xw @ beta) * sw[:, 0]
-    return beta, (e @ e / dof) * np.linalg.pinv((xw * sw).T @ (xw * sw)), dof, p_used
+    dof = np.maximum(1, np.round(w.sum(1)).astype(np.int64) - p)
+    r = yw - np.einsum("mnp,mp->mn", xw, beta)
+    _, inverse = weighted_fit(yw, xw, w)
+    return beta, ((w * r * r).sum(1) / dof)[:, None, None] * inverse, dof, (a != 0).sum(1)
 
 
 def ar_irls_glm(df: DataFrame, keys: Keys, order: str, y: str, x: Keys, ar: int = 8) -> DataFrame:
-    """(keys, term, beta, se, t, p, ar_order, status): :func:`ar_irls` for each channel, a channel in a task.
+    """(keys, term, beta, se, t, p, ar_order, status): :func:`ar_irls` for each channel, those of equal length together.
 
     A channel that can't be fitted has one row with a null term and the reason as its status.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = [pdf[k].iloc[0] for k in keys]
-        pdf = pdf.dropna(subset=[y, *x]).sort_values(order)
-        if len(pdf) <= len(x) + 2:
-            return pd.DataFrame([[*head, None, None, None, None, None, None, "too few rows"]], columns=names)
-        beta, cov, dof, used = ar_irls(pdf[y].to_numpy(float), pdf[list(x)].to_numpy(float), ar)
-        se = np.sqrt(np.maximum(np.diag(cov), 0))
+    def kernel(ys: np.ndarray, xs: np.ndarray) -> Iterator[tuple]:
+        if ys.shape[1] <= len(x) + 2:
+            yield from ((i, None, None, None, None, None, None, "too few rows") for i in range(len(ys)))
+            return
+        try:
+            beta, cov, dof, used = ar_irls(ys, xs, ar)
+        except np.linalg.LinAlgError as e:
+            yield from ((i, None, None, None, None, None, None, str(e)) for i in range(len(ys)))
+            return
+        se = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0))
         t = np.divide(beta, se, out=np.full_like(beta, np.nan), where=se > 0)
-        p = two_sided_p(t, np.full_like(t, dof))
-        return pd.DataFrame([[*head, c, *v, used, "ok"] for c, *v in zip(x, beta, se, t, p, strict=True)], columns=names)
+        p = two_sided_p(t, np.broadcast_to(dof[:, None], t.shape))
+        none = lambda v: None if math.isnan(v) else float(v)
+        for i in range(len(ys)):
+            for j, c in enumerate(x):
+                yield i, c, float(beta[i, j]), float(se[i, j]), none(t[i, j]), none(p[i, j]), int(used[i]), "ok"
 
-    names = [*keys, "term", "beta", "se", "t", "p", "ar_order", "status"]
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, y, *x).groupBy(*keys).applyInPandas(run, f"{kinds}, term string, beta double, se double, t double, p double, ar_order int, status string")
+    return together(df, keys, order, y, x, "term string, beta double, se double, t double, p double, ar_order int, status string", kernel)

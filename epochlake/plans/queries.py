@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import alignment as al
 from ..operators import epochs as ep
+from ..operators import glm as gl
 from ..operators import signal as sg
 from ..operators import stats as st
 from ..operators import tables as tb
@@ -470,9 +471,9 @@ def _(spark, d):
 # --- order and sets
 
 
-@query("st1_ordered_events", f"WITH {E} SELECT subj, event_id FROM e WHERE subj < 5 ORDER BY subj, onset_s")
+@query("st1_ordered_events", f"WITH {E} SELECT subj, event_id FROM e ORDER BY subj, onset_s, event_id")
 def _(spark, d):
-    return events(spark, d).where("subj < 5").orderBy("subj", "onset_s").select("subj", "event_id")
+    return events(spark, d).orderBy("subj", "onset_s", "event_id").select("subj", "event_id")
 
 
 @query("st2_ep4_peak", f"WITH {S}, r AS (SELECT trial, value, rel_t, row_number() OVER (PARTITION BY trial ORDER BY abs(value) DESC, rel_t) AS k FROM s) SELECT trial, value AS amplitude, rel_t AS latency FROM r WHERE k = 1")
@@ -520,11 +521,9 @@ def _(spark, d):
     return o.groupBy("g").agg(F.array_join(F.array_sort(F.collect_set("p")), ";").alias("pairs"))
 
 
-@query("sf2_numbers", "SELECT page_id, TRY_CAST(regexp_extract(url, '([0-9a-z]+)$', 1) AS DOUBLE) AS n FROM pages WHERE NOT regexp_matches(regexp_extract(url, '([0-9a-z]+)$', 1), '[a-z]') OR TRUE AND regexp_matches(regexp_extract(url, '([0-9a-z]+)$', 1), '^[a-z]+$')")
+@query("sf2_numbers", "SELECT page_id, CASE WHEN regexp_full_match(regexp_extract(url, '([0-9a-z]+)$', 1), '[0-9]+') THEN TRY_CAST(regexp_extract(url, '([0-9a-z]+)$', 1) AS DOUBLE) WHEN regexp_full_match(regexp_extract(url, '([0-9a-z]+)$', 1), '[0-9]+e[0-9]{1,2}') THEN TRY_CAST(regexp_extract(url, '([0-9a-z]+)$', 1) AS DOUBLE) END AS n FROM pages")
 def _(spark, d):
-    tail = F.regexp_extract("url", r"([0-9a-z]+)$", 1)
-    p = table(spark, d, "pages").where(~tail.rlike("[a-z]") | tail.rlike("^[a-z]+$"))
-    return p.select("page_id", fn.number(tail).alias("n"))
+    return table(spark, d, "pages").select("page_id", fn.number(F.regexp_extract("url", r"([0-9a-z]+)$", 1)).alias("n"))
 
 
 @query("sf3_outcome", f"WITH {E} SELECT event_id, '1' || CASE WHEN amp > 200 THEN '*' WHEN marker = 1 THEN '1' ELSE '2' END AS code FROM e")
@@ -583,10 +582,19 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", (-F.ln(F.col("value") / F.avg("value").over(Window.partitionBy("user_id")))).alias("od"))
 
 
-@query("sf14_beer_lambert")
+_E = {760: (586.0, 1548.52), 850: (1058.0, 691.32)}  # fixed values: molar extinctions of the public tables
+_DET = _E[760][0] * _E[850][1] - _E[760][1] * _E[850][0]
+
+
+@query(
+    "sf14_beer_lambert",
+    f"""WITH c AS (SELECT l_orderkey, l_linenumber, ({_E[850][1]}::DOUBLE * l_tax - {_E[760][1]}::DOUBLE * l_discount) / ({_DET}::DOUBLE * ln(10.0::DOUBLE) * 18) AS hbo,
+    ({_E[760][0]}::DOUBLE * l_discount - {_E[850][0]}::DOUBLE * l_tax) / ({_DET}::DOUBLE * ln(10.0::DOUBLE) * 18) AS hbr FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(hbo * 1e9, 4) + 0 AS hbo, round(hbr * 1e9, 4) + 0 AS hbr, round((hbo + hbr) * 1e9, 4) + 0 AS hbt FROM c""",
+)
 def _(spark, d):
     hbo, hbr, hbt = fn.beer_lambert([F.col("l_tax"), F.col("l_discount")], [760, 850], F.lit(3.0))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hbo.alias("hbo"), hbr.alias("hbr"), hbt.alias("hbt"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(c * 1e9, 4) + 0.0).alias(n) for c, n in ((hbo, "hbo"), (hbr, "hbr"), (hbt, "hbt"))])
 
 
 # --- signals
@@ -603,7 +611,18 @@ _one("sg2_lowpass", lambda x: sg.filtfilt(sg.butter(8, 50.0, hi=20.0), x))
 _one("sg2_bandpass", lambda x: sg.filtfilt(sg.butter(3, 50.0, 0.5, 2.5), x))
 _one("sg5_tddr", lambda x: sg.tddr(x, 50.0))
 _one("sg6_wavelet_repair", lambda x: sg.wavelet_repair(x))
-_one("sg8_hilbert_power", lambda x: sg.hilbert_power(x))
+
+
+@query(
+    "sg8_hilbert_power",
+    f"""WITH {S}, h AS (SELECT s.trial, s.idx, any_value(s.value) AS x, sum(p.value * CASE WHEN (s.idx - p.idx) % 2 = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE / 64 / tan(pi() * (s.idx - p.idx) / 64) END) AS y
+    FROM s JOIN s p ON p.trial = s.trial GROUP BY s.trial, s.idx) SELECT trial, idx, round(x * x + y * y, 9) AS value FROM h""",
+)
+def _(spark, d):
+    found = sg.per_channel(epochs(spark, d), ["trial"], "idx", "value", sg.hilbert_power)
+    return found.withColumn("value", F.round("value", 9))
+
+
 _one("sg16_binarise", lambda x: sg.binarise(x).astype(float))
 
 
@@ -618,9 +637,17 @@ def _(spark, d):
     return epochs(spark, d).select("trial", "idx", "value").groupBy("trial").applyInPandas(run, "trial bigint, idx int, value double")
 
 
-@query("sg3_fir", f"WITH {S} SELECT trial, idx, sum(value * w) AS convolved FROM (SELECT s.trial, s.idx, p.value, CASE s.idx - p.idx WHEN 0 THEN 0.25::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS w FROM s JOIN s p ON p.trial = s.trial AND s.idx - p.idx BETWEEN 0 AND 2) GROUP BY trial, idx")
+_LOW = lambda f: f"CASE WHEN k = 16 THEN 2.0::DOUBLE * {f} / 50 ELSE sin(pi() * 2.0::DOUBLE * {f} / 50 * (k - 16)) / (pi() * (k - 16)) END"
+
+
+@query(
+    "sg3_fir",
+    f"""WITH {S}, h AS (SELECT k, CASE WHEN k = 16 THEN 1 ELSE 0 END - (({_LOW(12)}) - ({_LOW(8)})) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 32)) AS h FROM range(33) t(k))
+    SELECT s.trial, s.idx, round(sum(p.value * h), 9) AS value FROM s, h JOIN s p ON p.trial = s.trial AND p.idx = greatest(0, least(63, s.idx + h.k - 16)) GROUP BY s.trial, s.idx""",
+)
 def _(spark, d):
-    return sg.convolve(epochs(spark, d), ["trial"], "idx", "value", [0.25, 0.5, 0.25]).select("trial", "idx", "convolved")
+    kernel = sg.fir(50.0, 8.0, 12.0, 33, stop=True)
+    return sg.fir_filter(epochs(spark, d), ["trial"], "idx", "value", kernel).withColumn("value", F.round("value", 9))
 
 
 @query("sg4_causal_convolution", f"WITH {S}, {_HRF} SELECT s.trial, s.idx, sum(p.value * k.g) AS convolved FROM s JOIN s p ON p.trial = s.trial AND p.idx <= s.idx JOIN k ON k.i = s.idx - p.idx GROUP BY s.trial, s.idx")
@@ -651,7 +678,7 @@ _PSD = "p AS (SELECT trial, k * (50.0::DOUBLE / 64) AS freq, CASE WHEN k IN (0,
 
 @query("sg10_periodogram", f"WITH {S}, {_FT}, {_PSD} SELECT trial, round(freq, 6) AS freq, round(power, 9) AS power FROM p")
 def _(spark, d):
-    return sg.periodogram(epochs(spark, d), ["trial"], "idx", "value", 50.0, 64).select("trial", F.round("freq", 6).alias("freq"), F.round("power", 9).alias("power"))
+    return sg.periodogram(epochs(spark, d), ["trial"], "idx", "value", 50.0).select("trial", F.round("freq", 6).alias("freq"), F.round("power", 9).alias("power"))
 
 
 @query("sg11_welch", f"""WITH {S}, g AS (SELECT trial, seg, idx - seg * 16 AS pos, value * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 31 * (idx - seg * 16))) AS v FROM s, (SELECT unnest(range(0, 3)) AS seg) WHERE idx BETWEEN seg * 16 AND seg * 16 + 31),
@@ -659,7 +686,7 @@ h AS (SELECT sum(pow(0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 31 * i), 2)) A
 f AS (SELECT trial, seg, k, sum(v * cos(2 * pi() / 32 * k * pos)) AS re, sum(v * sin(2 * pi() / 32 * k * pos)) AS im FROM g, (SELECT unnest(range(0, 17)) AS k) GROUP BY trial, seg, k)
 SELECT trial, k * 50.0::DOUBLE / 32 AS freq, avg(CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * (re * re + im * im) / (50.0::DOUBLE * (SELECT u FROM h))) AS power FROM f GROUP BY trial, k""")
 def _(spark, d):
-    return sg.welch(epochs(spark, d), ["trial"], "idx", "value", 50.0, 64, 32, 32)
+    return sg.welch(epochs(spark, d), ["trial"], "idx", "value", 50.0, 32, 32)
 
 
 @query("sg12_ersp")
@@ -701,7 +728,7 @@ f AS (SELECT trial, seg, k, sum(x * cos(2 * pi() / 32 * k * pos)) AS xr, sum(x *
 c AS (SELECT trial, k, sum(xr * yr + xi * yi) AS cr, sum(xi * yr - xr * yi) AS ci, sum(xr * xr + xi * xi) AS pxx, sum(yr * yr + yi * yi) AS pyy FROM f GROUP BY trial, k)
 SELECT trial, k * 50.0::DOUBLE / 32 AS freq, (cr * cr + ci * ci) / nullif(pxx * pyy, 0) AS coherence FROM c""")
 def _(spark, d):
-    return sg.coherence(_xy(spark, d), ["trial"], "idx", "x", "y", 50.0, 64, 32, 32)
+    return sg.coherence(_xy(spark, d), ["trial"], "idx", "x", "y", 50.0, 32, 32)
 
 
 @query("sg15_condition_difference", f"WITH {S}, c AS (SELECT bin, idx, avg(value) AS v FROM s WHERE bin IN (1, 2) GROUP BY bin, idx) SELECT a.idx, a.v - b.v AS diff FROM c a JOIN c b ON a.idx = b.idx AND a.bin = 2 AND b.bin = 1")
@@ -725,11 +752,23 @@ def _(spark, d):
     return means.groupBy("subj").applyInPandas(run, "subj bigint, bin int, idx int, value double")
 
 
-@query("sg18_interpolate_channels", f"WITH {S}, m AS (SELECT * FROM (VALUES (0, 9, 0.25::DOUBLE), (1, 9, 0.75::DOUBLE)) t(bin, target, w)), v AS (SELECT subj, bin, idx, avg(value) AS value FROM s GROUP BY ALL) SELECT v.subj, v.idx, target AS bin, sum(value * w) AS value FROM v JOIN m ON m.bin = v.bin GROUP BY v.subj, v.idx, target")
+#: Weights of sites 0 to 7 for sites 8 and 9, by an independent solver: fixed values.
+_SPLINES = "(0, 8, -0.579598758798::DOUBLE), (1, 8, 0.680457279718::DOUBLE), (2, 8, -0.90698236214::DOUBLE), (3, 8, 0.712425113406::DOUBLE), (4, 8, 0.213750277807::DOUBLE), (5, 8, 0.326359958845::DOUBLE), (6, 8, -0.516910812591::DOUBLE), (7, 8, 1.07049930375::DOUBLE), (0, 9, -0.872245661166::DOUBLE), (1, 9, 0.565818682118::DOUBLE), (2, 9, -0.570988992731::DOUBLE), (3, 9, 0.10911201926::DOUBLE), (4, 9, 0.766583651868::DOUBLE), (5, 9, 0.677084283786::DOUBLE), (6, 9, -0.35491027782::DOUBLE), (7, 9, 0.679546294687::DOUBLE)"
+
+
+def _site(k: int) -> tuple[float, float, float]:
+    """Ten places on a sphere."""
+    import math
+
+    z = (k - 4.5) / 6
+    return math.sqrt(1 - z * z) * math.cos(2 * math.pi * k / 5), math.sqrt(1 - z * z) * math.sin(2 * math.pi * k / 5), z
+
+
+@query("sg18_interpolate_channels", f"WITH {S}, m AS (SELECT * FROM (VALUES {_SPLINES}) t(bin, target, w)), v AS (SELECT subj, bin, idx, avg(value) AS value FROM s GROUP BY ALL) SELECT v.subj, v.idx, target AS bin, round(sum(value * w), 6) AS value FROM v JOIN m ON m.bin = v.bin GROUP BY v.subj, v.idx, target")
 def _(spark, d):
     means = epochs(spark, d).groupBy("subj", "bin", "idx").agg(F.avg("value").alias("value"))
-    weights = spark.createDataFrame([(0, 9, 0.25), (1, 9, 0.75)], "bin int, target int, weight double")
-    return sg.mix_channels(means, weights, ["subj", "idx"], "bin")
+    sites = spark.createDataFrame([(k, *_site(k)) for k in range(10)], "bin int, x double, y double, z double")
+    return sg.interpolate_channels(means, sites, [8, 9], ["subj", "idx"], "bin").withColumn("value", F.round("value", 6))
 
 
 @query("sg19_regrid", f"WITH {S} SELECT trial, CAST(g AS DOUBLE) / 32 AS t, a.value + (CAST(g AS DOUBLE) / 32 - a.t) * (b.value - a.value) / (b.t - a.t) AS value FROM (SELECT trial, unnest(range(1, 63, 2)) AS g FROM s WHERE idx = 0) q JOIN (SELECT trial, CAST(idx AS DOUBLE) / 32 * 1.5 AS t, idx, value FROM s) a USING (trial) JOIN (SELECT trial, CAST(idx AS DOUBLE) / 32 * 1.5 AS t, idx, value FROM s) b USING (trial) WHERE b.idx = a.idx + 1 AND a.t <= CAST(g AS DOUBLE) / 32 AND b.t > CAST(g AS DOUBLE) / 32")
@@ -815,7 +854,7 @@ def _(spark, d):
 
 @query("ep14_band_power", f"WITH {S}, {_FT}, {_PSD}, b AS (SELECT * FROM (VALUES ('theta', 4, 8), ('alpha', 8, 13), ('beta', 13, 25)) t(band, lo, hi)), a AS (SELECT trial, band, (freq - lag(freq) OVER w) * (power + lag(power) OVER w) / 2 AS a FROM p JOIN b ON freq >= lo AND freq < hi WINDOW w AS (PARTITION BY trial, band ORDER BY freq)) SELECT trial, band, sum(a) AS area FROM a GROUP BY trial, band")
 def _(spark, d):
-    p = sg.periodogram(epochs(spark, d), ["trial"], "idx", "value", 50.0, 64)
+    p = sg.periodogram(epochs(spark, d), ["trial"], "idx", "value", 50.0)
     return ep.band_power(p, ["trial"], {"theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 25.0)}, "left")
 
 
@@ -885,14 +924,64 @@ def _(spark, d):
 # --- statistics
 
 
-@query("ml1_regressor", f"WITH {S}, {_HRF}, u AS (SELECT trial, idx, CAST(value > 0.1 AS DOUBLE) AS u FROM s) SELECT a.trial, a.idx, sum(p.u * k.g) AS convolved FROM u a JOIN u p ON p.trial = a.trial AND p.idx <= a.idx JOIN k ON k.i = a.idx - p.idx GROUP BY a.trial, a.idx")
-def _(spark, d):
+_GRID = "g AS (SELECT subj, CAST(3600.0::DOUBLE * i AS DOUBLE) AS t, CAST(i AS INTEGER) AS i FROM (SELECT DISTINCT subj FROM e), (SELECT unnest(range(0, 744)) AS i))"
+_STIM = "w AS (SELECT subj, onset_s, CASE WHEN dur_s > 1 THEN dur_s * 3600 END AS dur_s, CASE WHEN marker > 1 THEN CAST(marker AS DOUBLE) END AS amp, CASE WHEN marker <> 3 THEN amp END AS wt FROM e WHERE condition = 'purchase')"
+_BOX = lambda of, name: f"{name}0 AS (SELECT g.subj, g.i, coalesce(sum({of}), 0) AS u FROM g LEFT JOIN w ON w.subj = g.subj AND g.t >= w.onset_s AND g.t < w.onset_s + coalesce(w.dur_s, 7200) GROUP BY g.subj, g.i), {name} AS (SELECT a.subj, a.i, sum(p.u * k.g) AS x FROM {name}0 a JOIN k ON k.i <= a.i JOIN {name}0 p ON p.subj = a.subj AND p.i = a.i - k.i GROUP BY a.subj, a.i)"
+
+
+def _hrf() -> list[float]:
     import numpy as np
 
     t = np.arange(40) * 0.5
     h = t**5 * np.exp(-t) / 120
-    u = epochs(spark, d).withColumn("u", (F.col("value") > 0.1).cast("double"))
-    return sg.convolve(u, ["trial"], "idx", "u", (h / h.max()).tolist()).select("trial", "idx", "convolved")
+    return (h / h.max()).tolist()
+
+
+def _stimuli(spark, d):
+    """An hourly grid of each subject, and stimuli some of which lack a duration, an amplitude or a weight."""
+    e = events(spark, d)
+    grid = e.select("subj").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(743)))).withColumn("t", F.col("i") * F.lit(3600.0))
+    w = e.where("condition = 'purchase'").select("subj", "onset_s", F.when(F.col("dur_s") > 1, F.col("dur_s") * 3600).alias("dur_s"), F.when(F.col("marker") > 1, F.col("marker").cast("double")).alias("amp"), F.when(F.col("marker") != 3, F.col("amp")).alias("wt"))
+    return grid, w
+
+
+@query("ml1_regressor", f"WITH {E}, {_GRID}, {_STIM}, {_HRF}, {_BOX('coalesce(w.amp, CASE WHEN w.subj IS NOT NULL THEN 1.0::DOUBLE END)', 'b')} SELECT subj, i, round(x, 6) AS x FROM b")
+def _(spark, d):
+    grid, w = _stimuli(spark, d)
+    return gl.regressor(grid, w, ["subj"], _hrf(), 7200.0, "x").select("subj", "i", F.round("x", 6).alias("x"))
+
+
+_TWO = """m AS (SELECT subj, count(*) AS n, regr_sxx(y, x1) AS s11, regr_sxx(y, x2) AS s22, regr_sxy(x2, x1) AS s12, regr_sxy(y, x1) AS s1y, regr_sxy(y, x2) AS s2y, regr_syy(y, x1) AS syy, sum(x1 * x1) AS q1, sum(x2 * x2) AS q2 FROM d GROUP BY subj),
+z AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM m WHERE q1 > 1e-12 AND q2 > 1e-12),
+f AS (SELECT *, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS v FROM z),
+t AS (SELECT subj, 'x1' AS term, b1 AS beta, sqrt(v * s22 / det) AS se, n - 3 AS dof FROM f UNION ALL SELECT subj, 'x2', b2, sqrt(v * s11 / det), n - 3 FROM f)
+SELECT subj, term, round(beta, 5) AS beta, round(se, 5) AS se, dof FROM t"""
+
+
+def _noise(i, subj):
+    return (subj * 7919 + i * 104729) % 1000 / 1000.0
+
+
+def _two(x):
+    out = gl.informed_glm(x, ["subj"], "y", ["intercept", "x1", "x2"], ["x1", "x2"]).where("term != 'intercept'")
+    return out.select("subj", "term", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"), "dof")
+
+
+@query("ml6_informed_glm", f"""WITH {E}, {_GRID}, {_STIM}, {_HRF}, {_BOX('CASE WHEN w.subj IS NOT NULL THEN 1.0::DOUBLE END', 'b')},
+ww AS (SELECT subj, onset_s, dur_s, coalesce((wt - avg(wt) OVER p) / nullif(stddev_samp(wt) OVER p, 0), 0) AS amp FROM w WINDOW p AS (PARTITION BY subj)), {_BOX('w.amp', 'c').replace('JOIN w ON', 'JOIN ww w ON')},
+d AS (SELECT b.subj, b.x AS x1, c.x AS x2, CAST((b.subj * 7919 + b.i * 104729) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS y FROM b JOIN c ON c.subj = b.subj AND c.i = b.i), {_TWO}""")
+def _(spark, d):
+    grid, w = _stimuli(spark, d)
+    x = gl.regressor(grid, w, ["subj"], _hrf(), 7200.0, "x1", amp=None)
+    x = gl.informed_regressor(x, w, ["subj"], _hrf(), 7200.0, "wt", "x2")
+    x, _names = gl.design(x.withColumn("y", _noise(F.col("i"), F.col("subj"))), ["subj"], ["x1", "x2"])
+    return _two(x)
+
+
+@query("ml2_design", f"WITH {S} SELECT trial, idx, 1.0::DOUBLE AS intercept, round(cos(pi() / 64 * (idx + 0.5::DOUBLE)), 9) AS dct01, round(cos(pi() / 64 * (idx + 0.5::DOUBLE) * 2), 9) AS dct02 FROM s")
+def _(spark, d):
+    x, names = gl.design(epochs(spark, d), ["trial"], [], "dct", 2, "rel_t")
+    return x.select("trial", "idx", *[F.round(c, 9).alias(c) if c != "intercept" else c for c in names])
 
 
 def _design(spark, d):
@@ -907,10 +996,14 @@ def _(spark, d):
     return out.select("bin", "term", F.round("beta", 8).alias("beta"), F.round("se", 8).alias("se"), F.round("t", 6).alias("t"), "dof")
 
 
-@query("ml2_ml4_contrast")
+@query("ml2_ml4_contrast", f"""WITH {S}, g AS (SELECT subj, CASE WHEN bin IN (1, 2) THEN bin ELSE 0 END AS k, count(*) AS n, avg(value) AS m, sum(value * value) - count(*) * avg(value) * avg(value) AS ss FROM s GROUP BY ALL),
+w AS (SELECT subj, max(m) FILTER (k = 0) AS m0, max(m) FILTER (k = 1) AS m1, max(m) FILTER (k = 2) AS m2, max(n) FILTER (k = 0) AS n0, max(n) FILTER (k = 1) AS n1, max(n) FILTER (k = 2) AS n2, sum(ss) / (sum(n) - 3) AS v, CAST(sum(n) - 3 AS BIGINT) AS dof FROM g GROUP BY subj HAVING count(*) = 3),
+t AS (SELECT subj, 'one' AS term, m0 AS beta, sqrt(v / n0) AS se, dof FROM w UNION ALL SELECT subj, 'common', m1 - m0, sqrt(v / n1 + v / n0), dof FROM w UNION ALL SELECT subj, 'oddball', m2 - m0, sqrt(v / n2 + v / n0), dof FROM w
+UNION ALL SELECT subj, 'oddball-common', m2 - m1, sqrt(v / n1 + v / n2), dof FROM w) SELECT subj, term, round(beta, 8) AS beta, round(se, 8) AS se, dof FROM t""")
 def _(spark, d):
     x = epochs(spark, d).select("subj", "value", F.lit(1.0).alias("one"), (F.col("bin") == 1).cast("double").alias("common"), (F.col("bin") == 2).cast("double").alias("oddball"))
-    return st.ols(x, ["subj"], "value", ["one", "common", "oddball"], {"oddball-common": [0.0, -1.0, 1.0]})
+    out = gl.informed_glm(x, ["subj"], "value", ["one", "common", "oddball"], ["common", "oddball"], {"oddball-common": [0.0, -1.0, 1.0]})
+    return out.select("subj", "term", F.round("beta", 8).alias("beta"), F.round("se", 8).alias("se"), "dof")
 
 
 @query("ml5_ar_irls")
@@ -918,15 +1011,15 @@ def _(spark, d):
     return st.ar_irls_glm(epochs(spark, d).select("trial", "idx", "value", F.lit(1.0).alias("one"), F.col("rel_t").alias("x")), ["trial"], "idx", "value", ["one", "x"], 4)
 
 
-@query("ml6_ml7_informed_glm")
+@query("ml7_course_glm")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("trial")
-    x = epochs(spark, d).withColumn("base", F.cos(F.col("rel_t") * 5.0)).withColumn("w", F.abs("value"))
-    z = (F.col("w") - F.avg("w").over(w)) / F.stddev_samp("w").over(w)
-    x = x.withColumn("informed", F.col("base") * z).withColumn("one", F.lit(1.0))
-    return st.ols(x, ["subj"], "value", ["one", "base", "informed"])
+    e = events(spark, d)
+    grid, w = _stimuli(spark, d)
+    course = e.where("condition = 'view'").groupBy("subj", F.col("onset_s").alias("t")).agg(F.avg("amp").alias("value"))
+    blocks = w.select("subj", F.col("onset_s").alias("lo"), (F.col("onset_s") + 36000.0).alias("hi"))
+    x = gl.course_regressor(grid, course, blocks, ["subj"], _hrf(), "x1")
+    x, names = gl.design(x.withColumn("y", _noise(F.col("i"), F.col("subj"))), ["subj"], ["x1"], "dct", 2)
+    return gl.informed_glm(x, ["subj"], "y", names, ["x1"])
 
 
 @query("ml8_pearson", f"WITH {B}, w AS (SELECT subj, roi, avg(beta) FILTER (chrom = 'F') AS x, avg(beta) FILTER (chrom = 'O') AS y FROM b GROUP BY subj, roi), v AS (SELECT * FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT roi, count(*) AS n, round(corr(x, y), 9) AS r, string_agg(CAST(subj AS VARCHAR), ',' ORDER BY CAST(subj AS VARCHAR)) AS subjects, count(*) - 2 AS dof FROM v GROUP BY roi")
@@ -937,11 +1030,17 @@ def _(spark, d):
     return out.select("roi", "n", F.round("r", 9).alias("r"), "subjects", "dof")
 
 
-@query("ml8_pearson_p")
+_TAIL = """CASE WHEN v % 2 = 0 THEN 1 - sin(th) * (SELECT sum(exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2.0::DOUBLE) + 2 * j * ln(cos(th)))) FROM range(0, CAST(v // 2 AS BIGINT)) r(j))
+ELSE 1 - 2 / pi() * (th + sin(th) * coalesce((SELECT sum(exp(2 * j * ln(2.0::DOUBLE) + 2 * lgamma(j + 1) - lgamma(2 * j + 2) + (2 * j + 1) * ln(cos(th)))) FROM range(0, CAST((v - 1) // 2 AS BIGINT)) r(j)), 0)) END"""
+
+
+@query("ml8_pearson_p", f"""WITH {B}, w AS (SELECT subj, roi, avg(beta) FILTER (chrom = 'F') AS x, avg(beta) FILTER (chrom = 'O') AS y FROM b GROUP BY subj, roi), c AS (SELECT roi, count(*) AS n, corr(x, y) AS r FROM w WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY roi),
+q AS (SELECT roi, n, r, n - 2 AS v, atan(abs(r * sqrt(n - 2) / sqrt(1 - r * r)) / sqrt(n - 2)) AS th FROM c) SELECT roi, n, round(r, 9) AS r, round({_TAIL}, 7) AS p FROM q""")
 def _(spark, d):
     of = lambda c: F.avg(F.when(F.col("chrom") == c, F.col("beta")))
     w = estimates(spark, d).groupBy("subj", "roi").agg(of("F").alias("x"), of("O").alias("y"))
-    return st.pearson(w, ["roi"], "x", "y", "subj").withColumn("p", st.p_value(F.col("t"), F.col("dof")))
+    out = st.pearson(w, ["roi"], "x", "y")
+    return out.select("roi", "n", F.round("r", 9).alias("r"), F.round(st.p_value(F.col("t"), F.col("dof")), 7).alias("p"))
 
 
 @query("ml9_one_sample_t", f"WITH {B}, m AS (SELECT roi, chrom, count(beta) AS n, avg(beta) AS mean, stddev_samp(beta) AS sd FROM b GROUP BY roi, chrom) SELECT roi, chrom, n, mean, sd, sd / sqrt(n) AS se, mean / nullif(sd / sqrt(n), 0) AS t, CASE WHEN n >= 2 THEN n - 1 END AS dof, mean / nullif(sd, 0) AS cohen_d FROM m")
@@ -964,8 +1063,7 @@ def _(spark, d):
 
 @query("ml11_arx")
 def _(spark, d):
-    x = epochs(spark, d).select("subj", "trial", "idx", F.col("value").alias("y"), (F.col("value") * F.col("rel_t")).alias("u"))
-    return st.arx(x, ["subj"], "trial", "idx", "y", "u")
+    return st.arx(_arx(spark, d), ["subj"], "trial", "idx", "y", "u")
 
 
 @query("ml11_lagged", f"WITH {S} SELECT trial, idx, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(rel_t, 1) OVER w AS u0, lag(rel_t, 2) OVER w AS u1 FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)")
@@ -974,25 +1072,32 @@ def _(spark, d):
     return rows.select("trial", "idx", *names)
 
 
-@query("ml12_ml13_responses")
-def _(spark, d):
-    import numpy as np
-    import pandas as pd
+def _arx(spark, d):
+    return epochs(spark, d).select("subj", "trial", "idx", F.col("value").alias("y"), (F.col("value") * F.col("rel_t")).alias("u"))
 
-    fits = QUERIES["ml11_arx"](spark, d).select("subj", "term", "beta")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = dict(zip(pdf["term"], pdf["beta"], strict=True))
-        r = st.impulse_response(np.array([b["y1"], b["y2"]]), np.array([b["u0"], b["u1"]]), 1, 60, 0.02)
-        return pd.DataFrame([[pdf["subj"].iloc[0], r["peak"], r["lag"], r["gain"], r["tau"], r["irf"].tolist()]], columns=["subj", "peak", "lag", "gain", "tau", "irf"])
+@query("ml12_responses")
+def _(spark, d):
+    return st.responses(QUERIES["ml11_arx"](spark, d), ["subj"], 2, 2, 1, 60, 0.02)
+
 
-    return fits.groupBy("subj").applyInPandas(run, "subj bigint, peak double, lag double, gain double, tau double, irf array<double>")
+@query("ml13_simulation_scores")
+def _(spark, d):
+    return st.simulation_scores(_arx(spark, d), QUERIES["ml11_arx"](spark, d), ["subj"], "trial", "idx", "y", "u", 2, 2, 1)
 
 
-@query("ml15_kalman")
+@query("ml15_kalman", f"""WITH RECURSIVE {S}, k AS (
+  SELECT trial, -1 AS idx, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1e3::DOUBLE AS p, 0.0::DOUBLE AS q, 1e3::DOUBLE AS r, 0.0::DOUBLE AS err FROM s WHERE idx = 0
+  UNION ALL
+  SELECT trial, idx, a + (p + q * x) / g * e, b + (q + r * x) / g * e, p - (p + q * x) * (p + q * x) / g, q - (p + q * x) * (q + r * x) / g, r - (q + r * x) * (q + r * x) / g, e FROM (
+    SELECT *, (p + q * x) + x * (q + r * x) + 1 AS g FROM (
+      SELECT k.trial, s.idx, s.rel_t AS x, k.a, k.b, k.p / 0.98::DOUBLE + 1e-4::DOUBLE AS p, k.q / 0.98::DOUBLE AS q, k.r / 0.98::DOUBLE + 1e-4::DOUBLE AS r, s.value - k.a - k.b * s.rel_t AS e FROM k JOIN s ON s.trial = k.trial AND s.idx = k.idx + 1)))
+SELECT trial, round(avg(a), 5) AS one, round(avg(b), 5) AS slope, round(stddev_pop(a), 5) AS one_sd, round(stddev_pop(b), 5) AS slope_sd, round(sqrt(avg(err * err)), 6) AS rmse FROM k WHERE idx >= 10 GROUP BY trial""")
 def _(spark, d):
     x = epochs(spark, d).select("trial", "idx", "value", F.lit(1.0).alias("one"), F.col("rel_t").alias("x"))
-    return st.kalman_arx(x, ["trial"], "idx", "value", ["one", "x"], 10)
+    out = st.kalman_arx(x, ["trial"], "idx", "value", ["one", "x"], 10)
+    of = lambda c, i, n: F.round(F.col(c)[i], 5).alias(n)
+    return out.select("trial", of("theta", 0, "one"), of("theta", 1, "slope"), of("theta_sd", 0, "one_sd"), of("theta_sd", 1, "slope_sd"), F.round("rmse", 6).alias("rmse"))
 
 
 @query("ml16_difference_segments", f"WITH {S}, c AS (SELECT idx, avg(value) AS m FROM s WHERE bin = 1 GROUP BY idx) SELECT trial, s.idx, value - m AS value FROM s JOIN c ON c.idx = s.idx WHERE bin = 2")

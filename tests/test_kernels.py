@@ -76,7 +76,9 @@ def test_morlet_and_hilbert_find_power():
 
 
 def test_binarise_and_constant_lines():
-    assert sg.binarise(np.array([0, 0, 5.0, 5.1, 0, 1.0, 1.1])).tolist() == [0, 0, 1, 1, 0, 0, 0]
+    assert sg.binarise(np.array([0, 0, 5.0, 5.1, 0, 1.0, 1.1, 1.0, 1.05, 1.0])).tolist() == [0, 0, 1, 1, 0, 0, 0, 0, 0, 0]
+    # levels as frequent as each other lie within five of their own median deviations: no distinct high level
+    assert sg.binarise(np.array([0, 0, 5.0, 5.1, 0, 1.0, 1.1])).tolist() == [0] * 7
     assert sg.binarise(np.zeros(4)).tolist() == [0] * 4
 
 
