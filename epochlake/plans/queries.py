@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,18 @@ def _(spark, d):
     return tb.first_match(table(spark, d, "pages").select((F.col("page_id") % 50).alias("k"), F.col("url").alias("path")), ["www", "^https", "^http"], ["k"])
 
 
+@query(
+    "sc5_edf_samples",
+    """SELECT 'sub-' || CAST(user_id AS VARCHAR) || '.edf' AS path, c AS channel, CAST(i AS BIGINT) AS idx, CAST(i AS DOUBLE) AS t, CAST(CASE c WHEN 'marker' THEN marker ELSE -marker * 1000 END AS DOUBLE) AS value
+       FROM (SELECT user_id, event_id % 5 + 1 AS marker, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), (VALUES ('marker'), ('Cz')) AS channels(c)""",
+)
+def _(spark, d):
+    markers = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "marker"))), lambda x: x["marker"])
+    runs = events(spark, d).groupBy("subj").agg(markers.alias("markers"))
+    encode = F.udf(lambda m: rd.edf_bytes([("marker", np.array(m)), ("Cz", np.array(m) * -1000)]), "binary")
+    return rd.edf_samples(runs.select(F.format_string("sub-%d.edf", "subj").alias("path"), encode("markers").alias("content")))
+
+
 _LOG = """unnest([
   '*** LogFrame Start ***', 'Procedure: ' || CASE WHEN event_id % 2 = 0 THEN 'membase' ELSE 'regtest' END]) """
 
@@ -652,7 +665,6 @@ def _(spark, d):
 
 @query("sg4_causal_convolution", f"WITH {S}, {_HRF} SELECT s.trial, s.idx, sum(p.value * k.g) AS convolved FROM s JOIN s p ON p.trial = s.trial AND p.idx <= s.idx JOIN k ON k.i = s.idx - p.idx GROUP BY s.trial, s.idx")
 def _(spark, d):
-    import numpy as np
 
     t = np.arange(40) * 0.5
     h = t**5 * np.exp(-t) / 120
@@ -691,7 +703,6 @@ def _(spark, d):
 
 @query("sg12_ersp")
 def _(spark, d):
-    import numpy as np
     import pandas as pd
 
     freqs = [4.0, 8.0, 12.0, 16.0, 20.0]
@@ -930,7 +941,6 @@ _BOX = lambda of, name: f"{name}0 AS (SELECT g.subj, g.i, coalesce(sum({of}), 0)
 
 
 def _hrf() -> list[float]:
-    import numpy as np
 
     t = np.arange(40) * 0.5
     h = t**5 * np.exp(-t) / 120

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,20 +169,44 @@ def edf_channels(data: bytes) -> Iterator[tuple[str, float, np.ndarray]]:
         at += k
 
 
+def edf_bytes(signals: Sequence[tuple[str, np.ndarray]], per_record: int = 1, seconds: float = 1.0) -> bytes:
+    """A file of (label, 16-bit numbers) signals of one length, in records of ``per_record`` samples; what doesn't fill a record
+    is left out. Physical values are the numbers themselves."""
+    n, records = len(signals), len(signals[0][1]) // per_record if signals else 0
+    head = [("0", 8), ("", 80), ("", 80), ("01.01.24", 8), ("00.00.00", 8), (str(256 * (n + 1)), 8), ("", 44), (str(records), 8), (f"{seconds:g}", 8), (str(n), 4)]
+    same = (("", 80), ("", 8), ("-32768", 8), ("32767", 8), ("-32768", 8), ("32767", 8), ("", 80), (str(per_record), 8), ("", 32))
+    head += [(label, 16) for label, _ in signals] + [field for field in same for _ in signals]
+    data = [np.asarray(v, "<i2")[: records * per_record].reshape(records, per_record) for _, v in signals]
+    return "".join(f"{text:<{width}.{width}}" for text, width in head).encode("latin-1") + (np.concatenate(data, 1).tobytes() if data else b"")
+
+
+#: Samples of a batch that a reader passes on.
+BLOCK = 200_000
+
+
+def sample_batches(t: np.ndarray, values: np.ndarray, **of: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    """A channel's samples in batches, with columns ``of`` of the whole channel before them."""
+    for at in range(0, len(values), BLOCK):
+        part = np.ascontiguousarray(values[at : at + BLOCK], np.float64)
+        columns = {c: pa.repeat(v, len(part)) for c, v in of.items()}
+        columns |= {"idx": pa.array(np.arange(at, at + len(part))), "t": pa.array(t[at : at + BLOCK], pa.float64()), "value": pa.array(part)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def edf_batches(path: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    for label, rate, values in edf_channels(data):
+        yield from sample_batches(np.arange(len(values)) / rate, values, path=pa.scalar(path, pa.string()), channel=pa.scalar(label, pa.string()))
+
+
 def edf_samples(files: DataFrame) -> DataFrame:
     """(path, channel, idx, t, value) of files as Spark's ``binaryFile`` reads them, wherever they lie."""
-    import pandas as pd
 
-    def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for label, rate, values in edf_channels(bytes(content)):
-                    for at in range(0, len(values), 200_000):
-                        part = values[at : at + 200_000]
-                        idx = np.arange(at, at + len(part))
-                        yield pd.DataFrame({"path": path, "channel": label, "idx": idx, "t": idx / rate, "value": part})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                yield from edf_batches(path.as_py(), content.as_py())
 
-    return files.select("path", "content").mapInPandas(run, "path string, channel string, idx bigint, t double, value double")
+    return files.select("path", "content").mapInArrow(run, "path string, channel string, idx bigint, t double, value double")
 
 
 class EdfSource(DataSource):
@@ -211,10 +236,7 @@ class EdfReader(DataSourceReader):
 
     def read(self, partition):
         with open(partition.value, "rb") as f:
-            data = f.read()
-        for label, rate, values in edf_channels(data):
-            for i, v in enumerate(values.tolist()):
-                yield partition.value, label, i, i / rate, v
+            yield from edf_batches(partition.value, f.read())
 
 
 class SnirfSource(DataSource):
@@ -243,13 +265,13 @@ class SnirfReader(EdfReader):
 
         with h5py.File(partition.value) as f:
             data = f["nirs/data1"]
-            t, v = np.asarray(data["time"]).ravel(), np.asarray(data["dataTimeSeries"])
-            v = v if v.shape[0] == len(t) else v.T
-            for k in range(v.shape[1]):
+            t, v = np.asarray(data["time"]).ravel(), data["dataTimeSeries"]
+            turned = v.shape[0] != len(t)
+            for k in range(v.shape[0 if turned else 1]):
                 m = data[f"measurementList{k + 1}"]
-                src, det, wl = (int(np.asarray(m[x]).ravel()[0]) for x in ("sourceIndex", "detectorIndex", "wavelengthIndex"))
-                for i in range(len(t)):
-                    yield partition.value, k + 1, src, det, wl, i, float(t[i]), float(v[i, k])
+                src, det, wl = (pa.scalar(int(np.asarray(m[x]).ravel()[0]), pa.int32()) for x in ("sourceIndex", "detectorIndex", "wavelengthIndex"))
+                values = np.asarray(v[k, :] if turned else v[:, k])
+                yield from sample_batches(t, values, path=pa.scalar(partition.value, pa.string()), channel=pa.scalar(k + 1, pa.int32()), src=src, det=det, wl=wl)
 
 
 def register(spark: SparkSession) -> None:
