@@ -665,7 +665,6 @@ def _(spark, d):
 
 @query("sg4_causal_convolution", f"WITH {S}, {_HRF} SELECT s.trial, s.idx, sum(p.value * k.g) AS convolved FROM s JOIN s p ON p.trial = s.trial AND p.idx <= s.idx JOIN k ON k.i = s.idx - p.idx GROUP BY s.trial, s.idx")
 def _(spark, d):
-
     t = np.arange(40) * 0.5
     h = t**5 * np.exp(-t) / 120
     return sg.convolve(epochs(spark, d), ["trial"], "idx", "value", (h / h.max()).tolist()).select("trial", "idx", "convolved")
