@@ -83,6 +83,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("class_no")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d WHERE len(words) >= 13),
+k AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 12], ' ')) AS win FROM w),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+gone AS (SELECT doc_id, i + j AS place FROM (SELECT k.doc_id, k.i, unnest(range(0, 13)) AS j FROM k JOIN f ON f.win = k.win WHERE k.doc_id > f.first)),
+g AS (SELECT doc_id, list(DISTINCT place) AS places FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(words) AS n, CASE WHEN places IS NULL THEN words ELSE list_filter(list_transform(words, lambda x, i: CASE WHEN list_contains(places, i) THEN NULL ELSE x END), lambda x: x IS NOT NULL) END AS words
+         FROM d LEFT JOIN g ON g.doc_id = d.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(words) AS BIGINT) AS n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def fetch_times(pages: DataFrame) -> DataFrame:
     """Pages carry no time of their own: each is taken as fetched at a minute of 2024 that follows from its page_id."""
     minute = F.pmod(F.col("page_id") * 7919, F.lit(366 * 1440)).cast("int")
@@ -208,10 +227,12 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_packed_tokens": op9_packed_tokens,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op3_warc": OP3_SQL,
     "op4_url_filters": OP4_SQL,
     "op7_source_mix": OP7_SQL,
+    "op11_substring_dedup": OP11_SQL,
 }
