@@ -102,6 +102,12 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(words) AS BIGINT) AS n
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def fetch_times(pages: DataFrame) -> DataFrame:
     """Pages carry no time of their own: each is taken as fetched at a minute of 2024 that follows from its page_id."""
     minute = F.pmod(F.col("page_id") * 7919, F.lit(366 * 1440)).cast("int")
@@ -228,6 +234,7 @@ QUERIES = {
     "op9_packed_tokens": op9_packed_tokens,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLE_SQL = {
