@@ -7,10 +7,11 @@ segments are streamed against the index from last word to first: where the match
 documents of the suffixes in range tell whether an earlier one has it. Work is in proportion to words; no document meets
 another but through an anchor.
 
-Equal segments of a block of texts are sent once, for the least document of the block; its other documents have an earlier one
-for all windows of it right there. So a group of copies costs a row for each block, not for each copy. Anchors that many
-documents share come last in the order (from a bounded sample; it moves windows between shards and changes no result), so that
-a line common to many texts doesn't bring all their segments to one shard.
+Texts are stored in compressed chunks. A first pass sends each chunk's anchors alone: only segments whose anchor another
+document has too go to a shard. Equal segments of a chunk are sent once, for its least document with them; its other documents
+have an earlier one for all windows right there. So a group of copies costs a row for each chunk, not for each copy. Anchors
+that many documents share come last in the order (from a bounded sample; it moves windows between shards and changes no
+result), so that a line common to many texts doesn't bring all their segments to one shard.
 """
 
 from __future__ import annotations
@@ -21,22 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
 from .shared import Scratch, release
-from .words import blocks, find, hashes, raw, runs
+from .words import blocks, find, hashes, mix, raw, runs
 
 WINDOW, ANCHOR = 13, 5
-#: Bytes of texts whose equal segments become one row, and words of segments that an index is made of.
-BLOCK, SHARD = 8_000_000, 400_000
+#: Bytes of texts that a chunk has at most, but for a single longer text, and of segments from which an index is made.
+CHUNK, SHARD = 8_000_000, 2_500_000
 #: Documents sampled for the order of anchors, the share of them from which an anchor comes last, and how many do at most.
-SAMPLE, SHARE, LAST = 20_000, 0.005, 200_000
+SAMPLE, SHARE, LAST = 2_000, 0.005, 200_000
 _PLAIN = np.arange(1, 257, dtype=np.uint64)
 _HIGH = np.uint64(1 << 63)
-SEGMENTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("at", pa.list_(pa.int32())), ("til", pa.list_(pa.int32())), ("text", pa.string())])
-HITS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("at", pa.list_(pa.int32())), ("til", pa.list_(pa.int32()))])
+SEGMENTS = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("i", pa.int32()), ("doc", pa.int64()), ("at", pa.binary()), ("til", pa.binary()), ("text", pa.string())])
+HITS = pa.schema([("chunk", pa.int64()), ("i", pa.int32()), ("at", pa.binary()), ("til", pa.binary())])
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,59 +79,113 @@ def spans(flags: np.ndarray, apart: np.ndarray, size: int) -> tuple[np.ndarray,
     return first, end, apart[first]
 
 
-def _grouped(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(values, pa.int32()))
+def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Numbers of each row as bytes."""
+    data = pa.py_buffer(values.astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.r_[0, 4 * np.cumsum(counts)].astype(np.int32).tobytes()), data])
 
 
-def cut(doc: np.ndarray, row: np.ndarray, texts: pa.Array, size: int, last: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Segments of a block of texts as rows of SEGMENTS: each once for the block's least document with it, at all its places
-    there. Places of other documents, which are found already, are rows without text."""
-    data, s, e, h, first = word_hashes(texts)
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts): the inverse of :func:`_binaries`."""
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
+    return np.frombuffer(data.tobytes(), np.int32).astype(np.int64), np.diff(offs) // 4
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(keys, docs, ends, texts): chunks of documents; docs, ends: 64-bit numbers, texts: compressed."""
+    ddl = f"keys array<{docs.schema['key'].dataType.simpleString()}>, docs binary, ends binary, texts binary"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, doc, text = (pa.concat_arrays([b.column(c) for b in held]) for c in range(3))
+            data, ends = raw(text)
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), *[pa.array([x], pa.binary()) for x in (doc.to_numpy().tobytes(), ends.tobytes(), zstandard.ZstdCompressor(3).compress(data))]]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for at, texts in blocks(batch.column(2), CHUNK):
+                held.append(batch.slice(at, len(texts)))
+                size += len(raw(texts)[0])
+                if size >= CHUNK:
+                    yield flush()
+                    held, size = [], 0
+                    release()
+        if held:
+            yield flush()
+        release()
+
+    return docs.mapInArrow(run, ddl)
+
+
+def _opened(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, pa.Array]:
+    """(chunk, docs, texts) of a stored chunk."""
+    get = lambda c: batch.column(batch.schema.get_field_index(c))[i]
+    doc, ends = (np.frombuffer(get(c).as_buffer(), np.int64) for c in ("docs", "ends"))
+    data = zstandard.ZstdDecompressor().decompress(get("texts").as_buffer(), max_output_size=int(ends[-1]) or 1)
+    return get("chunk").as_py(), doc, pa.Array.from_buffers(pa.large_string(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+
+
+def _cuts(h: np.ndarray, first: np.ndarray, size: int, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, text, first word, end) of each segment."""
     anchor, at, text = anchors(h, first, size, last)
-    if not len(at):
+    begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]) if len(at) else np.zeros(0, np.int64)
+    return anchor[begin], text[begin], at[begin], at[np.r_[begin[1:], len(at)] - 1] + size if len(at) else at
+
+
+def shares(chunk: int, doc: np.ndarray, texts: pa.Array, size: int, last: np.ndarray) -> pa.RecordBatch:
+    """(key, chunk, lo, hi): a chunk's anchors, with the least and the greatest document that has each."""
+    _, _, _, h, first = word_hashes(texts)
+    key, text, _, _ = _cuts(h, first, size, last)
+    own = doc[text]
+    by = np.lexsort((own, key))
+    key, own = key[by].view(np.int64), own[by]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    ends = np.r_[begin[1:], len(key)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(key[begin]), pa.array(np.full(len(begin), chunk)), pa.array(own[begin]), pa.array(own[ends[: len(begin)]])], names=["key", "chunk", "lo", "hi"])
+
+
+def cut(chunk: int, doc: np.ndarray, texts: pa.Array, size: int, last: np.ndarray, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Segments of a chunk with anchors in ``shared`` as rows of SEGMENTS: each once for the chunk's least document with it, at
+    all its places there. Places of other documents, which are found already, are rows without text."""
+    data, s, e, h, first = word_hashes(texts)
+    key, own, a, til = _cuts(h, first, size, last)
+    keep = np.isin(key.view(np.int64), shared)
+    if not keep.any():
         return
-    begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
-    a, til = at[begin], at[np.r_[begin[1:], len(at)] - 1] + size
-    key, own = anchor[begin], text[begin]
+    key, own, a, til = key[keep], own[keep], a[keep], til[keep]
     same = hashes(h, a, til)
-    by = np.lexsort((a, row[own], doc[own], same, key))
+    by = np.lexsort((a, own, doc[own], same, key))
     key, same, a, til, own = key[by], same[by], a[by], til[by], own[by]
     new = np.r_[True, (key[1:] != key[:-1]) | (same[1:] != same[:-1])]
-    least = doc[own][np.flatnonzero(new)][np.cumsum(new) - 1]
-    mine = doc[own] == least
-    k, sm, o = key[mine], same[mine], own[mine]
-    fresh = np.r_[True, (k[1:] != k[:-1]) | (sm[1:] != sm[:-1]) | (row[o][1:] != row[o][:-1])]
-    head = np.flatnonzero(fresh)
+    mine = doc[own] == doc[own][np.flatnonzero(new)][np.cumsum(new) - 1]
+    k, sm, o, x, y = key[mine], same[mine], own[mine], a[mine], til[mine]
+    head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (sm[1:] != sm[:-1]) | (o[1:] != o[:-1])])
     counts = np.diff(np.r_[head, len(k)])
-    x, y, base = a[mine], til[mine], first[o]
-    lo, hi = s[x[head]], e[y[head] - 1]
-    blob = data.tobytes()
+    lo, hi, base, blob = s[x[head]], e[y[head] - 1], first[o], data.tobytes()
     for i in range(0, len(head), 20_000):
         part = slice(i, i + 20_000)
         rows = slice(head[i], head[i + 20_000] if i + 20_000 < len(head) else len(k))
         of = o[head[part]]
-        columns = [pa.array(k[head[part]].view(np.int64)), pa.array(doc[of]), pa.array(row[of]), _grouped((x - base)[rows], counts[part]), _grouped((y - base)[rows], counts[part]), pa.array([blob[u:v].decode() for u, v in zip(lo[part], hi[part], strict=True)], pa.string())]
+        columns = [pa.array(k[head[part]].view(np.int64)), pa.array(np.full(len(of), chunk)), pa.array(of, pa.int32()), pa.array(doc[of]), _binaries((x - base)[rows], counts[part]), pa.nulls(len(of), pa.binary()), pa.array([blob[u:v].decode() for u, v in zip(lo[part], hi[part], strict=True)], pa.string())]
         yield pa.RecordBatch.from_arrays(columns, schema=SEGMENTS)
     rest = np.flatnonzero(~mine)
-    if len(rest):  # a row for each document, dealt by it
+    if len(rest):
         rest = rest[np.argsort(own[rest], kind="stable")]
         o = own[rest]
         head = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
-        counts, of = np.diff(np.r_[head, len(o)]), o[head]
-        base = first[o]
-        columns = [pa.array(row[of]), pa.array(doc[of]), pa.array(row[of]), _grouped(a[rest] - base, counts), _grouped(til[rest] - base, counts), pa.nulls(len(of), pa.string())]
+        counts, of, base = np.diff(np.r_[head, len(o)]), o[head], first[o]
+        columns = [pa.array(mix(of.astype(np.uint64) + np.uint64(chunk)).view(np.int64)), pa.array(np.full(len(of), chunk)), pa.array(of, pa.int32()), pa.array(doc[of]), _binaries(a[rest] - base, counts), _binaries(til[rest] - base, counts), pa.nulls(len(of), pa.string())]
         yield pa.RecordBatch.from_arrays(columns, schema=SEGMENTS)
 
 
 def search(table: pa.Table, size: int) -> pa.RecordBatch | None:
     """Rows of HITS: what of a shard's segments an earlier document has too. The shard's keys are whole."""
     key, doc = table["key"].to_numpy(), table["doc"].to_numpy()
-    new = np.r_[True, key[1:] != key[:-1]]
-    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-    shared = np.flatnonzero((np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin))[group])
-    if not len(shared):
-        return None
-    table, key, doc = table.take(shared), key[shared], doc[shared]
     _, _, _, h, first = word_hashes(table["text"].combine_chunks())
     same = hashes(h, first[:-1], first[1:])
     by = np.lexsort((doc, same, key))
@@ -138,53 +196,52 @@ def search(table: pa.Table, size: int) -> pa.RecordBatch | None:
     lengths = np.diff(first)[pick]
     ends = np.cumsum(lengths + 1)
     place = np.repeat(first[pick] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-    known, symbol = np.unique(h[place], return_inverse=True)
+    symbol = np.unique(h[place], return_inverse=True)[1] + 1
     text = np.zeros(int(ends[-1]), np.int64)
-    text[np.delete(np.arange(len(text)), ends - 1)] = symbol + 1
+    text[np.delete(np.arange(len(text)), ends - 1)] = symbol
     index = FMIndex(text, size)
     stream = np.r_[0, np.cumsum(lengths)]
-    matched, found = index.matching_statistics(symbol + 1, stream)
+    matched, found = index.matching_statistics(symbol, stream)
     of = np.repeat(np.arange(len(pick)), lengths + 1)  # the segment of each place of the index
-    _, starts = index.groups(size)
-    earliest = np.minimum.reduceat(doc[pick][of[index.places]], starts[:-1])
-    # of each row, its segment's windows
-    count = lengths - size + 1
-    windows = count[one]
+    earliest = np.minimum.reduceat(doc[pick][of[index.places]], index.groups(size)[1][:-1])
+    windows = (lengths - size + 1)[one]  # of each row
     back = np.repeat(stream[one] - np.r_[0, np.cumsum(windows)[:-1]], windows) + np.arange(windows.sum())
     owner = np.repeat(np.arange(len(one)), windows)
-    flags = (matched[back] >= size) & (earliest[found[back]] < doc[owner])
-    a, b, owner = spans(flags, owner, size)
+    a, b, owner = spans((matched[back] >= size) & (earliest[found[back]] < doc[owner]), owner, size)
     if not len(a):
         return None
     base = np.r_[0, np.cumsum(windows)]
     a, b = a - base[owner], b - base[owner]
-    places = table["at"].combine_chunks()
-    often = np.diff(np.asarray(places.offsets))[owner]
-    at = np.asarray(places.flatten())[np.repeat(np.asarray(places.offsets)[owner] - np.asarray(places.offsets)[0] - np.r_[0, np.cumsum(often)[:-1]], often) + np.arange(often.sum())]
+    places, counts = _numbers(table["at"].combine_chunks())
+    often = counts[owner]
+    at = places[np.repeat(np.r_[0, np.cumsum(counts)][owner] - np.r_[0, np.cumsum(often)[:-1]], often) + np.arange(often.sum())]
     owner, a, b = np.repeat(owner, often), np.repeat(a, often) + at, np.repeat(b, often) + at
-    row = table["row"].to_numpy()
-    by = np.lexsort((a, row[owner], doc[owner]))
+    chunk, i = table["chunk"].to_numpy(), table["i"].to_numpy()
+    by = np.lexsort((i[owner], chunk[owner]))
     owner, a, b = owner[by], a[by], b[by]
-    head = np.flatnonzero(np.r_[True, (doc[owner][1:] != doc[owner][:-1]) | (row[owner][1:] != row[owner][:-1])])
+    head = np.flatnonzero(np.r_[True, (chunk[owner][1:] != chunk[owner][:-1]) | (i[owner][1:] != i[owner][:-1])])
     counts = np.diff(np.r_[head, len(owner)])
-    return pa.RecordBatch.from_arrays([pa.array(doc[owner[head]]), pa.array(row[owner[head]]), _grouped(a, counts), _grouped(b, counts)], schema=HITS)
+    return pa.RecordBatch.from_arrays([pa.array(chunk[owner[head]]), pa.array(i[owner[head]]), _binaries(a, counts), _binaries(b, counts)], schema=HITS)
 
 
-def _order(docs: DataFrame, size: int) -> np.ndarray:
+def _order(docs: DataFrame) -> np.ndarray:
     """Anchors that at least a share of sampled documents has, sorted: these come last. A list of bounded length."""
     n = docs.count()
     few = docs.select("text") if n <= SAMPLE else docs.select("text").sample(SAMPLE / n, 11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in blocks(batch.column(0), BLOCK):
+            for _, texts in blocks(batch.column(0), CHUNK):
                 _, _, _, h, first = word_hashes(texts)
                 run, _ = runs(h, np.array([0, len(h)]), ANCHOR)
                 text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                n = min(len(run), max(0, len(text) - ANCHOR + 1))
-                inside = text[:n] == text[ANCHOR - 1 :][:n]
-                pairs = np.stack([run[:n][inside] >> np.uint64(1), text[:n][inside].astype(np.uint64)], 1)
-                key, count = np.unique(np.unique(pairs, axis=0)[:, 0], return_counts=True) if len(pairs) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                m = max(0, len(text) - ANCHOR + 1)
+                inside = text[:m] == text[ANCHOR - 1 :][:m]
+                key, own = run[:m][inside] >> np.uint64(1), text[:m][inside]
+                by = np.lexsort((own, key))
+                key, own = key[by], own[by]
+                new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])][: len(key)]
+                key, count = np.unique(key[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "n"])
 
     least = max(8, SHARE * min(n, SAMPLE))
@@ -192,37 +249,31 @@ def _order(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in found.select("key").toLocalIterator()], np.int64).view(np.uint64))
 
 
-def repeated(docs: DataFrame, size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
-    """(doc, row, at, til): stretches of words, from ``at`` to before ``til``, that windows of ``size`` words cover which also
-    stand in a text with a smaller ``doc``. ``docs`` has doc (long), row (long, which tells texts of one doc apart) and text."""
-    scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    last = _order(docs, size)
-    wide = docs.sparkSession.sparkContext.broadcast(last)
+def repeated(chunks: DataFrame, last: np.ndarray, scratch: Scratch, size: int = WINDOW) -> DataFrame:
+    """(chunk, i, at, til): stretches of words of document i of a chunk, from ``at`` to before ``til``, that windows of ``size``
+    words cover which also stand in a text with a smaller doc."""
+    wide = chunks.sparkSession.sparkContext.broadcast(last)
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        bytes_held = 0
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in blocks(batch.column(2), BLOCK):
-                held.append(batch.slice(at, len(texts)))
-                bytes_held += held[-1].nbytes
-                if bytes_held >= BLOCK:
-                    yield from flush(held)
-                    held, bytes_held = [], 0
-                    release()
-        if held:
-            yield from flush(held)
-        release()
+            for i in range(batch.num_rows):
+                found = shares(*_opened(batch, i), size, wide.value)
+                for at in range(0, found.num_rows, 100_000):
+                    yield found.slice(at, 100_000)
+                release()
 
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, row, text in zip(*[c.chunks for c in pa.Table.from_batches(held).combine_chunks().columns], strict=True):
-            yield from cut(doc.to_numpy(), row.to_numpy(), text, size, wide.value)
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shared = batch.column(batch.schema.get_field_index("shared")).slice(i, 1).flatten().to_numpy()
+                yield from cut(*_opened(batch, i), size, wide.value, shared)
+                release()
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         bytes_held = 0
         for batch in batches:
-            known = np.asarray(batch.column(5).is_null())
+            known = np.asarray(batch.column(6).is_null())
             if known.any():
                 yield batch.filter(pa.array(known)).select(HITS.names)
                 batch = batch.filter(pa.array(~known))
@@ -232,7 +283,7 @@ def repeated(docs: DataFrame, size: int = WINDOW, scratch: Scratch | None = None
             change = np.flatnonzero(key[1:] != key[:-1]) + 1
             if held and held[-1].column(0)[-1].as_py() != key[0]:
                 change = np.r_[0, change]
-            if bytes_held >= 7 * SHARD and len(change):  # keys are whole up to the last change
+            if bytes_held >= SHARD and len(change):  # keys are whole up to the last change
                 if change[-1]:
                     held.append(batch.slice(0, int(change[-1])))
                 if (found := search(pa.Table.from_batches(held), size)) is not None:
@@ -245,15 +296,12 @@ def repeated(docs: DataFrame, size: int = WINDOW, scratch: Scratch | None = None
             yield found
         release()
 
-    ddl = "doc long, row long, at array<int>, til array<int>"
-    rows = docs.select("doc", "row", "text").where("text is not null").mapInArrow(segments, "key long, doc long, row long, at array<int>, til array<int>, text string")
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return scratch.keep(dealt.mapInArrow(hits, ddl), "hits")
-
-
-def identity(key: Column, text: Column) -> list[Column]:
-    """(doc, row): a document's place in the order of keys, and what tells texts of one key apart."""
-    return [F.coalesce(key.cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row")]
+    both = Window.partitionBy("key")
+    keys = chunks.select("chunk", "docs", "ends", "texts").mapInArrow(anchored, "key long, chunk long, lo long, hi long")
+    common = keys.select("key", "chunk", F.min("lo").over(both).alias("lo"), F.max("hi").over(both).alias("hi")).where("lo < hi")
+    shared = scratch.keep(common.groupBy("chunk").agg(F.collect_list("key").alias("shared")), "shared")
+    rows = chunks.select("chunk", "docs", "ends", "texts").join(shared, "chunk").mapInArrow(cuts, "key long, chunk long, i int, doc long, at binary, til binary, text string")
+    return scratch.keep(rows.repartition("key").sortWithinPartitions("key").mapInArrow(hits, "chunk long, i int, at binary, til binary"), "hits")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -265,34 +313,47 @@ def without_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", size
 
     Words are runs of characters other than space and U+0009 to U+000D, unchanged. Removed is each word that a window of
     ``size`` consecutive words covers which also stands in a document with a smaller key; windows are of the texts as given. A
-    null text counts as empty, and texts with fewer words than a window lose none. Null keys come after all others; rows with
-    equal keys, null ones too, take nothing from each other. Words are told apart by 64-bit hashes. Other columns of ``df``,
-    whatever their names, are left out. Bounded memory but for a single text, and for the different segments of one anchor.
+    null text counts as empty, and texts with fewer words than a window lose none. Keys are whole numbers; null ones come after
+    all others, and rows with equal keys, null ones too, take nothing from each other. Words are told apart by 64-bit hashes.
+    Other columns of ``df``, whatever their names, are left out. Memory holds a chunk of texts or one longer text, and the
+    different segments of one anchor.
     """
     scratch = Scratch(df.sparkSession, "substrings")
-    docs = df.select(df[key].alias("__key"), df[text].alias("text"), *identity(df[key], df[text]))
-    hits = repeated(docs.select("doc", "row", "text"), size, scratch)
-    found = hits.groupBy("doc", "row").agg(F.flatten(F.collect_list(F.arrays_zip("at", "til"))).alias("spans")).select("doc", "row", F.col("spans.at").alias("at"), F.col("spans.til").alias("til"))
-    rows = docs.join(found, ["doc", "row"], "left").select(F.col("__key").alias(key), F.coalesce("text", F.lit("")).alias("text"), "at", "til")
-    schema = rows.select(key).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    if full:
-        schema = schema.add("kept", "string")
+    docs = df.select(df[key].alias("key"), F.coalesce(df[key].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce(df[text], F.lit("")).alias("text"))
+    chunks = scratch.keep(_chunks(docs).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    found = repeated(chunks, _order(docs), scratch, size).groupBy("chunk").agg(F.collect_list(F.struct("i", "at", "til")).alias("spans"))
+    kind = docs.schema["key"].dataType.simpleString()
+    ddl = f"key {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if full else "")
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for i in range(batch.num_rows):
+                yield from left(batch, i)
+                release()
+
+    def left(batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
+        _, doc, texts = _opened(batch, i)
+        spans = batch.column(batch.schema.get_field_index("spans")).slice(i, 1).flatten()
+        gone: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for at in range(len(spans)):
+            row = spans[at]
+            gone.setdefault(row["i"].as_py(), []).append(tuple(np.frombuffer(row[c].as_buffer(), np.int32) for c in ("at", "til")))
+        keys = batch.column(batch.schema.get_field_index("keys")).slice(i, 1).flatten()
+        for begin in range(0, len(doc), 1000):
             out: list[tuple] = []
-            for t, at, til in zip(*batch.columns[1:], strict=True):
-                words = _WORD.findall(t.as_py().encode())
+            for j, t in enumerate(texts.slice(begin, 1000), begin):
+                words = _WORD.findall(t.as_buffer())
                 n = len(words)
-                if at.is_valid:
-                    gone = np.zeros(n + 1, np.int64)
-                    np.add.at(gone, np.asarray(at.values), 1)
-                    np.add.at(gone, np.asarray(til.values), -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:n]) == 0)]
+                if j in gone:
+                    cover = np.zeros(n + 1, np.int64)
+                    for a, b in gone[j]:
+                        np.add.at(cover, a, 1)
+                        np.add.at(cover, b, -1)
+                    words = [words[x] for x in np.flatnonzero(np.cumsum(cover[:n]) == 0)]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if full else [])))
-            columns = [pa.array(list(c), pa.int64() if i < 2 else pa.string()) for i, c in enumerate(zip(*out, strict=True))] if out else []
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+            columns = [keys.slice(begin, 1000), *[pa.array(list(c)) for c in zip(*out, strict=True)]]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, schema)
+    return chunks.join(found, "chunk", "left").mapInArrow(run, ddl).withColumnRenamed("key", key)
