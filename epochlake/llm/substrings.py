@@ -44,10 +44,18 @@ HITS = pa.schema([("chunk", pa.int64()), ("i", pa.int32()), ("at", pa.binary()),
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start, end, number, first): of each word, unchanged; first: by text, the index of its first word, and the end."""
+    """(bytes, start, end, number, first): of each word, unchanged; first: by text, the index of its first word, and the end. In
+    blocks, as hashing takes some numbers for each byte."""
     data, offs = raw(texts)
-    s, e, first = find(data, offs)
-    return data, s, e, hashes(_PLAIN[data], s, e), first
+    parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(1, np.int64))]
+    n = 0
+    for at, part in blocks(texts):
+        base, end = offs[at], offs[at + len(part)]
+        s, e, first = find(data[base:end], offs[at : at + len(part) + 1] - base)
+        parts.append((s + base, e + base, hashes(_PLAIN[data[base:end]], s, e), first[1:] + n))
+        n += len(s)
+    s, e, h, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return data, s, e, h, first
 
 
 def anchors(h: np.ndarray, first: np.ndarray, size: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epochlake.llm.queries import ORACLE_SQL, QUERIES
 
-NAMES = {f"op{n}_" for n in range(1, 11)}
+NAMES = {f"op{n}_" for n in range(1, 13)}
 
 
 def test_each_operator_has_a_query():
