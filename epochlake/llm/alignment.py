@@ -1,6 +1,6 @@
 """Tokens of two tokenizers aligned by the bytes that they cover.
 
-Texts are split before white space where no token of either vocabulary can reach across: the byte-level vocabulary's pattern
+Texts are split before a space behind other than white space, where no token of either vocabulary can reach across: the byte-level vocabulary's pattern
 ends a pre-token there, and no piece of the other has a space mark behind another character, which :func:`splits` verifies on
 the vocabularies as given (texts stay whole where it fails). So a segment has the same tokens wherever it stands. Documents
 become codes of their chunk's different segments; each different segment of the corpus is tokenised and aligned once; a join
@@ -14,23 +14,23 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .shared import Scratch, release
-from .words import blocks
+from .words import blocks, raw
 
 #: Bytes of texts that share a table of segments; a single longer text has one of its own.
 CHUNK = 6_000_000
 MARK = "▁"
-#: White space before which both vocabularies let a text be split.
-BORDER = re.compile(r"(?<=\S)(?= )")
 
 
 @functools.lru_cache(maxsize=2)
@@ -62,7 +62,7 @@ def pieces(path: str):
 
 @functools.lru_cache(maxsize=2)
 def splits(path_a: str, path_b: str) -> bool:
-    """Whether neither vocabulary has tokens across a :data:`BORDER`."""
+    """Whether neither vocabulary has tokens across a space behind other than white space."""
     with open(path_a) as f:
         a = json.load(f)
     model, _, mark = pieces(path_b)
@@ -72,161 +72,196 @@ def splits(path_a: str, path_b: str) -> bool:
     return bool(ends) and not reach and not model.is_unknown(mark)
 
 
-def segments(text: str, cut: bool = True) -> list[str]:
-    """Of a space and ``text``: they join to it, and each begins with a space."""
-    if not text:
-        return []
-    return BORDER.split(" " + text) if cut else [" " + text]
-
-
-def groups_of(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[list[int], list[int]]], dict[tuple[int, int], int]]:
-    """(groups, links): ids between places where tokens of both end, and how often each pair of ids overlaps."""
-    out, links = [], {}
-    i = j = first_a = first_b = end_a = end_b = 0
-    if a and b:
-        end_a, end_b = size_a[0], size_b[0]
-    while i < len(a) and j < len(b):
-        pair = a[i], b[j]
-        links[pair] = links.get(pair, 0) + 1
-        move_a, move_b = end_a <= end_b, end_b <= end_a
-        if move_a and move_b:
-            out.append((a[first_a : i + 1], b[first_b : j + 1]))
-            first_a, first_b = i + 1, j + 1
-        if move_a:
-            i += 1
-            end_a += size_a[i] if i < len(a) else 0
-        if move_b:
-            j += 1
-            end_b += size_b[j] if j < len(b) else 0
-    return out, links
-
-
-ALIGNED = "seg string, ok boolean, na int, nb int, ng int, nl int, groups string, a array<int>, b array<int>, k array<int>"
-
-
-def align_segments(segs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(seg, ok, na, nb, ng, nl, groups, a, b, k) of segments: ok is false, and all else 0 or empty, where the joined bytes of
-    either's tokens aren't the segment's. groups: ``a1,a2|b1;a3|b2``. a, b, k: pairs of linked ids, and their numbers of links."""
-    schema = to_arrow_schema(StructType.fromDDL(ALIGNED))
+#: Characters of white space, by the length of their UTF-8 form; a text is not split after any of them.
+SPACES = {n: {c for c in (chr(i).encode() for i in range(0x3001) if chr(i).isspace()) if len(c) == n} for n in (1, 2, 3)}
+
+
+def segments(texts: pa.Array, cut: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """(segments, how many each text has): of a space and the text, to which they join. A null or empty text has none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    big = lambda v: pa.scalar(v, pa.large_string())
+    data, offs = raw(pc.if_else(pc.equal(pc.binary_length(texts), 0), big(""), pc.binary_join_element_wise(big(""), texts, big(" "))))
+    at = np.flatnonzero(data[1:] == 32) + 1 if cut else np.zeros(0, np.int64)
+    before = data[at - 1]
+    ok = ~np.isin(before, [c[0] for c in SPACES[1]])
+    for n in (2, 3):
+        for c in SPACES[n]:
+            same = (before == c[-1]) & (at >= n)
+            for k in range(2, n + 1):
+                same[same] = data[at[same] - k] == c[-k]
+            ok &= ~same
+    begin = np.union1d(at[ok], offs[:-1][np.diff(offs) > 0])
+    counts = np.diff(np.searchsorted(begin, offs))
+    ends = np.r_[begin, len(data)].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]), counts
+
+
+def overlaps(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, ends): each link of tokens of A and B that lie along the same bytes, with their sizes in order, and whether both
+    tokens end with it. Ends of either cut bytes into stretches; two tokens that overlap have one stretch in common."""
+    a, b = np.cumsum(size_a), np.cumsum(size_b)
+    every = np.union1d(a, b)
+    i, j = np.searchsorted(a, every), np.searchsorted(b, every)
+    return i, j, (a[i] == every) & (b[j] == every)
+
+
+class Tokens:
+    """Ids of many segments as bytes: of each the number of A's, A's and B's, and their sizes in bytes."""
+
+    def __init__(self, rows: pa.Array, size_a: np.ndarray, size_b: np.ndarray):
+        offs = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+        data = np.frombuffer(bytes(rows.buffers()[2] or b"")[offs[0] : offs[-1]], np.uint32)
+        first = (offs - offs[0]) // 4
+        held = np.diff(first) > 0
+        self.ok, n = held, len(rows)
+        self.na = np.zeros(n, np.int64)
+        self.na[held] = data[first[:-1][held]]
+        self.nb = np.where(held, np.diff(first) - 1 - self.na, 0)
+        place = np.arange(len(data)) - np.repeat(first[:-1], np.diff(first))
+        many = np.repeat(self.na, np.diff(first))
+        self.a, self.b = data[(place > 0) & (place <= many)].astype(np.int64), data[place > many].astype(np.int64)
+        i, j, ends = overlaps(size_a[self.a], size_b[self.b])
+        owner = np.repeat(np.arange(n), self.na)[i]
+        self.pairs = self.a[i] << 32 | self.b[j]
+        self.nl, self.ng = np.bincount(owner, minlength=n), np.bincount(owner[ends], minlength=n)
+        self._cut = i[ends] + 1, j[ends] + 1
+
+    def groups(self) -> list[str]:
+        """Of each segment, ``a1,a2|b1;a3|b2``."""
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        to_a, to_b = (x.tolist() for x in self._cut)
+        made = [f"{','.join(a[u:v])}|{','.join(b[x:y])}" for u, v, x, y in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+        ends = np.cumsum(self.ng).tolist()
+        return [";".join(made[u:v]) for u, v in zip([0, *ends], ends, strict=False)]
+
+
+def _sizes(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array(list(map(len, t))) for t in (byte_level(path_a)[1], pieces(path_b)[1]))
+
+
+def tokenise(segs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(seg, tokens) of segments: the number of A's ids, A's and B's, as 32-bit numbers; empty where the joined bytes of either's
+    tokens aren't the segment's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, bytes_a = byte_level(path_a)
         model, bytes_b, mark = pieces(path_b)
-        size_a, size_b = list(map(len, bytes_a)), list(map(len, bytes_b))
         for batch in batches:
             for _, part in blocks(batch.column(0), 200_000):
                 own = part.to_pylist()
                 ids_a = [e.ids for e in tok.encode_batch_fast(own, add_special_tokens=False)]
                 ids_b = [x if s != " " else [mark] for s, x in zip(own, model.encode([s[1:] for s in own], num_threads=1), strict=True)]
-                out: list[tuple] = []
+                out = []
                 for s, a, b in zip(own, ids_a, ids_b, strict=True):
-                    raw = s.encode()
-                    if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
-                        out.append((s, False, 0, 0, 0, 0, "", [], [], []))
-                        continue
-                    made, links = groups_of(a, b, [size_a[i] for i in a], [size_b[i] for i in b])
-                    text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in made])
-                    out.append((s, True, len(a), len(b), len(made), sum(links.values()), text, [p[0] for p in links], [p[1] for p in links], list(links.values())))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    same = b"".join([bytes_a[i] for i in a]) == s.encode() == b"".join([bytes_b[i] for i in b])
+                    out.append(array("I", [len(a), *a, *b]).tobytes() if same else b"")
+                yield pa.RecordBatch.from_arrays([part, pa.array(out, pa.binary())], names=["seg", "tokens"])
         release()
 
-    return segs.mapInArrow(run, ALIGNED)
+    return segs.mapInArrow(run, "seg string, tokens binary")
 
 
 def _chunks(docs: DataFrame, cut: bool) -> DataFrame:
     """(keys, starts, codes, segs): documents in chunks; document i has the segments ``segs[codes[starts[i]:starts[i + 1]]]``."""
-    ddl = f"keys array<{docs.schema['key'].dataType.simpleString()}>, starts array<int>, codes binary, segs array<string>"
+    ddl = f"keys array<{docs.schema['key'].dataType.simpleString()}>, starts binary, codes binary, segs array<string>"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        keys: list[pa.Array] = []
-        codes: list[np.ndarray] = []
-        ends = [0]
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            of = pa.concat_arrays(keys)
+            keys, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in range(2))
+            segs, counts = segments(texts, cut)
+            coded = segs.dictionary_encode()
             one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-            data = np.concatenate([np.zeros(0, np.int32), *codes]).tobytes()
-            columns = [one(of), one(pa.array(ends, pa.int32())), pa.array([data], pa.binary()), one(pa.array(list(known), pa.string()))]
+            data = [x.astype(np.int32).tobytes() for x in (np.r_[0, np.cumsum(counts)], coded.indices.to_numpy())]
+            columns = [one(keys), *[pa.array([x], pa.binary()) for x in data], one(coded.dictionary.cast(pa.string()))]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for at, texts in blocks(batch.column(1), CHUNK):
-                own = texts.to_pylist()
-                keys.append(batch.column(0).slice(at, len(own)))
-                for text in own:
-                    found = segments(text or "", cut)
-                    codes.append(np.fromiter([known.setdefault(s, len(known)) for s in found], np.int32, len(found)))
-                    ends.append(ends[-1] + len(found))
-                    size += len(text or "")
+                held.append(batch.slice(at, len(texts)))
+                size += len(raw(texts)[0])
                 if size >= CHUNK:
                     yield flush()
-                    known, keys, codes, ends, size = {}, [], [], [0], 0
+                    held, size = [], 0
                     release()
-        if keys:
+        if held:
             yield flush()
         release()
 
     return docs.mapInArrow(run, ddl)
 
 
-def _composed(rows: DataFrame, key: str, full: bool) -> DataFrame:
+def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(starts, codes, table) of a chunk's row."""
+    get = lambda c: batch.column(batch.schema.get_field_index(c))
+    starts, codes = (np.frombuffer(get(c)[i].as_buffer(), np.int32) for c in ("starts", "codes"))
+    return starts.astype(np.int64), codes, get("table").slice(i, 1).flatten()
+
+
+def _composed(rows: DataFrame, key: str, full: bool, path_a: str, path_b: str) -> DataFrame:
     """Chunks with what their documents' segments give; and a chunk's pairs of ids with the number of documents that hold each."""
-    own = f"chunk long, seg_ids binary, keys array<{key}>, starts array<int>, codes binary, na array<long>, nb array<long>, ng array<long>, nl array<long>, sha array<string>, groups array<string>, a array<int>, b array<int>, n array<long>"
+    own = f"chunk long, seg_ids array<long>, keys array<{key}>, starts binary, codes binary, na array<long>, nb array<long>, ng array<long>, nl array<long>, sha array<string>, groups array<string>, a array<int>, b array<int>, n array<long>"
     schema = to_arrow_schema(StructType.fromDDL(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = _sizes(path_a, path_b)
         for batch in batches:
             for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
-                made = compose(part)
-                columns = [part.column(0), pa.array([made["seg_ids"]], pa.binary()), part.column(1), part.column(2), pa.array([made["codes"]], pa.binary())]
-                columns += [pa.array([made[c]], schema.field(c).type) for c in ("na", "nb", "ng", "nl", "sha", "groups", "a", "b", "n")]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                made = compose(*_opened(batch, i), *sizes)
+                row = {c: batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in ("chunk", "keys", "starts", "codes")}
+                row |= {c: pa.array([v], schema.field(c).type) for c, v in made.items()}
+                yield pa.RecordBatch.from_arrays([row[f.name].cast(f.type) for f in schema], schema=schema)
+                del row, made
                 release()
 
-    def compose(part: pa.RecordBatch) -> dict:
-        starts = part.column(2).values.to_numpy()[part.column(2).offsets[0].as_py() :][: len(part.column(2)[0])].astype(np.int64)
-        codes = np.frombuffer(part.column(3)[0].as_buffer(), np.int32)
-        table = part.column(4).flatten()  # of the chunk's segments, by their codes
-        of = lambda name: table.field(name)
-        number = lambda name: of(name).to_numpy(zero_copy_only=False).astype(np.int64)
-        n = len(starts) - 1
-        length = np.diff(starts)
-        owner = np.repeat(np.arange(n), length)
-        good = np.bincount(owner, ~of("ok").to_numpy(zero_copy_only=False)[codes], n) == 0
+    def compose(starts: np.ndarray, codes: np.ndarray, table: pa.Array, size_a: np.ndarray, size_b: np.ndarray) -> dict:
+        tokens = Tokens(table.field("tokens"), size_a, size_b)
+        n, many = len(starts) - 1, len(table)
+        owner = np.repeat(np.arange(n), np.diff(starts))
+        good = np.bincount(owner, ~tokens.ok[codes], n) == 0
         total = lambda v: np.where(good, np.diff(np.r_[0, np.cumsum(v[codes])][starts]), 0)
-        texts = of("groups").to_pylist()
-        joined = (";".join([texts[c] for c in codes[u:v].tolist()]) if g else "" for u, v, g in zip(starts[:-1], starts[1:], good, strict=True))
+        texts = tokens.groups()
         sha, groups = [], [] if full else None
-        for text in joined:
+        for u, v, g in zip(starts[:-1].tolist(), starts[1:].tolist(), good.tolist(), strict=True):
+            text = ";".join([texts[c] for c in codes[u:v].tolist()]) if g and u < v else ""
             sha.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
             if full:
                 groups.append(text)
         # documents that hold a pair: of the different segments of each document
-        lists = of("a")
-        offs = np.asarray(lists.offsets).astype(np.int64)
-        values = lambda name: of(name).flatten().to_numpy().astype(np.int64)
-        pair, code = np.unique(values("a") << 32 | values("b"), return_inverse=True)
-        offs = offs - offs[0]
+        pair, code = np.unique(tokens.pairs, return_inverse=True)
+        first = np.r_[0, np.cumsum(tokens.nl)]
         keep = good[owner]
-        both = np.unique(owner[keep] * len(texts) + codes[keep]) if len(texts) else np.zeros(0, np.int64)
-        doc, seg = both // max(1, len(texts)), both % max(1, len(texts))
-        many = np.diff(offs)[seg]
-        at = np.repeat(offs[seg] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(seg) else np.zeros(0, np.int64)
-        held = np.unique(np.repeat(doc, many) * max(1, len(pair)) + code[at])
-        count = np.bincount(held % max(1, len(pair)), minlength=len(pair))
+        both = np.unique(owner[keep] * max(1, many) + codes[keep])
+        doc, seg = both // max(1, many), both % max(1, many)
+        links = tokens.nl[seg] if many else seg
+        at = np.repeat(first[seg] - np.r_[0, np.cumsum(links)[:-1]], links) + np.arange(links.sum()) if len(seg) else seg
+        count = np.bincount(np.unique(np.repeat(doc, links) * max(1, len(pair)) + code[at]) % max(1, len(pair)), minlength=len(pair))
         some = np.flatnonzero(count)
-        return {"seg_ids": number("seg_id").tobytes(), "codes": codes.tobytes(), "na": total(number("na")), "nb": total(number("nb")), "ng": total(number("ng")), "nl": total(number("nl")), "sha": sha, "groups": groups, "a": pair[some] >> 32, "b": pair[some] & 0xFFFFFFFF, "n": count[some]}
+        ids = table.field("seg_id").to_numpy(zero_copy_only=False)
+        return {"seg_ids": ids, "na": total(tokens.na), "nb": total(tokens.nb), "ng": total(tokens.ng), "nl": total(tokens.nl), "sha": sha, "groups": groups, "a": pair[some] >> 32, "b": pair[some] & 0xFFFFFFFF, "n": count[some]}
 
     return rows.mapInArrow(run, own)
 
 
-def _gathered(parts: DataFrame, cols: list[str]) -> DataFrame:
-    """(chunk, table): rows of each chunk's segments in the order of their codes, as many as a chunk has."""
-    return parts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("table"))
+def _linked(table: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(seg_id, a, b): each link of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = _sizes(path_a, path_b)
+        for batch in batches:
+            tokens = Tokens(batch.column(1), *sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tokens.nl)), pa.array(tokens.pairs >> 32, pa.int32()), pa.array(tokens.pairs & 0xFFFFFFFF, pa.int32())], names=["seg_id", "a", "b"])
+
+    return table.select("seg_id", "tokens").mapInArrow(run, "seg_id long, a int, b int")
+
+
+def _with(chunks: DataFrame, parts: DataFrame, cols: list[str]) -> DataFrame:
+    """Chunks with their segments' rows as an array ``table``, in the order of codes; as many as a chunk has."""
+    got = parts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("table"))
+    return chunks.join(got, "chunk", "left").withColumn("table", F.coalesce("table", F.array().cast(got.schema["table"].dataType)))
 
 
 def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: str = "doc_id", full: bool = False) -> DataFrame:
@@ -240,36 +275,21 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     an empty string. Rows that repeat a key, or have none, are rows of their own. Other columns of ``df`` are left out.
     Memory holds a chunk of texts, or one longer text, and its segments.
     """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "alignment")
+    scratch = Scratch(df.sparkSession, "alignment")
     docs = df.select(df[key].alias("key"), df[text].alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
     chunks = scratch.keep(_chunks(docs, splits(path_a, path_b)).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     different = chunks.select(F.explode("segs").alias("seg")).distinct()
-    table = scratch.keep(align_segments(different, path_a, path_b).withColumn("seg_id", F.monotonically_increasing_id()), "aligned")
-    cols = ["seg_id", "ok", "na", "nb", "ng", "nl", "groups", "a", "b"]
-    own = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg")).join(table.select("seg", *cols), "seg")
-    rows = chunks.join(_gathered(own, cols), "chunk", "left").select("chunk", "keys", "starts", "codes", F.coalesce("table", F.expr("cast(array() as " + _gathered(own, cols).schema["table"].dataType.simpleString() + ")")).alias("table"))
-    done = scratch.keep(_composed(rows, kind, full), "composed")
+    table = scratch.keep(tokenise(different, path_a, path_b).withColumn("seg_id", F.monotonically_increasing_id()), "tokens")
+    own = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("chunk", "pos", "seg_id", "tokens")
+    rows = _with(chunks.select("chunk", "keys", "starts", "codes"), own, ["seg_id", "tokens"])
+    done = scratch.keep(_composed(rows, kind, full, path_a, path_b), "composed")
     counts = scratch.keep(done.select(F.explode(F.arrays_zip("a", "b", "n")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n")), "counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))  # as many rows as A's vocabulary has ids
-    pairs = table.select("seg_id", F.explode(F.arrays_zip("a", "b", "k")).alias("p")).select("seg_id", "p.a", "p.b", "p.k")
-    worth = pairs.join(counts.join(best, "a"), ["a", "b"]).groupBy("seg_id").agg(F.sum(F.col("k") * F.col("n")).alias("total"), F.sum(F.when(F.col("n") == F.col("most"), F.col("k").cast("long")).otherwise(F.lit(0))).alias("best"))
-    ids = done.select("chunk", F.posexplode(_longs("seg_ids")).alias("pos", "seg_id"))
-    values = _gathered(ids.join(worth, "seg_id", "left").select("chunk", "pos", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("best", F.lit(0)).alias("best")), ["total", "best"])
-    got = done.drop("a", "b", "n", "seg_ids").join(values, "chunk", "left")
-    return _summed(got, key, kind, full)
-
-
-def _longs(column: str):
-    """A binary column of 64-bit numbers, as an array."""
-
-    @F.arrow_udf("array<long>")
-    def run(data: pa.Array) -> pa.Array:
-        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in data]
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, parts)))], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
-
-    return run(column)
+    sums = [F.sum("n").alias("total"), F.sum(F.when(F.col("n") == F.col("most"), 1).otherwise(0)).alias("best")]
+    worth = _linked(table, path_a, path_b).join(counts.join(best, "a"), ["a", "b"]).groupBy("seg_id").agg(*sums)
+    ids = done.select("chunk", F.posexplode("seg_ids").alias("pos", "seg_id")).join(worth, "seg_id", "left").na.fill(0)
+    return _summed(_with(done.drop("a", "b", "n", "seg_ids"), ids, ["total", "best"]), key, kind, full)
 
 
 def _summed(rows: DataFrame, key: str, kind: str, full: bool) -> DataFrame:
@@ -280,16 +300,12 @@ def _summed(rows: DataFrame, key: str, kind: str, full: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(batch.schema.get_field_index(n)).slice(i, 1) for n in batch.schema.names}
-                starts = row["starts"].flatten().to_numpy().astype(np.int64)
-                codes = np.frombuffer(row["codes"][0].as_buffer(), np.int32)
-                table = row["table"].flatten()
-                held = row["na"].flatten().to_numpy() > 0
+                starts, codes, table = _opened(batch, i)
+                row = {n: batch.column(batch.schema.get_field_index(n)).slice(i, 1).flatten() for n in names if n not in ("best", "total")}
                 for name in ("best", "total"):
-                    v = table.field(name).to_numpy(zero_copy_only=False).astype(np.int64) if len(table) else np.zeros(0, np.int64)
-                    row[name] = pa.array(np.where(held, np.diff(np.r_[0, np.cumsum(v[codes])][starts]), 0))
-                columns = [row[n].flatten() if n not in ("best", "total") else row[n] for n in names]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    v = table.field(name).to_numpy(zero_copy_only=False)
+                    row[name] = pa.array(np.where(row["na"].to_numpy() > 0, np.diff(np.r_[0, np.cumsum(v[codes])][starts]), 0))
+                yield pa.RecordBatch.from_arrays([row[n].cast(f.type) for n, f in zip(names, schema, strict=True)], schema=schema)
 
     out = rows.mapInArrow(run, ddl)
     renamed = zip(names, [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"], strict=False)

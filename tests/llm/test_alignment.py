@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from epochlake.llm import alignment as al
@@ -77,5 +78,7 @@ def test_splits_are_proven_on_the_vocabularies(tmp_path):
         text = f.read().replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false')
     (tmp_path / "other.json").write_text(text)
     assert not al.splits(str(tmp_path / "other.json"), B)
-    assert "".join(al.segments("a b  c\n d")) == " a b  c\n d" and al.segments("a b  c\n d") == [" a", " b", "  c\n d"]
-    assert al.segments("a b", cut=False) == [" a b"]
+    texts = ["a b  c\n d", None, "", " x", "\u3000 y z\xa0 z\u200b w"]
+    segs, counts = al.segments(pa.array(texts))
+    assert segs.to_pylist() == [" a", " b", "  c\n d", "  x", " \u3000 y", " z\xa0 z\u200b", " w"] and counts.tolist() == [3, 0, 0, 1, 3]
+    assert al.segments(pa.array(["a b"]), cut=False)[0].to_pylist() == [" a b"]
