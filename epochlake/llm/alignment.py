@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,20 +107,21 @@ def overlaps(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Tokens:
-    """Ids of many segments as bytes: of each the number of A's, A's and B's, and their sizes in bytes."""
+    """Ids of many segments, as :func:`tokenise` stores them, with tokens' sizes in bytes by id."""
 
     def __init__(self, rows: pa.Array, size_a: np.ndarray, size_b: np.ndarray):
+        kind = _kind(len(size_a), len(size_b))
         offs = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
-        data = np.frombuffer(bytes(rows.buffers()[2] or b"")[offs[0] : offs[-1]], np.uint32)
-        first = (offs - offs[0]) // 4
+        data = np.frombuffer(bytes(rows.buffers()[2] or b"")[offs[0] : offs[-1]], kind).astype(np.int64)
+        first = (offs - offs[0]) // kind.itemsize
         held = np.diff(first) > 0
         self.ok, n = held, len(rows)
         self.na = np.zeros(n, np.int64)
-        self.na[held] = data[first[:-1][held]]
-        self.nb = np.where(held, np.diff(first) - 1 - self.na, 0)
-        place = np.arange(len(data)) - np.repeat(first[:-1], np.diff(first))
+        self.na[held] = data[first[:-1][held]] + (data[first[:-1][held] + 1] << 16)
+        self.nb = np.where(held, np.diff(first) - 2 - self.na, 0)
+        place = np.arange(len(data)) - np.repeat(first[:-1], np.diff(first)) - 2
         many = np.repeat(self.na, np.diff(first))
-        self.a, self.b = data[(place > 0) & (place <= many)].astype(np.int64), data[place > many].astype(np.int64)
+        self.a, self.b = data[(place >= 0) & (place < many)], data[place >= many]
         i, j, ends = overlaps(size_a[self.a], size_b[self.b])
         owner = np.repeat(np.arange(n), self.na)[i]
         self.pairs = self.a[i] << 32 | self.b[j]
@@ -135,13 +137,19 @@ class Tokens:
         return [";".join(made[u:v]) for u, v in zip([0, *ends], ends, strict=False)]
 
 
+def _kind(*sizes: int) -> np.dtype:
+    """Numbers in which ids of vocabularies of these sizes are stored."""
+    return np.dtype("<u2" if max(sizes) <= 1 << 16 else "<u4")
+
+
 def _sizes(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(list(map(len, t))) for t in (byte_level(path_a)[1], pieces(path_b)[1]))
 
 
 def tokenise(segs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(seg, tokens) of segments: the number of A's ids, A's and B's, as 32-bit numbers; empty where the joined bytes of either's
+    """(seg, tokens) of segments: the number of A's ids in two halves, A's ids and B's; empty where the joined bytes of either's
     tokens aren't the segment's."""
+    kind = _kind(*map(len, _sizes(path_a, path_b))).char
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, bytes_a = byte_level(path_a)
@@ -154,7 +162,7 @@ def tokenise(segs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 out = []
                 for s, a, b in zip(own, ids_a, ids_b, strict=True):
                     same = b"".join([bytes_a[i] for i in a]) == s.encode() == b"".join([bytes_b[i] for i in b])
-                    out.append(array("I", [len(a), *a, *b]).tobytes() if same else b"")
+                    out.append(array(kind, [len(a) & 0xFFFF, len(a) >> 16, *a, *b]).tobytes() if same else b"")
                 yield pa.RecordBatch.from_arrays([part, pa.array(out, pa.binary())], names=["seg", "tokens"])
         release()
 
@@ -175,7 +183,7 @@ def _chunks(docs: DataFrame, cut: bool) -> DataFrame:
             segs, counts = segments(texts, cut)
             coded = segs.dictionary_encode()
             one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-            data = [x.astype(np.int32).tobytes() for x in (np.r_[0, np.cumsum(counts)], coded.indices.to_numpy())]
+            data = [_packed(np.r_[0, np.cumsum(counts)]), _packed(coded.indices.to_numpy())]
             columns = [one(keys), *[pa.array([x], pa.binary()) for x in data], one(coded.dictionary.cast(pa.string()))]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -194,20 +202,27 @@ def _chunks(docs: DataFrame, cut: bool) -> DataFrame:
     return docs.mapInArrow(run, ddl)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(numbers.astype(np.int32).tobytes())
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.int32).astype(np.int64)
+
+
 def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(starts, codes, table) of a chunk's row."""
     get = lambda c: batch.column(batch.schema.get_field_index(c))
-    starts, codes = (np.frombuffer(get(c)[i].as_buffer(), np.int32) for c in ("starts", "codes"))
-    return starts.astype(np.int64), codes, get("table").slice(i, 1).flatten()
+    return *(_unpacked(get(c)[i]) for c in ("starts", "codes")), get("table").slice(i, 1).flatten()
 
 
-def _composed(rows: DataFrame, key: str, full: bool, path_a: str, path_b: str) -> DataFrame:
-    """Chunks with what their documents' segments give; and a chunk's pairs of ids with the number of documents that hold each."""
-    own = f"chunk long, seg_ids array<long>, keys array<{key}>, starts binary, codes binary, na array<long>, nb array<long>, ng array<long>, nl array<long>, sha array<string>, groups array<string>, a array<int>, b array<int>, n array<long>"
+def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Chunks with what their documents' segments give; a chunk's pairs of ids with the number of documents that hold each; and
+    the pairs of each segment's links."""
+    own = f"chunk long, keys array<{key}>, starts binary, codes binary, counts binary, links binary, na array<long>, nb array<long>, ng array<long>, nl array<long>, sha array<string>, groups array<string>, a array<int>, b array<int>, n array<long>"
     schema = to_arrow_schema(StructType.fromDDL(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _sizes(path_a, path_b)
         for batch in batches:
             for i in range(batch.num_rows):
                 made = compose(*_opened(batch, i), *sizes)
@@ -239,25 +254,11 @@ def _composed(rows: DataFrame, key: str, full: bool, path_a: str, path_b: str) -
         links = tokens.nl[seg] if many else seg
         at = np.repeat(first[seg] - np.r_[0, np.cumsum(links)[:-1]], links) + np.arange(links.sum()) if len(seg) else seg
         count = np.bincount(np.unique(np.repeat(doc, links) * max(1, len(pair)) + code[at]) % max(1, len(pair)), minlength=len(pair))
-        some = np.flatnonzero(count)
-        ids = table.field("seg_id").to_numpy(zero_copy_only=False)
-        return {"seg_ids": ids, "na": total(tokens.na), "nb": total(tokens.nb), "ng": total(tokens.ng), "nl": total(tokens.nl), "sha": sha, "groups": groups, "a": pair[some] >> 32, "b": pair[some] & 0xFFFFFFFF, "n": count[some]}
+        return {"counts": _packed(tokens.nl), "links": _packed(code), "na": total(tokens.na), "nb": total(tokens.nb), "ng": total(tokens.ng), "nl": total(tokens.nl), "sha": sha, "groups": groups, "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": count}
 
     return rows.mapInArrow(run, own)
 
 
-def _linked(table: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(seg_id, a, b): each link of each segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _sizes(path_a, path_b)
-        for batch in batches:
-            tokens = Tokens(batch.column(1), *sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tokens.nl)), pa.array(tokens.pairs >> 32, pa.int32()), pa.array(tokens.pairs & 0xFFFFFFFF, pa.int32())], names=["seg_id", "a", "b"])
-
-    return table.select("seg_id", "tokens").mapInArrow(run, "seg_id long, a int, b int")
-
-
 def _with(chunks: DataFrame, parts: DataFrame, cols: list[str]) -> DataFrame:
     """Chunks with their segments' rows as an array ``table``, in the order of codes; as many as a chunk has."""
     got = parts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("table"))
@@ -280,16 +281,16 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     kind = docs.schema["key"].dataType.simpleString()
     chunks = scratch.keep(_chunks(docs, splits(path_a, path_b)).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     different = chunks.select(F.explode("segs").alias("seg")).distinct()
-    table = scratch.keep(tokenise(different, path_a, path_b).withColumn("seg_id", F.monotonically_increasing_id()), "tokens")
-    own = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("chunk", "pos", "seg_id", "tokens")
-    rows = _with(chunks.select("chunk", "keys", "starts", "codes"), own, ["seg_id", "tokens"])
-    done = scratch.keep(_composed(rows, kind, full, path_a, path_b), "composed")
+    table = scratch.keep(tokenise(different, path_a, path_b), "tokens")
+    own = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("chunk", "pos", "tokens")
+    rows = _with(chunks.select("chunk", "keys", "starts", "codes"), own, ["tokens"])
+    done = scratch.keep(_composed(rows, kind, full, _sizes(path_a, path_b)), "composed")
+    scratch.drop("chunks", "tokens")
     counts = scratch.keep(done.select(F.explode(F.arrays_zip("a", "b", "n")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n")), "counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))  # as many rows as A's vocabulary has ids
-    sums = [F.sum("n").alias("total"), F.sum(F.when(F.col("n") == F.col("most"), 1).otherwise(0)).alias("best")]
-    worth = _linked(table, path_a, path_b).join(counts.join(best, "a"), ["a", "b"]).groupBy("seg_id").agg(*sums)
-    ids = done.select("chunk", F.posexplode("seg_ids").alias("pos", "seg_id")).join(worth, "seg_id", "left").na.fill(0)
-    return _summed(_with(done.drop("a", "b", "n", "seg_ids"), ids, ["total", "best"]), key, kind, full)
+    worth = counts.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("top"))
+    pairs = done.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "p")).select("chunk", "pos", "p.a", "p.b").join(worth, ["a", "b"])
+    return _summed(_with(done.drop("a", "b", "n"), pairs, ["n", "top"]), key, kind, full)
 
 
 def _summed(rows: DataFrame, key: str, kind: str, full: bool) -> DataFrame:
@@ -302,8 +303,11 @@ def _summed(rows: DataFrame, key: str, kind: str, full: bool) -> DataFrame:
             for i in range(batch.num_rows):
                 starts, codes, table = _opened(batch, i)
                 row = {n: batch.column(batch.schema.get_field_index(n)).slice(i, 1).flatten() for n in names if n not in ("best", "total")}
-                for name in ("best", "total"):
-                    v = table.field(name).to_numpy(zero_copy_only=False)
+                counts, links = (_unpacked(batch.column(batch.schema.get_field_index(c))[i]) for c in ("counts", "links"))
+                first = np.r_[0, np.cumsum(counts)]
+                for name, field in (("best", "top"), ("total", "n")):
+                    v = table.field(field).to_numpy(zero_copy_only=False).astype(np.int64)
+                    v = np.diff(np.r_[0, np.cumsum(v[links])][first])  # of each segment
                     row[name] = pa.array(np.where(row["na"].to_numpy() > 0, np.diff(np.r_[0, np.cumsum(v[codes])][starts]), 0))
                 yield pa.RecordBatch.from_arrays([row[n].cast(f.type) for n, f in zip(names, schema, strict=True)], schema=schema)
 
