@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -30,7 +30,7 @@ from .shared import Scratch, release
 from .words import blocks, raw
 
 #: Bytes of texts that share a table of segments; a single longer text has one of its own.
-CHUNK = 6_000_000
+CHUNK = 10_000_000
 MARK = "▁"
 
 
@@ -107,13 +107,16 @@ def overlaps(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Tokens:
-    """Ids of many segments, as :func:`tokenise` stores them, with tokens' sizes in bytes by id."""
+    """Ids of many segments, as :func:`tokenise` stores them behind four bytes, with tokens' sizes in bytes by id."""
 
     def __init__(self, rows: pa.Array, size_a: np.ndarray, size_b: np.ndarray):
         kind = _kind(len(size_a), len(size_b))
         offs = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
-        data = np.frombuffer(bytes(rows.buffers()[2] or b"")[offs[0] : offs[-1]], kind).astype(np.int64)
-        first = (offs - offs[0]) // kind.itemsize
+        data = np.frombuffer(bytes(rows.buffers()[2] or b"")[offs[0] : offs[-1]], np.uint8)
+        own = np.ones(len(data), bool)
+        own[(offs[:-1, None] - offs[0] + np.arange(4)).ravel()] = False
+        data = data[own].view(kind).astype(np.int64)
+        first = (offs - offs[0] - 4 * np.arange(len(offs))) // kind.itemsize
         held = np.diff(first) > 0
         self.ok, n = held, len(rows)
         self.na = np.zeros(n, np.int64)
@@ -233,7 +236,7 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
                 release()
 
     def compose(starts: np.ndarray, codes: np.ndarray, table: pa.Array, size_a: np.ndarray, size_b: np.ndarray) -> dict:
-        tokens = Tokens(table.field("tokens"), size_a, size_b)
+        tokens = Tokens(table, size_a, size_b)
         n, many = len(starts) - 1, len(table)
         owner = np.repeat(np.arange(n), np.diff(starts))
         good = np.bincount(owner, ~tokens.ok[codes], n) == 0
@@ -259,10 +262,13 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
     return rows.mapInArrow(run, own)
 
 
-def _with(chunks: DataFrame, parts: DataFrame, cols: list[str]) -> DataFrame:
-    """Chunks with their segments' rows as an array ``table``, in the order of codes; as many as a chunk has."""
-    got = parts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("table"))
-    return chunks.join(got, "chunk", "left").withColumn("table", F.coalesce("table", F.array().cast(got.schema["table"].dataType)))
+def _gathered(parts: DataFrame, row: Column) -> DataFrame:
+    """(chunk, table): what each chunk's segments, or pairs, have, in their order; as many as a chunk has."""
+    return parts.groupBy("chunk").agg(F.array_sort(F.collect_list(row)).alias("table"))
+
+
+def _with(chunks: DataFrame, tables: DataFrame) -> DataFrame:
+    return chunks.join(tables, "chunk", "left").withColumn("table", F.coalesce("table", F.array().cast(tables.schema["table"].dataType)))
 
 
 def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: str = "doc_id", full: bool = False) -> DataFrame:
@@ -282,15 +288,17 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     chunks = scratch.keep(_chunks(docs, splits(path_a, path_b)).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     different = chunks.select(F.explode("segs").alias("seg")).distinct()
     table = scratch.keep(tokenise(different, path_a, path_b), "tokens")
-    own = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("chunk", "pos", "tokens")
-    rows = _with(chunks.select("chunk", "keys", "starts", "codes"), own, ["tokens"])
-    done = scratch.keep(_composed(rows, kind, full, _sizes(path_a, path_b)), "composed")
-    scratch.drop("chunks", "tokens")
+    place = F.unhex(F.lpad(F.hex("pos"), 8, "0"))  # sorts as numbers do
+    own = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("chunk", F.concat(place, "tokens").alias("r"))
+    found = scratch.keep(_gathered(own, F.col("r")), "found")  # a write of its own: its shuffles go before the next
+    scratch.drop("tokens")
+    done = scratch.keep(_composed(_with(chunks.select("chunk", "keys", "starts", "codes"), found), kind, full, _sizes(path_a, path_b)), "composed")
+    scratch.drop("chunks", "found")
     counts = scratch.keep(done.select(F.explode(F.arrays_zip("a", "b", "n")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n")), "counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))  # as many rows as A's vocabulary has ids
     worth = counts.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("top"))
     pairs = done.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "p")).select("chunk", "pos", "p.a", "p.b").join(worth, ["a", "b"])
-    return _summed(_with(done.drop("a", "b", "n"), pairs, ["n", "top"]), key, kind, full)
+    return _summed(_with(done.drop("a", "b", "n"), _gathered(pairs, F.struct("pos", "n", "top"))), key, kind, full)
 
 
 def _summed(rows: DataFrame, key: str, kind: str, full: bool) -> DataFrame:
