@@ -119,6 +119,14 @@ def auto_range(means: DataFrame, keys: Keys, mean: str = "mean") -> DataFrame:
     return lo.join(hi, list(keys)).select(*keys, (F.col("q01") * 0.1).alias("lo"), (F.col("q99") * 10).alias("hi"))
 
 
+def distance_ok(channels: DataFrame, run: Keys, distance: str, lo: float = 0.0, hi: float = 45.0, name: str = "distance_ok") -> DataFrame:
+    """Whether each channel's source and detector lie ``lo`` to ``hi`` apart. An unknown distance fails, unless the run has no
+    distance at all: then its geometry is unknown, and none fails."""
+    known = F.when(~F.isnan(distance), F.col(distance))
+    any_known = channels.groupBy(*run).agg((F.count(known) > 0).alias("__known"))
+    return channels.join(any_known, list(run)).withColumn(name, F.coalesce(known.between(lo, hi), ~F.col("__known"))).drop("__known")
+
+
 def prune(channels: DataFrame, pair: Keys, wavelength: str, checks: Sequence[Column], n_wavelengths: int) -> DataFrame:
     """Pairs with all wavelengths, all of whose measurements pass every check; a null check passes."""
     ok = F.lit(True)

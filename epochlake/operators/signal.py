@@ -183,16 +183,6 @@ def same(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, len(h) // 2, mode="edge"), h, "valid")
 
 
-def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Rate times up/down, by a windowed-sinc anti-alias kernel."""
-    wide = np.zeros(len(x) * up)
-    wide[::up] = x
-    m = max(up, down)
-    n = np.arange(-10 * m, 10 * m + 1)
-    h = np.sinc(n / m) / m * np.kaiser(len(n), 5.0) * up
-    return np.convolve(wide, h)[10 * m : 10 * m + len(wide)][::down]
-
-
 def tddr(x: np.ndarray, rate: float) -> np.ndarray:
     """Motion repair by the distribution of temporal derivatives: steps of the slow part are weighted by how far they lie from
     their robust mean, so that those of movements vanish, and summed up again to a signal of the same mean."""
@@ -204,23 +194,34 @@ def tddr(x: np.ndarray, rate: float) -> np.ndarray:
     return x - slow + path - path.mean()
 
 
-def wavelet_repair(x: np.ndarray, iqr: float = 1.5, levels: int | None = None) -> np.ndarray:
-    """Haar details beyond ``iqr`` interquartile ranges of their level, set to 0."""
-    n = 1 << max(1, (len(x) - 1).bit_length())
-    a, kept = np.pad(x, (0, n - len(x)), mode="edge"), []
-    for _ in range(levels or max(1, n.bit_length() - 4)):
-        if len(a) < 4:
-            break
-        lo, hi = (a[::2] + a[1::2]) / math.sqrt(2), (a[::2] - a[1::2]) / math.sqrt(2)
-        q1, q3 = np.percentile(hi, [25, 75])
+#: Low-pass filter of the orthonormal wavelet with two vanishing moments.
+DB2 = np.array([1 + math.sqrt(3), 3 + math.sqrt(3), 3 - math.sqrt(3), 1 - math.sqrt(3)]) / (4 * math.sqrt(2))
+
+
+def wavelet_repair(x: np.ndarray, iqr: float = 1.5, levels: int | None = None, taps: np.ndarray = DB2) -> np.ndarray:
+    """Undecimated wavelet details beyond ``iqr`` interquartile ranges from the quartiles of their level and block, set to 0.
+
+    The signal less its mean is continued by reflection to a power of two and transformed at all shifts: the details of a
+    level that one shift's decimated transform has are a block. So a signal that is a power of two long and shifted in a
+    circle has the shifted result.
+    """
+    n, mean = len(x), x.mean()
+    size = 1 << max(2, (n - 1).bit_length())
+    a = np.pad(x - mean, (0, size - n), mode="symmetric")
+    high = taps[::-1] * (-1.0) ** np.arange(len(taps))
+    ahead = lambda v, h, step: sum(h[k] * np.roll(v, -k * step) for k in range(len(h)))
+    behind = lambda v, h, step: sum(h[k] * np.roll(v, k * step) for k in range(len(h)))
+    kept = []
+    for level in range(levels or max(1, size.bit_length() - 4)):
+        step = 1 << level
+        a, d = ahead(a, taps, step), ahead(a, high, step)
+        rows = d.reshape(-1, 2 * step)
+        q1, q3 = np.percentile(rows, [25, 75], axis=0)
         far = iqr * (q3 - q1)
-        kept.append(np.where((hi < q1 - far) | (hi > q3 + far), 0.0, hi))
-        a = lo
-    for hi in reversed(kept):
-        wide = np.empty(2 * len(a))
-        wide[::2], wide[1::2] = (a + hi) / math.sqrt(2), (a - hi) / math.sqrt(2)
-        a = wide
-    return a[: len(x)]
+        kept.append(np.where((rows < q1 - far) | (rows > q3 + far), 0.0, rows).ravel())
+    for level in reversed(range(len(kept))):
+        a = (behind(a, taps, 1 << level) + behind(kept[level], high, 1 << level)) / 2
+    return a[:n] + mean
 
 
 def hilbert_power(x: np.ndarray) -> np.ndarray:
@@ -420,8 +421,10 @@ def welch(df: DataFrame, keys: Keys, index: str, value: str, rate: float, width:
     return found.groupBy(*keys, (F.col("k") * F.lit(rate / nfft)).alias("freq")).agg(F.avg("p").alias("power"))
 
 
-def coherence(df: DataFrame, keys: Keys, index: str, x: str, y: str, rate: float, width: int, nfft: int | None = None) -> DataFrame:
-    """Magnitude-squared coherence (keys, freq, coherence): sums over half-overlapping Hamming segments."""
+def coherence(df: DataFrame, keys: Keys, index: str, x: str, y: str, rate: float, width: int, nfft: int | None = None, gaps: str = "concat", least: int = 10, **how) -> DataFrame:
+    """Magnitude-squared coherence (keys, freq, coherence): sums over half-overlapping Hamming segments of the samples that
+    :func:`both` keeps. With gaps="segment" only stretches without a gap are segments; keys with none, or with fewer than
+    ``least`` samples, have no rows."""
     nfft = nfft or max(256, 1 << (width - 1).bit_length())
     taper = hamming(width)
 
@@ -431,19 +434,51 @@ def coherence(df: DataFrame, keys: Keys, index: str, x: str, y: str, rate: float
         return [both.real, both.imag, np.abs(u) ** 2, np.abs(v) ** 2]
 
     names = ["cr", "ci", "pxx", "pyy"]
-    found = spectra(segments(df, keys, index, [x, y], width, width // 2), [*keys, "seg"], [x, y], kernel, names)
+    place = "__i" if gaps == "concat" else index
+    rows = both(df, keys, index, x, y, **how).where(F.col("__n") >= least).select(*keys, F.col(place).alias("__at"), "__x", "__y")
+    found = spectra(segments(rows, keys, "__at", ["__x", "__y"], width, width // 2), [*keys, "seg"], ["__x", "__y"], kernel, names)
     s = found.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in names])
     return s.select(*keys, (F.col("k") * F.lit(rate / nfft)).alias("freq"), F.try_divide(F.expr("cr*cr + ci*ci"), F.expr("pxx*pyy")).alias("coherence"))
 
 
-def xcorr(df: DataFrame, keys: Keys, index: str, x: str, y: str, most: int) -> DataFrame:
-    """Normalised cross-correlation (keys, lag, r): sum of x at i + lag times y at i. A sample meets 2 most + 1 others, by an
-    equality join on its place."""
-    left = df.select(*keys, F.col(index).alias("__i"), F.col(x).alias("__x"))
-    right = df.select(*keys, F.col(index).alias("__j"), F.col(y).alias("__y")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    sums = right.withColumn("__i", F.col("__j") + F.col("lag")).join(left, [*keys, "__i"]).groupBy(*keys, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("s"))
-    norm = df.groupBy(*keys).agg(F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y))).alias("norm"))
-    return sums.join(norm, list(keys)).select(*keys, "lag", F.try_divide("s", "norm").alias("r"))
+def numbered(df: DataFrame, keys: Keys, index: str, name: str, size: int = 1 << 16) -> DataFrame:
+    """Rows numbered from 0 in the order of ``index``, a whole number: within stretches of it, after the rows of those before."""
+    cut = df.withColumn("__part", F.floor(F.col(index) / F.lit(size)))
+    counts = cut.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counts.select(*keys, "__part", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__b"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(index))
+    return cut.join(begin, [*keys, "__part"]).withColumn(name, F.col("__b") + own - 1).drop("__part", "__b")
+
+
+def both(df: DataFrame, keys: Keys, index: str, x: str, y: str, mask: str | None = None, centre: str = "none") -> DataFrame:
+    """(keys, index, __x, __y, __i, __n): the samples that ``mask`` keeps at which x and y are there, with their number from 0
+    among them and how many the key has. centre: "none", "demean", or "zscore", by the samples kept."""
+    have = ~F.isnan(x) & ~F.isnan(y) & F.col(x).isNotNull() & F.col(y).isNotNull()
+    own = df.where(have & F.col(mask) if mask else have).select(*keys, index, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    known = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[f(c).alias(f"{c}_{n}") for c in ("__x", "__y") for f, n in ((F.avg, "m"), (F.stddev_samp, "s"))])
+    out = numbered(own, keys, index, "__i").join(known, list(keys))
+    if centre != "none":
+        scale = lambda c: F.col(f"{c}_s") + F.lit(2.220446049250313e-16) if centre == "zscore" else F.lit(1.0)
+        out = out.withColumns({c: (F.col(c) - F.col(f"{c}_m")) / scale(c) for c in ("__x", "__y")})
+    return out.select(*keys, index, "__x", "__y", "__i", "__n")
+
+
+def xcorr(df: DataFrame, keys: Keys, index: str, x: str, y: str, most: int, gaps: str = "concat", least: int = 10, **how) -> DataFrame:
+    """Normalised cross-correlation (keys, lag, r) of the samples that :func:`both` keeps: sum of x at i + lag times y at i, by
+    the root of both sums of squares. A sample meets 2 most + 1 others, by an equality join on its place.
+
+    With gaps="concat" samples on both sides of a gap are neighbours; with "segment" they keep their places and pairs don't
+    reach over one. r is null for keys with fewer than ``least`` samples, and where a side is 0.
+    """
+    rows = both(df, keys, index, x, y, **how)
+    run = F.lit(0) if gaps == "concat" else F.col(index) - F.col("__i")
+    rows = rows.select(*keys, run.alias("__run"), "__i", "__x", "__y", "__n")
+    right = rows.select(*keys, "__run", F.col("__i").alias("__j"), F.col("__y").alias("__w")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    pairs = right.withColumn("__i", F.col("__j") + F.col("lag")).join(rows.drop("__y", "__n"), [*keys, "__run", "__i"])
+    sums = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("__x") * F.col("__w")).alias("s"))
+    norm = rows.groupBy(*keys).agg(F.sqrt(F.sum(F.col("__x") * F.col("__x")) * F.sum(F.col("__y") * F.col("__y"))).alias("norm"), F.max("__n").alias("n"))
+    return sums.join(norm, list(keys)).select(*keys, "lag", F.when(F.col("n") >= least, F.try_divide("s", "norm")).alias("r"))
 
 
 def motion_mask(df: DataFrame, keys: Keys, order: str, value: str, reach: int, spread: int, sd: float, amplitude: float) -> DataFrame:

@@ -217,20 +217,28 @@ def responses(fits: DataFrame, subject: Keys, na: int, nb: int, delay: int, n: i
 
 def simulation_scores(df: DataFrame, fits: DataFrame, subject: Keys, segment: str, order: str, y: str, u: str, na: int, nb: int, delay: int) -> DataFrame:
     """(subject, segment, n, rmse, r): how well each subject's ARX model, run freely from rest on a segment's input, gives its
-    output, after the first samples that the model looks back on. r is null where one of both doesn't vary."""
+    output, after the first samples that the model looks back on.
+
+    A sample with a missing input or output ends a run: the next begins anew, from rest, and its first samples don't count
+    either. n: the samples that count, over all runs; without any, rmse and r are null. r is null too where one of both
+    doesn't vary."""
     keys, skip = [*subject, segment], max(na, delay + nb - 1)
     rows = packed(df, keys, order, [y, u]).join(polynomials(fits, subject, na, nb), list(subject))
     rows = rows.select(*keys, y, u, "a", "b")
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
+    def score(v: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+        have = np.flatnonzero(np.isfinite(v) & np.isfinite(x))
+        runs = np.split(have, np.flatnonzero(np.diff(have) > 1) + 1)
+        free = np.concatenate([np.zeros(0), *[simulate(a, b, delay, x[r])[skip:] for r in runs]])
+        v = v[np.concatenate([np.zeros(0, int), *[r[skip:] for r in runs]])]
+        fits = len(v) > 0 and np.isfinite(free).all()
+        vary = fits and len(v) > 1 and v.std() > 0 and free.std() > 0
+        return len(v), float(np.sqrt(np.mean((v - free) ** 2))) if fits else None, float(np.corrcoef(v, free)[0, 1]) if vary else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for v, x, a, b in zip(pdf[y], pdf[u], pdf["a"], pdf["b"], strict=True):
-                free = simulate(np.asarray(a, float), np.asarray(b, float), delay, np.asarray(x, float))[skip:]
-                v = np.asarray(v, float)[skip:]
-                vary = len(v) > 1 and v.std() > 0 and free.std() > 0
-                out.append((len(v), float(np.sqrt(np.mean((v - free) ** 2))) if len(v) else None, float(np.corrcoef(v, free)[0, 1]) if vary else None))
+            out = [score(*(np.asarray(c, float) for c in row)) for row in zip(pdf[y], pdf[u], pdf["a"], pdf["b"], strict=True)]
             yield pdf[keys].assign(n=[o[0] for o in out], rmse=[o[1] for o in out], r=[o[2] for o in out])
 
     return rows.mapInPandas(run, f"{kinds}, n int, rmse double, r double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import alignment as al
+from ..operators import blocks as bk
 from ..operators import epochs as ep
 from ..operators import glm as gl
 from ..operators import signal as sg
@@ -619,9 +620,45 @@ def _one(sg_name: str, kernel) -> None:
         return sg.per_channel(epochs(spark, d), ["trial"], "idx", "value", kernel)
 
 
-_one("sg2_highpass", lambda x: sg.filtfilt(sg.butter(2, 50.0, lo=1.0), x))
-_one("sg2_lowpass", lambda x: sg.filtfilt(sg.butter(8, 50.0, hi=20.0), x))
-_one("sg2_bandpass", lambda x: sg.filtfilt(sg.butter(3, 50.0, 0.5, 2.5), x))
+def _pass(name: str, source: str, sections) -> str:
+    """SQL of a recursive filter over (trial, j, x) of ``source``, from the state that a constant input leaves."""
+    wide = [[f"{v}::DOUBLE" for v in np.r_[b, np.zeros(3 - len(b)), a, np.zeros(3 - len(a))].tolist()] for b, a in sections]
+    rest, level = [], 1.0
+    for b, a in sections:
+        b, a, x = np.r_[b, np.zeros(3 - len(b))], np.r_[a, np.zeros(3 - len(a))], level
+        level = x * b.sum() / a.sum()
+        z2 = b[2] * x - a[2] * level
+        rest.append((b[1] * x - a[1] * level + z2, z2))
+    step, x = [], "x"
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(wide):
+        step += [f"{b0} * {x} + p{k} AS y{k}", f"{b1} * {x} - {a1} * y{k} + q{k} AS r{k}", f"{b2} * {x} - {a2} * y{k} AS s{k}"]
+        x = f"y{k}"
+    k = len(sections)
+    state = ", ".join(f"{r}::DOUBLE * x AS p{i}, {s}::DOUBLE * x AS q{i}" for i, (r, s) in enumerate(rest))
+    kept = ", ".join(f"r{i} AS p{i}, s{i} AS q{i}" for i in range(k))
+    one = lambda rows: f"SELECT trial, j, y, {kept} FROM (SELECT trial, j, {', '.join(step)}, y{k - 1} AS y FROM ({rows}))"
+    old = ", ".join(f"r.p{i}, r.q{i}" for i in range(k))
+    return f"{name} AS ({one(f'SELECT trial, j, x, {state} FROM {source} WHERE j = 0')} UNION ALL {one(f'SELECT e.trial, e.j, e.x, {old} FROM {name} r JOIN {source} e ON e.trial = r.trial AND e.j = r.j + 1')})"
+
+
+def _both_ways(sections) -> str:
+    """SQL of a filter forward and backward, over trials of 64 samples."""
+    n = min(63, 3 * (2 * len(sections) + 1))
+    return f"""WITH RECURSIVE {S}, w AS (SELECT trial, list(value ORDER BY idx) AS v FROM s GROUP BY trial),
+    e AS (SELECT trial, j, CASE WHEN j < {n} THEN 2 * v[1] - v[{n} - j + 1] WHEN j < {n} + 64 THEN v[j - {n} + 1] ELSE 2 * v[64] - v[63 - (j - {n} - 64)] END AS x FROM (SELECT trial, v, CAST(unnest(range(0, {64 + 2 * n})) AS INTEGER) AS j FROM w)),
+    {_pass("f", "e", sections)}, g AS (SELECT trial, CAST({63 + 2 * n} - j AS INTEGER) AS j, y AS x FROM f), {_pass("h", "g", sections)}
+    SELECT trial, CAST({63 + n} - j AS BIGINT) AS idx, round(y, 9) + 0 AS value FROM h WHERE j BETWEEN {n} AND {63 + n}"""
+
+
+def _filter(name: str, sections) -> None:
+    @query(name, _both_ways(sections))
+    def _(spark, d):
+        return bk.filtfilt_blocks(epochs(spark, d), ["trial"], "idx", "value", sections).withColumn("value", F.round("value", 9) + F.lit(0.0))
+
+
+_filter("sg2_highpass", sg.butter(2, 50.0, lo=1.0))
+_filter("sg2_lowpass", sg.butter(8, 50.0, hi=20.0))
+_filter("sg2_bandpass", sg.butter(3, 50.0, 0.5, 2.5))
 _one("sg5_tddr", lambda x: sg.tddr(x, 50.0))
 _one("sg6_wavelet_repair", lambda x: sg.wavelet_repair(x))
 
@@ -639,15 +676,16 @@ def _(spark, d):
 _one("sg16_binarise", lambda x: sg.binarise(x).astype(float))
 
 
-@query("sg1_resample")
-def _(spark, d):
-    import pandas as pd
+_KAISER = "(SELECT sum(pow(6.25 * (1 - pow(n / 1250.0::DOUBLE, 2)), k) / pow(exp(lgamma(k + 1)), 2)) FROM range(0, 40) i(k)) / (SELECT sum(pow(6.25::DOUBLE, k) / pow(exp(lgamma(k + 1)), 2)) FROM range(0, 40) i(k))"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = sg.resample(pdf.sort_values("idx")["value"].to_numpy(float), 32, 125)
-        return pd.DataFrame({"trial": pdf["trial"].iloc[0], "idx": range(len(y)), "value": y})
 
-    return epochs(spark, d).select("trial", "idx", "value").groupBy("trial").applyInPandas(run, "trial bigint, idx int, value double")
+@query(
+    "sg1_resample",
+    f"""WITH {S}, h AS (SELECT n, 32 / 125.0::DOUBLE * CASE WHEN n = 0 THEN 1 ELSE sin(pi() * n / 125) / (pi() * n / 125) END * {_KAISER} AS h FROM range(-1250, 1251) t(n))
+    SELECT trial, m AS idx, round(sum(value * h), 9) AS value FROM s, range(0, 17) o(m) JOIN h ON h.n = m * 125 - idx * 32 GROUP BY trial, m""",
+)
+def _(spark, d):
+    return bk.resample_blocks(epochs(spark, d), ["trial"], "idx", "value", 32, 125).withColumn("value", F.round("value", 9))
 
 
 _LOW = lambda f: f"CASE WHEN k = 16 THEN 2.0::DOUBLE * {f} / 50 ELSE sin(pi() * 2.0::DOUBLE * {f} / 50 * (k - 16)) / (pi() * (k - 16)) END"
@@ -656,11 +694,11 @@ _LOW = lambda f: f"CASE WHEN k = 16 THEN 2.0::DOUBLE * {f} / 50 ELSE sin(pi() *
 @query(
     "sg3_fir",
     f"""WITH {S}, h AS (SELECT k, CASE WHEN k = 16 THEN 1 ELSE 0 END - (({_LOW(12)}) - ({_LOW(8)})) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 32)) AS h FROM range(33) t(k))
-    SELECT s.trial, s.idx, round(sum(p.value * h), 9) AS value FROM s, h JOIN s p ON p.trial = s.trial AND p.idx = greatest(0, least(63, s.idx + h.k - 16)) GROUP BY s.trial, s.idx""",
+    SELECT s.trial, CAST(s.idx AS BIGINT) AS idx, round(sum(p.value * h), 9) AS value FROM s, h JOIN s p ON p.trial = s.trial AND p.idx = greatest(0, least(63, s.idx + h.k - 16)) GROUP BY s.trial, s.idx""",
 )
 def _(spark, d):
     kernel = sg.fir(50.0, 8.0, 12.0, 33, stop=True)
-    return sg.fir_filter(epochs(spark, d), ["trial"], "idx", "value", kernel).withColumn("value", F.round("value", 9))
+    return bk.fir_blocks(epochs(spark, d), ["trial"], "idx", "value", kernel).withColumn("value", F.round("value", 9))
 
 
 @query("sg4_causal_convolution", f"WITH {S}, {_HRF} SELECT s.trial, s.idx, sum(p.value * k.g) AS convolved FROM s JOIN s p ON p.trial = s.trial AND p.idx <= s.idx JOIN k ON k.i = s.idx - p.idx GROUP BY s.trial, s.idx")
@@ -728,6 +766,26 @@ def _(spark, d):
     return sg.xcorr(_xy(spark, d), ["trial"], "idx", "x", "y", 10)
 
 
+_HOLES = "hx AS (SELECT trial, idx, CASE WHEN (idx + trial) % 7 <> 3 THEN x END AS x, CASE WHEN (idx + 2 * trial) % 11 > 1 THEN y END AS y, idx % 16 < 12 AS keep FROM xy), kx AS (SELECT trial, idx, x - avg(x) OVER (PARTITION BY trial) AS x, y - avg(y) OVER (PARTITION BY trial) AS y, row_number() OVER (PARTITION BY trial ORDER BY idx) - 1 AS i FROM hx WHERE keep AND x IS NOT NULL AND y IS NOT NULL)"
+
+
+def _holes(spark, d):
+    """Samples of which some are missing on either side, and some masked."""
+    x = F.when((F.col("idx") + F.col("trial")) % 7 != 3, F.col("x"))
+    y = F.when((F.col("idx") + 2 * F.col("trial")) % 11 > 1, F.col("y"))
+    return _xy(spark, d).select("trial", "idx", x.alias("x"), y.alias("y"), (F.col("idx") % 16 < 12).alias("keep"))
+
+
+@query("sg13_xcorr_concat", f"WITH {S}, {_XY}, {_HOLES}, n AS (SELECT trial, sqrt(sum(x * x) * sum(y * y)) AS n FROM kx GROUP BY trial) SELECT a.trial, a.i - b.i AS lag, sum(a.x * b.y) / any_value(n) AS r FROM kx a JOIN kx b ON a.trial = b.trial AND abs(a.i - b.i) <= 10 JOIN n ON n.trial = a.trial GROUP BY 1, 2")
+def _(spark, d):
+    return sg.xcorr(_holes(spark, d), ["trial"], "idx", "x", "y", 10, mask="keep", centre="demean")
+
+
+@query("sg13_xcorr_segment", f"WITH {S}, {_XY}, {_HOLES}, n AS (SELECT trial, sqrt(sum(x * x) * sum(y * y)) AS n FROM kx GROUP BY trial) SELECT a.trial, a.i - b.i AS lag, sum(a.x * b.y) / any_value(n) AS r FROM kx a JOIN kx b ON a.trial = b.trial AND a.idx - a.i = b.idx - b.i AND abs(a.i - b.i) <= 10 JOIN n ON n.trial = a.trial GROUP BY 1, 2")
+def _(spark, d):
+    return sg.xcorr(_holes(spark, d), ["trial"], "idx", "x", "y", 10, gaps="segment", mask="keep", centre="demean")
+
+
 @query("sg13_xcorr_peak", f"WITH {S}, {_XY}, n AS (SELECT trial, sqrt(sum(x * x) * sum(y * y)) AS n FROM xy GROUP BY trial), r AS (SELECT a.trial, a.idx - b.idx AS lag, sum(a.x * b.y) / any_value(n) AS r FROM xy a JOIN xy b ON a.trial = b.trial AND abs(a.idx - b.idx) <= 10 JOIN n ON n.trial = a.trial GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY abs(r) DESC, lag) AS i FROM r) SELECT trial, r AS amplitude, lag AS latency FROM k WHERE i = 1")
 def _(spark, d):
     return tb.peak(sg.xcorr(_xy(spark, d), ["trial"], "idx", "x", "y", 10), ["trial"], "lag", "r", "absolute")
@@ -741,6 +799,16 @@ def _(spark, d):
     return sg.coherence(_xy(spark, d), ["trial"], "idx", "x", "y", 50.0, 32, 32)
 
 
+@query("sg14_coherence_concat", f"""WITH {S}, {_XY}, {_HOLES}, g AS (SELECT trial, seg, i - seg * 4 AS pos, x * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 7 * (i - seg * 4))) AS x, y * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() / 7 * (i - seg * 4))) AS y FROM kx, (SELECT unnest(range(0, 16)) AS seg) WHERE i BETWEEN seg * 4 AND seg * 4 + 7),
+u AS (SELECT trial, seg FROM g GROUP BY trial, seg HAVING count(*) = 8),
+f AS (SELECT trial, seg, k, sum(x * cos(2 * pi() / 8 * k * pos)) AS xr, sum(x * sin(2 * pi() / 8 * k * pos)) AS xi, sum(y * cos(2 * pi() / 8 * k * pos)) AS yr, sum(y * sin(2 * pi() / 8 * k * pos)) AS yi FROM g SEMI JOIN u USING (trial, seg), (SELECT unnest(range(0, 5)) AS k) GROUP BY trial, seg, k),
+c AS (SELECT trial, k, sum(xr * yr + xi * yi) AS cr, sum(xi * yr - xr * yi) AS ci, sum(xr * xr + xi * xi) AS pxx, sum(yr * yr + yi * yi) AS pyy FROM f GROUP BY trial, k)
+SELECT trial, k * 50.0::DOUBLE / 8 AS freq, round((cr * cr + ci * ci) / nullif(pxx * pyy, 0), 9) AS coherence FROM c""")
+def _(spark, d):
+    found = sg.coherence(_holes(spark, d), ["trial"], "idx", "x", "y", 50.0, 8, 8, mask="keep", centre="demean")
+    return found.withColumn("coherence", F.round("coherence", 9))
+
+
 @query("sg15_condition_difference", f"WITH {S}, c AS (SELECT bin, idx, avg(value) AS v FROM s WHERE bin IN (1, 2) GROUP BY bin, idx) SELECT a.idx, a.v - b.v AS diff FROM c a JOIN c b ON a.idx = b.idx AND a.bin = 2 AND b.bin = 1")
 def _(spark, d):
     erp = epochs(spark, d).groupBy("idx", "bin").agg(F.avg("value").alias("value"))
@@ -887,6 +955,15 @@ def _(spark, d):
     return ep.prune(x, ["pair"], "l_linenumber", [F.col("l_quantity") > 3, F.col("l_tax") < 0.08], 3)
 
 
+@query("qc3_distance", """WITH c AS (SELECT l_suppkey AS run, l_orderkey AS pair, l_linenumber, CASE WHEN l_suppkey % 10 <> 0 AND l_partkey % 9 <> 0 THEN l_quantity END AS dist FROM lineitem),
+k AS (SELECT *, coalesce(dist BETWEEN 0 AND 45, count(dist) OVER (PARTITION BY run) = 0) AS ok FROM c)
+SELECT run, pair, count(DISTINCT l_linenumber) AS n, bool_and(ok) AS all_ok, count(*) FILTER (NOT ok) AS failed, bool_and(ok) AND count(DISTINCT l_linenumber) = 1 AS active FROM k GROUP BY run, pair""")
+def _(spark, d):
+    known = F.when((F.col("l_suppkey") % 10 != 0) & (F.col("l_partkey") % 9 != 0), F.col("l_quantity").cast("double"))
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("run"), F.col("l_orderkey").alias("pair"), "l_linenumber", known.alias("dist"))
+    return ep.prune(ep.distance_ok(x, ["run"], "dist"), ["run", "pair"], "l_linenumber", [F.col("distance_ok")], 1)
+
+
 @query("qc4_scalp_coupling", f"WITH {S}, p AS (SELECT trial, CAST(floor(idx / 16.0::DOUBLE) AS BIGINT) AS win, greatest(0.0::DOUBLE, corr(value, rel_t)) AS r FROM s GROUP BY ALL) SELECT trial, median(r) AS sci, avg(CAST(r >= 0.6 AS DOUBLE)) AS share FROM p GROUP BY trial")
 def _(spark, d):
     r = tb.windowed_corr(epochs(spark, d), ["trial"], "idx", "value", "rel_t", 16.0)
