@@ -3,8 +3,8 @@
 Texts are split before a space behind other than white space, where no token of either vocabulary can reach across: the byte-level vocabulary's pattern
 ends a pre-token there, and no piece of the other has a space mark behind another character, which :func:`splits` verifies on
 the vocabularies as given (texts stay whole where it fails). So a segment has the same tokens wherever it stands. Documents
-become codes of their chunk's different segments; each different segment of the corpus is tokenised and aligned once; a join
-brings alignments back to chunks, where documents are composed of them.
+become codes of the different segments of a group of chunks; each different segment of the corpus is tokenised and aligned once; a join
+brings their tokens back to groups, where documents are composed of them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,8 +30,8 @@ from pyspark.sql.types import StructType
 from .shared import Scratch, release
 from .words import blocks, raw
 
-#: Bytes of texts that share a table of segments; a single longer text has one of its own.
-CHUNK = 10_000_000
+#: Bytes of texts that are composed at once, and that share a table of segments; a single longer text is a chunk of its own.
+CHUNK, GROUP = 5_000_000, 32_000_000
 MARK = "▁"
 
 
@@ -173,22 +174,33 @@ def tokenise(segs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, cut: bool) -> DataFrame:
-    """(keys, starts, codes, segs): documents in chunks; document i has the segments ``segs[codes[starts[i]:starts[i + 1]]]``."""
-    ddl = f"keys array<{docs.schema['key'].dataType.simpleString()}>, starts binary, codes binary, segs array<string>"
+    """(grp, keys, starts, codes, segs): documents in chunks; document i has the segments ``codes[starts[i]:starts[i + 1]]`` of
+    its group's table ``segs``, which is a row of its own behind the group's chunks."""
+    ddl = f"grp long, keys array<{docs.schema['key'].dataType.simpleString()}>, starts binary, codes binary, segs array<string>"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
+    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+
+    def row(grp: int, **have: pa.Array) -> pa.RecordBatch:
+        have["grp"] = pa.array([grp])
+        return pa.RecordBatch.from_arrays([have[f.name].cast(f.type) if f.name in have else pa.nulls(1, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        known = pa.array([], pa.large_string())
+        size, total, grp = 0, 0, TaskContext.get().partitionId() << 24
 
         def flush() -> pa.RecordBatch:
+            nonlocal known
             keys, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in range(2))
             segs, counts = segments(texts, cut)
             coded = segs.dictionary_encode()
-            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-            data = [_packed(np.r_[0, np.cumsum(counts)]), _packed(coded.indices.to_numpy())]
-            columns = [one(keys), *[pa.array([x], pa.binary()) for x in data], one(coded.dictionary.cast(pa.string()))]
-            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            at = pc.index_in(coded.dictionary, value_set=known)
+            new = np.asarray(at.is_null())
+            place = at.fill_null(0).to_numpy().astype(np.int64)
+            place[new] = len(known) + np.arange(new.sum())
+            known = pa.concat_arrays([known, coded.dictionary.filter(pa.array(new))])
+            data = {n: pa.array([_packed(x)], pa.binary()) for n, x in (("starts", np.r_[0, np.cumsum(counts)]), ("codes", place[coded.indices.to_numpy()]))}
+            return row(grp, keys=one(keys), **data)
 
         for batch in batches:
             for at, texts in blocks(batch.column(1), CHUNK):
@@ -196,21 +208,28 @@ def _chunks(docs: DataFrame, cut: bool) -> DataFrame:
                 size += len(raw(texts)[0])
                 if size >= CHUNK:
                     yield flush()
-                    held, size = [], 0
+                    held, size, total = [], 0, total + size
+                    if total >= GROUP:
+                        yield row(grp, segs=one(known))
+                        known, total, grp = pa.array([], pa.large_string()), 0, grp + 1
                     release()
         if held:
             yield flush()
+        if len(known):
+            yield row(grp, segs=one(known))
         release()
 
     return docs.mapInArrow(run, ddl)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(numbers.astype(np.int32).tobytes())
+    """Numbers of 32 bits, first bytes first, then second ones, compressed."""
+    return zstandard.ZstdCompressor(3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(data: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.int32).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -229,15 +248,17 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
         for batch in batches:
             for i in range(batch.num_rows):
                 made = compose(*_opened(batch, i), *sizes)
-                row = {c: batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in ("chunk", "keys", "starts", "codes")}
+                row = {c: batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in ("chunk", "keys", "starts")}
                 row |= {c: pa.array([v], schema.field(c).type) for c, v in made.items()}
                 yield pa.RecordBatch.from_arrays([row[f.name].cast(f.type) for f in schema], schema=schema)
                 del row, made
                 release()
 
     def compose(starts: np.ndarray, codes: np.ndarray, table: pa.Array, size_a: np.ndarray, size_b: np.ndarray) -> dict:
-        tokens = Tokens(table, size_a, size_b)
-        n, many = len(starts) - 1, len(table)
+        own = np.unique(codes)  # of the group's segments, the chunk's
+        codes = np.searchsorted(own, codes)
+        tokens = Tokens(table.take(pa.array(own)), size_a, size_b)
+        n, many = len(starts) - 1, len(own)
         owner = np.repeat(np.arange(n), np.diff(starts))
         good = np.bincount(owner, ~tokens.ok[codes], n) == 0
         total = lambda v: np.where(good, np.diff(np.r_[0, np.cumsum(v[codes])][starts]), 0)
@@ -257,18 +278,18 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
         links = tokens.nl[seg] if many else seg
         at = np.repeat(first[seg] - np.r_[0, np.cumsum(links)[:-1]], links) + np.arange(links.sum()) if len(seg) else seg
         count = np.bincount(np.unique(np.repeat(doc, links) * max(1, len(pair)) + code[at]) % max(1, len(pair)), minlength=len(pair))
-        return {"counts": _packed(tokens.nl), "links": _packed(code), "na": total(tokens.na), "nb": total(tokens.nb), "ng": total(tokens.ng), "nl": total(tokens.nl), "sha": sha, "groups": groups, "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": count}
+        return {"codes": _packed(codes), "counts": _packed(tokens.nl), "links": _packed(code), "na": total(tokens.na), "nb": total(tokens.nb), "ng": total(tokens.ng), "nl": total(tokens.nl), "sha": sha, "groups": groups, "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": count}
 
     return rows.mapInArrow(run, own)
 
 
-def _gathered(parts: DataFrame, row: Column) -> DataFrame:
-    """(chunk, table): what each chunk's segments, or pairs, have, in their order; as many as a chunk has."""
-    return parts.groupBy("chunk").agg(F.array_sort(F.collect_list(row)).alias("table"))
+def _gathered(parts: DataFrame, key: str, row: Column) -> DataFrame:
+    """(key, table): what each group's segments, or each chunk's pairs, have, in their order; as many as it has."""
+    return parts.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("table"))
 
 
-def _with(chunks: DataFrame, tables: DataFrame) -> DataFrame:
-    return chunks.join(tables, "chunk", "left").withColumn("table", F.coalesce("table", F.array().cast(tables.schema["table"].dataType)))
+def _with(chunks: DataFrame, key: str, tables: DataFrame) -> DataFrame:
+    return chunks.join(tables, key, "left").withColumn("table", F.coalesce("table", F.array().cast(tables.schema["table"].dataType)))
 
 
 def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: str = "doc_id", full: bool = False) -> DataFrame:
@@ -280,25 +301,27 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     hold it linked; n_best: links whose pair has the highest count of its A id, ties included; count_sum: counts over links.
     Null and empty texts, and texts whose tokens don't give back their bytes (as those with U+2581), have no tokens: zeros and
     an empty string. Rows that repeat a key, or have none, are rows of their own. Other columns of ``df`` are left out.
-    Memory holds a chunk of texts, or one longer text, and its segments.
+    Memory holds a chunk of texts, or one longer text, and its group's segments.
     """
     scratch = Scratch(df.sparkSession, "alignment")
     docs = df.select(df[key].alias("key"), df[text].alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
     chunks = scratch.keep(_chunks(docs, splits(path_a, path_b)).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    different = chunks.select(F.explode("segs").alias("seg")).distinct()
+    tables = chunks.where("segs is not null")
+    different = tables.select(F.explode("segs").alias("seg")).distinct()
     table = scratch.keep(tokenise(different, path_a, path_b), "tokens")
     place = F.unhex(F.lpad(F.hex("pos"), 8, "0"))  # sorts as numbers do
-    own = chunks.select("chunk", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("chunk", F.concat(place, "tokens").alias("r"))
-    found = scratch.keep(_gathered(own, F.col("r")), "found")  # a write of its own: its shuffles go before the next
+    own = tables.select("grp", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("grp", F.concat(place, "tokens").alias("r"))
+    found = scratch.keep(_gathered(own, "grp", F.col("r")), "found")  # a write of its own: its shuffles go before the next
     scratch.drop("tokens")
-    done = scratch.keep(_composed(_with(chunks.select("chunk", "keys", "starts", "codes"), found), kind, full, _sizes(path_a, path_b)), "composed")
+    texts = chunks.where("keys is not null").select("grp", "chunk", "keys", "starts", "codes")
+    done = scratch.keep(_composed(_with(texts, "grp", found), kind, full, _sizes(path_a, path_b)), "composed")
     scratch.drop("chunks", "found")
     counts = scratch.keep(done.select(F.explode(F.arrays_zip("a", "b", "n")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n")), "counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))  # as many rows as A's vocabulary has ids
     worth = counts.join(best, "a").select("a", "b", "n", (F.col("n") == F.col("most")).alias("top"))
     pairs = done.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "p")).select("chunk", "pos", "p.a", "p.b").join(worth, ["a", "b"])
-    return _summed(_with(done.drop("a", "b", "n"), _gathered(pairs, F.struct("pos", "n", "top"))), key, kind, full)
+    return _summed(_with(done.drop("a", "b", "n"), "chunk", _gathered(pairs, "chunk", F.struct("pos", "n", "top"))), key, kind, full)
 
 
 def _summed(rows: DataFrame, key: str, kind: str, full: bool) -> DataFrame:

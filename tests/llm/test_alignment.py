@@ -56,9 +56,10 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("chunk", [6_000_000, 40])
-def test_documents_equal_whole_texts(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, group", [(5_000_000, 32_000_000), (40, 200)])
+def test_documents_equal_whole_texts(spark, monkeypatch, chunk, group):
     monkeypatch.setattr(al, "CHUNK", chunk)
+    monkeypatch.setattr(al, "GROUP", group)
     rows = [*enumerate(TEXTS), (None, "the end"), (None, "the end"), (3, "the end"), *((100 + i, "copied text of a hot group") for i in range(200))]
     df = spark.createDataFrame([(k, t, "clash") for k, t in rows], "doc_id long, text string, N_A string").repartition(4)
     got = al.aligned(df, A, B, full=True)
