@@ -13,6 +13,7 @@ from ..operators import alignment as al
 from ..operators import blocks as bk
 from ..operators import epochs as ep
 from ..operators import glm as gl
+from ..operators import qc_summary as qs
 from ..operators import signal as sg
 from ..operators import stats as st
 from ..operators import tables as tb
@@ -990,6 +991,51 @@ def _(spark, d):
     return ep.motion_fraction(epochs(spark, d).withColumn("keep", F.abs("value") < 0.2), ["trial"])
 
 
+def _study(spark, d):
+    """Runs (a subject's bins), whose trials are channels of two wavelengths; some runs are broken one way or the other."""
+    e = epochs(spark, d).withColumns({"sub": F.format_string("sub-%03d", "subj"), "run": F.col("bin").cast("int"), "rank": F.floor(F.col("trial") / 20).cast("int")})
+    runs = e.select("sub", "subj", "run").distinct()
+    runs = runs.select("sub", "run", F.concat("sub", F.lit(".snirf")).alias("inFile"), F.concat("sub", F.lit("_preproc")).alias("outMat"), F.when((F.col("subj") == 1) & (F.col("run") == 1), F.lit("unreadable")).alias("error"))
+    at = F.col("rank")
+    channels = e.where("idx = 0 and not (subj = 2 and run = 2)").select("sub", "run", F.col("trial").alias("channel"), F.floor(at / 2).cast("int").alias("src"), F.lit(1).alias("det"), F.when((at % 2 == 0) | ((F.col("subj") == 3) & (F.col("run") == 3)), 760).otherwise(850).alias("wl"), F.when(at % 5 != 0, (at % 50).cast("double")).alias("dist"))
+    samples = e.where("not (subj = 4 and run = 4)").select("sub", "run", F.col("trial").alias("channel"), (F.col("idx") * 0.02).alias("t"), (F.col("value") + F.when(F.col("subj") == 5, F.lit(0.0)).otherwise(F.lit(0.9))).alias("value"))
+    mask = e.where("run != 5").select("sub", "run", F.col("trial").alias("channel"), (F.col("idx") % 16 < 14).alias("keep"))
+    return runs, channels, samples, mask
+
+
+@query("qc9_summary", f"""WITH {S}, e AS (SELECT printf('sub-%03d', subj) AS sub, subj, CAST(bin AS INTEGER) AS run, trial, CAST(trial // 20 AS INTEGER) AS rank, idx, value FROM s),
+r AS (SELECT DISTINCT sub, subj, run FROM e),
+c AS (SELECT sub, run, trial AS channel, rank // 2 AS src, CASE WHEN rank % 2 = 0 OR (subj = 3 AND run = 3) THEN 760 ELSE 850 END AS wl, CASE WHEN rank % 5 <> 0 THEN CAST(rank % 50 AS DOUBLE) END AS dist FROM e WHERE idx = 0 AND NOT (subj = 2 AND run = 2)),
+a AS (SELECT sub, run, trial AS channel, avg(value + CASE WHEN subj = 5 THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END) AS m, stddev_samp(value + CASE WHEN subj = 5 THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END) AS sd, bool_or(value + CASE WHEN subj = 5 THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END <= 0) AS low,
+      min(idx * 0.02::DOUBLE) AS t0, max(idx * 0.02::DOUBLE) AS t1, count(*) AS n FROM e WHERE NOT (subj = 4 AND run = 4) GROUP BY ALL),
+h AS (SELECT c.*, a.* EXCLUDE (sub, run, channel), CASE WHEN NOT low THEN m END AS mean FROM c LEFT JOIN a ON a.sub = c.sub AND a.run = c.run AND a.channel = c.channel),
+k AS (SELECT *, row_number() OVER (PARTITION BY sub, run, wl ORDER BY mean) AS i, count(*) OVER (PARTITION BY sub, run, wl) AS many FROM h WHERE mean IS NOT NULL),
+g AS (SELECT sub, run, wl, max(CASE WHEN i = greatest(1, round(many * 0.01::DOUBLE)) THEN mean END) * 0.1::DOUBLE AS lo, max(CASE WHEN i = greatest(1, round(many * 0.99::DOUBLE)) THEN mean END) * 10 AS hi FROM k GROUP BY ALL),
+o AS (SELECT h.*, coalesce(mean / (sd + 2.220446049250313e-16::DOUBLE) >= 2, false) AS snr_ok, coalesce(dist BETWEEN 0 AND 45, count(dist) OVER (PARTITION BY h.sub, h.run) = 0) AS sd_ok, coalesce(mean BETWEEN lo AND hi, false) AS range_ok
+      FROM h LEFT JOIN g ON g.sub = h.sub AND g.run = h.run AND g.wl = h.wl),
+w AS (SELECT sub, run, count(DISTINCT wl) AS nw FROM o GROUP BY ALL),
+p AS (SELECT o.sub, o.run, src, bool_or(NOT snr_ok) AS f1, bool_or(NOT sd_ok) AS f2, bool_and(snr_ok AND sd_ok AND range_ok) AND count(DISTINCT wl) = any_value(nw) AS active FROM o JOIN w ON w.sub = o.sub AND w.run = o.run GROUP BY ALL),
+bp AS (SELECT sub, run, count(*) FILTER (f1) AS f1p, count(*) FILTER (f2) AS f2p FROM p GROUP BY ALL),
+bc AS (SELECT o.sub, o.run, count(DISTINCT wl) AS nw, max(t1) - min(t0) AS dur, count(*) AS total, count(*) FILTER (active) AS act, count(*) FILTER (low) AS nlow, sum(n) AS n, count(*) FILTER (NOT snr_ok) AS f1m, count(*) FILTER (NOT sd_ok) AS f2m, min(wl) AS w0, max(wl) AS w1
+       FROM o JOIN p ON p.sub = o.sub AND p.run = o.run AND p.src = o.src GROUP BY ALL),
+dr AS (SELECT sub, run, string_agg(printf('wl%d:[%.3f %.3f]', wl, lo, hi), ' ' ORDER BY wl) AS d FROM g GROUP BY ALL),
+mo AS (SELECT e.sub, e.run, 1 - avg(CASE WHEN e.idx % 16 < 14 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS motion FROM e JOIN o ON o.sub = e.sub AND o.run = e.run AND o.channel = e.trial JOIN p ON p.sub = o.sub AND p.run = o.run AND p.src = o.src AND p.active WHERE e.run <> 5 GROUP BY ALL),
+z AS (SELECT r.sub, r.run, r.subj, bc.* EXCLUDE (sub, run), f1p, f2p, d, motion, nlow / total::DOUBLE AS lowfrac, act / total::DOUBLE AS actfrac,
+        CASE WHEN r.subj = 1 AND r.run = 1 THEN 'unreadable' WHEN coalesce(total, 0) = 0 THEN 'no channels' WHEN coalesce(n, 0) = 0 THEN 'no samples' WHEN nw < 2 THEN 'fewer than two wavelengths' END AS reason
+      FROM r LEFT JOIN bc ON bc.sub = r.sub AND bc.run = r.run LEFT JOIN bp ON bp.sub = r.sub AND bp.run = r.run LEFT JOIN dr ON dr.sub = r.sub AND dr.run = r.run LEFT JOIN mo ON mo.sub = r.sub AND mo.run = r.run),
+y AS (SELECT *, reason IS NULL AS ok, coalesce(reason IS NULL AND NOT lowfrac > 0.05, false) AS go FROM z)
+SELECT sub, run, sub || '.snirf' AS "inFile", CASE WHEN go THEN sub || '_preproc' END AS "outMat", CASE WHEN ok THEN nw END AS "nW", CASE WHEN ok THEN dur END AS "durationSec", CASE WHEN ok THEN total END AS "nMeasTotal", CASE WHEN go THEN act END AS "nMeasActive",
+  CASE WHEN go THEN actfrac END AS "activeMeasFrac", CASE WHEN go THEN motion END AS "motionFrac", CASE WHEN ok THEN lowfrac END AS "nonPositiveMeasFrac", CASE WHEN ok THEN nlow END AS "nonPositiveMeasCount",
+  CASE WHEN go THEN f1m END AS "nFailSNRMeas", CASE WHEN go THEN f2m END AS "nFailSDMeas", CASE WHEN go THEN 0 END AS "nFailSCIMeas", CASE WHEN go THEN f1p END AS "nFailSNRPair", CASE WHEN go THEN f2p END AS "nFailSDPair", CASE WHEN go THEN 0 END AS "nFailSCIPair",
+  CASE WHEN ok THEN nlow > 0 END AS "flag_nonPositiveCritical", CASE WHEN ok THEN lowfrac > 0.05 END AS "flag_nonPositiveSevere", CASE WHEN go THEN run = 5 END AS "flag_motionDetectFailed", CASE WHEN go THEN motion IS NULL END AS "flag_motionDetectCritical",
+  CASE WHEN go THEN true END AS "didTDDR", CASE WHEN go THEN true END AS "didWavelet", CASE WHEN go THEN '' END AS "sciMedByPair", CASE WHEN go THEN '' END AS "sciGoodPctByPair", CASE WHEN go THEN 0.6::DOUBLE END AS "sciThr", CASE WHEN go THEN printf('wl%d-wl%d', w0, w1) END AS "sciWlPair",
+  CASE WHEN go THEN d END AS "dRangeByWl", CASE WHEN go THEN '6 6' END AS "ppfUsed", CASE WHEN ok THEN 0.0::DOUBLE END AS "addedOffset", CASE WHEN go THEN actfrac < 0.6 END AS "flag_lowActive", CASE WHEN go THEN motion > 0.2 END AS "flag_highMotion",
+  CASE WHEN NOT ok THEN 'ERROR: ' || reason ELSE concat_ws(' ', CASE WHEN nlow > 0 THEN '[nonPositiveIntensity]' END, CASE WHEN lowfrac > 0.05 THEN '[nonPositiveSevere->skip]' END, CASE WHEN NOT lowfrac > 0.05 AND run = 5 THEN '[motionDetectFailed]' END) END AS note FROM y""")
+def _(spark, d):
+    runs, channels, samples, mask = _study(spark, d)
+    return qs.qc_summary(runs, channels, samples, mask=mask)
+
+
 @query("qc10_overview", f"WITH {S} SELECT idx, avg(value) AS mean, count(*) AS n_channels FROM s GROUP BY idx")
 def _(spark, d):
     return tb.roi_mean(epochs(spark, d), ["idx"])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 
 def subjects(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -184,12 +186,12 @@ def edf_bytes(signals: Sequence[tuple[str, np.ndarray]], per_record: int = 1, se
 BLOCK = 200_000
 
 
-def sample_batches(t: np.ndarray, values: np.ndarray, **of: pa.Scalar) -> Iterator[pa.RecordBatch]:
-    """A channel's samples in batches, with columns ``of`` of the whole channel before them."""
+def sample_batches(t: np.ndarray, values: np.ndarray, first: int = 0, **of: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    """A channel's samples in batches, numbered from ``first``, with columns ``of`` of the whole channel before them."""
     for at in range(0, len(values), BLOCK):
         part = np.ascontiguousarray(values[at : at + BLOCK], np.float64)
         columns = {c: pa.repeat(v, len(part)) for c, v in of.items()}
-        columns |= {"idx": pa.array(np.arange(at, at + len(part))), "t": pa.array(t[at : at + BLOCK], pa.float64()), "value": pa.array(part)}
+        columns |= {"idx": pa.array(np.arange(first + at, first + at + len(part))), "t": pa.array(t[at : at + BLOCK], pa.float64()), "value": pa.array(part)}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -209,8 +211,70 @@ def edf_samples(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, channel string, idx bigint, t double, value double")
 
 
+def opened(path: str):
+    """(file system, path in it) of a local path, or of one that its scheme names."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+@dataclass
+class EdfPart(InputPartition):
+    """Bytes of a file; the records that begin in them are read."""
+
+    path: str
+    begin: int
+    end: int
+
+
+def edf_part(file, path: str, begin: int, end: int, channels: set[str] | None = None, since: float = -math.inf, until: float = math.inf) -> Iterator[pa.RecordBatch]:
+    """Samples of the records of ``file`` that begin in ``begin`` to before ``end``: of ``channels`` only, if given, and of records
+    that reach into ``since`` to ``until`` seconds. Where a few of many signals are asked for, only their bytes are read."""
+    file.seek(0)
+    head = file.read(256)
+    h = edf_header(head + file.read(int(head[184:192]) - 256))
+    per = sum(h["samples"])
+    first = max(0, -(-(begin - h["size"]) // (2 * per))) if per else 0
+    last = min(h["records"], -(-(end - h["size"]) // (2 * per))) if per else 0
+    if h["seconds"] > 0:
+        first = max(first, math.floor(max(0.0, since) / h["seconds"]))
+        last = last if until == math.inf else min(last, math.floor(max(-1.0, until) / h["seconds"]) + 1)
+    starts = np.r_[0, np.cumsum(h["samples"])]
+    asked = [i for i in range(h["n"]) if channels is None or h["label"][i] in channels]
+    if first >= last or not asked:
+        return
+    step = max(1, 4 * BLOCK // max(1, max(h["samples"][i] for i in asked)))
+    few = 4 * sum(h["samples"][i] for i in asked) < per
+    for at in range(first, last, step):
+        n = min(step, last - at)
+        place = h["size"] + 2 * per * at
+        if few:
+            parts: dict[int, list[np.ndarray]] = {i: [] for i in asked}
+            for r in range(n):
+                for i in asked:
+                    file.seek(place + 2 * (per * r + int(starts[i])))
+                    parts[i].append(np.frombuffer(file.read(2 * h["samples"][i]), "<i2"))
+            data = {i: np.concatenate(v) for i, v in parts.items()}
+        else:
+            file.seek(place)
+            raw = np.frombuffer(file.read(2 * per * n), "<i2")
+            raw = raw[: len(raw) // per * per].reshape(-1, per)
+            data = {i: raw[:, starts[i] : starts[i + 1]].ravel() for i in asked}
+        for i in asked:
+            k = h["samples"][i]
+            scale = (h["pmax"][i] - h["pmin"][i]) / (h["dmax"][i] - h["dmin"][i])
+            values = (data[i] - h["dmin"][i]) * scale + h["pmin"][i]
+            of = {"path": pa.scalar(path, pa.string()), "channel": pa.scalar(h["label"][i], pa.string())}
+            yield from sample_batches(np.arange(at * k, at * k + len(values)) / (k / h["seconds"]), values, first=at * k, **of)
+
+
 class EdfSource(DataSource):
-    """``spark.read.format("edf").option("path", folder or file)`` for files on a mounted file system; a file is a partition."""
+    """``spark.read.format("edf").option("path", folder or file)``, on a mounted file system or one that the path's scheme names.
+
+    A file is read by many tasks, each the records that begin in its bytes (option ``bytes``, 16 MB). With the option ``filters``
+    set to true, filters on channel and t are taken by the reader: other channels' bytes and other times' records aren't read
+    then. Spark asks for ``spark.sql.python.filterPushdown.enabled`` with it.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -220,23 +284,50 @@ class EdfSource(DataSource):
         return "path string, channel string, idx bigint, t double, value double"
 
     def reader(self, schema) -> DataSourceReader:
-        return EdfReader(self.options)
+        return (EdfFilters if self.options.get("filters", "").lower() == "true" else EdfReader)(self.options)
 
 
 class EdfReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
+        self.bytes = int(options.get("bytes", 16 << 20))
+        self.channels: set[str] | None = None
+        self.since, self.until = -math.inf, math.inf
 
-    def partitions(self) -> list[InputPartition]:
-        import os
+    def files(self, *endings: str) -> list[tuple[str, int]]:
+        from pyarrow import fs
 
-        if os.path.isdir(self.path):
-            return [InputPartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.lower().endswith(".edf")]
-        return [InputPartition(self.path)]
+        system, path = opened(self.path)
+        info = system.get_file_info(path)
+        if info.type == fs.FileType.File:
+            return [(self.path, info.size)]
+        found = system.get_file_info(fs.FileSelector(path, recursive=True))
+        return sorted((self.path.rstrip("/") + f.path.removeprefix(path.rstrip("/")), f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(endings))
 
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            yield from edf_batches(partition.value, f.read())
+    def partitions(self) -> list[InputPartition]:
+        return [EdfPart(path, at, min(size, at + self.bytes)) for path, size in self.files(".edf") for at in range(0, size, self.bytes)]
+
+    def read(self, partition: EdfPart):
+        system, path = opened(partition.path)
+        with system.open_input_file(path) as f:
+            yield from edf_part(f, partition.path, max(0, partition.begin), partition.end, self.channels, self.since, self.until)
+
+
+class EdfFilters(EdfReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("channel",) and isinstance(f, (EqualTo, In)):
+                asked = set(f.value) if isinstance(f, In) else {f.value}
+                self.channels = asked if self.channels is None else self.channels & asked
+            elif column == ("t",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.since = max(self.since, f.value)
+                yield f  # records are taken whole: Spark cuts within them
+            elif column == ("t",) and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.until = min(self.until, f.value)
+                yield f
+            else:
+                yield f
 
 
 class SnirfSource(DataSource):
@@ -255,10 +346,7 @@ class SnirfSource(DataSource):
 
 class SnirfReader(EdfReader):
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        return [InputPartition(p) for p in (sorted(glob.glob(f"{self.path}/**/*.snirf", recursive=True)) if os.path.isdir(self.path) else [self.path])]
+        return [InputPartition(path.removeprefix("file://")) for path, _ in self.files(".snirf")]
 
     def read(self, partition):
         import h5py
