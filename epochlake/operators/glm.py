@@ -14,6 +14,7 @@ from ..functions import scalars as fn
 from .alignment import interpolate, range_join
 from .signal import convolve
 from .stats import ols
+from .tables import block_table
 
 Keys = Sequence[str]
 
@@ -35,6 +36,12 @@ def regressor(grid: DataFrame, events: DataFrame, keys: Keys, hrf: Sequence[floa
     return convolve(boxcar(grid, events, keys, stim_s, "__u", t, **how), keys, t, "__u", hrf, name).drop("__u")
 
 
+def block_regressor(grid: DataFrame, events: DataFrame, keys: Keys, hrf: Sequence[float], gap_s: float, stim_s: float, name: str, t: str = "t", onset: str = "onset_s") -> DataFrame:
+    """As :func:`regressor`, of blocks of events without a longer gap: from a block's first onset to its last, and a stimulus."""
+    blocks = block_table(events, keys, gap_s, stim_s, onset).select(*keys, F.col("onset").alias(onset), F.col("dur").alias("dur_s"))
+    return regressor(grid, blocks, keys, hrf, stim_s, name, t, onset=onset, amp=None)
+
+
 def informed_regressor(grid: DataFrame, events: DataFrame, keys: Keys, hrf: Sequence[float], stim_s: float, weight: str, name: str, t: str = "t", **how) -> DataFrame:
     """As :func:`regressor`, each event weighted by its z-score among the recording's valid weights; an invalid weight is 0, and
     so are all where they don't differ."""

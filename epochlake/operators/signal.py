@@ -339,8 +339,17 @@ def interpolate_channels(samples: DataFrame, sites: DataFrame, bad: Sequence[obj
 
 
 def convolve(df: DataFrame, keys: Keys, order: str, value: str, kernel: Sequence[float], out: str = "convolved") -> DataFrame:
-    """Causal convolution, as long as the input; samples before the first, and missing ones, are 0. A window of as many rows
-    as the kernel has; a missing sample keeps its place in it."""
+    """Causal convolution, as long as the input; samples before the first, and missing ones, are 0 and keep their places. A window
+    of as many rows as the kernel has; kernels of more than 64 are applied to packed channels by Fourier transforms."""
+    if len(kernel) > 64:
+        h = np.asarray(kernel, float)
+
+        def whole(x: np.ndarray) -> np.ndarray:
+            n = 1 << (len(x) + len(h) - 2).bit_length()
+            return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)[: len(x)]
+
+        zero = df.select(*keys, order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__u"))
+        return df.join(per_channel(zero, keys, order, "__u", whole, out).drop("__u"), [*keys, order], "left")
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(len(kernel) - 1), 0)
     back = F.reverse(F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w))
     h = F.array(*[F.lit(float(x)) for x in kernel])
@@ -348,12 +357,6 @@ def convolve(df: DataFrame, keys: Keys, order: str, value: str, kernel: Sequence
     return df.withColumn(out, total)
 
 
-def fir_filter(df: DataFrame, keys: Keys, order: str, value: str, kernel: Sequence[float], **how) -> DataFrame:
-    """Zero-phase filter by a symmetric kernel of odd length, such as :func:`fir` makes; ends are continued by their value."""
-    h = np.asarray(kernel, float)
-    return per_channel(df, keys, order, value, lambda x: same(x, h), **how)
-
-
 def spectra(rows: DataFrame, keys: Keys, cols: Keys, kernel: Callable[..., list[np.ndarray]], names: Keys) -> DataFrame:
     """(keys, k, names): for each row of packed arrays ``cols``, what ``kernel`` gives at each frequency k. Rows of equal length
     are transformed together."""

@@ -5,6 +5,7 @@ Sums are made by distributed aggregation; what remains, a few numbers for each g
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -162,6 +163,28 @@ def ols(df: DataFrame, keys: Keys, y: str, x: Keys, contrasts: dict[str, Sequenc
     return moments(df, keys, y, x).mapInPandas(run, f"{kinds}, term string, beta double, se double, t double, p double, dof bigint")
 
 
+def orthogonalise(df: DataFrame, keys: Keys, names: Keys, against: Keys) -> DataFrame:
+    """``df`` with each of ``names`` less its projection on the columns ``against``, by key: what of a regressor others don't say.
+
+    Products are summed where the samples are; a kernel gets the sums of each key. Rows with a null in any of these columns
+    don't count, and have null there. Columns that depend on each other, or are 0, are no harm.
+    """
+    ok = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*names, *against)])
+    each = [F.sum(F.col(a) * F.col(b)) for a in against for b in (*against, *names)]
+    sums = df.where(ok).groupBy(*keys).agg(F.array(*each).alias("__s"))
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = len(against)
+        for pdf in batches:
+            found = [np.asarray(v, float).reshape(p, -1) for v in pdf["__s"]]
+            yield pdf[list(keys)].assign(__b=[(np.linalg.pinv(m[:, :p], hermitian=True) @ m[:, p:]).T.ravel().tolist() for m in found])
+
+    fits = sums.mapInPandas(run, f"{kinds}, __b array<double>")
+    less = {n: F.col(n) - sum((F.col("__b")[i * len(against) + j] * F.col(a) for j, a in enumerate(against)), F.lit(0.0)) for i, n in enumerate(names)}
+    return df.join(fits, list(keys), "left").withColumns(less).drop("__b")
+
+
 def lagged(df: DataFrame, keys: Keys, order: str, y: str, u: str, na: int, nb: int, delay: int) -> tuple[DataFrame, list[str]]:
     """Regressors of an ARX model: past outputs and inputs within a segment; null where it hasn't that many."""
     w = Window.partitionBy(*keys).orderBy(order)

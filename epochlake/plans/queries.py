@@ -13,6 +13,7 @@ from ..operators import alignment as al
 from ..operators import blocks as bk
 from ..operators import epochs as ep
 from ..operators import glm as gl
+from ..operators import ica as ic
 from ..operators import qc_summary as qs
 from ..operators import signal as sg
 from ..operators import stats as st
@@ -580,9 +581,9 @@ def _(spark, d):
 _HRF = "h AS (SELECT i, pow(i * 0.5::DOUBLE, 5.0::DOUBLE) * exp(-i * 0.5::DOUBLE) / 120.0::DOUBLE AS g FROM range(40) t(i)), k AS (SELECT i, g / (SELECT max(g) FROM h) AS g FROM h)"
 
 
-@query("sf10_hrf", f"WITH {_HRF} SELECT CAST(i AS INTEGER) AS i, g AS hrf FROM k")
+@query("sf10_hrf", f"WITH {_HRF} SELECT p_partkey, g AS hrf FROM part JOIN k ON k.i = p_size % 40")
 def _(spark, d):
-    return spark.range(1).select(F.posexplode(fn.gamma_hrf(40, 0.5)).alias("i", "hrf"))
+    return table(spark, d, "part").select("p_partkey", fn.gamma_hrf(40, 0.5)[F.col("p_size") % 40].alias("hrf"))
 
 
 @query("sf11_drift", f"WITH {S} SELECT trial, idx, cos(pi() / 64 * (idx + 0.5::DOUBLE) * 3) AS d3 FROM s")
@@ -816,19 +817,32 @@ def _(spark, d):
     return tb.combine_bins(erp, {"diff": {2: 1.0, 1: -1.0}}, ["idx"]).select("idx", F.col("value").alias("diff"))
 
 
+def _channels(spark, d):
+    """A subject's mean epoch at each bin as a channel: (subj, idx, bin, value)."""
+    return epochs(spark, d).groupBy("subj", "idx", "bin").agg(F.avg("value").alias("value"))
+
+
 @query("sg17_ica")
 def _(spark, d):
-    import pandas as pd
+    x = _channels(spark, d)
+    unmixing, mixing = ic.fit(x, "subj", "idx", "bin", "value", rounds=20)
+    sheet = x.select("subj").distinct().withColumn("component", F.lit(0))
+    return ic.remove(x, unmixing, mixing, sheet, "subj", "idx", "bin", "value")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="bin", columns="idx", values="value")
-        clean = sg.drop_components(wide.to_numpy(), sg.infomax(wide.to_numpy()), [0])
-        out = pd.DataFrame(clean, index=wide.index, columns=wide.columns).stack().rename("value").reset_index()
-        out["subj"] = pdf["subj"].iloc[0]
-        return out[["subj", "bin", "idx", "value"]]
 
-    means = epochs(spark, d).groupBy((F.col("subj") % 4).alias("subj"), "bin", "idx").agg(F.avg("value").alias("value"))
-    return means.groupBy("subj").applyInPandas(run, "subj bigint, bin int, idx int, value double")
+@query(
+    "sg17_remove",
+    f"""WITH {S}, x AS (SELECT subj, idx, bin, avg(value) AS value FROM s GROUP BY ALL),
+    o AS (SELECT subj, idx, sum(CASE WHEN bin % 2 = 0 THEN value ELSE -value END * (1 + subj % 3)) AS u FROM x WHERE subj % 4 <> 0 GROUP BY ALL)
+    SELECT x.subj, x.idx, x.bin, x.value - coalesce(o.u * (x.bin + 1) / 10.0::DOUBLE, 0) AS value FROM x LEFT JOIN o ON o.subj = x.subj AND o.idx = x.idx""",
+)
+def _(spark, d):
+    x = _channels(spark, d)
+    cells = x.select("subj", "bin").distinct()
+    unmixing = cells.select("subj", F.lit(2).alias("component"), "bin", (F.when(F.col("bin") % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.col("subj") % 3)).alias("weight"))
+    mixing = cells.select("subj", F.lit(2).alias("component"), "bin", ((F.col("bin") + 1) / 10.0).alias("weight"))
+    sheet = x.where("subj % 4 != 0").select("subj", F.lit(2).alias("component"))
+    return ic.remove(x, unmixing, mixing, sheet, "subj", "idx", "bin", "value")
 
 
 #: Weights of sites 0 to 7 for sites 8 and 9, by an independent solver: fixed values.
@@ -1143,6 +1157,21 @@ def _(spark, d):
     return st.ar_irls_glm(epochs(spark, d).select("trial", "idx", "value", F.lit(1.0).alias("one"), F.col("rel_t").alias("x")), ["trial"], "idx", "value", ["one", "x"], 4)
 
 
+@query("ml7_orthogonalised", f"WITH {S}, m AS (SELECT bin, regr_slope(value, rel_t) AS b, regr_intercept(value, rel_t) AS a FROM s GROUP BY bin) SELECT trial, idx, round(value - a - b * rel_t, 9) AS value FROM s JOIN m ON m.bin = s.bin")
+def _(spark, d):
+    x = epochs(spark, d).withColumn("one", F.lit(1.0))
+    return st.orthogonalise(x, ["bin"], ["value"], ["one", "rel_t"]).select("trial", "idx", F.round("value", 9).alias("value"))
+
+
+@query("ml2_block_regressor", f"WITH {E}, {_GRID}, {_HRF}, n AS (SELECT subj, onset_s, CASE WHEN onset_s - lag(onset_s) OVER (PARTITION BY subj ORDER BY onset_s) <= 86400 THEN 0 ELSE 1 END AS new FROM e), "
+       "b AS (SELECT subj, onset_s, sum(new) OVER (PARTITION BY subj ORDER BY onset_s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM n), w AS (SELECT subj, block, min(onset_s) AS lo, max(onset_s) + 7200 AS hi FROM b GROUP BY ALL), "
+       "u AS (SELECT g.subj, g.i, count(w.lo) AS u FROM g LEFT JOIN w ON w.subj = g.subj AND g.t >= w.lo AND g.t < w.hi GROUP BY ALL) "
+       "SELECT a.subj, a.i, round(sum(p.u * k.g), 6) AS x FROM u a JOIN u p ON p.subj = a.subj AND p.i <= a.i JOIN k ON k.i = a.i - p.i GROUP BY ALL")
+def _(spark, d):
+    grid, _ = _stimuli(spark, d)
+    return gl.block_regressor(grid, events(spark, d), ["subj"], _hrf(), 86400.0, 7200.0, "x").select("subj", "i", F.round("x", 6).alias("x"))
+
+
 @query("ml7_course_glm")
 def _(spark, d):
     e = events(spark, d)
