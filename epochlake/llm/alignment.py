@@ -32,6 +32,8 @@ from .words import blocks, raw
 
 #: Bytes of texts that are composed at once, and that share a table of segments; a single longer text is a chunk of its own.
 CHUNK, GROUP = 5_000_000, 32_000_000
+#: Bytes of rows that are sent to a worker at once: a row holds a group's table.
+BATCH = "4m"
 MARK = "▁"
 
 
@@ -186,37 +188,35 @@ def _chunks(docs: DataFrame, cut: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        known = pa.array([], pa.large_string())
+        done: list[tuple[pa.Array, np.ndarray, pa.DictionaryArray]] = []
         size, total, grp = 0, 0, TaskContext.get().partitionId() << 24
 
-        def flush() -> pa.RecordBatch:
-            nonlocal known
+        def encoded() -> tuple[pa.Array, np.ndarray, pa.DictionaryArray]:
             keys, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in range(2))
             segs, counts = segments(texts, cut)
-            coded = segs.dictionary_encode()
-            at = pc.index_in(coded.dictionary, value_set=known)
-            new = np.asarray(at.is_null())
-            place = at.fill_null(0).to_numpy().astype(np.int64)
-            place[new] = len(known) + np.arange(new.sum())
-            known = pa.concat_arrays([known, coded.dictionary.filter(pa.array(new))])
-            data = {n: pa.array([_packed(x)], pa.binary()) for n, x in (("starts", np.r_[0, np.cumsum(counts)]), ("codes", place[coded.indices.to_numpy()]))}
-            return row(grp, keys=one(keys), **data)
+            return keys, np.r_[0, np.cumsum(counts)], segs.dictionary_encode()
+
+        def group() -> Iterator[pa.RecordBatch]:
+            codes = pa.chunked_array([d[2] for d in done]).unify_dictionaries()
+            for (keys, starts, _), own in zip(done, codes.chunks, strict=True):
+                yield row(grp, keys=one(keys), starts=pa.array([_packed(starts)], pa.binary()), codes=pa.array([_packed(own.indices.to_numpy())], pa.binary()))
+            yield row(grp, segs=one(codes.chunk(0).dictionary))
 
         for batch in batches:
             for at, texts in blocks(batch.column(1), CHUNK):
                 held.append(batch.slice(at, len(texts)))
                 size += len(raw(texts)[0])
                 if size >= CHUNK:
-                    yield flush()
+                    done.append(encoded())
                     held, size, total = [], 0, total + size
                     if total >= GROUP:
-                        yield row(grp, segs=one(known))
-                        known, total, grp = pa.array([], pa.large_string()), 0, grp + 1
+                        yield from group()
+                        done, total, grp = [], 0, grp + 1
                     release()
         if held:
-            yield flush()
-        if len(known):
-            yield row(grp, segs=one(known))
+            done.append(encoded())
+        if done:
+            yield from group()
         release()
 
     return docs.mapInArrow(run, ddl)
@@ -315,7 +315,7 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     found = scratch.keep(_gathered(own, "grp", F.col("r")), "found")  # a write of its own: its shuffles go before the next
     scratch.drop("tokens")
     texts = chunks.where("keys is not null").select("grp", "chunk", "keys", "starts", "codes")
-    done = scratch.keep(_composed(_with(texts, "grp", found), kind, full, _sizes(path_a, path_b)), "composed")
+    done = scratch.keep(_composed(_with(texts, "grp", found), kind, full, _sizes(path_a, path_b)), "composed", {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH})
     scratch.drop("chunks", "found")
     counts = scratch.keep(done.select(F.explode(F.arrays_zip("a", "b", "n")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n")), "counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))  # as many rows as A's vocabulary has ids

@@ -48,18 +48,22 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a stored table. The shuffle files of its writing go with it: nothing else reads them."""
+    def keep(self, df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+        """``df`` as a stored table. The shuffle files of its writing go with it: nothing else reads them. ``settings`` of the
+        session hold for that writing."""
         path = self.path(name)
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        settings = {CLEANUP: "true"} | (settings or {})
+        before = {k: self.spark.conf.getAll.get(k) for k in settings}
+        for k, v in settings.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
