@@ -267,44 +267,6 @@ def simulation_scores(df: DataFrame, fits: DataFrame, subject: Keys, segment: st
     return rows.mapInPandas(run, f"{kinds}, n int, rmse double, r double")
 
 
-def subspace(y: np.ndarray, u: np.ndarray, order: int = 2, rows: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(A, B, C, D) of a state-space model of one input and one output, from the row space that future outputs share once
-    the input's is projected out; B, D and the first state by least squares."""
-    cols = len(y) - rows + 1
-    if cols < 3 * rows:
-        raise ValueError("too few samples")
-    hankel = lambda v: np.array([v[i : i + cols] for i in range(rows)])
-    _, r = np.linalg.qr(np.vstack([hankel(u), hankel(y)]).T)
-    left, size, _ = np.linalg.svd(r.T[rows:, rows:])
-    gamma = left[:, :order] * np.sqrt(size[:order])
-    c, a = gamma[0], np.linalg.pinv(gamma[:-1]) @ gamma[1:]
-    seen = np.empty((len(y), order))
-    seen[0] = c
-    for t in range(1, len(y)):
-        seen[t] = seen[t - 1] @ a
-    late = np.column_stack([np.convolve(u, np.r_[0, seen[:-1, k]])[: len(y)] for k in range(order)])
-    fit = np.linalg.lstsq(np.column_stack([seen, late, u]), y, rcond=None)[0]
-    return a, fit[order : 2 * order], c, float(fit[-1])
-
-
-def state_space(df: DataFrame, keys: Keys, order: str, y: str, u: str, states: int = 2, dt: float = 1.0) -> DataFrame:
-    """(keys, gain, tau, status) of each recording's :func:`subspace` model: gain at rest and slowest time constant."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = [pdf[k].iloc[0] for k in keys]
-        pdf = pdf.dropna(subset=[y, u]).sort_values(order)
-        try:
-            a, b, c, d = subspace(pdf[y].to_numpy(float), pdf[u].to_numpy(float), states)
-            pole = float(np.abs(np.linalg.eigvals(a)).max())
-            row = [*head, float(c @ np.linalg.solve(np.eye(states) - a, b) + d), -dt / math.log(pole) if 0 < pole < 1 else None, "ok"]
-        except (ValueError, np.linalg.LinAlgError) as e:
-            row = [*head, None, None, str(e)]
-        return pd.DataFrame([row], columns=[*keys, "gain", "tau", "status"])
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, y, u).groupBy(*keys).applyInPandas(run, f"{kinds}, gain double, tau double, status string")
-
-
 def kalman(y: np.ndarray, x: np.ndarray, lam: float = 0.98, q: float = 1e-4, r: float = 1.0, p0: float = 1e3, state=None) -> tuple[np.ndarray, np.ndarray, tuple]:
     """(parameters after each sample, predictions before it, state): recursive least squares with forgetting, of one series or,
     with a leading axis, of many of equal length together."""

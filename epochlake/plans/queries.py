@@ -17,6 +17,7 @@ from ..operators import ica as ic
 from ..operators import qc_summary as qs
 from ..operators import signal as sg
 from ..operators import stats as st
+from ..operators import subspace as sp
 from ..operators import tables as tb
 from ..sources import readers as rd
 from .inputs import B, E, S, epochs, estimates, events, table
@@ -1322,4 +1323,4 @@ def _(spark, d):
 def _(spark, d):
     x = epochs(spark, d).select("trial", "idx", F.col("value").alias("u"), F.col("value").alias("y"))
     y = sg.convolve(x, ["trial"], "idx", "u", [0.0, 1.0, 0.9, 0.5, 0.2])
-    return st.state_space(y, ["trial"], "idx", "convolved", "u", 2, 0.02)
+    return sp.state_space(y, ["trial"], "idx", "convolved", "u", 2, 0.02)
