@@ -249,6 +249,32 @@ def morlet_power(x: np.ndarray, rate: float, freqs: Sequence[float], cycles: tup
     return out
 
 
+def wavelet_power(df: DataFrame, keys: Keys, index: str, value: str, rate: float, freqs: Sequence[float], cycles: tuple[float, float] = (3.0, 0.5)) -> DataFrame:
+    """(keys, freq, index, power) of each epoch by :func:`morlet_power`. An epoch with a missing sample has null power."""
+    rows = packed(df, keys, index, [value])
+    freqs = [float(f) for f in freqs]
+    schema = rows.select(*keys, index).withColumn("__p", F.array(F.array(F.lit(0.0)))).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [morlet_power(x, rate, freqs, cycles) if np.isfinite(x).all() else np.full((len(freqs), len(x)), np.nan) for x in arrays(part.column(len(keys) + 1))]
+                power = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(freqs), pa.int32()), lists([p for f in found for p in f]))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys) + 1], power], names=schema.names)
+
+    each = rows.select(*keys, index, value).mapInArrow(run, schema).select(*keys, index, F.posexplode("__p").alias("__f", "__p"))
+    one = each.select(*keys, F.array(*[F.lit(f) for f in freqs])[F.col("__f")].alias("freq"), F.explode(F.arrays_zip(index, "__p")).alias("__r"))
+    return one.select(*keys, "freq", F.col(f"__r.{index}").alias(index), F.col("__r.__p").alias("power"))
+
+
+def ersp(df: DataFrame, keys: Keys, index: str, value: str, rate: float, freqs: Sequence[float], base: tuple[int, int], **how) -> DataFrame:
+    """(keys, freq, index, db): wavelet power against its mean at the places ``base``, both ends included, in decibels."""
+    power = wavelet_power(df, keys, index, value, rate, freqs, **how)
+    rest = power.where(F.col(index).between(*base)).groupBy(*keys, "freq").agg(F.avg("power").alias("__b"))
+    return power.join(rest, [*keys, "freq"]).select(*keys, "freq", index, (F.lit(10.0) * F.log10((F.col("power") + F.lit(1e-300)) / (F.col("__b") + F.lit(1e-300)))).alias("db"))
+
+
 def binarise(x: np.ndarray, zero: float = 1e-6, apart: float = 5.0) -> np.ndarray:
     """Trigger line to 0 and 1. Samples within ``zero`` of 0, and missing ones, are 0.
 

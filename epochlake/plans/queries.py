@@ -741,20 +741,20 @@ def _(spark, d):
     return sg.welch(epochs(spark, d), ["trial"], "idx", "value", 50.0, 32, 32)
 
 
-@query("sg12_ersp")
-def _(spark, d):
-    import pandas as pd
+_ERSP = """q AS (SELECT f, c / (2 * pi() * f) AS s, CAST(ceil(3.5 * c / (2 * pi() * f) * 50) AS INTEGER) AS half FROM (SELECT f, 3 * (1 + 0.5 * (f / 4.0::DOUBLE - 1)) AS c FROM (SELECT unnest([4.0::DOUBLE, 8.0::DOUBLE, 12.0::DOUBLE, 16.0::DOUBLE, 20.0::DOUBLE]) AS f))),
+wt AS (SELECT f, k, cos(2 * pi() * f * k / 50) * exp(-pow(k / 50.0::DOUBLE, 2) / (2 * s * s)) / sum(exp(-pow(k / 50.0::DOUBLE, 2) / (2 * s * s))) OVER (PARTITION BY f) AS re,
+       sin(2 * pi() * f * k / 50) * exp(-pow(k / 50.0::DOUBLE, 2) / (2 * s * s)) / sum(exp(-pow(k / 50.0::DOUBLE, 2) / (2 * s * s))) OVER (PARTITION BY f) AS im FROM q, LATERAL (SELECT unnest(range(-half, half + 1)) AS k)),
+pw AS (SELECT a.trial, wt.f AS freq, a.idx, pow(sum(b.value * wt.re), 2) + pow(sum(b.value * wt.im), 2) AS p FROM s a JOIN s b ON b.trial = a.trial JOIN wt ON wt.k = a.idx - b.idx GROUP BY ALL),
+ed AS (SELECT trial, freq, idx, 10 * log10((p + 1e-300::DOUBLE) / (avg(p) FILTER (idx < 10) OVER (PARTITION BY trial, freq) + 1e-300::DOUBLE)) AS db FROM pw)"""
+
 
-    freqs = [4.0, 8.0, 12.0, 16.0, 20.0]
+def _ersp(spark, d):
+    return sg.ersp(epochs(spark, d), ["trial"], "idx", "value", 50.0, [4.0, 8.0, 12.0, 16.0, 20.0], (0, 9))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        p = sg.morlet_power(pdf["value"].to_numpy(float), 50.0, freqs)
-        base = p[:, pdf["rel_t"].to_numpy() < 0].mean(1, keepdims=True)
-        db = 10 * np.log10((p + 1e-300) / (base + 1e-300))
-        return pd.DataFrame({"trial": pdf["trial"].iloc[0], "freq": np.repeat(freqs, p.shape[1]), "idx": np.tile(pdf["idx"].to_numpy(), len(freqs)), "db": db.ravel()})
 
-    return epochs(spark, d).select("trial", "idx", "rel_t", "value").groupBy("trial").applyInPandas(run, "trial bigint, freq double, idx int, db double")
+@query("sg12_ersp", f"WITH {S}, {_ERSP} SELECT trial, freq, idx, round(db, 6) AS db FROM ed")
+def _(spark, d):
+    return _ersp(spark, d).withColumn("db", F.round("db", 6))
 
 
 _XY = "xy AS (SELECT trial, idx, value AS x, value * rel_t AS y FROM s)"
@@ -884,13 +884,16 @@ def _(spark, d):
     return ep.epoch(x, t, ["subj"], "trial", -36000.0, 36000.0, (-36000.0, 0.0)).select("trial", "event_id", "rel_t", "value")
 
 
-@query("ep3_block_epochs")
+@query("ep3_block_epochs", f"""WITH {E}, q AS (SELECT subj, event_id AS trial, k, onset_s + (-7200.0::DOUBLE + k * 3600.0::DOUBLE) AS t FROM e, (SELECT unnest(range(0, 11)) AS k) WHERE condition = 'purchase'),
+x AS (SELECT subj, onset_s AS t, amp FROM e), a AS (SELECT q.*, x.t AS t0, x.amp AS v0 FROM q ASOF LEFT JOIN x ON x.subj = q.subj AND q.t >= x.t), b AS (SELECT a.*, x.t AS t1, x.amp AS v1 FROM a ASOF LEFT JOIN x ON x.subj = a.subj AND a.t < x.t),
+v AS (SELECT subj, trial, k, CASE WHEN t0 = t THEN v0 ELSE v0 + (t - t0) * (v1 - v0) / (t1 - t0) END AS v FROM b)
+SELECT subj, trial, round(avg(v) FILTER (k BETWEEN 2 AND 10) - avg(v) FILTER (k BETWEEN 0 AND 2), 6) AS block_mean FROM v GROUP BY ALL""")
 def _(spark, d):
     e = events(spark, d)
     x = e.select("subj", F.col("onset_s").alias("t"), F.col("amp").alias("value"))
     t = e.where("condition = 'purchase'").select("subj", F.col("event_id").alias("trial"), "onset_s")
     made = ep.grid_epochs(x, t, ["subj"], "trial", -7200.0, 28800.0, 3600.0, (-7200.0, 0.0))
-    return ep.block_means(made, ["subj", "trial"], 28800.0)
+    return ep.block_means(made, ["subj", "trial"], 28800.0).withColumn("block_mean", F.round("block_mean", 6))
 
 
 _BASE = "bl AS (SELECT trial, bin, idx, rel_t, value - avg(value) FILTER (rel_t < -0.005) OVER (PARTITION BY trial) AS value FROM s)"
@@ -1223,11 +1226,33 @@ def _(spark, d):
     return st.benjamini_hochberg(p, "p", ["fam"])
 
 
-@query("ml11_arx")
-def _(spark, d):
+def _solved() -> str:
+    """SQL of least squares on y1, y2, u0, u1 by subject: (subj, i, beta, inv) by elimination on the sums with a unit matrix."""
+    terms = ("y1", "y2", "u0", "u1")
+    sums = ", ".join([f"sum({a} * {b}) AS m{i}{j}" for i, a in enumerate(terms) for j, b in enumerate(terms)] + [f"sum({a} * y) AS m{i}4" for i, a in enumerate(terms)])
+    cells = ", ".join(f"({i}, {j}, {f'm{i}{j}' if j < 5 else ('1.0' if j - 5 == i else '0.0')}::DOUBLE)" for i in range(4) for j in range(9))
+    steps = [f"e{k + 1} AS (SELECT a.subj, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v FROM e{k} a JOIN e{k} p ON p.subj = a.subj AND p.i = {k} AND p.j = {k} JOIN e{k} r ON r.subj = a.subj AND r.i = a.i AND r.j = {k} JOIN e{k} c ON c.subj = a.subj AND c.i = {k} AND c.j = a.j)" for k in range(4)]
+    return f"""l AS (SELECT subj, trial, idx, value AS y, value * rel_t AS u, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(value * rel_t, 1) OVER w AS u0, lag(value * rel_t, 2) OVER w AS u1 FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)),
+    ms AS (SELECT subj, count(*) AS n, sum(y * y) AS yy, {sums} FROM l WHERE y2 IS NOT NULL AND u1 IS NOT NULL GROUP BY subj),
+    e0 AS (SELECT subj, c.i, c.j, c.v FROM ms, LATERAL (VALUES {cells}) c(i, j, v)), {', '.join(steps)},
+    cf AS (SELECT a.subj, a.i, a.v AS beta, b.v AS inv FROM e4 a JOIN e4 b ON b.subj = a.subj AND b.i = a.i AND b.j = a.i + 5 WHERE a.j = 4),
+    ab AS (SELECT subj, max(CASE WHEN i = 0 THEN beta END) AS a1, max(CASE WHEN i = 1 THEN beta END) AS a2, max(CASE WHEN i = 2 THEN beta END) AS b0, max(CASE WHEN i = 3 THEN beta END) AS b1 FROM cf GROUP BY subj)"""
+
+
+_ARX = _solved()
+
+
+def _fits(spark, d):
     return st.arx(_arx(spark, d), ["subj"], "trial", "idx", "y", "u")
 
 
+@query("ml11_arx", f"""WITH {S}, {_ARX}, rs AS (SELECT ab.subj, n - 4 AS v, (yy - a1 * m04 - a2 * m14 - b0 * m24 - b1 * m34) / (n - 4) AS s2 FROM ab JOIN ms ON ms.subj = ab.subj),
+q AS (SELECT cf.subj, ['y1', 'y2', 'u0', 'u1'][i + 1] AS term, beta, sqrt(s2 * inv) AS se, v, atan(abs(beta / sqrt(s2 * inv)) / sqrt(v)) AS th FROM cf JOIN rs ON rs.subj = cf.subj)
+SELECT subj, term, round(beta, 7) AS beta, round(se, 7) AS se, round(beta / se, 4) AS t, round({_TAIL}, 6) AS p, v AS dof FROM q""")
+def _(spark, d):
+    return _fits(spark, d).select("subj", "term", F.round("beta", 7).alias("beta"), F.round("se", 7).alias("se"), F.round("t", 4).alias("t"), F.round("p", 6).alias("p"), "dof")
+
+
 @query("ml11_lagged", f"WITH {S} SELECT trial, idx, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(rel_t, 1) OVER w AS u0, lag(rel_t, 2) OVER w AS u1 FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)")
 def _(spark, d):
     rows, names = st.lagged(epochs(spark, d), ["trial"], "idx", "value", "rel_t", 2, 2, 1)
@@ -1238,14 +1263,22 @@ def _arx(spark, d):
     return epochs(spark, d).select("subj", "trial", "idx", F.col("value").alias("y"), (F.col("value") * F.col("rel_t")).alias("u"))
 
 
-@query("ml12_responses")
+@query("ml12_responses", f"""WITH RECURSIVE {S}, {_ARX}, h AS (SELECT subj, 0 AS t, 0.0::DOUBLE AS h, 0.0::DOUBLE AS g FROM ab UNION ALL
+  SELECT h.subj, t + 1, a1 * h.h + a2 * g + CASE t WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE 0 END, h.h FROM h JOIN ab ON ab.subj = h.subj WHERE t < 59),
+r AS (SELECT subj, list(round(h, 6) + 0 ORDER BY t) AS irf, arg_max(h, abs(h)) AS peak, arg_max(t, abs(h)) * 0.02::DOUBLE AS lag FROM h GROUP BY subj),
+z AS (SELECT *, CASE WHEN a1 * a1 + 4 * a2 >= 0 THEN greatest(abs(a1 + sqrt(greatest(0, a1 * a1 + 4 * a2))), abs(a1 - sqrt(greatest(0, a1 * a1 + 4 * a2)))) / 2 ELSE sqrt(abs(a2)) END AS pole FROM ab)
+SELECT r.subj, round(peak, 6) AS peak, round(lag, 6) AS lag, round((b0 + b1) / (1 - a1 - a2), 6) AS gain, CASE WHEN pole > 0 AND pole < 1 THEN round(-0.02 / ln(pole), 6) END AS tau, irf FROM r JOIN z ON z.subj = r.subj""")
 def _(spark, d):
-    return st.responses(QUERIES["ml11_arx"](spark, d), ["subj"], 2, 2, 1, 60, 0.02)
+    out = st.responses(_fits(spark, d), ["subj"], 2, 2, 1, 60, 0.02)
+    return out.select("subj", *[F.round(c, 6).alias(c) for c in ("peak", "lag", "gain", "tau")], F.transform("irf", lambda x: F.round(x, 6) + F.lit(0.0)).alias("irf"))
 
 
-@query("ml13_simulation_scores")
+@query("ml13_simulation_scores", f"""WITH RECURSIVE {S}, {_ARX}, f AS (SELECT subj, trial, -1 AS idx, 0.0::DOUBLE AS f, 0.0::DOUBLE AS g, 0.0::DOUBLE AS u, 0.0::DOUBLE AS w, 0.0::DOUBLE AS y FROM s WHERE idx = 0 UNION ALL
+  SELECT f.subj, f.trial, l.idx, a1 * f.f + a2 * g + b0 * f.u + b1 * w, f.f, l.u, f.u, l.y FROM f JOIN l ON l.trial = f.trial AND l.idx = f.idx + 1 JOIN ab ON ab.subj = f.subj)
+SELECT subj, trial, CAST(count(*) AS INTEGER) AS n, round(sqrt(avg((y - f) * (y - f))), 6) AS rmse, round(corr(y, f), 6) AS r FROM f WHERE idx >= 2 GROUP BY ALL""")
 def _(spark, d):
-    return st.simulation_scores(_arx(spark, d), QUERIES["ml11_arx"](spark, d), ["subj"], "trial", "idx", "y", "u", 2, 2, 1)
+    out = st.simulation_scores(_arx(spark, d), _fits(spark, d), ["subj"], "trial", "idx", "y", "u", 2, 2, 1)
+    return out.select("subj", "trial", "n", F.round("rmse", 6).alias("rmse"), F.round("r", 6).alias("r"))
 
 
 @query("ml15_kalman", f"""WITH RECURSIVE {S}, k AS (
@@ -1310,13 +1343,16 @@ def _(spark, d):
     return epochs(spark, d).select("trial", "idx", fn.poly_drift(t, F.avg(t).over(w), F.max(F.abs(t - F.lit(0.43))).over(w), 2).alias("p2"))
 
 
-@query("ep13_erd_table")
+@query("ep13_erd_table", f"""WITH {S}, {_ERSP}, t AS (SELECT DISTINCT trial, subj, bin FROM s WHERE bin IN (1, 2)),
+m AS (SELECT subj, avg((pow(10.0::DOUBLE, db / 10) - 1) * 100) FILTER (bin = 1) AS c, avg((pow(10.0::DOUBLE, db / 10) - 1) * 100) FILTER (bin = 2) AS i FROM ed JOIN t ON t.trial = ed.trial WHERE freq BETWEEN 8 AND 12 AND idx >= 10 GROUP BY subj)
+SELECT subj, round(c, 5) AS contra, round(i, 5) AS ipsi, round(c - i, 5) AS difference, round((-c + i) / nullif(-c - i, 0), 5) AS li FROM m""")
 def _(spark, d):
-    db = QUERIES["sg12_ersp"](spark, d).where("freq >= 8 and freq <= 12 and idx >= 10").withColumn("pct", fn.db_to_percent(F.col("db")))
+    db = _ersp(spark, d).where("freq >= 8 and freq <= 12 and idx >= 10").withColumn("pct", fn.db_to_percent(F.col("db")))
     roi = db.join(epochs(spark, d).select("trial", "subj", "bin").distinct(), "trial").where("bin in (1, 2)")
     side = lambda b: F.avg(F.when(F.col("bin") == b, F.col("pct")))
     out = roi.groupBy("subj").agg(side(1).alias("contra"), side(2).alias("ipsi"))
-    return out.withColumn("difference", F.col("contra") - F.col("ipsi")).withColumn("li", fn.lateralisation(F.col("contra"), F.col("ipsi")))
+    out = out.withColumn("difference", F.col("contra") - F.col("ipsi")).withColumn("li", fn.lateralisation(F.col("contra"), F.col("ipsi")))
+    return out.select("subj", *[F.round(c, 5).alias(c) for c in ("contra", "ipsi", "difference", "li")])
 
 
 @query("ml14_state_space")
