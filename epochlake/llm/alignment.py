@@ -31,7 +31,7 @@ from .shared import Scratch, release
 from .words import blocks, raw
 
 #: Bytes of texts that are composed at once, and that share a table of segments; a single longer text is a chunk of its own.
-CHUNK, GROUP = 5_000_000, 32_000_000
+CHUNK, GROUP = 3_000_000, 24_000_000
 #: Bytes of rows that are sent to a worker at once: a row holds a group's table.
 BATCH = "4m"
 MARK = "▁"
@@ -134,13 +134,19 @@ class Tokens:
         self.nl, self.ng = np.bincount(owner, minlength=n), np.bincount(owner[ends], minlength=n)
         self._cut = i[ends] + 1, j[ends] + 1
 
-    def groups(self) -> list[str]:
+    def groups(self, step: int = 20_000) -> list[str]:
         """Of each segment, ``a1,a2|b1;a3|b2``."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        to_a, to_b = (x.tolist() for x in self._cut)
-        made = [f"{','.join(a[u:v])}|{','.join(b[x:y])}" for u, v, x, y in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
-        ends = np.cumsum(self.ng).tolist()
-        return [";".join(made[u:v]) for u, v in zip([0, *ends], ends, strict=False)]
+        out: list[str] = []
+        first_a, first_b, first = (np.r_[0, np.cumsum(v)] for v in (self.na, self.nb, self.ng))
+        for s in range(0, len(self.na), step):
+            t = min(len(self.na), s + step)
+            ids = [list(map(str, v[f[s] : f[t]].tolist())) for v, f in ((self.a, first_a), (self.b, first_b))]
+            ends = [(v[first[s] : first[t]] - f[s]).tolist() for v, f in zip(self._cut, (first_a, first_b), strict=True)]
+            (a, b), (to_a, to_b) = ids, ends
+            made = [f"{','.join(a[u:v])}|{','.join(b[x:y])}" for u, v, x, y in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+            ends = (first[s : t + 1] - first[s]).tolist()
+            out += [";".join(made[u:v]) for u, v in zip(ends, ends[1:], strict=False)]
+        return out
 
 
 def _kind(*sizes: int) -> np.dtype:
@@ -245,6 +251,9 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
     schema = to_arrow_schema(StructType.fromDDL(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        byte_level.cache_clear()  # a worker that has tokenised before needs them no more
+        pieces.cache_clear()
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 made = compose(*_opened(batch, i), *sizes)
@@ -272,12 +281,18 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
         # documents that hold a pair: of the different segments of each document
         pair, code = np.unique(tokens.pairs, return_inverse=True)
         first = np.r_[0, np.cumsum(tokens.nl)]
-        keep = good[owner]
-        both = np.unique(owner[keep] * max(1, many) + codes[keep])
-        doc, seg = both // max(1, many), both % max(1, many)
-        links = tokens.nl[seg] if many else seg
-        at = np.repeat(first[seg] - np.r_[0, np.cumsum(links)[:-1]], links) + np.arange(links.sum()) if len(seg) else seg
-        count = np.bincount(np.unique(np.repeat(doc, links) * max(1, len(pair)) + code[at]) % max(1, len(pair)), minlength=len(pair))
+        count = np.zeros(len(pair), np.int64)
+        at_doc = 0
+        while at_doc < n:  # some documents at a time
+            til = max(at_doc + 1, int(np.searchsorted(starts, starts[at_doc] + 200_000, "right")) - 1)
+            part = slice(starts[at_doc], starts[til])
+            keep = good[owner[part]]
+            both = np.unique((owner[part][keep] - at_doc) * max(1, many) + codes[part][keep])
+            doc, seg = both // max(1, many), both % max(1, many)
+            links = tokens.nl[seg] if many else seg
+            at = np.repeat(first[seg] - np.r_[0, np.cumsum(links)[:-1]], links) + np.arange(links.sum()) if len(seg) else seg
+            count += np.bincount(np.unique(np.repeat(doc, links) * max(1, len(pair)) + code[at]) % max(1, len(pair)), minlength=len(pair))[: len(pair)]
+            at_doc = til
         return {"codes": _packed(codes), "counts": _packed(tokens.nl), "links": _packed(code), "na": total(tokens.na), "nb": total(tokens.nb), "ng": total(tokens.ng), "nl": total(tokens.nl), "sha": sha, "groups": groups, "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": count}
 
     return rows.mapInArrow(run, own)
