@@ -20,6 +20,7 @@ from ..operators import stats as st
 from ..operators import subspace as sp
 from ..operators import tables as tb
 from ..sources import readers as rd
+from ..sources.folders import new_folder
 from .inputs import B, E, S, epochs, estimates, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,22 @@ def _(spark, d):
     return rd.edf_samples(runs.select(F.format_string("sub-%d.edf", "subj").alias("path"), encode("markers").alias("content")))
 
 
+@query("sc6_checkpoint", f"WITH {S} SELECT bin, subj, count(*) AS n, round(sum(value), 6) AS total FROM s WHERE bin IN (1, 2) GROUP BY bin, subj")
+def _(spark, d):
+    path = new_folder(spark, "sc6")
+    rd.write_table(epochs(spark, d), path, by=["bin"])
+    back = spark.read.parquet(path).where("bin in (1, 2)").select("bin", "subj", "value")  # two columns of two partitions
+    return back.groupBy("bin", "subj").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("sc9_csv", "SELECT p_partkey, p_name, p_size, CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS price FROM part")
+def _(spark, d):
+    path = new_folder(spark, "sc9")
+    own = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("price"))
+    rd.write_table(own, path, fmt="csv")
+    return rd.read_table(spark, path, own.schema, ["p_partkey", "price"])
+
+
 _LOG = """unnest([
   '*** LogFrame Start ***', 'Procedure: ' || CASE WHEN event_id % 2 = 0 THEN 'membase' ELSE 'regtest' END]) """
 
@@ -1176,17 +1193,6 @@ def _(spark, d):
     return gl.block_regressor(grid, events(spark, d), ["subj"], _hrf(), 86400.0, 7200.0, "x").select("subj", "i", F.round("x", 6).alias("x"))
 
 
-@query("ml7_course_glm")
-def _(spark, d):
-    e = events(spark, d)
-    grid, w = _stimuli(spark, d)
-    course = e.where("condition = 'view'").groupBy("subj", F.col("onset_s").alias("t")).agg(F.avg("amp").alias("value"))
-    blocks = w.select("subj", F.col("onset_s").alias("lo"), (F.col("onset_s") + 36000.0).alias("hi"))
-    x = gl.course_regressor(grid, course, blocks, ["subj"], _hrf(), "x1")
-    x, names = gl.design(x.withColumn("y", _noise(F.col("i"), F.col("subj"))), ["subj"], ["x1"], "dct", 2)
-    return gl.informed_glm(x, ["subj"], "y", names, ["x1"])
-
-
 @query("ml8_pearson", f"WITH {B}, w AS (SELECT subj, roi, avg(beta) FILTER (chrom = 'F') AS x, avg(beta) FILTER (chrom = 'O') AS y FROM b GROUP BY subj, roi), v AS (SELECT * FROM w WHERE x IS NOT NULL AND y IS NOT NULL) SELECT roi, count(*) AS n, round(corr(x, y), 9) AS r, string_agg(CAST(subj AS VARCHAR), ',' ORDER BY CAST(subj AS VARCHAR)) AS subjects, count(*) - 2 AS dof FROM v GROUP BY roi")
 def _(spark, d):
     of = lambda c: F.avg(F.when(F.col("chrom") == c, F.col("beta")))
@@ -1226,33 +1232,66 @@ def _(spark, d):
     return st.benjamini_hochberg(p, "p", ["fam"])
 
 
-def _solved() -> str:
-    """SQL of least squares on y1, y2, u0, u1 by subject: (subj, i, beta, inv) by elimination on the sums with a unit matrix."""
-    terms = ("y1", "y2", "u0", "u1")
-    sums = ", ".join([f"sum({a} * {b}) AS m{i}{j}" for i, a in enumerate(terms) for j, b in enumerate(terms)] + [f"sum({a} * y) AS m{i}4" for i, a in enumerate(terms)])
-    cells = ", ".join(f"({i}, {j}, {f'm{i}{j}' if j < 5 else ('1.0' if j - 5 == i else '0.0')}::DOUBLE)" for i in range(4) for j in range(9))
-    steps = [f"e{k + 1} AS (SELECT a.subj, a.i, a.j, CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v FROM e{k} a JOIN e{k} p ON p.subj = a.subj AND p.i = {k} AND p.j = {k} JOIN e{k} r ON r.subj = a.subj AND r.i = a.i AND r.j = {k} JOIN e{k} c ON c.subj = a.subj AND c.i = {k} AND c.j = a.j)" for k in range(4)]
-    return f"""l AS (SELECT subj, trial, idx, value AS y, value * rel_t AS u, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(value * rel_t, 1) OVER w AS u0, lag(value * rel_t, 2) OVER w AS u1 FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)),
-    ms AS (SELECT subj, count(*) AS n, sum(y * y) AS yy, {sums} FROM l WHERE y2 IS NOT NULL AND u1 IS NOT NULL GROUP BY subj),
+def _least_squares(source: str, y: str, terms: tuple[str, ...]) -> str:
+    """SQL of least squares by subject over ``source``: cf (subj, i, beta, inv), by elimination on the sums ms beside a unit matrix."""
+    k = len(terms)
+    sums = ", ".join([f"sum({a} * {b}) AS m{i}{j}" for i, a in enumerate(terms) for j, b in enumerate(terms)] + [f"sum({a} * {y}) AS m{i}{k}" for i, a in enumerate(terms)])
+    cells = ", ".join(f"({i}, {j}, {f'm{i}{j}' if j <= k else ('1.0' if j - k - 1 == i else '0.0')}::DOUBLE)" for i in range(k) for j in range(2 * k + 1))
+    steps = [f"e{n + 1} AS (SELECT a.subj, a.i, a.j, CASE WHEN a.i = {n} THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v FROM e{n} a JOIN e{n} p ON p.subj = a.subj AND p.i = {n} AND p.j = {n} JOIN e{n} r ON r.subj = a.subj AND r.i = a.i AND r.j = {n} JOIN e{n} c ON c.subj = a.subj AND c.i = {n} AND c.j = a.j)" for n in range(k)]
+    return f"""ms AS (SELECT subj, count(*) AS n, sum({y} * {y}) AS yy, {sums} FROM {source} WHERE {' AND '.join(f'{t} IS NOT NULL' for t in (*terms, y))} GROUP BY subj),
     e0 AS (SELECT subj, c.i, c.j, c.v FROM ms, LATERAL (VALUES {cells}) c(i, j, v)), {', '.join(steps)},
-    cf AS (SELECT a.subj, a.i, a.v AS beta, b.v AS inv FROM e4 a JOIN e4 b ON b.subj = a.subj AND b.i = a.i AND b.j = a.i + 5 WHERE a.j = 4),
-    ab AS (SELECT subj, max(CASE WHEN i = 0 THEN beta END) AS a1, max(CASE WHEN i = 1 THEN beta END) AS a2, max(CASE WHEN i = 2 THEN beta END) AS b0, max(CASE WHEN i = 3 THEN beta END) AS b1 FROM cf GROUP BY subj)"""
+    cf AS (SELECT a.subj, a.i, a.v AS beta, b.v AS inv FROM e{k} a JOIN e{k} b ON b.subj = a.subj AND b.i = a.i AND b.j = a.i + {k + 1} WHERE a.j = {k})"""
+
 
+def _estimates(terms: tuple[str, ...], digits: tuple[int, int, int, int]) -> str:
+    """SQL of the estimates of :func:`_least_squares`."""
+    k, own = len(terms), ", ".join(f"'{t}'" for t in terms)
+    explained = "(SELECT subj, sum(beta * m) AS m FROM (SELECT cf.subj, beta, CASE i " + " ".join(f"WHEN {i} THEN m{i}{k}" for i in range(k)) + " END AS m FROM cf JOIN ms ON ms.subj = cf.subj) GROUP BY subj)"
+    return f"""rs AS (SELECT ms.subj, n - {k} AS v, (yy - x.m) / (n - {k}) AS s2 FROM ms JOIN {explained} x ON x.subj = ms.subj),
+q AS (SELECT cf.subj, [{own}][i + 1] AS term, beta, sqrt(s2 * inv) AS se, v, atan(abs(beta / sqrt(s2 * inv)) / sqrt(v)) AS th FROM cf JOIN rs ON rs.subj = cf.subj)
+SELECT subj, term, round(beta, {digits[0]}) AS beta, round(se, {digits[1]}) AS se, round(beta / se, {digits[2]}) AS t, round({_TAIL}, {digits[3]}) AS p, v AS dof FROM q"""
 
-_ARX = _solved()
+
+_LAGS = ("y1", "y2", "u0", "u1")
+_ARX = f"""l AS (SELECT subj, trial, idx, value AS y, value * rel_t AS u, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(value * rel_t, 1) OVER w AS u0, lag(value * rel_t, 2) OVER w AS u1 FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)),
+    {_least_squares("l", "y", _LAGS)}, ab AS (SELECT subj, max(CASE WHEN i = 0 THEN beta END) AS a1, max(CASE WHEN i = 1 THEN beta END) AS a2, max(CASE WHEN i = 2 THEN beta END) AS b0, max(CASE WHEN i = 3 THEN beta END) AS b1 FROM cf GROUP BY subj)"""
 
 
 def _fits(spark, d):
     return st.arx(_arx(spark, d), ["subj"], "trial", "idx", "y", "u")
 
 
-@query("ml11_arx", f"""WITH {S}, {_ARX}, rs AS (SELECT ab.subj, n - 4 AS v, (yy - a1 * m04 - a2 * m14 - b0 * m24 - b1 * m34) / (n - 4) AS s2 FROM ab JOIN ms ON ms.subj = ab.subj),
-q AS (SELECT cf.subj, ['y1', 'y2', 'u0', 'u1'][i + 1] AS term, beta, sqrt(s2 * inv) AS se, v, atan(abs(beta / sqrt(s2 * inv)) / sqrt(v)) AS th FROM cf JOIN rs ON rs.subj = cf.subj)
-SELECT subj, term, round(beta, 7) AS beta, round(se, 7) AS se, round(beta / se, 4) AS t, round({_TAIL}, 6) AS p, v AS dof FROM q""")
+@query("ml11_arx", f"WITH {S}, {_ARX}, {_estimates(_LAGS, (7, 7, 4, 6))}")
 def _(spark, d):
     return _fits(spark, d).select("subj", "term", F.round("beta", 7).alias("beta"), F.round("se", 7).alias("se"), F.round("t", 4).alias("t"), F.round("p", 6).alias("p"), "dof")
 
 
+_COURSE = """p AS (SELECT subj, onset_s AS lo FROM e WHERE condition = 'purchase'),
+n AS (SELECT g.subj, g.i, g.t FROM g WHERE EXISTS (SELECT 1 FROM p WHERE p.subj = g.subj AND g.t BETWEEN p.lo AND p.lo + 36000)),
+v AS (SELECT subj, onset_s AS t, avg(amp) AS v FROM e WHERE condition = 'view' GROUP BY ALL),
+o AS (SELECT *, lag(t) OVER w AS tp, lag(v) OVER w AS vp, lead(t) OVER w AS tn, lead(v) OVER w AS vn FROM v WINDOW w AS (PARTITION BY subj ORDER BY t)),
+f1 AS (SELECT n.*, o.t AS ta, o.v AS va, o.tp, o.vp FROM n ASOF LEFT JOIN o ON o.subj = n.subj AND n.t >= o.t),
+f2 AS (SELECT f1.*, o.t AS tb, o.v AS vb, o.tn, o.vn FROM f1 ASOF LEFT JOIN o ON o.subj = f1.subj AND f1.t < o.t),
+u AS (SELECT subj, i, CASE WHEN ta = t THEN va WHEN ta IS NULL THEN vb + (t - tb) * (vn - vb) / (tn - tb) WHEN tb IS NULL THEN vp + (t - tp) * (va - vp) / (ta - tp) ELSE va + (t - ta) * (vb - va) / (tb - ta) END AS u FROM f2),
+gu AS (SELECT g.subj, g.i, coalesce(u.u, 0) AS u FROM g LEFT JOIN u ON u.subj = g.subj AND u.i = g.i),
+gc AS (SELECT a.subj, a.i, sum(b.u * k.g) AS c FROM gu a JOIN k ON k.i <= a.i JOIN gu b ON b.subj = a.subj AND b.i = a.i - k.i GROUP BY ALL),
+gm AS (SELECT subj, avg(c) FILTER (c <> 0) AS m, stddev_samp(c) FILTER (c <> 0) AS sd FROM gc GROUP BY subj),
+d AS (SELECT gc.subj, gc.i, (c - coalesce(m, 0)) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS x1, 1.0::DOUBLE AS intercept, cos(pi() / 744 * (gc.i + 0.5::DOUBLE)) AS dct01, cos(pi() / 744 * (gc.i + 0.5::DOUBLE) * 2) AS dct02,
+             ((gc.subj * 7919 + gc.i * 104729) % 1000) / 1000.0::DOUBLE AS y FROM gc JOIN gm ON gm.subj = gc.subj WHERE gc.subj IN (SELECT subj FROM gc GROUP BY subj HAVING max(abs(c)) > 0))"""
+
+
+@query("ml7_course_glm", f"WITH {E}, {_GRID}, {_HRF}, {_COURSE}, {_least_squares('d', 'y', ('x1', 'intercept', 'dct01', 'dct02'))}, {_estimates(('x1', 'intercept', 'dct01', 'dct02'), (7, 7, 4, 6))}")
+def _(spark, d):
+    e = events(spark, d)
+    grid, w = _stimuli(spark, d)
+    course = e.where("condition = 'view'").groupBy("subj", F.col("onset_s").alias("t")).agg(F.avg("amp").alias("value"))
+    blocks = w.select("subj", F.col("onset_s").alias("lo"), (F.col("onset_s") + 36000.0).alias("hi"))
+    x = gl.course_regressor(grid, course, blocks, ["subj"], _hrf(), "x1")
+    x, names = gl.design(x.withColumn("y", _noise(F.col("i"), F.col("subj"))), ["subj"], ["x1"], "dct", 2)
+    out = gl.informed_glm(x, ["subj"], "y", names, ["x1"])
+    return out.select("subj", "term", F.round("beta", 7).alias("beta"), F.round("se", 7).alias("se"), F.round("t", 4).alias("t"), F.round("p", 6).alias("p"), "dof")
+
+
 @query("ml11_lagged", f"WITH {S} SELECT trial, idx, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(rel_t, 1) OVER w AS u0, lag(rel_t, 2) OVER w AS u1 FROM s WINDOW w AS (PARTITION BY trial ORDER BY idx)")
 def _(spark, d):
     rows, names = st.lagged(epochs(spark, d), ["trial"], "idx", "value", "rel_t", 2, 2, 1)
