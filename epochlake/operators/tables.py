@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import label
+
 Keys = Sequence[str]
 
 
@@ -272,6 +274,23 @@ def first_k(df: DataFrame, keys: Keys, order: Keys, k: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
 
 
+def difference_segments(segments: DataFrame, condition: str, of: object, against: object, at: Keys, value: str = "value", within: Keys = ()) -> DataFrame:
+    """Segments of one condition less the other condition's mean at the same places ``at``, of the same ``within``. A place that
+    the other condition lacks is left out."""
+    on = [*within, *at]
+    mean = segments.where(F.col(condition) == F.lit(against)).groupBy(*on).agg(F.avg(value).alias("__m"))
+    return segments.where(F.col(condition) == F.lit(of)).join(mean, on).withColumn(value, F.col(value) - F.col("__m")).drop("__m")
+
+
+def montage(channels: DataFrame, sites: DataFrame, name: str = "label") -> DataFrame:
+    """Channels with what ``sites`` has of them, by the comparison form of their labels; channels without a site are left out,
+    and of sites with equal labels the least counts."""
+    rest = [c for c in sites.columns if c != name]
+    own = sites.groupBy(label(F.col(name)).alias("__k")).agg(F.min(F.struct(*rest)).alias("__s")) if rest else sites.select(label(F.col(name)).alias("__k")).distinct()
+    joined = channels.withColumn("__k", label(F.col(name))).join(own, "__k")
+    return joined.select(*[joined[c] for c in channels.columns if c != name], F.col("__k").alias(name), *[F.col(f"__s.{c}").alias(c) for c in rest])
+
+
 def preferred_order(df: DataFrame, name: str, first: Sequence[str]) -> DataFrame:
     """Distinct names, the preferred ones first and the others after them by name, with their place."""
     own = df.select(name).distinct().withColumn("__p", F.coalesce(*[F.when(F.col(name) == x, F.lit(i)) for i, x in enumerate(first)], F.lit(len(first))))

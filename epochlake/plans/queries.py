@@ -134,8 +134,7 @@ def _(spark, d):
 @query("sc13_montage", "SELECT upper(trim(n_name)) AS label, n_regionkey AS site FROM nation WHERE upper(trim(n_name)) IN (SELECT upper(n_name) FROM nation WHERE n_nationkey < 10)")
 def _(spark, d):
     n = table(spark, d, "nation")
-    sites = n.where("n_nationkey < 10").select(fn.label(F.col("n_name")).alias("label"))
-    return n.select(fn.label(F.col("n_name")).alias("label"), F.col("n_regionkey").alias("site")).join(sites, "label", "left_semi")
+    return tb.montage(n.select(F.col("n_name").alias("label"), F.col("n_regionkey").alias("site")), n.where("n_nationkey < 10").select(F.col("n_name").alias("label")))
 
 
 @query("sc14_concat", "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation")
@@ -1336,9 +1335,7 @@ def _(spark, d):
 
 @query("ml16_difference_segments", f"WITH {S}, c AS (SELECT idx, avg(value) AS m FROM s WHERE bin = 1 GROUP BY idx) SELECT trial, s.idx, value - m AS value FROM s JOIN c ON c.idx = s.idx WHERE bin = 2")
 def _(spark, d):
-    x = epochs(spark, d)
-    common = x.where("bin = 1").groupBy("idx").agg(F.avg("value").alias("m"))
-    return x.where("bin = 2").join(common, "idx").select("trial", "idx", (F.col("value") - F.col("m")).alias("value"))
+    return tb.difference_segments(epochs(spark, d), "bin", 2, 1, ["idx"]).select("trial", "idx", "value")
 
 
 @query("ml17_linear_fit", f"WITH {S} SELECT bin, regr_slope(value, rel_t) AS slope, regr_intercept(value, rel_t) AS intercept, regr_count(value, rel_t) AS n FROM s GROUP BY bin")

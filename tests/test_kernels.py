@@ -208,3 +208,15 @@ def test_read_table(spark, tmp_path):
     assert sorted(map(tuple, df.select("subjId", "beta", "task").collect())) == [("a", 1.5, "audi"), ("b", None, "audi")]
     with pytest.raises(ValueError, match="no column"):
         rd.read_table(spark, str(tmp_path), schema, ["t"])
+
+
+def test_montage_and_difference_segments(spark):
+    from epochlake.operators import tables as tb
+
+    channels = spark.createDataFrame([(1, " fz"), (2, "CZ"), (3, "none")], "ch int, label string")
+    sites = spark.createDataFrame([("Fz", 0.5, 1.0), ("fz ", 0.25, 9.0), ("Cz", 0.0, 0.0)], "label string, x double, y double")
+    assert sorted(map(tuple, tb.montage(channels, sites).collect())) == [(1, "FZ", 0.25, 9.0), (2, "CZ", 0.0, 0.0)]
+    rows = [("s", "odd", 0, 5.0), ("s", "odd", 1, 7.0), ("s", "common", 0, 1.0), ("s", "common", 0, 3.0), ("t", "odd", 0, 1.0)]
+    df = spark.createDataFrame(rows, "subj string, kind string, idx int, value double")
+    got = tb.difference_segments(df, "kind", "odd", "common", ["idx"], within=["subj"]).collect()
+    assert [(r.subj, r.idx, r.value) for r in got] == [("s", 0, 3.0)]
