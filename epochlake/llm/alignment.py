@@ -31,9 +31,11 @@ from .shared import Scratch, release
 from .words import blocks, raw
 
 #: Bytes of texts that are composed at once, and that share a table of segments; a single longer text is a chunk of its own.
-CHUNK, GROUP = 3_000_000, 24_000_000
+CHUNK, GROUP = 3_000_000, 30_000_000
 #: Bytes of rows that are sent to a worker at once: a row holds a group's table.
 BATCH = "4m"
+#: How tables between are stored.
+STORED = {"spark.sql.parquet.compression.codec": "zstd"}
 MARK = "▁"
 
 
@@ -321,16 +323,16 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text", key: st
     scratch = Scratch(df.sparkSession, "alignment")
     docs = df.select(df[key].alias("key"), df[text].alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
-    chunks = scratch.keep(_chunks(docs, splits(path_a, path_b)).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    chunks = scratch.keep(_chunks(docs, splits(path_a, path_b)).withColumn("chunk", F.monotonically_increasing_id()), "chunks", STORED)
     tables = chunks.where("segs is not null")
     different = tables.select(F.explode("segs").alias("seg")).distinct()
-    table = scratch.keep(tokenise(different, path_a, path_b), "tokens")
+    table = scratch.keep(tokenise(different, path_a, path_b), "tokens", STORED)
     place = F.unhex(F.lpad(F.hex("pos"), 8, "0"))  # sorts as numbers do
     own = tables.select("grp", F.posexplode("segs").alias("pos", "seg")).join(table, "seg").select("grp", F.concat(place, "tokens").alias("r"))
-    found = scratch.keep(_gathered(own, "grp", F.col("r")), "found")  # a write of its own: its shuffles go before the next
+    found = scratch.keep(_gathered(own, "grp", F.col("r")), "found", STORED)  # a write of its own: its shuffles go before the next
     scratch.drop("tokens")
     texts = chunks.where("keys is not null").select("grp", "chunk", "keys", "starts", "codes")
-    done = scratch.keep(_composed(_with(texts, "grp", found), kind, full, _sizes(path_a, path_b)), "composed", {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH})
+    done = scratch.keep(_composed(_with(texts, "grp", found), kind, full, _sizes(path_a, path_b)), "composed", STORED | {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH})
     scratch.drop("chunks", "found")
     counts = scratch.keep(done.select(F.explode(F.arrays_zip("a", "b", "n")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n")), "counts")
     best = counts.groupBy("a").agg(F.max("n").alias("most"))  # as many rows as A's vocabulary has ids

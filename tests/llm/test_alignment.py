@@ -56,7 +56,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("chunk, group", [(3_000_000, 24_000_000), (40, 200)])
+@pytest.mark.parametrize("chunk, group", [(3_000_000, 30_000_000), (40, 200)])
 def test_documents_equal_whole_texts(spark, monkeypatch, chunk, group):
     monkeypatch.setattr(al, "CHUNK", chunk)
     monkeypatch.setattr(al, "GROUP", group)
