@@ -136,19 +136,15 @@ class Tokens:
         self.nl, self.ng = np.bincount(owner, minlength=n), np.bincount(owner[ends], minlength=n)
         self._cut = i[ends] + 1, j[ends] + 1
 
-    def groups(self, step: int = 20_000) -> list[str]:
+    def groups(self) -> pa.Array:
         """Of each segment, ``a1,a2|b1;a3|b2``."""
-        out: list[str] = []
-        first_a, first_b, first = (np.r_[0, np.cumsum(v)] for v in (self.na, self.nb, self.ng))
-        for s in range(0, len(self.na), step):
-            t = min(len(self.na), s + step)
-            ids = [list(map(str, v[f[s] : f[t]].tolist())) for v, f in ((self.a, first_a), (self.b, first_b))]
-            ends = [(v[first[s] : first[t]] - f[s]).tolist() for v, f in zip(self._cut, (first_a, first_b), strict=True)]
-            (a, b), (to_a, to_b) = ids, ends
-            made = [f"{','.join(a[u:v])}|{','.join(b[x:y])}" for u, v, x, y in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
-            ends = (first[s : t + 1] - first[s]).tolist()
-            out += [";".join(made[u:v]) for u, v in zip(ends, ends[1:], strict=False)]
-        return out
+        ids = [_joined(pa.array(v).cast(pa.string()), np.r_[0, cut], ",") for v, cut in zip((self.a, self.b), self._cut, strict=True)]
+        return _joined(pc.binary_join_element_wise(*ids, "|"), np.r_[0, np.cumsum(self.ng)], ";")
+
+
+def _joined(texts: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
+    """Stretches of texts, each as one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts), between)
 
 
 def _kind(*sizes: int) -> np.dtype:
@@ -274,12 +270,8 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
         good = np.bincount(owner, ~tokens.ok[codes], n) == 0
         total = lambda v: np.where(good, np.diff(np.r_[0, np.cumsum(v[codes])][starts]), 0)
         texts = tokens.groups()
-        sha, groups = [], [] if full else None
-        for u, v, g in zip(starts[:-1].tolist(), starts[1:].tolist(), good.tolist(), strict=True):
-            text = ";".join([texts[c] for c in codes[u:v].tolist()]) if g and u < v else ""
-            sha.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-            if full:
-                groups.append(text)
+        sha: list[str] = []
+        groups: list[str] | None = [] if full else None
         # documents that hold a pair: of the different segments of each document
         pair, code = np.unique(tokens.pairs, return_inverse=True)
         first = np.r_[0, np.cumsum(tokens.nl)]
@@ -288,6 +280,12 @@ def _composed(rows: DataFrame, key: str, full: bool, sizes: tuple[np.ndarray, np
         while at_doc < n:  # some documents at a time
             til = max(at_doc + 1, int(np.searchsorted(starts, starts[at_doc] + 200_000, "right")) - 1)
             part = slice(starts[at_doc], starts[til])
+            whole = _joined(texts.take(pa.array(codes[part])), starts[at_doc : til + 1] - starts[at_doc], ";")
+            for text, g in zip(whole, good[at_doc:til].tolist(), strict=True):
+                data = text.as_buffer() if g else b""
+                sha.append(hashlib.sha256(data).hexdigest() if len(data) else "")
+                if full:
+                    groups.append(text.as_py() if g else "")
             keep = good[owner[part]]
             both = np.unique((owner[part][keep] - at_doc) * max(1, many) + codes[part][keep])
             doc, seg = both // max(1, many), both % max(1, many)
