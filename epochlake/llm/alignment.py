@@ -1,10 +1,10 @@
 """Tokens of two tokenizers aligned by the bytes that they cover.
 
-Texts are split before a space behind other than white space, where no token of either vocabulary can reach across: the byte-level vocabulary's pattern
-ends a pre-token there, and no piece of the other has a space mark behind another character, which :func:`splits` verifies on
-the vocabularies as given (texts stay whole where it fails). So a segment has the same tokens wherever it stands. Documents
-become codes of the different segments of a group of chunks; each different segment of the corpus is tokenised and aligned once; a join
-brings their tokens back to groups, where documents are composed of them.
+Texts are split before a space behind other than white space, where no token of either vocabulary can reach across: the
+byte-level vocabulary's pattern ends a pre-token there, and no piece of the other has a space mark behind another character,
+which :func:`splits` verifies on the vocabularies as given (texts stay whole where it fails). So a segment has the same tokens
+wherever it stands. Documents become codes of the different segments of a group of chunks; each different segment of the
+corpus is tokenised once; a join brings its tokens back to groups, where segments are aligned and documents composed of them.
 """
 
 from __future__ import annotations
