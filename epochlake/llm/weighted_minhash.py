@@ -10,6 +10,7 @@ Rows are told apart by a number of their own, never by their key.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,10 @@ STEP, LOW, LEVELS = 8, -4, 56
 DRAWS = 1 << 16
 #: Equal bytes of 64 in two texts' digests of samples below which a pair isn't verified: at similarity 0.8, 1 in 10^6 has fewer.
 ALIKE = 35
-#: Texts of a bucket up to which its pairs are made one by one; texts of a block in larger ones.
-FEW, BLOCK = 24, 256
+#: Texts of a bucket up to which its pairs are made one by one; texts of a block in larger ones, and bytes of their sets.
+FEW, BLOCK, BLOCK_BYTES = 24, 1024, 8 << 20
+#: Weights that are compared at once.
+GATHER = 1 << 20
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,65 +283,92 @@ def verified(pairs: DataFrame, rows: DataFrame, rare, scratch: Scratch, name: st
     return scratch.keep(joined.select("a", "b", "ka", "kb", "wa", "wb").mapInArrow(compare, "a bigint, b bigint"), f"{name}-links")
 
 
-def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links between texts that share a bucket of ``large`` (band, id, c, m) and have different components c.
-
-    A bucket of m texts is compared in blocks of BLOCK, each pair of blocks in a group of its own, which gives no more than
-    a link for each two components that it joins. A pair is left to the first bucket that it shares; of the others those
-    with too few equal bytes of digest are passed over, and the rest verified, the most alike first.
+def similarities(k: np.ndarray, w: np.ndarray, keys: np.ndarray, first: np.ndarray, text: np.ndarray, weights_: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """:func:`similarity` of one text (k, w) to each of many: of these, ``keys`` are their different shingles, ascending,
+    ``first`` where the rows of each begin (one more at the end), ``text`` and ``weights_`` whose each row is and with which
+    weights, ``whole`` the sums of weights by text."""
+    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    same = np.flatnonzero(keys[at] == k)
+    begin, n, own = first[at[same]], first[at[same] + 1] - first[at[same]], weight(w)
+    least = np.zeros((len(whole), 2))
+    ends = np.cumsum(n)
+    done = 0
+    while done < len(same):  # no more than some GATHER rows at once
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + GATHER, "right")))
+        size = n[done:to]
+        rows = np.repeat(begin[done:to] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        for c in (0, 1):
+            least[:, c] += np.bincount(text[rows], np.minimum(weights_[rows, c], np.repeat(own[same[done:to], c], size)), len(whole))
+        done = to
+    return (least / (whole + own.sum(0) - least)).max(1)
+
+
+def dealt(large: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(band, lo, hi, own, id, c): the texts of each bucket of ``large`` (band, id, c) in groups of blocks lo and hi.
+
+    A bucket of up to BLOCK texts and BLOCK_BYTES (``sizes``: id, size) is one group. In a larger one the texts of its most
+    frequent component are dealt to blocks of their own, the others to others, and each pair of blocks, but for two of that
+    component, is a group: so a large component's texts are copied by what differs from it alone.
     """
-    cuts = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = large.withColumn("own", F.pmod(F.xxhash64("id", "band"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    rows = large.join(sizes, "id")
+    each = rows.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    most = lambda c: F.max_by(c, F.struct("n", "c"))
+    about = each.groupBy("band").agg(most("c").alias("top"), most("n").alias("tn"), most("size").alias("ts"), F.sum("n").alias("n"), F.sum("size").alias("s"))
+    cuts = lambda n, s: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_BYTES))).cast("int")
+    n, s, tn, ts = (F.col(c) for c in ("n", "s", "tn", "ts"))
+    one = cuts(n, s) == 1
+    about = about.select("band", "top", F.when(one, 0).otherwise(cuts(tn, ts)).alias("a"), F.when(one, 1).otherwise(cuts(n - tn, s - ts)).alias("z"))
+    top = (F.col("c") == F.col("top")) & (F.col("a") > 0)
+    place = lambda cuts: F.pmod(F.xxhash64("id", "band"), cuts).cast("int")
+    own = F.when(top, place(F.greatest("a", F.lit(1)))).otherwise(F.col("a") + place(F.col("z")))
+    other = F.explode(F.sequence(F.when(top, F.col("a")).otherwise(0), F.col("a") + F.col("z") - 1))
+    out = rows.join(about, "band").select("band", "id", "c", own.alias("own"), other.alias("other"))
+    return out.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c")
+
+
+def across(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between texts that share a bucket of ``large`` and have different components c. Each group that
+    :func:`dealt` makes holds each text of one block against all of the other at once, by exact similarity, and gives no more
+    than a link for each two components that it joins."""
     group = ["band", "lo", "hi"]
-    rows = rows.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c")
-    rows = rows.join(texts.select("id", "digest", F.col("bands")), "id").join(sets, "id").select(*group, "own", "id", "c", "digest", "bands", "k", "w")
-    dealt = rows.repartition(*group).sortWithinPartitions(*group)
+    rows = dealt(large, sets.select("id", (F.length("k") + F.length("w")).alias("size")))
+    rows = rows.join(sets, "id").select(*group, "own", "id", "c", "k", "w").repartition(*group).sortWithinPartitions(*group)
 
     def links(part: pa.RecordBatch) -> tuple[list[int], list[int]]:
-        band, lo, hi = (part.column(i)[0].as_py() for i in range(3))
+        lo, hi = (part.column(i)[0].as_py() for i in (1, 2))
         own, ids, c = (part.column(i).to_numpy() for i in (3, 4, 5))
-        digests = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(len(ids), -1)
-        bands = part.column(7).flatten().to_numpy().reshape(len(ids), 2, BANDS)
-        at = int(np.flatnonzero((bands[0] == band).any(0))[0])
-        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        root = {x: x for x in set(c.tolist())}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
-            if i not in sets:
-                sets[i] = np.frombuffer(part.column(8)[i].as_py(), np.uint64), np.frombuffer(part.column(9)[i].as_py(), np.int8).reshape(-1, 2)
-            return sets[i]
-
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(ids)):
-            j = np.arange(i + 1, len(ids)) if lo == hi else np.flatnonzero(own != lo) if own[i] == lo else np.zeros(0, np.int64)
-            j = j[c[j] != c[i]]
-            equal = alike(digests[j], digests[i])
-            j, equal = j[equal >= ALIKE], equal[equal >= ALIKE]
-            shared = (bands[j][:, :, None] == bands[i]).any((1, 2))
-            # two buckets of this band, one by each weights, may hold the pair: then that of the lesser number
-            lesser = (bands[j, :, at][:, :, None] == bands[i, :, at]) & (bands[i, :, at] < band)
-            first = ~(shared[:, :at].any(1) | lesser.any((1, 2)))
-            found.append((np.full(int(first.sum()), i), j[first], equal[first]))
-        i, j, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+        set_of = lambda i: (np.frombuffer(part.column(6)[i].as_py(), np.uint64), np.frombuffer(part.column(7)[i].as_py(), np.int8).reshape(-1, 2))
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(left) or not len(right):
+            return [], []
+        if len(left) > len(right):
+            left, right = right, left
+        sets = [set_of(int(i)) for i in right]
+        sizes = [len(k) for k, _ in sets]
+        k, w = np.concatenate([k for k, _ in sets]), weight(np.concatenate([w for _, w in sets]))
+        text = np.repeat(np.arange(len(right)), sizes)
+        whole = np.add.reduceat(w, np.cumsum([0, *sizes[:-1]]))
+        order = np.argsort(k, kind="stable")
+        k, text, w = k[order], text[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        keys, first = k[first], np.append(first, len(k))
+        _, at = np.unique(c, return_inverse=True)
+        root = np.arange(at.max() + 1)  # by component, that which it is joined to
         a, b = [], []
-        for n in np.argsort(-equal, kind="stable"):
-            x, y = int(i[n]), int(j[n])
-            p, q = find(int(c[x])), find(int(c[y]))
-            if p != q and similarity(*of(x), *of(y)) >= SIMILARITY - 1e-9:
-                root[p] = q
-                a.append(int(ids[x]))
-                b.append(int(ids[y]))
+        for i in left.tolist():
+            if (root[at[right]] == root[at[i]]).all():
+                continue
+            near = np.flatnonzero(similarities(*set_of(i), keys, first, text, w, whole) >= SIMILARITY - 1e-9)
+            while len(near := near[root[at[right[near]]] != root[at[i]]]):
+                j = int(right[near[0]])
+                root[root == root[at[j]]] = root[at[i]]
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in [*batches, None]:
+        for batch in itertools.chain(batches, [None]):
             now = held if batch is None else pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
             if now is None or not now.num_rows:
                 continue
@@ -353,7 +383,7 @@ def across(large: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
                 begin = end
             held = now.slice(begin)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def linked(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -396,7 +426,7 @@ def linked(rows: DataFrame, scratch: Scratch) -> DataFrame:
     more = verified(rest, rows, rare, scratch, "rest")
     large = scratch.keep(left.where(F.col("m") > FEW), "large")
     ids = scratch.keep(large.select("id").distinct(), "large-ids")
-    more = more.union(scratch.keep(across(large, texts, sets_of(ids, rows, rare, scratch, "large")), "large-links"))
+    more = more.union(scratch.keep(across(large, sets_of(ids, rows, rare, scratch, "large")), "large-links"))
     scratch.drop("stars-sets", "rest-sets", "large-sets", "texts", "inside", "placed", "left", "large")
     return components(links.union(more).union(same), "near")
 
