@@ -6,6 +6,7 @@ partitioned by those keys, so that no recording is gathered with another.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -262,12 +263,29 @@ def peak(df: DataFrame, keys: Keys, t: str, value: str, polarity: str = "positiv
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(best.alias("p")).select(*keys, "p.amplitude", "p.latency")
 
 
-def nearest_rank(df: DataFrame, keys: Keys, value: str, share: float) -> DataFrame:
-    """The value of rank round(share n), at least 1."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(w))
-    at = F.greatest(F.lit(1), F.round(F.col("__n") * F.lit(share)).cast("int"))
-    return ranked.where(F.col("__r") == at).select(*keys, F.col(value).alias("quantile"))
+def nearest_rank(df: DataFrame, keys: Keys, value: str, share: float, slices: int = 1024) -> DataFrame:
+    """The value of rank round(share n), at least 1.
+
+    Values are counted in ``slices`` of equal width between the key's least and greatest; only in the slice that holds the
+    rank are different values then put in order.
+    """
+    on = [f"__k{i}" for i in range(len(keys))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(c) for k, c in zip(keys, on, strict=True)], F.col(value).alias("__v"))
+    meet = lambda x, y: x.join(y, functools.reduce(lambda a, b: a & b, [x[c].eqNullSafe(y[f"{c}_"]) for c in on]) if on else F.lit(True)).drop(*[f"{c}_" for c in on])
+    renamed = [F.col(c).alias(f"{c}_") for c in on]
+    ends = rows.groupBy(*on).agg(F.min("__v").cast("double").alias("__lo"), F.max("__v").cast("double").alias("__hi"), F.count(F.lit(1)).alias("__n")).select(*renamed, "__lo", "__hi", "__n")
+    at = F.floor(F.try_divide(F.col("__v").cast("double") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * F.lit(slices))
+    part = F.when(F.col("__v").cast("double") == F.col("__hi"), F.lit(slices)).when(F.isnan(F.col("__v").cast("double")), F.lit(slices + 1)).otherwise(F.coalesce(at, F.lit(slices)).cast("int"))
+    dealt = meet(rows, ends).select(*on, "__n", part.alias("__p"), "__v")
+    rank = F.greatest(F.lit(1), F.round(F.col("__n") * F.lit(share)).cast("long"))
+    counts = dealt.groupBy(*on, "__p").agg(F.max("__n").alias("__n"), F.count(F.lit(1)).alias("__c"))
+    upto = counts.withColumn("__to", F.sum("__c").over(Window.partitionBy(*on).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+    found = upto.where((F.col("__to") >= rank) & (F.col("__to") - F.col("__c") < rank)).select(*renamed, F.col("__p").alias("__p_"), (rank - F.col("__to") + F.col("__c")).alias("__at"))
+    same = functools.reduce(lambda a, b: a & b, [dealt[c].eqNullSafe(found[f"{c}_"]) for c in on], dealt["__p"] == found["__p_"])
+    inside = dealt.join(found, same).groupBy(*on, "__at", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    place = inside.withColumn("__to", F.sum("__c").over(Window.partitionBy(*on).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    last = place.where((F.col("__to") >= F.col("__at")) & (F.col("__to") - F.col("__c") < F.col("__at")))
+    return last.select(*[F.col(c).alias(k) for k, c in zip(keys, on, strict=True)], F.col("__v").alias("quantile"))
 
 
 def first_k(df: DataFrame, keys: Keys, order: Keys, k: int) -> DataFrame:
