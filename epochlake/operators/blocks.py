@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .signal import arrays, iir, lists
+from .signal import arrays, filtfilt, filtfilt_many, iir, lists
 
 Keys = Sequence[str]
 Sections = Sequence[tuple[np.ndarray, np.ndarray]]
@@ -244,10 +244,36 @@ def _scan(rows: DataFrame, keys: Keys, sections: Sections, first: str, state: st
     return rows.select(*keys, "__r.__blk", "__r.__from")
 
 
+def _alone(df: DataFrame, keys: Keys, index: str, value: str, sections: Sections, out: str) -> DataFrame:
+    """:func:`filtfilt_blocks` of channels of one block each; those of equal length that come together are filtered together."""
+    kept = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("long").alias("__i"), F.col(value).cast("double").alias("__x")))).alias("__s"))
+    kept = kept.select(*keys, F.col("__s.__i").alias("__at"), F.col("__s.__x").alias("__y"))
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                at, x = (arrays(part.column(len(keys) + j)) for j in (0, 1))
+                whole = [p[-1] - p[0] + 1 == len(p) and not np.isnan(v).any() for p, v in zip(at, x, strict=True)]
+                made = [np.full(len(v), np.nan) for v in x]
+                sizes = np.array([len(v) if ok else 0 for v, ok in zip(x, whole, strict=True)])
+                for n in np.unique(sizes[sizes > 0]):
+                    own = np.flatnonzero(sizes == n)
+                    found = filtfilt_many(sections, np.stack([x[j] for j in own])) if len(own) > 8 else [filtfilt(sections, x[j]) for j in own]
+                    for j, y in zip(own, found, strict=True):
+                        made[j] = y
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists(made)], names=names)
+
+    rows = kept.mapInArrow(run, kept.schema).withColumn("__lo", F.lit(0).cast("long"))
+    return _long(rows, keys, index, out)
+
+
 def filtfilt_blocks(df: DataFrame, keys: Keys, index: str, value: str, sections: Sections, out: str | None = None, size: int = SIZE) -> DataFrame:
     """(keys, index, out): filtered forward and backward by second-order sections, with the ends continued by reflection through
     their value, as if each channel were filtered as one array. A channel with a missing sample has nulls: a recursive filter
-    carries it to all others."""
+    carries it to all others. Where no channel has two blocks, as one aggregate of ``df`` tells, channels are packed once and
+    filtered whole."""
     edge = 3 * (2 * len(sections) + 1)
     size = max(size, edge + 1)
     nothing = np.zeros(2 * len(sections))
@@ -277,6 +303,9 @@ def filtfilt_blocks(df: DataFrame, keys: Keys, index: str, value: str, sections:
             y = row["__x"]
         return {"__at": row["__i"], "__out": y if row["__whole"] else np.full(len(y), np.nan)}
 
+    longest = df.groupBy(*keys).agg((F.max(index) - F.min(index)).alias("n")).agg(F.max("n")).first()[0]
+    if (longest or 0) + 1 < 2 * size:  # no channel has two blocks: each is one row from the start
+        return _alone(df, keys, index, value, sections, out or value)
     on = [*keys, "__blk"]
     parts = _each(blocked(df, keys, index, value, size), "__first array<double>, __left array<double>, __steps int", forward)
     begun = parts.drop("__first", "__left").join(_scan(parts, keys, sections, "__first", "__left", "__steps", False), on)

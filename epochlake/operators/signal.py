@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .robust import robust_mean
 
@@ -166,6 +167,27 @@ def filtfilt(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np
     return y[n : len(y) - n]
 
 
+def filtfilt_many(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """:func:`filtfilt` of each row of ``x``, all rows a step at a time."""
+    n = min(x.shape[1] - 1, 3 * (2 * len(sections) + 1))
+    if n < 1:
+        return x.astype(float)
+    y = np.concatenate([2 * x[:, :1] - x[:, n:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -n - 2 : -1]], 1).T.astype(float)
+    for _ in range(2):
+        for b, a in sections:
+            b3, a3 = np.r_[b, np.zeros(3 - len(b))], np.r_[a, np.zeros(3 - len(a))]
+            rest = b3.sum() / a3.sum()  # state of a constant input
+            z2 = b3[2] - a3[2] * rest
+            z1, z2 = (b3[1] - a3[1] * rest + z2) * y[0], z2 * y[0]
+            out = np.empty_like(y)
+            for t, u in enumerate(y):
+                v = out[t] = b3[0] * u + z1
+                z1, z2 = b3[1] * u - a3[1] * v + z2, b3[2] * u - a3[2] * v
+            y = out
+        y = y[::-1]
+    return y[n : len(y) - n].T
+
+
 def fir(rate: float, lo: float | None, hi: float | None, taps: int, stop: bool = False) -> np.ndarray:
     """Windowed-sinc kernel of a band (or, with ``stop``, all but it), Hamming window, odd length."""
     taps += 1 - taps % 2
@@ -493,21 +515,48 @@ def both(df: DataFrame, keys: Keys, index: str, x: str, y: str, mask: str | None
     return out.select(*keys, index, "__x", "__y", "__i", "__n")
 
 
-def xcorr(df: DataFrame, keys: Keys, index: str, x: str, y: str, most: int, gaps: str = "concat", least: int = 10, **how) -> DataFrame:
+def xcorr(df: DataFrame, keys: Keys, index: str, x: str, y: str, most: int, gaps: str = "concat", least: int = 10, size: int = 1 << 14, **how) -> DataFrame:
     """Normalised cross-correlation (keys, lag, r) of the samples that :func:`both` keeps: sum of x at i + lag times y at i, by
-    the root of both sums of squares. A sample meets 2 most + 1 others, by an equality join on its place.
+    the root of both sums of squares. Samples are packed in blocks of ``size``, with ``most`` of the neighbours' on both sides;
+    a block gives one row of sums.
 
     With gaps="concat" samples on both sides of a gap are neighbours; with "segment" they keep their places and pairs don't
     reach over one. r is null for keys with fewer than ``least`` samples, and where a side is 0.
     """
     rows = both(df, keys, index, x, y, **how)
     run = F.lit(0) if gaps == "concat" else F.col(index) - F.col("__i")
-    rows = rows.select(*keys, run.alias("__run"), "__i", "__x", "__y", "__n")
-    right = rows.select(*keys, "__run", F.col("__i").alias("__j"), F.col("__y").alias("__w")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    pairs = right.withColumn("__i", F.col("__j") + F.col("lag")).join(rows.drop("__y", "__n"), [*keys, "__run", "__i"])
-    sums = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("__x") * F.col("__w")).alias("s"))
-    norm = rows.groupBy(*keys).agg(F.sqrt(F.sum(F.col("__x") * F.col("__x")) * F.sum(F.col("__y") * F.col("__y"))).alias("norm"), F.max("__n").alias("n"))
-    return sums.join(norm, list(keys)).select(*keys, "lag", F.when(F.col("n") >= least, F.try_divide("s", "norm")).alias("r"))
+    block = lambda c: F.floor(c / F.lit(size)).cast("long")
+    i = F.col("__i")
+    dealt = rows.select(*keys, run.cast("long").alias("__run"), i.cast("long").alias("__i"), "__x", "__y", F.col("__n").cast("long").alias("__n"))
+    dealt = dealt.withColumn("__blk", F.explode(F.sequence(block(i - F.lit(most)), block(i + F.lit(most)))))
+    kept = dealt.groupBy(*keys, "__run", "__blk").agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(F.struct("__i", "__x", "__y"))).alias("__s"))
+    kept = kept.select(*keys, "__blk", "__n", F.col("__s.__i").alias("__i"), F.col("__s.__x").alias("__x"), F.col("__s.__y").alias("__y"))
+    names = ["__s", "__c", "__q"]
+    schema = StructType([*kept.select(*keys, "__n").schema.fields, *StructType.fromDDL("__s array<double>, __c array<double>, __q array<double>").fields])
+
+    def sums(blk: int, at: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.flatnonzero(at.astype(np.int64) // size == blk)
+        s, c = np.zeros(2 * most + 1), np.zeros(2 * most + 1)
+        if not len(own):
+            return s, c, np.zeros(2)
+        lo, hi = own[0], own[-1] + 1  # places follow each other within a stretch
+        for k in range(-most, most + 1):
+            a, b = max(lo, -k), min(hi, len(u) - k)
+            if b > a:
+                s[k + most], c[k + most] = u[a + k : b + k] @ v[a:b], b - a
+        return s, c, np.array([u[lo:hi] @ u[lo:hi], v[lo:hi] @ v[lo:hi]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(keys)
+            made = [sums(*r) for r in zip(batch.column(n).to_pylist(), *[arrays(batch.column(n + j)) for j in (2, 3, 4)], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], batch.column(n + 1), *[lists([m[j] for m in made]) for j in range(3)]], names=[f.name for f in schema])
+
+    each = lambda c, n: F.array(*[F.sum(F.col(c)[k]) for k in range(n)]).alias(c)
+    found = kept.mapInArrow(work, schema).groupBy(*keys).agg(F.max("__n").alias("__n"), *[each(c, n) for c, n in zip(names, (2 * most + 1, 2 * most + 1, 2), strict=True)])
+    norm = F.sqrt(F.col("__q")[0] * F.col("__q")[1])
+    out = found.select(*keys, "__n", norm.alias("__norm"), F.posexplode(F.arrays_zip("__s", "__c")).alias("__k", "__r")).where("__r.__c > 0")
+    return out.select(*keys, (F.col("__k") - F.lit(most)).alias("lag"), F.when(F.col("__n") >= least, F.try_divide(F.col("__r.__s"), F.col("__norm"))).alias("r"))
 
 
 def motion_mask(df: DataFrame, keys: Keys, order: str, value: str, reach: int, spread: int, sd: float, amplitude: float) -> DataFrame:
