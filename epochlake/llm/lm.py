@@ -305,6 +305,9 @@ class Model:
         self.sure = sure_probes(self.v)
         self.segments = scratch.keep(build_filter(self.counted, self.sure), "filter")
         self.totals = scratch.keep(totals(self.segments, self.lead), "totals")
+        # pairs are in the filter now: of the counts only words are asked for
+        self.counted = scratch.keep(self.counted.select("part", "words", "times"), "words")
+        scratch.drop("counted")
         bytes_ = self.segments.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"] + 28 * self.v
         self.sent = spark.sparkContext.broadcast(self.gathered()) if bytes_ <= BROADCAST_BYTES else None
         self.prior = LEAST
@@ -418,9 +421,12 @@ def answers(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     tables = model.counted.select("part", F.lit(WORDS).alias("kind"), F.col("words").alias("x"), F.col("times").alias("y"), none.alias("first"), none.alias("others"))
     tables = tables.unionByName(model.totals.select("part", F.lit(SUMS).alias("kind"), F.col("heads").alias("x"), F.col("sums").alias("y"), none.alias("first"), none.alias("others")))
     tables = tables.unionByName(model.segments.select("part", F.lit(FILTER).alias("kind"), F.col("data").alias("x"), F.lit(b"").alias("y"), "first", "others"))
-    asks = rows.select("c", "t").groupBy("c").applyInArrow(ask, "c bigint, part int, kind int, keys binary")
+    # kept by themselves: the shuffled texts go before tables are shuffled
+    asks = scratch.keep(rows.select("c", "t").groupBy("c").applyInArrow(ask, "c bigint, part int, kind int, keys binary"), "asks")
     met = asks.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(reply, "c bigint, part int, kind int, a binary, b binary")
-    return scratch.keep(met, "answers")
+    found = scratch.keep(met, "answers")
+    scratch.drop("asks")
+    return found
 
 
 def evaluate(rows: DataFrame, model: Model, figures: Callable[[Look, pa.Array], list[np.ndarray]], names: list[str], whole: int = 0) -> DataFrame:
@@ -457,7 +463,7 @@ def evaluate(rows: DataFrame, model: Model, figures: Callable[[Look, pa.Array],
         return rows.select(*kept, "t").mapInArrow(run, schema)
     scratch = Scratch(rows.sparkSession, "score")
     # the row's number must be the same in all uses
-    stored = scratch.keep(chunked(rows.select(*kept, F.monotonically_increasing_id().alias("r"), "t")), "rows")
+    stored = scratch.keep(chunked(rows.select(*kept, F.monotonically_increasing_id().alias("r"), "t")), "rows", {"spark.sql.parquet.compression.codec": "zstd"})
     return stored.groupBy("c").cogroup(answers(stored, model, scratch).groupBy("c")).applyInArrow(meet, schema)
 
 

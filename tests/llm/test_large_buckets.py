@@ -31,3 +31,16 @@ def test_a_large_component_is_copied_by_what_differs_alone(spark, monkeypatch):
     met = {frozenset((x.id, y.id)) for g in groups.values() for x in g for y in g if x.own == x.lo and y.own == y.hi and x.id != y.id}
     assert met >= {frozenset((a, b)) for _, a, c in rows for _, b, d in rows if c != d}
     assert max(map(len, groups.values())) <= 2 * 24
+
+
+def test_language_model_keeps_no_pairs_beside_its_filter(spark, tmp_path):
+    import glob
+
+    from epochlake.llm.lm import Model
+    from epochlake.llm.shared import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/lm-*"))
+    Model(spark.createDataFrame([("a b c a b",), ("b c",)], "text string"))
+    (made,) = set(glob.glob(f"{root}/lm-*")) - before
+    assert sorted(p.rpartition("/")[2] for p in glob.glob(f"{made}/*")) == ["filter", "totals", "words"]
