@@ -12,8 +12,9 @@ are below a bound; beyond it the keys that texts ask for go to the parts, and an
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,21 @@ BASE, BITS, PROBES = 1.5, 12, 8
 #: What unseen pairs get by error after any word, as a share of LEAST words, which is the least prior.
 ERROR, LEAST = 0.01, 10.0
 #: Bytes of filter, counts and sums that are broadcast.
-BROADCAST_BYTES = 256 << 20
-#: Bytes of text for each part of the filter, or fewer.
-PART = 32 << 20
+BROADCAST_BYTES = 32 << 20
+#: Bytes of text for each part of the filter, or fewer; bits of the least number of parts; keys that a part is asked at once.
+PART, LEAD, AT_ONCE = 32 << 20, 6, 1 << 16
 #: Bytes of texts, or one text, that ask a filter together that isn't broadcast.
 CHUNK = 4 << 20
-#: Training documents, by hash, that the prior is fitted on at most; priors that are tried, in words.
-FIT, PRIORS = 4_000, tuple(LEAST * 2**k for k in range(13))
+#: Turns in which askers meet the parts of the filter: what is shuffled at once is so much less.
+TURNS = 2
+#: Priors that are tried, in words.
+PRIORS = tuple(LEAST * 2**k for k in range(13))
 #: Tokens that a task gathers before it counts them.
 GATHER = 1_500_000
 ADD = 0.1
 _HIGH, _HALF = np.uint64(0xFFFFFFFF00000000), np.uint64(32)
 WORDS, PAIRS = 0, 1
+ZSTD = {"spark.sql.parquet.compression.codec": "zstd"}
 SUMS, FILTER = 1, 2
 
 
@@ -290,14 +294,18 @@ def looked_up(look: Look, texts: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 class Model:
-    """What scoring needs: totals, tables in parts, the prior; and all in one broadcast where that is small enough."""
+    """What scoring needs: totals, tables in parts, the prior; and all in one broadcast where that is small enough.
+
+    The prior is found when it is first asked for, by a pass over all training texts, or by :func:`score` in its own.
+    """
 
     def __init__(self, train: DataFrame, text: str = "text"):
         spark = self.spark = train.sparkSession
         scratch = Scratch(spark, "lm")
         size = train.agg(F.coalesce(F.sum(F.octet_length(train[text])), F.lit(0)).alias("n")).first()["n"]
-        # parts of a few MB of text where there is little, so that all cores have some; else by size
-        self.lead = max(2 + (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (size // PART).bit_length())
+        # by size; where there is little text, so many that all cores have some
+        self.size = size
+        self.lead = max(LEAD, (2 * spark.sparkContext.defaultParallelism - 1).bit_length(), (size // PART).bit_length())
         self.counted = scratch.keep(count(train, text, self.lead), "counted")
         about = self.counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "texts")]).first()
         self.n, self.v = about["n"], about["v"]
@@ -310,12 +318,22 @@ class Model:
         scratch.drop("counted")
         bytes_ = self.segments.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"] + 28 * self.v
         self.sent = spark.sparkContext.broadcast(self.gathered()) if bytes_ <= BROADCAST_BYTES else None
-        self.prior = LEAST
-        if about["texts"]:
-            share = int((1 << 30) * min(1.0, FIT / about["texts"])) + 1
-            some = train.select(train[text].alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share)
-            likely = evaluate(some, self, trials(self.under), [f"p{i}" for i in range(len(PRIORS))]).agg(*[F.sum(f"p{i}") for i in range(len(PRIORS))]).first()
-            self.prior = PRIORS[int(np.argmax([x if x is not None else -math.inf for x in likely]))]
+        self.texts, self.train, self.fitted = about["texts"], train.select(train[text].alias("t")), None
+
+    @property
+    def prior(self) -> float:
+        """That of PRIORS under which the training texts are likeliest, each token left out of the counts."""
+        if self.fitted is None:
+            names = [f"p{i}" for i in range(len(PRIORS))]
+            likely = evaluate(self.train, self, trials(self.under), names) if self.texts else None
+            self.fit(likely.agg(*[F.sum(c) for c in names]).first() if self.texts else ())
+        return self.fitted
+
+    def fit(self, likely: Sequence[float | None]) -> int:
+        """Takes the prior of the highest log probability; its place among PRIORS."""
+        best = int(np.argmax([x if x is not None else -math.inf for x in likely])) if self.texts else 0
+        self.fitted = PRIORS[best]
+        return best
 
     def gathered(self) -> tuple:
         """Everything as arrays in the order of keys."""
@@ -342,42 +360,66 @@ def look_of(sent: tuple) -> Look:
 
 def trials(under: float) -> Callable[[Look, pa.Array], list[np.ndarray]]:
     """For each of PRIORS, the log10 probability of each text, every token left out of all counts when it is its turn."""
+    return lambda look, texts: left_out(under, *looked_up(look, texts))
 
-    def run(look: Look, texts: pa.Array) -> list[np.ndarray]:
-        first, c, seen, sums = looked_up(look, texts)
-        p, rest, all_ = (np.maximum(c - 1, 0) + ADD) / under, np.maximum(seen - 1, 0), np.maximum(sums - 1, 0)
-        return [np.add.reduceat(np.log10((rest + prior * p) / (all_ + prior)), first[:-1]) for prior in PRIORS]
 
-    return run
+def left_out(under: float, first: np.ndarray, c: np.ndarray, seen: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
+    p, rest, all_ = (np.maximum(c - 1, 0) + ADD) / under, np.maximum(seen - 1, 0), np.maximum(sums - 1, 0)
+    return [np.add.reduceat(np.log10((rest + prior * p) / (all_ + prior)), first[:-1]) for prior in PRIORS]
+
 
+def scores(n: int, under: float, priors: Sequence[float], fit: bool = False) -> Callable[[Look, pa.Array], list[np.ndarray]]:
+    """The columns of :func:`score`, its last for each of ``priors``; and for ``fit`` those of :func:`trials`."""
 
-def scores(n: int, under: float, prior: float) -> Callable[[Look, pa.Array], list[np.ndarray]]:
     def run(look: Look, texts: pa.Array) -> list[np.ndarray]:
-        first, c, seen, sums = looked_up(look, texts)
+        first, c, seen, sums = found = looked_up(look, texts)
         p, sizes = (c + ADD) / under, np.diff(first)
         by_text = lambda x: np.add.reduceat(x, first[:-1])
-        return [sizes, by_text((c > 0).astype(np.int64)), np.full(len(sizes), n), by_text(np.log10(p)), by_text(np.log10((seen + prior * p) / (sums + prior)))]
+        own = [sizes, by_text((c > 0).astype(np.int64)), np.full(len(sizes), n), by_text(np.log10(p)), *[by_text(np.log10((seen + prior * p) / (sums + prior))) for prior in priors]]
+        return own + (left_out(under, *found) if fit else [])
 
     return run
 
 
-def chunked(rows: DataFrame) -> DataFrame:
-    """``rows`` (.., r, t) with c, the row number of the first text that asks together with this one."""
-    schema = rows.withColumn("c", F.lit(0).cast("long")).schema
+def packed(rows: DataFrame) -> DataFrame:
+    """(data): texts that ask together, with the other columns of ``rows`` (.., t), as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, size = None, 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for part in held:
+                    stream.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            own = []
-            for row, n in zip(batch.column(batch.num_columns - 2).to_pylist(), pa.compute.binary_length(text).fill_null(0).to_pylist(), strict=True):
-                if now is None or size + n > CHUNK:
-                    now, size = row, 0
+            at = 0
+            for i, n in enumerate(pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_pylist()):
+                if size and size + n > CHUNK:
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    yield made()
+                    held, size, at = [], 0, i
                 size += n
-                own.append(now)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[f.name for f in schema])
+            if batch.num_rows > at:
+                held.append(batch.slice(at))
+        if held:
+            yield made()
+        release()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "data binary")
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def column(table: pa.Table, name: str) -> pa.Array:
+    made = table[name].combine_chunks()
+    return made.combine_chunks() if isinstance(made, pa.ChunkedArray) else made
 
 
 def asked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -385,24 +427,30 @@ def asked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     own, two = [np.array([END])], [np.zeros(0, np.uint64)]
     for _, some in blocks(texts):
         h, first = tokens(some)
-        own.append(np.unique(h))
-        two.append(np.unique(pairs(h, first)))
-    return np.unique(np.concatenate(own)), np.unique(np.concatenate(two))
+        own.append(h)
+        two.append(pairs(h, first))
+    return tally(np.concatenate(own))[0], tally(np.concatenate(two))[0]
 
 
-def answers(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+def answers(stored: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """(c, part, kind, a, b): for each chunk of texts, counts (a) and sums (b) of the words that it asks for, and levels (a) of
     its pairs, in parts by leading bits of the key. A part's tables are read where its askers meet; nothing is broadcast
-    and no key is left out."""
+    and no key is left out. Texts are not shuffled for that, and parts have their TURNS."""
     lead, sure = model.lead, model.sure
     arrow = pa.schema([("c", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary())])
     given = pa.schema([("c", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
-    def ask(group: pa.Table) -> pa.Table:
-        chunk = group["c"][0].as_py()
-        made = [{"c": chunk, "part": part, "kind": kind, "keys": keys[a:b].tobytes()} for kind, keys in zip((WORDS, FILTER), asked(group["t"].combine_chunks()), strict=True) for part, a, b in cut(keys, lead)]
-        release()
-        return pa.Table.from_pylist(made, arrow)
+    def ask(turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    both = asked(column(unpacked(data.as_buffer()), "t"))
+                    made = [{"c": chunk, "part": part, "kind": kind, "keys": keys[a:b].tobytes()} for kind, keys in zip((WORDS, FILTER), both, strict=True) for part, a, b in cut(keys, lead) if part % TURNS == turn]
+                    if made:
+                        yield pa.RecordBatch.from_pylist(made, arrow)
+                    release()
+
+        return run
 
     def reply(some: pa.Table, tables: pa.Table) -> pa.Table:
         have = {r["kind"]: r for r in tables.to_pylist()}
@@ -410,23 +458,35 @@ def answers(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
         level = LogFilter(0, np.array([have[FILTER]["first"], have[FILTER]["others"]]), of(FILTER, "x", np.uint8), sure).level if FILTER in have else lambda k: np.zeros(len(k), np.int64)
         look = Look(of(WORDS, "x", np.uint64), of(WORDS, "y", np.int64), of(SUMS, "x", np.uint32), of(SUMS, "y", np.float64), level)
         made = []
-        for i in range(some.num_rows):
-            kind, keys = some["kind"][i].as_py(), np.frombuffer(some["keys"][i].as_py(), np.uint64)
-            a, b = (look.counts(keys).tobytes(), look.following(keys).tobytes()) if kind == WORDS else (look.level(keys).astype(np.uint8).tobytes(), b"")
-            made.append({"c": some["c"][i].as_py(), "part": some["part"][i].as_py(), "kind": kind, "a": a, "b": b})
+        for kind in (WORDS, FILTER):  # the keys of all chunks together
+            own = some.filter(pa.compute.equal(some["kind"], kind))
+            keys = [np.frombuffer(x.as_py(), np.uint64) for x in own["keys"]]
+            if not keys:
+                continue
+            at, all_ = np.cumsum([len(k) for k in keys])[:-1], np.concatenate(keys)
+            del keys
+            if kind == WORDS:
+                a, b = (np.split(x, at) for x in (look.counts(all_), look.following(all_)))
+            else:
+                q = [look.level(all_[i : i + AT_ONCE]).astype(np.uint8) for i in range(0, len(all_), AT_ONCE)]
+                a = np.split(np.concatenate(q), at)
+                b = [np.zeros(0)] * len(a)
+            kinds = [own["c"], own["part"], own["kind"], pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())]
+            made.append(pa.table(kinds, given))
         release()
-        return pa.Table.from_pylist(made, given)
+        return pa.concat_tables(made) if made else given.empty_table()
 
     none = F.lit(0).cast("long")
     tables = model.counted.select("part", F.lit(WORDS).alias("kind"), F.col("words").alias("x"), F.col("times").alias("y"), none.alias("first"), none.alias("others"))
     tables = tables.unionByName(model.totals.select("part", F.lit(SUMS).alias("kind"), F.col("heads").alias("x"), F.col("sums").alias("y"), none.alias("first"), none.alias("others")))
     tables = tables.unionByName(model.segments.select("part", F.lit(FILTER).alias("kind"), F.col("data").alias("x"), F.lit(b"").alias("y"), "first", "others"))
-    # kept by themselves: the shuffled texts go before tables are shuffled
-    asks = scratch.keep(rows.select("c", "t").groupBy("c").applyInArrow(ask, "c bigint, part int, kind int, keys binary"), "asks")
-    met = asks.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(reply, "c bigint, part int, kind int, a binary, b binary")
-    found = scratch.keep(met, "answers")
-    scratch.drop("asks")
-    return found
+
+    def turn(k: int) -> DataFrame:
+        asks = stored.select("c", "data").mapInArrow(ask(k), "c bigint, part int, kind int, keys binary")
+        met = asks.groupBy("part").cogroup(tables.where(F.col("part") % TURNS == k).groupBy("part")).applyInArrow(reply, "c bigint, part int, kind int, a binary, b binary")
+        return scratch.keep(met, f"answers{k}", ZSTD)
+
+    return functools.reduce(DataFrame.unionByName, [turn(k) for k in range(TURNS)])
 
 
 def evaluate(rows: DataFrame, model: Model, figures: Callable[[Look, pa.Array], list[np.ndarray]], names: list[str], whole: int = 0) -> DataFrame:
@@ -448,40 +508,50 @@ def evaluate(rows: DataFrame, model: Model, figures: Callable[[Look, pa.Array],
             release()
 
     def meet(group: pa.Table, given: pa.Table) -> pa.Table:
-        texts = group["t"].combine_chunks()
+        own_rows = unpacked(group["data"][0].as_buffer())
+        texts = column(own_rows, "t")
         own, two = asked(texts)
         given = given.sort_by("part")
         got = lambda kind, c, as_: np.frombuffer(b"".join(x for x, k in zip(given[c].to_pylist(), given["kind"].to_pylist(), strict=True) if k == kind), as_)
         q, heads = got(FILTER, "a", np.uint8), own >> _HALF
         once = np.flatnonzero(np.diff(heads.astype(np.int64), prepend=-1))
         look = Look(own, got(WORDS, "a", np.int64), heads[once].astype(np.uint32), got(WORDS, "b", np.float64)[once], lambda keys: q[np.searchsorted(two, keys)].astype(np.int64))
-        made = pa.table([*[group[c] for c in kept], *columns(look, texts)], names=[f.name for f in schema])
+        made = pa.table([*[own_rows[c] for c in kept], *columns(look, texts)], names=[f.name for f in schema])
         release()
         return made
 
     if sent is not None:
         return rows.select(*kept, "t").mapInArrow(run, schema)
     scratch = Scratch(rows.sparkSession, "score")
-    # the row's number must be the same in all uses
-    stored = scratch.keep(chunked(rows.select(*kept, F.monotonically_increasing_id().alias("r"), "t")), "rows", {"spark.sql.parquet.compression.codec": "zstd"})
+    # the chunk's number must be the same in all uses
+    few = rows.select(*kept, "t").coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, model.size // CHUNK))  # full chunks
+    stored = scratch.keep(packed(few).withColumn("c", F.monotonically_increasing_id()).select("c", "data"), "rows")
     return stored.groupBy("c").cogroup(answers(stored, model, scratch).groupBy("c")).applyInArrow(meet, schema)
 
 
-def score(df: DataFrame, model: Model, text: str = "text", prior: float | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(df: DataFrame, model: Model, text: str = "text", prior: float | None = None, keep: tuple[str, ...] = ("doc_id",), trained: Column | None = None) -> DataFrame:
     """Columns ``keep`` of ``df`` with n_tokens, n_known, train_tokens, base_score and score.
 
     A null text counts as empty: one token, the end. base_score: the sum of log10 of p = (c + 0.1) / (N + 0.1 (V + 1)), with
     exact counts. score: log10 of the text's probability, each token given the one before: (seen + prior p) / (sum of seen
     after the word before + prior), seen by the filter, for words that were learned. After any word these add up to 1 over
     the vocabulary and one unknown word, and to 1 + ERROR at most with the filter's errors. The prior, if not given, is that
-    under which a sample of the training texts is likeliest, each token left out of the counts. Rows by themselves where
+    under which all training texts are likeliest, each token left out of the counts; where ``trained`` says which rows of
+    ``df`` are these texts, it is found in the same pass, by scores for each. Rows by themselves where
     the model is broadcast; else texts by chunks meet the answers to their keys. Columns of ``keep`` with names of added
     ones are left out; rows that repeat a key are texts of their own.
     """
     names = [c for c in keep if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
     rows = df.select(*[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(names)], df[text].alias("t"))
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return evaluate(rows, model, scores(model.n, model.under, model.prior if prior is None else prior), added, 3).toDF(*names, *added)
+    if prior is None and trained is not None and model.fitted is None:
+        each, likely = [[f"{c}{i}" for i in range(len(PRIORS))] for c in "sp"]
+        flagged = df.select(*[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(names)], trained.alias("own"), df[text].alias("t"))
+        found = evaluate(flagged, model, scores(model.n, model.under, PRIORS, True), [*added[:-1], *each, *likely], 3)
+        found = Scratch(df.sparkSession, "fit").keep(found, "scores", ZSTD)
+        best = model.fit(found.where("own").agg(*[F.sum(c) for c in likely]).first())
+        return found.select(*[f"k{i}" for i in range(len(names))], *added[:-1], each[best]).toDF(*names, *added)
+    return evaluate(rows, model, scores(model.n, model.under, [model.prior if prior is None else prior]), added, 3).toDF(*names, *added)
 
 
 def learned(key: Column) -> Column:

@@ -62,7 +62,7 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     known = learned(F.col("doc_id"))
-    return score(docs.withColumn("held_out", ~known), Model(docs.where(known)), keep=("doc_id", "held_out"))
+    return score(docs.withColumn("held_out", ~known), Model(docs.where(known)), keep=("doc_id", "held_out"), trained=known)
 
 
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
