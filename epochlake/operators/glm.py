@@ -5,14 +5,16 @@ A grid is a table of a recording's sample times, a row each; regressors are colu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from .alignment import interpolate, range_join
-from .signal import convolve
+from .signal import Taps, convolve
 from .stats import ols
 from .tables import block_table
 
@@ -24,15 +26,51 @@ def boxcar(grid: DataFrame, events: DataFrame, keys: Keys, stim_s: float, name:
 
     A duration that is missing or not above 0 is ``stim_s``, a missing amplitude 1. Without events the sum is 0.
     """
+    return _boxcar(grid, events, keys, stim_s, name, None, t, onset, dur, amp)
+
+
+def _boxcar(grid: DataFrame, events: DataFrame, keys: Keys, stim_s: float, name: str, kernel: Sequence[float] | None, t: str = "t", onset: str = "onset_s", dur: str | None = "dur_s", amp: str | None = "amp") -> DataFrame:
+    """:func:`boxcar`, convolved with ``kernel`` if there is one: events and samples of a recording in one ordered pass."""
     length = F.coalesce(F.when(F.col(dur) > 0, F.col(dur)), F.lit(float(stim_s))) if dur else F.lit(float(stim_s))
     size = F.coalesce(F.col(amp).cast("double"), F.lit(1.0)) if amp else F.lit(1.0)
-    windows = events.select(*keys, F.col(onset).alias("__lo"), (F.col(onset) + length).alias("__hi"), size.alias("__amp"))
-    on = range_join(grid.select(*keys, t), windows, keys, "__lo", "__hi", t, closed="left").groupBy(*keys, t).agg(F.sum("__amp").alias(name))
-    return grid.join(on, [*keys, t], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    same = [F.col(k).cast(grid.schema[k].dataType).alias(k) for k in keys]
+    windows = events.select(*same, F.col(onset).cast("double").alias("__t"), (F.col(onset) + length).cast("double").alias("__hi"), size.alias("__amp"), F.lit(0).alias("__q"))
+    windows = windows.where(F.col("__t") < F.col("__hi")).dropna(subset=list(keys))
+    samples = grid.withColumns({name: F.lit(0.0), "__t": F.col(t).cast("double"), "__hi": F.lit(None).cast("double"), "__amp": F.lit(None).cast("double"), "__q": F.lit(1)})
+    w = Window.partitionBy(*keys).orderBy("__t", "__q", "__hi", "__amp")
+    rows = samples.unionByName(windows, allowMissingColumns=True).withColumns({"__k": F.row_number().over(w), "__n": F.sum("__q").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    schema = grid.withColumn(name, F.lit(0.0)).schema
+    cols = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taps = Taps(kernel) if kernel else None
+        force: list[tuple[float, float]] = []  # ends and amplitudes of the last recording's events that may go on
+        for batch in batches:  # in the window's order
+            at, hi, size, q, k, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__t", "__hi", "__amp", "__q", "__k", "__n"))
+            starts = np.append(np.flatnonzero(k == 1), len(k))
+            first = int(starts[0])
+            on = np.flatnonzero(q == 0)
+            ends = starts[np.searchsorted(starts, on, "right")]
+            todo = [(0, first, *x) for x in force] + list(zip(on.tolist(), ends.tolist(), hi[on].tolist(), size[on].tolist(), strict=True))
+            force, u = [], np.zeros(len(k))
+            for a, b, end, amount in todo:
+                stop = a + int(at[a:b].searchsorted(end))
+                u[a:stop] += amount
+                if stop == b == len(k):
+                    force.append((end, amount))
+            keep = q == 1
+            own = batch.filter(pa.array(keep))
+            u = u[keep]
+            made = pa.array(taps(u, n[keep]) if taps else u, pa.float64())
+            yield pa.RecordBatch.from_arrays([made if c == name else own.column(c) for c in cols], names=cols)
+
+    return rows.select(*cols, "__t", "__hi", "__amp", "__q", "__k", "__n").mapInArrow(run, schema)
 
 
 def regressor(grid: DataFrame, events: DataFrame, keys: Keys, hrf: Sequence[float], stim_s: float, name: str, t: str = "t", **how) -> DataFrame:
     """``grid`` with the boxcar of the events convolved with a haemodynamic response."""
+    if 0 < len(hrf) <= 64:
+        return _boxcar(grid, events, keys, stim_s, name, hrf, t, **how)
     return convolve(boxcar(grid, events, keys, stim_s, "__u", t, **how), keys, t, "__u", hrf, name).drop("__u")
 
 

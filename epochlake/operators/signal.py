@@ -387,8 +387,8 @@ def interpolate_channels(samples: DataFrame, sites: DataFrame, bad: Sequence[obj
 
 
 def convolve(df: DataFrame, keys: Keys, order: str, value: str, kernel: Sequence[float], out: str = "convolved") -> DataFrame:
-    """Causal convolution, as long as the input; samples before the first, and missing ones, are 0 and keep their places. A window
-    of as many rows as the kernel has; kernels of more than 64 are applied to packed channels by Fourier transforms."""
+    """Causal convolution, as long as the input; samples before the first, and missing ones, are 0 and keep their places. One
+    ordered pass over each recording's rows; kernels of more than 64 are applied to packed channels by Fourier transforms."""
     if len(kernel) > 64:
         h = np.asarray(kernel, float)
 
@@ -398,11 +398,34 @@ def convolve(df: DataFrame, keys: Keys, order: str, value: str, kernel: Sequence
 
         zero = df.select(*keys, order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__u"))
         return df.join(per_channel(zero, keys, order, "__u", whole, out).drop("__u"), [*keys, order], "left")
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(len(kernel) - 1), 0)
-    back = F.reverse(F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w))
-    h = F.array(*[F.lit(float(x)) for x in kernel])
-    total = F.aggregate(F.zip_with(back, F.slice(h, F.lit(1), F.size(back)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return df.withColumn(out, total)
+    own = df.withColumn(out, F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
+    numbered = own.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    at, schema = own.columns.index(out), own.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taps = Taps(kernel)
+        for batch in batches:  # in the window's order
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(taps(columns[at].to_numpy(zero_copy_only=False), batch.columns[-1].to_numpy()), pa.float64())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return numbered.mapInArrow(run, schema)
+
+
+class Taps:
+    """Causal convolution of samples that come in order, some at a time, each with its number from 1 in its recording."""
+
+    def __init__(self, kernel: Sequence[float]):
+        self.kernel = [float(x) for x in kernel]
+        self.before = np.zeros(len(self.kernel) - 1)
+
+    def __call__(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        m, out = len(self.before), np.zeros(len(x))
+        both = np.concatenate([self.before, x])
+        for k, h in enumerate(self.kernel):
+            out += h * np.where(n > k, both[m - k : m - k + len(x)], 0.0)
+        self.before = both[len(both) - m :]
+        return out
 
 
 def spectra(rows: DataFrame, keys: Keys, cols: Keys, kernel: Callable[..., list[np.ndarray]], names: Keys) -> DataFrame:
