@@ -11,6 +11,8 @@ from .alignment import interpolate, range_join
 from .tables import nearest_rank, trapezoid
 
 Keys = Sequence[str]
+#: Channels that a task gets at once, about.
+ROWS = 500_000
 
 
 def assign_bins(events: DataFrame, bins: DataFrame, code: str = "marker", boundary: int = -99) -> DataFrame:
@@ -121,10 +123,12 @@ def auto_range(means: DataFrame, keys: Keys, mean: str = "mean") -> DataFrame:
 
 def distance_ok(channels: DataFrame, run: Keys, distance: str, lo: float = 0.0, hi: float = 45.0, name: str = "distance_ok") -> DataFrame:
     """Whether each channel's source and detector lie ``lo`` to ``hi`` apart. An unknown distance fails, unless the run has no
-    distance at all: then its geometry is unknown, and none fails."""
+    distance at all: then its geometry is unknown, and none fails. Runs are dealt to parts of some ROWS channels, which later
+    steps by run keep: a task's memory doesn't grow with the table, but with its largest run."""
     known = F.when(~F.isnan(distance), F.col(distance))
-    any_known = channels.groupBy(*run).agg((F.count(known) > 0).alias("__known"))
-    return channels.join(any_known, list(run)).withColumn(name, F.coalesce(known.between(lo, hi), ~F.col("__known"))).drop("__known")
+    parts = max(int(channels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-channels.count() // ROWS))
+    any_known = F.count(known).over(Window.partitionBy(*run)) > 0
+    return channels.repartition(parts, *run).withColumn("__known", any_known).withColumn(name, F.coalesce(known.between(lo, hi), ~F.col("__known"))).drop("__known")
 
 
 def prune(channels: DataFrame, pair: Keys, wavelength: str, checks: Sequence[Column], n_wavelengths: int) -> DataFrame:

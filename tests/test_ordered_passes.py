@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from epochlake.operators import epochs as ep
 from epochlake.operators import glm as gl
 from epochlake.operators import signal as sg
 
@@ -41,3 +43,12 @@ def test_convolution_over_borders_of_batches_holds_no_frame(spark):
     for c in range(1, 5):
         own = [v or 0.0 for k, _, v in rows if k == c]
         assert [got[c, i] for i in range(c * 6)] == pytest.approx(np.convolve(own, [1, 10, 100])[: c * 6])
+
+
+def test_distances_are_checked_in_parts_by_the_number_of_channels(spark, monkeypatch):
+    monkeypatch.setattr(ep, "ROWS", 10)
+    df = spark.createDataFrame([(r, p, w, 10.0 * r if r % 3 else None) for r in range(30) for p in range(4) for w in (1, 2)], "run int, pair int, wl int, dist double")
+    made = ep.prune(ep.distance_ok(df, ["run"], "dist"), ["run", "pair"], "wl", [F.col("distance_ok")], 2)
+    assert made.rdd.getNumPartitions() == 24
+    got = {(r.run, r.pair): (r.active, r.failed) for r in made.collect()}
+    assert got == {(r, p): ((True, 0) if r % 3 == 0 or r <= 4 else (False, 2)) for r in range(30) for p in range(4)}
