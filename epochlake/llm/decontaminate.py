@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into overlapping passages of words. TF-IDF vectors of passages are projected on the leading singular
-vectors of a passage matrix, which a randomised SVD finds, and passages near to one of the benchmark by cosine are
+vectors of the matrix of all half passages, which a randomised SVD finds, and passages near to one of the benchmark by cosine are
 candidates. A candidate is contaminated if the longest common subsequence of words covers enough of the item, or
 somewhat less of it together with the item's answer.
 """
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ HALF = 16
 #: Slots that words are hashed to; singular vectors kept, and random directions beyond them.
 SLOTS, RANK, EXTRA = 1 << 15, 96, 16
 #: Parts in which products are added up before the driver gets them.
-PARTS = 32
-#: Documents, and benchmark items, that the SVD is fitted on at most (by hash of the key). Rarity counts all documents.
-FIT = 4_000
+PARTS = 256
+#: Words whose part of a product a task adds up at once, and rows that one step of adding takes.
+WORDS, STEP = 1_000_000, 1_024
+#: Parts of the documents that a task of a product takes, where there are that many for each core: its result has one size.
+SPLITS = 32
 #: Part of the cosine that a whole copy of an item has in the worst alignment, from which a passage is a candidate.
 NEAR = 0.5
 #: Share of the item's words in the longest common subsequence: enough by itself, and enough with its answer.
@@ -66,6 +69,62 @@ def sums(table: np.ndarray, slot: np.ndarray, start: np.ndarray, half: int = HAL
     return out
 
 
+def gathered(table: np.ndarray, rows: np.ndarray, first: np.ndarray, run: int = 64) -> np.ndarray:
+    """Sums of the rows of ``table`` that ``rows`` names, for each group of those from ``first`` on; no group is empty."""
+    sizes = np.diff(np.append(first, len(rows)))
+    n = -(-sizes // run)
+    if len(n) and n.max() > 1:
+        start, _ = halves(np.append(first, len(rows)), run)
+        return gathered(gathered(table, rows, start, run), np.arange(len(start)), np.cumsum(n) - n, run)
+    # groups of like sizes together, so few that the sums stay in the cache
+    order = np.argsort(-sizes, kind="stable")
+    out, row = np.empty((len(sizes), table.shape[1]), table.dtype), np.empty((STEP, table.shape[1]), table.dtype)
+    for b in range(0, len(order), STEP):
+        own = order[b : b + STEP]
+        at, left = first[own], -sizes[own]
+        some = table[rows[at]]
+        for k in range(1, -int(left[0])):
+            m = int(np.searchsorted(left, -k))
+            some[:m] += np.take(table, rows[at[:m] + k], axis=0, out=row[:m], mode="clip")
+        out[own] = some
+    return out
+
+
+class Product:
+    """A'A q, where A has a row of counts of slots for each half passage added: for each slot the sum over its words of the
+    half passage's row of A q. Rows of A q are made at once, and added to their slots for many words at a time."""
+
+    def __init__(self, q: np.ndarray):
+        self.q, self.sums = q, np.zeros(q.shape)
+        self.slots, self.rows, self.made, self.words = [], [], [], 0
+
+    def add(self, h: np.ndarray, first: np.ndarray) -> None:
+        if not len(h):
+            return
+        slot = (h % np.uint64(SLOTS)).astype(np.uint16)
+        start, _ = halves(first)
+        below = sum(map(len, self.made))
+        self.rows.append(np.repeat(np.arange(below, below + len(start), dtype=np.int32), np.diff(np.append(start, len(h)))))
+        self.slots.append(slot)
+        self.made.append(gathered(self.q, slot, start))
+        self.words += len(h)
+        if self.words >= WORDS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.words:
+            slot = np.concatenate(self.slots)
+            order = np.argsort(slot, kind="stable")  # by radix, as these have 16 bits
+            slot = slot[order]
+            at = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            self.sums[slot[at]] += gathered(np.concatenate(self.made), np.concatenate(self.rows)[order], at)
+        self.slots, self.rows, self.made, self.words = [], [], [], 0
+
+    def total(self) -> np.ndarray:
+        self.flush()
+        return self.sums
+
+
 def passages(parts: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Sums of each row and the next of the same text; a text's last row by itself only if it is its only one."""
     out = parts.copy()
@@ -93,12 +152,12 @@ def around(marked: np.ndarray, text: np.ndarray, reach: int) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
-    """(documents, weight of each slot): the logarithm of all half passages to those with the slot, over all documents."""
+    """(tasks, weight of each slot): how many read ``docs``; the logarithm of all half passages to those with the slot, over
+    all documents."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, rows = np.zeros(SLOTS, np.int64), 0, 0
+        table, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
-            rows += batch.num_rows
             for _, texts in blocks(batch.column(0)):
                 h, first = words(texts, LOOSE, True)
                 start, _ = halves(first)
@@ -107,22 +166,22 @@ def rarity(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
                 keys = np.sort(where * SLOTS + (h % np.uint64(SLOTS)).astype(np.int64))
                 keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
                 table += np.bincount(keys % SLOTS, minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([n]), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], names=["rows", "n", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([n]), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], names=["tasks", "n", "data"])
 
     def total(group: pa.Table) -> pa.Table:
         table = np.zeros(SLOTS, np.int64)
         for data in group["data"]:
             table += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
-        return pa.table({"rows": [sum(group["rows"].to_pylist())], "n": [sum(group["n"].to_pylist())], "data": [zlib.compress(table.tobytes(), 1)]}, pa.schema([("rows", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
+        return pa.table({"tasks": [sum(group["tasks"].to_pylist())], "n": [sum(group["n"].to_pylist())], "data": [zlib.compress(table.tobytes(), 1)]}, pa.schema([("tasks", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
-    kind = "rows bigint, n bigint, data binary"
+    kind = "tasks bigint, n bigint, data binary"
     made = docs.select(docs[text].alias("text")).mapInArrow(add, kind)
     some = made.groupBy(F.expr("spark_partition_id() div 64").alias("s")).applyInArrow(total, kind)  # in two steps of 64 tables
     rows = some.groupBy(F.expr("spark_partition_id() div 64").alias("s")).applyInArrow(total, kind).collect()
     table, n = np.ones(SLOTS, np.int64), sum(r["n"] for r in rows)
     for r in rows:
         table += np.frombuffer(zlib.decompress(bytes(r["data"])), np.int64)
-    return sum(r["rows"] for r in rows), np.log1p(n / table).astype(np.float32)
+    return sum(r["tasks"] for r in rows), np.log1p(n / table).astype(np.float32)
 
 
 def basis(fit: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
@@ -135,34 +194,31 @@ def basis(fit: DataFrame, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
     spark = fit.sparkSession
 
     def product(q: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(q)
+        sent = spark.sparkContext.broadcast(q * weight[:, None])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((SLOTS, sent.value.shape[1]), np.float32)
+            made = Product(sent.value)
             for batch in batches:
-                for _, texts in blocks(batch.column(0), 200_000):  # a row of the product for each word
-                    h, first = words(texts, LOOSE, True)
-                    if not len(h):
-                        continue
-                    slot = (h % np.uint64(SLOTS)).astype(np.int64)
-                    start, _ = halves(first)
-                    w = weight[slot][:, None]
-                    y = np.add.reduceat(sent.value[slot] * w, start)
-                    row = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-                    order = np.argsort(slot, kind="stable")
-                    at = np.flatnonzero(np.diff(slot[order], prepend=-1))
-                    out[slot[order][at]] += np.add.reduceat(y[row[order]] * w[order], at)
+                for _, texts in blocks(batch.column(0)):
+                    made.add(*words(texts, LOOSE, True))
+            out, task = made.total(), TaskContext.get().partitionId()
             for k, part in enumerate(np.split(out, PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "data"])
+                if part.any():
+                    arrays = [pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["part", "task", "data"])
+            release()
 
         def add(group: pa.Table) -> pa.Table:
-            out = sum(np.frombuffer(data.as_py(), np.float32) for data in group["data"])
-            return pa.table({"part": group["part"][:1], "data": [out.tobytes()]}, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
+            out = np.zeros(SLOTS // PARTS * q.shape[1])
+            for data in group.sort_by("task")["data"]:  # in one order, so that reruns agree
+                out += np.frombuffer(data.as_py(), np.float32)
+            return pa.table({"part": group["part"][:1], "data": [out.astype(np.float32).tobytes()]}, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
 
         total = np.zeros(q.shape, np.float32)
-        for r in fit.mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator():
+        for r in fit.mapInArrow(run, "part int, task int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator():
             total[r["part"] * (SLOTS // PARTS) : (r["part"] + 1) * (SLOTS // PARTS)] = np.frombuffer(r["data"], np.float32).reshape(-1, q.shape[1])
         sent.destroy()
+        total *= weight[:, None]
         return total
 
     # single precision and no copies to spare: this is the driver's memory
@@ -278,11 +334,10 @@ class Search:
     def __init__(self, docs: DataFrame, benchmark: DataFrame, text: str, key: str, item: str, item_text: str, answer: str | None):
         self.spark = docs.sparkSession
         lean(self.spark)
-        n, weight = rarity(docs, text)
-        some = lambda df, k, total: df.where(F.pmod(F.xxhash64(df[k]), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT / max(1, total))) + 1)
-        about = benchmark.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(benchmark[item_text])), F.lit(0)).alias("size")).first()
-        fit = some(docs, key, n).select(F.col(text).alias("text")).union(some(benchmark, item, about["n"]).select(F.col(item_text).alias("text")))
-        self.vectors = basis(fit.repartition(4), weight) * weight[:, None]
+        tasks, weight = rarity(docs, text)
+        about = benchmark.agg(F.coalesce(F.sum(F.octet_length(benchmark[item_text])), F.lit(0)).alias("size")).first()
+        fit = docs.select(docs[text].alias("text")).union(benchmark.select(benchmark[item_text].alias("text")))
+        self.vectors = basis(fit.coalesce(max(self.spark.sparkContext.defaultParallelism, tasks // SPLITS)), weight) * weight[:, None]
         self.table = self.spark.sparkContext.broadcast(np.vstack([self.vectors, np.zeros((1, RANK), np.float32)]))
         self.slices = max(1, -(-int(about["size"]) // SLICE))
         self.asked = benchmark.select(benchmark[item].cast("long").alias("item_id"), benchmark[item_text].alias("text"), (benchmark[answer].cast("string") if answer else F.lit(None).cast("string")).alias("answer"))
@@ -298,8 +353,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     share: of the item's words, in the longest common subsequence with the words around the passage; a row has 0.8 or more,
     or 0.6 or more and half of the answer's words. word: where the passage begins in the text. Words are what ASCII
     punctuation and white space leave, in lower case. Null and empty texts, and items of fewer than 8 words, match nothing;
-    rows that repeat a key are documents of their own, and so are rows with a null key. Documents are read three times
-    (rarity, a sample, search) and never shuffled. What is broadcast is of a fixed size, or a slice of the benchmark.
+    rows that repeat a key are documents of their own, and so are rows with a null key. Documents are read four times
+    (rarity, two products, search) and never shuffled. What is broadcast is of a fixed size, or a slice of the benchmark.
     """
     how = Search(docs, benchmark, text, key, item, item_text, answer)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -291,6 +292,45 @@ def test_the_gate_of_marked_words_loses_nothing(spark):
     assert {t // 5 for t, _ in have} == set(range(60)) and sum(t // 5 == k for t, k in have) >= 0.8 * len(texts)
 
 
+def test_products_are_those_of_the_whole_matrix(monkeypatch):
+    rng = np.random.default_rng(16)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, n) % 3000) for n in rng.integers(0, 300, 50)]
+    q = rng.standard_normal((decontaminate.SLOTS, 5), np.float32)
+    for most, step in ((1, 7), (5_000, 1_024), (10**9, 64)):
+        monkeypatch.setattr(decontaminate, "WORDS", most)
+        monkeypatch.setattr(decontaminate, "STEP", step)
+        made, whole = decontaminate.Product(q), []
+        for at in range(0, len(texts), 9):
+            h, first = words.words(pa.array(texts[at : at + 9]), words.LOOSE, True)
+            made.add(h, first)
+            for a, b in itertools.pairwise(first.tolist()):
+                whole += [np.bincount((h[k : min(k + decontaminate.HALF, b)] % np.uint64(decontaminate.SLOTS)).astype(int), minlength=decontaminate.SLOTS) for k in range(a, b, decontaminate.HALF)]
+        made.add(np.zeros(0, np.uint64), np.zeros(3, np.int64))
+        matrix = np.array(whole, np.float32)
+        assert np.allclose(made.total(), matrix.T @ (matrix @ q), rtol=1e-3, atol=1e-2)
+    assert not decontaminate.Product(q).total().any()
+
+
+def test_singular_vectors_are_fitted_on_every_document(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FIT", 1, raising=False)
+    rng = np.random.default_rng(17)
+    texts = [" ".join(f"topic{k % 40}word{x}" for x in rng.integers(0, 30, 16)) for k in range(400)]
+    rows = [(k if k % 5 else None, t) for k, t in enumerate(texts)] + [(1, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    bench = spark.createDataFrame([(0, texts[0]), (1, "not in any document but an item"), (None, None)], "item_id long, text string")
+    vectors = decontaminate.Search(docs, bench, "text", "doc_id", "item_id", "text", None).vectors
+    weight = decontaminate.rarity(docs, "text")[1]
+    matrix = np.zeros((len(texts) + 2, decontaminate.SLOTS), np.float32)
+    for row, t in zip(matrix, [*texts, texts[0], "not in any document but an item"], strict=True):
+        h, _ = words.words(pa.array([t]), words.LOOSE, True)
+        np.add.at(row, (h % np.uint64(decontaminate.SLOTS)).astype(int), weight[(h % np.uint64(decontaminate.SLOTS)).astype(int)])
+    # forty topics of other words each: whitened, the leading vectors turn the whole matrix's leading directions to length 1
+    u, _, _ = np.linalg.svd(matrix, full_matrices=False)
+    turned = u[:, :40].T @ (matrix @ (vectors / weight[:, None]))
+    lengths = np.linalg.svd(turned, compute_uv=False)
+    assert len(lengths) == 40 and np.all((lengths > 0.9) & (lengths < 1.1)), lengths
+
+
 def test_benchmark_in_slices(spark, monkeypatch):
     texts = ["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu", "one two three four five six seven eight nine ten eleven twelve"]
     bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
