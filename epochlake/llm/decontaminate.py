@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into overlapping passages of words. TF-IDF vectors of passages are projected on the leading singular
-vectors of the matrix of all half passages, which a randomised SVD finds, and passages near to one of the benchmark by cosine are
-candidates. A candidate is contaminated if the longest common subsequence of words covers enough of the item, or
-somewhat less of it together with the item's answer.
+vectors of the matrix of all half passages, which a randomised SVD finds, and passages near to one of the benchmark by
+cosine are candidates. A candidate is contaminated if the longest common subsequence of words covers enough of the item,
+or somewhat less of it together with the item's answer.
 """
 
 from __future__ import annotations
